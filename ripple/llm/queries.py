@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripple.llm import audio
+from ripple.llm import audio, setjoin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op7_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text stored as mu-law audio, read back, with features."""
     return audio.read(audio.store(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+@query
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have 90 % in common."""
+    return setjoin.similar_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
