@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripple.llm import audio, setjoin
+from ripple.llm import audio, linededup, setjoin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,12 @@ def op7_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have 90 % in common."""
     return setjoin.similar_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 40 characters and more that 5 documents share go, except in the last of them."""
+    return linededup.digest(linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+ORACLES["op2_line_dedup"] = linededup.ORACLE
