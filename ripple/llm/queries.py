@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripple.llm import audio, linededup, setjoin, toxicity, winnow
+from ripple.llm import audio, linededup, quality, setjoin, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,9 @@ ORACLES["op8_benchmark_decontamination"] = winnow.ORACLE
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of each document, by a lexicon learned outside the held-out fold."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of each document, by a factorisation machine fitted outside the held-out fold."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
