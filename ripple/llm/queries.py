@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ripple.llm import audio, linededup, quality, setjoin, toxicity, winnow
+from ripple.llm import audio, linededup, lmscore, quality, setjoin, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +62,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of each document, by a factorisation machine fitted outside the held-out fold."""
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much better each document fits a model of the English part than a model of all."""
+    return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), F.col("lang") == "en")
