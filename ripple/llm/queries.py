@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripple.llm import audio, linededup, lmscore, quality, setjoin, toxicity, winnow
+from ripple.llm import audio, linededup, lmscore, pieces, quality, setjoin, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much better each document fits a model of the English part than a model of all."""
     return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), F.col("lang") == "en")
+
+
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's own ids, and two segmentations sampled without replacement, with the check that all decode to it."""
+    return pieces.encode(table(spark, sf_dir, "documents"))
