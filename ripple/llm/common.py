@@ -143,3 +143,40 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
                 pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
         last = now
+
+
+class Sieve:
+    """A Bloom filter over 64-bit hashes, of a size that never exceeds MAX_BITS.
+
+    It only lessens what a later exact join has to shuffle: hashes that are in
+    it always pass, others mostly do not; where a table outgrows it, all pass.
+    The bits are put together by an aggregation, so the driver receives at most
+    MAX_BITS / 64 words (16 MB) whatever the number of rows.
+    """
+
+    MAX_BITS = 1 << 27
+    PROBES = 2
+
+    def __init__(self, hashes: DataFrame, column: str, rows: int) -> None:
+        bits = 1 << 10
+        while bits < min(self.MAX_BITS, 16 * rows):
+            bits *= 2
+        self.bits = bits
+
+        def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.concatenate(self._at(batch.column(0).to_numpy(zero_copy_only=False)))
+                yield pa.RecordBatch.from_arrays([pa.array(at >> 6, pa.int64()), pa.array(np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bit"])
+
+        found = hashes.select(F.col(column).cast("long")).mapInArrow(spots, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+        self.words = np.zeros(bits // 64, dtype=np.uint64)
+        self.words[found["word"].to_numpy(dtype=np.int64)] = found["bit"].to_numpy(dtype=np.int64).view(np.uint64)
+
+    def _at(self, hashes: np.ndarray) -> list[np.ndarray]:
+        return [(mix(hashes.astype(np.int64).view(np.uint64), 21 + i) % np.uint64(self.bits)).astype(np.int64) for i in range(self.PROBES)]
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), dtype=bool)
+        for at in self._at(hashes):
+            out &= (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return out

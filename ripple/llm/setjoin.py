@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripple.llm.common import Hashes, connected_components, mix, raw_texts, shuffle_partitions, slices, written
+from ripple.llm.common import Hashes, Sieve, connected_components, mix, raw_texts, shuffle_partitions, slices, written
 from ripple.llm.shingles import set_key, shingle_sets
 
 SPARE = 2
@@ -279,18 +279,23 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sets = each.where("set_key is not null").groupBy("set_key", "node").agg(F.min("id").alias("id"))
     members = written(sets.join(near, "node").select("id", "set_key", "node", "component"), "members")
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    tasks = max(shuffle_partitions(spark), math.ceil(members.count() / 1000))
+    n_members = members.count()
+    tasks = max(shuffle_partitions(spark), math.ceil(n_members / 1000))
+
+    # Only members' token sets are shuffled; other documents end at the sieve.
+    sieve = spark.sparkContext.broadcast(Sieve(members.select(F.xxhash64("id").alias("h")), "h", n_members))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Hashes()
         for batch in slices(batches, "text"):
+            batch = batch.filter(pa.array(sieve.value.passes(batch.column("h").to_numpy())))
             found = shingle_sets(raw_texts(batch, "text"), k, words)
-            same = pa.array([len(x) > 0 and set_key(x) == y for x, y in zip(found, batch.column("set_key").to_pylist(), strict=True)])  # a key may have other rows
-            columns = [batch.column("set_key"), batch.column("node"), batch.column("component"), pa.array([x.tobytes() for x in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["set_key", "node", "component", "tokens"]).filter(same)
+            kept = pa.array([len(x) > 0 for x in found], pa.bool_())
+            columns = [batch.column("id"), pa.array([set_key(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["at", "key", "tokens"]).filter(kept)
 
-    picked = docs.join(members, docs["id"].eqNullSafe(members["id"])).select("text", "set_key", "node", "component")
-    full = picked.mapInArrow(tokens, "set_key binary, node long, component long, tokens binary").join(sizes, "component")
+    picked = docs.select(F.xxhash64("id").alias("h"), "id", "text").mapInArrow(tokens, f"at {kind}, key binary, tokens binary")
+    full = picked.join(members, (F.col("key") == F.col("set_key")) & F.col("at").eqNullSafe(F.col("id"))).select("set_key", "node", "component", "tokens").join(sizes, "component")
     block = F.pmod(F.xxhash64("set_key"), F.col("blocks"))
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array(block.cast("int")))))
     full = full.withColumn("block", block.cast("int")).withColumn("other", other).withColumn("whole", F.col("blocks") == 1)
