@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripple.llm import audio, linededup, lmscore, pieces, quality, setjoin, toxicity, winnow
+from ripple.llm import audio, chat, licenses, linededup, lmscore, pieces, quality, setjoin, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,23 @@ def op4_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's own ids, and two segmentations sampled without replacement, with the check that all decode to it."""
     return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence notices that documents hold."""
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
+ORACLES["op3_license_scan"] = licenses.ORACLE
+
+
+@query
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, logged as events, folded, rendered and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.render(chat.fold(chat.log(rows.unionByName(probe)))))
+
+
+ORACLES["op5_chat_formatting"] = chat.ORACLE
