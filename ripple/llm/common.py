@@ -180,3 +180,25 @@ class Sieve:
         for at in self._at(hashes):
             out &= (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
         return out
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` whose key is not in ``gone`` (one column of that name); null equals null.
+
+    Rows that a bounded Bloom filter tells from all of ``gone`` pass as they
+    are; only the others are shuffled for the exact anti-join.
+    """
+    spark = docs.sparkSession
+    gone = written(gone.select(F.col(key).alias("gone")).distinct(), "gone")
+    sieve = spark.sparkContext.broadcast(Sieve(gone.select(F.xxhash64("gone").alias("h")), "h", gone.count()))
+    wide = docs.select(F.xxhash64(key).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    row = wide.schema["row"].dataType.simpleString()
+
+    def sifted(batches: Iterator[pa.RecordBatch], through: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = sieve.value.passes(batch.column("h").to_numpy(zero_copy_only=False))
+            yield batch.select(["row"]).filter(pa.array(mask if through else ~mask))
+
+    clear = wide.mapInArrow(lambda it: sifted(it, False), f"row {row}").select("row.*")
+    doubtful = wide.mapInArrow(lambda it: sifted(it, True), f"row {row}").select("row.*")
+    return clear.unionByName(doubtful.join(gone, doubtful[key].eqNullSafe(gone["gone"]), "left_anti"))

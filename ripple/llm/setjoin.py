@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripple.llm.common import Hashes, Sieve, connected_components, mix, raw_texts, shuffle_partitions, slices, written
+from ripple.llm.common import Hashes, Sieve, connected_components, mix, raw_texts, shuffle_partitions, slices, without, written
 from ripple.llm.shingles import set_key, shingle_sets
 
 SPARE = 2
@@ -314,3 +314,20 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return each.join(named, "set_key", "left").select(
         F.col("id").alias(key), "n_shingles", F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Of each group of similar documents, the rows whose key is the smallest, with all columns; equal rows once.
+
+    Rows without words are kept, as they are linked with nothing.
+    """
+    found = similar_components(docs, key, text, k, num, den)
+    gone = found.where(F.col("component_id").isNotNull() & ~F.col(key).eqNullSafe(F.col("component_id"))).select(key)
+    left = without(docs, gone, key)
+    # Rows that share a key and a text are copies of each other.
+    again = found.where("n_shingles > 0").groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    again = written(again, "again")
+    if not again.limit(1).count():
+        return left
+    alike = left.join(again, left[key].eqNullSafe(again[key]), "left_semi")
+    return without(left, again, key).unionByName(alike.dropDuplicates([key, text]))

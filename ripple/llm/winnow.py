@@ -140,6 +140,18 @@ def contamination(
     )
 
 
+def decontaminate(
+    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, min_items: int = 1
+) -> DataFrame:
+    """The rows of ``docs`` without those keys whose text holds windows of ``min_items`` items, with all columns.
+
+    Rows that share a key go together.
+    """
+    found = contamination(docs, items, key, text, item_key, item_text, window, min_items)
+    gone = written(found.where("contaminated").select(F.col(key).alias("gone")).distinct(), "gone")
+    return docs.join(_fitting(gone), docs[key].eqNullSafe(gone["gone"]), "left_anti")
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
