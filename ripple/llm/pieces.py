@@ -36,12 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripple.llm.common import mix, slices
+from ripple.llm.common import mix, raw_texts, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁".encode()
 CHUNK = re.compile(rb" *[^ ]+| +")
-SLICE = 3 << 20
+SLICE = 4 << 20
+HEAD = 96  # steps of a path from which a bound is taken that spares the others
 
 
 class Pieces:
@@ -78,6 +79,9 @@ class Pieces:
                         size += 1
                     at = trie[key]
                 ends[at] = i
+        self.sizes = np.fromiter(map(len, self.surface), np.int64, n)
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(self.surface), np.uint8)
         self.byte_weight = -theta * np.log(4 * n)
         self.ends = np.full(size, -1, dtype=np.int32)
         self.ends[list(ends)] = list(ends.values())
@@ -113,21 +117,30 @@ class Pieces:
 
 
 class Lattice:
-    """The lattices of distinct chunks, side by side; nodes are byte positions, edges stand by their start."""
+    """The lattices of distinct chunks, side by side; nodes are byte positions, edges stand by their start.
+
+    ``to``, ``id``, ``log`` (of an edge's chance at its node) and ``upto`` (the
+    chances up to it) are by edge; ``at`` (a node's first edge) and ``count`` by node.
+    """
+
+    FIELDS = ("letters", "first", "last", "at", "count", "to", "id", "log", "upto", "start")
 
     def __init__(self, pieces: Pieces, chunks: list[bytes]) -> None:
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        self.letters = np.frombuffer(b"\0".join(chunks) + b"\0", np.uint8)
-        self.first = np.cumsum(sizes + 1) - sizes - 1
-        self.last = self.first + sizes
+        self.letters = np.frombuffer(b"\0".join(chunks) + b"\0" if chunks else b"", np.uint8)
+        n_nodes = len(self.letters)
+        first = np.cumsum(sizes + 1) - sizes - 1
+        last = first + sizes
+        self.first, self.last = first.astype(np.int32), last.astype(np.int32)
         limit = np.repeat(self.last, sizes + 1)
         inner = (self.letters & 0xC0) != 0x80
-        inner[self.last] = False
-        here = np.flatnonzero(inner)
-        wide = np.where(self.letters < 0x80, 1, np.where(self.letters < 0xE0, 2, np.where(self.letters < 0xF0, 3, 4)))
-        alone = np.zeros(len(limit), dtype=bool)  # characters that are a piece
+        inner[last] = False
+        here = np.flatnonzero(inner).astype(np.int32)
+        wide = np.where(self.letters < 0x80, 1, np.where(self.letters < 0xE0, 2, np.where(self.letters < 0xF0, 3, 4))).astype(np.int32)
+        alone = np.zeros(n_nodes, dtype=bool)  # characters that are a piece
         found: list[tuple[np.ndarray, int, np.ndarray]] = []
         at, nodes, depth = here, np.zeros(len(here), dtype=np.int32), 0
+        n_edges = np.zeros(n_nodes, dtype=np.int32)
         while len(at):
             nodes = pieces.step(nodes, self.letters[at + depth])
             depth += 1
@@ -138,16 +151,17 @@ class Lattice:
             if some.any():
                 start = at[some]
                 found.append((start, depth, ids[some]))
-                alone[start[wide[start] == depth]] = True
+                n_edges[start] += 1
+                if depth <= 4:
+                    alone[start[wide[start] == depth]] = True
             on = at + depth < limit[at]
             at, nodes = at[on], nodes[on]
         lost = here[~alone[here]]
-        n_edges = np.zeros(len(limit) + 1, dtype=np.int64)
-        for start, _, _ in found:
-            n_edges[start] += 1
         n_edges[lost] += 1
-        self.at = np.cumsum(n_edges) - n_edges  # where a node's edges begin
-        self.to, self.id, weight = np.empty(int(n_edges.sum()), np.int64), np.empty(int(n_edges.sum()), np.int32), np.empty(int(n_edges.sum()))
+        total = int(n_edges.sum())
+        self.count = n_edges
+        self.at = np.cumsum(n_edges, dtype=np.int32) - n_edges
+        self.to, self.id, weight = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total)
         fill = self.at + n_edges - 1  # long pieces come first
         for start, length, ids in found:
             slot = fill[start]
@@ -157,34 +171,98 @@ class Lattice:
         self.to[slot], self.id[slot], weight[slot] = lost + wide[lost], -1, wide[lost] * pieces.byte_weight
 
         # The log sum over all paths from a node to its chunk's end, for all nodes of one distance at a time.
-        rest = np.full(len(limit) + 1, -np.inf)
-        rest[self.last] = 0.0
+        rest = np.full(n_nodes, -np.inf)
+        rest[last] = 0.0
         by_size = np.argsort(-sizes, kind="stable")
-        long, ends = -sizes[by_size], self.last[by_size]
+        long, ends = -sizes[by_size], last[by_size]
         for distance in range(1, int(sizes.max(initial=0)) + 1):
             node = ends[: np.searchsorted(long, -distance, "right")] - distance
-            node = node[n_edges[node] > 0]
+            count = n_edges[node]
+            if distance > 1 or not count.all():
+                node = node[count > 0]
+                count = n_edges[node]
             if not len(node):
                 continue
-            count = n_edges[node]
             begin = np.cumsum(count) - count
             edge = np.repeat(self.at[node] - begin, count) + np.arange(int(begin[-1] + count[-1]))
-            value = weight[edge] + rest[self.to[edge]]
-            top = np.maximum.reduceat(value, begin)
-            rest[node] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count)), begin))
-        start = np.repeat(np.arange(len(limit) + 1), n_edges)
-        self.log = weight + rest[self.to] - rest[start]  # log chance of each edge at its node
-        self.chance = np.exp(self.log)
-        total = np.cumsum(self.chance)
-        before = np.where(self.at > 0, total[np.maximum(self.at, 1) - 1], 0.0)
-        self.upto = total - before[start]
+            value = np.exp(weight[edge] + rest[self.to[edge]])  # far from underflow: chunks are words
+            low = np.log(np.add.reduceat(value, begin))
+            deep = np.flatnonzero(~(low > -600))
+            if len(deep):  # very long chunks
+                for i in deep.tolist():
+                    of = edge[begin[i] : begin[i] + count[i]]
+                    low[i] = np.logaddexp.reduce(weight[of] + rest[self.to[of]])
+            rest[node] = low
+        self.start = np.repeat(np.arange(n_nodes, dtype=np.int32), n_edges)
+        self.log = weight + rest[self.to] - rest[self.start]
+        chance = np.exp(self.log)
+        upto = np.cumsum(chance)
+        before = np.append(0.0, upto)[self.at]
+        self.upto = (upto - before[self.start]).astype(np.float32)
         self.upto[(self.at + n_edges - 1)[n_edges > 0]] = 2.0  # the last edge takes what is left
-        self.count = n_edges
+
+    def joined(self, other: "Lattice") -> "Lattice":
+        """Both, the other's chunks after one's own."""
+        out = object.__new__(Lattice)
+        nodes, edges = len(self.letters), len(self.to)
+        shift = {"first": nodes, "last": nodes, "to": nodes, "start": nodes, "at": edges}
+        for f in self.FIELDS:
+            setattr(out, f, np.concatenate([getattr(self, f), getattr(other, f) + np.int32(shift[f]) if f in shift else getattr(other, f)]))
+        return out
+
+
+class Known(dict):
+    """Numbers chunks; of those that occur more than once in a slice, KEEP are kept with their lattices."""
+
+    KEEP = 60_000
+
+    def __init__(self, pieces: Pieces) -> None:
+        super().__init__()
+        self.pieces, self.lattice, self.new = pieces, Lattice(pieces, []), []
+        self.base = 0
+        self.own, self.own_count = np.empty(0, np.int32), np.empty(0, np.int64)  # the tokenizer's own ids of the chunks that are kept
+
+    def __missing__(self, chunk: bytes) -> int:
+        number = self[chunk] = self.base + len(self.new)
+        self.new.append(chunk)
+        return number
+
+    def numbered(self, chunks: list[bytes]) -> tuple[np.ndarray, Lattice, np.ndarray, np.ndarray]:
+        """The chunks' numbers, and by number their lattices, the tokenizer's own ids, and the counts of these.
+
+        No piece holds a space after another character, so no merge crosses
+        from one chunk to the next, and a text's ids are those of its chunks.
+        """
+        numbers = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        base, new = self.base, self.new
+        often = np.bincount(numbers[numbers >= base] - base, minlength=len(new)) > 1
+        often[np.flatnonzero(often)[max(0, self.KEEP - base) :]] = False
+        order = np.argsort(~often, kind="stable")
+        place = np.empty(len(new), dtype=np.int64)
+        place[order] = np.arange(len(new)) + base
+        fresh = numbers >= base
+        numbers[fresh] = place[numbers[fresh] - base]
+        n_kept = int(often.sum())
+        ordered = [new[i] for i in order.tolist()]
+        kept, passing = ([c.replace(b" ", SPACE) for c in x] for x in (ordered[:n_kept], ordered[n_kept:]))
+        if n_kept:
+            self.lattice = self.lattice.joined(Lattice(self.pieces, kept))
+        for i, c in enumerate(ordered[:n_kept]):
+            self[c] = base + i
+        for c in ordered[n_kept:]:
+            del self[c]
+        self.base, self.new = base + n_kept, []
+        found = self.pieces.library.encode([c[1:].decode() for c in ordered]) if ordered else []  # a space is added before each
+        count = np.concatenate([self.own_count, np.fromiter(map(len, found), np.int64, len(found))])
+        own = np.concatenate([self.own, np.fromiter(chain.from_iterable(found), np.int32, int(count[base:].sum()))])
+        self.own_count = count[: self.base].copy()
+        self.own = own[: int(self.own_count.sum())].copy()
+        return numbers, self.lattice.joined(Lattice(self.pieces, passing)) if passing else self.lattice, own, count
 
 
 def uniform(key: np.ndarray, salt: int) -> np.ndarray:
     """Numbers in (0, 1) that depend on key and salt alone."""
-    return ((mix(mix(key, salt), 1) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return ((mix(key, salt) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def walk(lattice: Lattice, nodes: np.ndarray, last: np.ndarray, keys: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,10 +273,9 @@ def walk(lattice: Lattice, nodes: np.ndarray, last: np.ndarray, keys: np.ndarray
     node, key = nodes[on], keys[on]
     while len(on):
         edge = lattice.at[node]
-        single = lattice.count[node] == 1
-        open_ = np.flatnonzero(~single)
+        open_ = np.flatnonzero(lattice.count[node] > 1)
         if len(open_):
-            u, e = uniform(key[open_], salt), edge[open_]
+            u, e = uniform(key[open_], salt).astype(np.float32), edge[open_]
             left = np.flatnonzero(u >= lattice.upto[e])
             while len(left):
                 e[left] += 1
@@ -212,13 +289,20 @@ def walk(lattice: Lattice, nodes: np.ndarray, last: np.ndarray, keys: np.ndarray
         with np.errstate(over="ignore"):
             key = key[more] + np.uint64(0x632BE59BD9B4E019)
     ends = np.cumsum(counts)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
     begin = ends - counts
     for depth, (which, edge) in enumerate(taken):
         out[begin[which] + depth] = edge
     return counts, out
 
 
+def _sums(values: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Sums of runs of so many values."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(per)
+    return total[ends] - total[ends - per]
+
+
 def ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """begin[0], begin[0]+1, .. for count[0] numbers, then begin[1], .."""
     if not len(count):
@@ -230,16 +314,16 @@ def ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 class Sampler:
     """The k-best perturbed paths of the documents of one slice."""
 
-    def __init__(self, pieces: Pieces, texts: list[bytes], keys: np.ndarray, k: int) -> None:
+    def __init__(self, known: Known, texts: list[bytes], keys: np.ndarray, k: int) -> None:
         self.k, self.keys = k, keys
         # A space before the text, as the tokenizer adds one; then maximal runs of spaces with what follows them.
         split = [CHUNK.findall(b" " + x) if x else [] for x in texts]
         per = np.fromiter(map(len, split), np.int64, len(split))
-        flat = list(chain.from_iterable(split))
-        index = {c: i for i, c in enumerate(set(flat))}
-        self.chunk = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-        del split, flat
-        self.lattice = Lattice(pieces, [c.replace(b" ", SPACE) for c in index])
+        self.chunk, self.lattice, own, count = known.numbered(list(chain.from_iterable(split)))
+        del split
+        #: The tokenizer's own ids, text by text, and how many each has.
+        self.own = own[ragged((np.cumsum(count) - count)[self.chunk], count[self.chunk])]
+        self.n_own = _sums(count[self.chunk], per)
         self.doc = np.repeat(np.arange(len(texts)), per)
         self.doc_first = np.cumsum(per) - per  # first chunk of each document
         with np.errstate(over="ignore"):
@@ -312,7 +396,7 @@ class Sampler:
         for j, *prefix in special:
             node = int(lat.to[prefix[-1]]) if prefix else int(lat.first[self.chunk[mine[chunk_first[j] + turn[j]]]])
             free = [e for e in range(int(lat.at[node]), int(lat.at[node] + lat.count[node])) if e not in barred[j]]
-            upto = np.cumsum(lat.chance[free])
+            upto = np.cumsum(np.exp(lat.log[free]))
             begun[j] = [*prefix, free[min(len(free) - 1, int(np.searchsorted(upto, u[j] * upto[-1], "right")))]]
         # The rest of the step's chunk and all later chunks, freely.
         at = chunk_first + turn
@@ -329,7 +413,7 @@ class Sampler:
         shift[at] = lengths
         counts[at] += lengths
         begin = np.cumsum(counts) - counts
-        edges = np.empty(int(counts.sum()), dtype=np.int64)
+        edges = np.empty(int(counts.sum()), dtype=np.int32)
         for chunks, first, pool in source:
             n = counts[chunks] - shift[chunks]
             edges[ragged(begin[chunks] + shift[chunks], n)] = pool[ragged(first, n)]
@@ -356,22 +440,31 @@ class Sampler:
         })
         if not len(edges):
             return
-        doc = np.repeat(np.arange(n), n_edges)
-        nth = np.arange(len(edges)) - begin[doc]
-        mass = 1.0 - lat.chance[edges]  # what the node's other edges have
-        mass[lat.count[self._node_of(edges)] == 1] = 0.0
-        some = n_edges > 0
-        at = (begin + step)[some]
-        for i, d in zip(at.tolist(), np.flatnonzero(some).tolist(), strict=True):
+        # A uniform number has 53 bits, so log(-log(u)) lies within -37 and 4: a region of that much less mass than k others
+        # cannot be among the first k.  Masses never exceed the chance of what comes before, which only falls along a path.
+        prefix = total - log - np.repeat(offset, n_edges)
+        head = np.minimum(n_edges, step + HEAD)
+        sure = np.full(n, -np.inf)
+        sure[n_edges > 0] = self._kth_mass(prefix, edges, begin, step, head, n_edges > 0)
+        kept = np.flatnonzero(prefix >= np.repeat(sure - 42.0, n_edges))
+        doc = np.repeat(np.arange(n), n_edges)[kept]
+        nth = kept - begin[doc]
+        picked, n_kept = edges[kept], np.bincount(doc, minlength=n)
+        some, begin = n_kept > 0, np.cumsum(n_kept) - n_kept
+        mass = self._others(picked)
+        hold = np.flatnonzero(nth == step[doc])
+        for i, d in zip(hold.tolist(), doc[hold].tolist(), strict=True):
             if barred[d]:
-                left = lat.count[self._node_of(edges[i : i + 1])[0]] > len(barred[d]) + 1
-                mass[i] = max(0.0, mass[i] - float(lat.chance[list(barred[d])].sum())) if left else 0.0
+                left = lat.count[lat.start[picked[i]]] > len(barred[d]) + 1
+                mass[i] = max(0.0, mass[i] - float(np.exp(lat.log[list(barred[d])]).sum())) if left else 0.0
         with np.errstate(divide="ignore", over="ignore"):
-            location = total - log - offset[doc] + np.log(mass)
+            location = prefix[kept] + np.log(mass)
             key = mix(self.keys[docs][doc] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 5)
             rank = np.log(-np.log(uniform(key, 500 + s))) - location  # the smaller, the larger the perturbed value
-        rank[nth < step[doc]] = np.inf
-        rank[mass <= 0] = np.inf
+        rank[(nth < step[doc]) | (mass <= 0)] = np.inf
+        edges, n_edges = picked, n_kept
+        if not len(edges):
+            return
         filled, live = np.flatnonzero(some), np.ones(int(some.sum()), dtype=bool)
         for _ in range(self.k):
             best = np.minimum.reduceat(rank, begin[filled])
@@ -395,41 +488,56 @@ class Sampler:
                 edge = int(edges[i])
                 self.barred[row] = [*self.barred[row][:at], (*barred[d], edge) if own == int(step[d]) else (edge,), *self.barred[row][at : k - 1]]
 
-    def _node_of(self, edges: np.ndarray) -> np.ndarray:
-        if not hasattr(self, "_start"):
-            self._start = np.repeat(np.arange(len(self.lattice.count)), self.lattice.count)
-        return self._start[edges]
-
-    def ids(self, pieces: Pieces, s: int) -> list[np.ndarray | None]:
-        """The s-th sample of each document as ids; none where there is no such sample."""
+    def _others(self, edges: np.ndarray) -> np.ndarray:
+        """The chance of the other edges at each edge's node."""
+        lat = self.lattice
+        mass = -np.expm1(lat.log[edges])
+        mass[lat.count[lat.start[edges]] == 1] = 0.0
+        return mass
+
+    def _kth_mass(self, prefix: np.ndarray, edges: np.ndarray, begin: np.ndarray, step: np.ndarray, head: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """A lower bound of the k-th largest log mass of each document's regions, from the first steps of its path; -inf where there are fewer."""
+        first, count = (begin + np.minimum(step, head - 1))[some], (head - np.minimum(step, head - 1))[some]
+        at = ragged(first, count)
+        with np.errstate(divide="ignore"):
+            # The step itself may have more edges barred: it is left out.
+            value = prefix[at] + np.log(self._others(edges[at]))
+        starts = np.cumsum(count) - count
+        value[starts] = -np.inf
+        for _ in range(self.k - 1):
+            best = np.maximum.reduceat(value, starts)
+            value[value == np.repeat(best, count)] = -np.inf
+        return np.maximum.reduceat(value, starts)
+
+    def ids(self, pieces: Pieces, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of the s-th samples, text by text; how many each has, -1 for texts without such a sample)."""
         lat, sample = self.lattice, self.samples[s]
         ids = lat.id[sample["edges"]]
-        count = np.ones(len(ids), dtype=np.int64)
-        lost = np.flatnonzero(ids < 0)
+        counts = np.full(len(self.keys), -1, dtype=np.int64)
         n_edges = sample["n_edges"]
+        lost = np.flatnonzero(ids < 0)
         if len(lost):  # a character without piece: its bytes
-            node = self._node_of(sample["edges"][lost])
-            count[lost] = lat.to[sample["edges"][lost]] - node
-            whole = np.repeat(ids, count)
-            ends = np.cumsum(count)
-            whole[ragged(ends[lost] - count[lost], count[lost])] = pieces.bytes[lat.letters[ragged(node, count[lost])]]
-            ids = whole
-            n_edges = np.add.reduceat(np.append(count, 0), np.minimum(sample["edge_begin"], len(count))) * (n_edges > 0)
-        out: list[np.ndarray | None] = [None] * len(self.keys)
-        ends = np.cumsum(n_edges)
-        for d, a, b in zip(sample["docs"].tolist(), (ends - n_edges).tolist(), ends.tolist(), strict=True):
-            out[d] = ids[a:b]
-        return out
+            node = lat.start[sample["edges"][lost]]
+            wide = np.ones(len(ids), dtype=np.int64)
+            wide[lost] = lat.to[sample["edges"][lost]] - node
+            ends = np.cumsum(wide)
+            whole = np.repeat(ids, wide)
+            whole[ragged(ends[lost] - wide[lost], wide[lost])] = pieces.bytes[lat.letters[ragged(node, wide[lost])]]
+            ids, n_edges = whole, _sums(wide, n_edges)
+        counts[sample["docs"]] = n_edges
+        return ids, counts
 
 
-def row_keys(keys: list, seed: int) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(repr(k).encode(), seed) for k in keys], dtype=np.uint64)
+def decode(pieces: Pieces, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The texts of ids that stand one after another, so many each; the space before every text is taken off."""
+    size = pieces.sizes[ids]
+    raw = pieces.letters[ragged(pieces.places[ids], size)].tobytes()
+    ends = np.cumsum(_sums(size, counts)).tolist()
+    return [(lambda x: x[1:] if x[:1] == b" " else x)(raw[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
-def decode(pieces: Pieces, ids: list[int]) -> bytes:
-    """The text of ids, without the space that stands before every text."""
-    raw = b"".join(map(pieces.surface.__getitem__, ids))
-    return raw[1:] if raw[:1] == b" " else raw
+def row_keys(keys: list, seed: int) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(repr(k).encode(), seed) for k in keys], dtype=np.uint64)
 
 
 def log_inclusion(logp: float, threshold: float) -> float:
@@ -470,33 +578,40 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(proto.value, theta)
+        known = Known(pieces)
         for batch in slices(batches, "text", SLICE):
-            texts = batch.column("text").to_pylist()
-            raw = [t.encode() for t in texts]
-            ids = pieces.library.encode(texts)
-            back = pieces.library.decode(ids)
-            keys = batch.column("id").to_pylist()
-            sampler = Sampler(pieces, raw, row_keys(keys, seed), k)
+            raw = raw_texts(batch, "text")
+            sampler = Sampler(known, raw, row_keys(batch.column("id").to_pylist(), seed), k)
             rows: list[dict[str, list]] = [{"n": [], "sha": [], "logp": [], "in": [], "ids": []} for _ in raw]
+
+            def cut(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+                ends = np.cumsum(counts).tolist()
+                return [ids[b - n : b] for b, n in zip(ends, counts.tolist(), strict=True)]
+
+            def sha(ids: np.ndarray) -> str:
+                return hashlib.sha256(ids.astype("<i4", copy=False)).hexdigest()
+
+            ids = cut(sampler.own, sampler.n_own)
+            decodes = [a == b for a, b in zip(decode(pieces, sampler.own, sampler.n_own), raw, strict=True)]
             good = [True] * len(raw)
-            for s in range(len(sampler.samples)):
-                sample = sampler.samples[s]
-                for d, x in enumerate(sampler.ids(pieces, s)):
-                    if x is None:
-                        continue
-                    rows[d]["n"].append(len(x))
-                    rows[d]["sha"].append(hashlib.sha256(x.astype("<i4").tobytes()).hexdigest())
+            for s, sample in enumerate(sampler.samples):
+                flat, counts = sampler.ids(pieces, s)
+                held = np.flatnonzero(counts >= 0).tolist()
+                counts = counts[held]
+                for d, x, back in zip(held, cut(flat, counts), decode(pieces, flat, counts), strict=True):
                     logp = float(sample["logp"][sample["slot"][d]])
+                    rows[d]["n"].append(len(x))
+                    rows[d]["sha"].append(sha(x))
                     rows[d]["logp"].append(logp)
                     rows[d]["in"].append(log_inclusion(logp, float(sampler.threshold[d])))
-                    good[d] = good[d] and decode(pieces, x.tolist()) == raw[d]
+                    good[d] = good[d] and back == raw[d]
                     if with_ids:
                         rows[d]["ids"].append(x.tolist())
             columns = [
                 batch.column("id"),
-                pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(np.array(x, dtype="<i4").tobytes()).hexdigest() for x in ids]),
-                pa.array([a == b for a, b in zip(texts, back, strict=True)]),
+                pa.array(sampler.n_own, pa.int64()),
+                pa.array([sha(x) for x in ids]),
+                pa.array(decodes),
                 pa.array([r["n"] for r in rows], pa.list_(pa.int64())),
                 pa.array([r["sha"] for r in rows], pa.list_(pa.string())),
                 pa.array([r["logp"] for r in rows], pa.list_(pa.float64())),
@@ -505,7 +620,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
             ]
             names = ["id", "n_ids", "ids_sha256", "decodes", "sample_n_ids", "sample_sha256", "sample_logp", "sample_log_inclusion", "samples_decode"]
             if with_ids:
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array([r["ids"] for r in rows], pa.list_(pa.list_(pa.int32())))]
+                columns += [pa.array([x.tolist() for x in ids], pa.list_(pa.int32())), pa.array([r["ids"] for r in rows], pa.list_(pa.list_(pa.int32())))]
                 names += ["ids", "sample_ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
