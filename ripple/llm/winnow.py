@@ -58,12 +58,13 @@ def _fitting(side: DataFrame) -> DataFrame:
 
 def item_windows(items: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFrame:
     """The distinct windows of all items: (length, print, window, items).  Items without key or words have none."""
-    w = items.select(F.col(key).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.col("item").isNotNull() & (F.size("w") > 0))
+    # Written, as the optimizer would copy the splitting into every filter on its result.
+    w = items.select(F.col(key).cast("string").alias("item"), words(F.col(text)).alias("w"))
+    w = written(w, "items").where(F.col("item").isNotNull() & (F.size("w") > 0))
     parts = []
     for length in range(1, window + 1):
-        of = w.where(F.size("w") >= window if length == window else F.size("w") == length).withColumn("h", run_hashes(F.col("w"), length))
-        of = of.withColumn("m", smallest(F.col("h"), length))
-        at = of.select("item", "w", F.posexplode("m").alias("s", "print"))
+        of = w.where(F.size("w") >= window if length == window else F.size("w") == length)
+        at = of.withColumn("h", run_hashes(F.col("w"), length)).select("item", "w", F.posexplode(smallest(F.col("h"), length)).alias("s", "print"))
         parts.append(at.select("item", F.lit(length).alias("length"), "print", F.array_join(F.slice("w", F.col("s") + 1, length), " ").alias("window")))
     every = parts[0]
     for x in parts[1:]:
