@@ -148,8 +148,8 @@ SHAPES: dict[str, tuple[str, str]] = {
         "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey",
     ),
     "left_join": (
-        "select c.c_custkey, o.o_orderkey from {{ source('shop', 'customer') }} c left join {{ source('shop', 'orders') }} o on o.o_custkey = c.c_custkey and o.o_orderstatus = 'P'",
-        "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P'",
+        "select c.c_custkey, coalesce(o.o_orderkey, -1) as order_key from {{ source('shop', 'customer') }} c left join {{ source('shop', 'orders') }} o on o.o_custkey = c.c_custkey and o.o_orderstatus = 'P'",
+        "SELECT c.c_custkey, coalesce(o.o_orderkey, -1) AS order_key FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P'",
     ),
     "cross_join": ("select n.n_name, r.r_name from {{ source('shop', 'nation') }} n, {{ source('shop', 'region') }} r", "SELECT n.n_name, r.r_name FROM nation n, region r"),
     "union_all": (

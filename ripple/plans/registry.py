@@ -1,14 +1,651 @@
-"""Registered queries of the model-project engine and their SQL counterparts."""
+"""Registered queries of the model-project engine and their SQL counterparts.
+
+Four kinds: models that are run over the tables; contracts of the real tables;
+graphs whose edges come from the data; and the bundled project, whose expected
+rows are written by hand from its SQL.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ripple.functions import evidence as E
+from ripple.functions import text as T
+from ripple.operators import contracts as C
+from ripple.operators import coverage as V
+from ripple.operators import graph as G
+from ripple.operators import impact as I
+from ripple.operators import rules as R
+from ripple.plans import bundled, report
+from ripple.plans.analysis import Analysis, analyse
+from ripple.plans.catalyst import FrontEnd
+from ripple.sources import manifest
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def register(name: str, sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_analysed: dict[str, tuple[str, Analysis, Analysis]] = {}
+
+
+def sides(spark: SparkSession) -> tuple[Analysis, Analysis]:
+    """Both sides of the bundled project, analysed once a session."""
+    app = spark.sparkContext.applicationId
+    if app not in _analysed:
+        front = FrontEnd(spark, "duckdb")
+        base, head = (analyse(spark, manifest.from_text(spark, bundled.manifest(s), s), None, front) for s in ("base", "head"))
+        _analysed.clear()
+        _analysed[app] = (app, base, head)
+    return _analysed[app][1:]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The findings of the bundled change, with the rows of the tables that its models read."""
+    base, head = sides(spark)
+    rows = _table(spark, sf_dir, "orders").agg(F.count("*").alias("orders"))
+    return R.ordered(R.findings(base, head)).crossJoin(F.broadcast(rows))
+
+
+def values(rows: Iterable[tuple], names: str) -> str:
+    """Rows as SQL VALUES with column names; lists become lists."""
+
+    def cell(x: object) -> str:
+        if x is None:
+            return "NULL"
+        if isinstance(x, bool):
+            return str(x).upper()
+        if isinstance(x, (int, float)):
+            return str(x)
+        if isinstance(x, (list, tuple)):
+            return "[" + ", ".join(map(cell, x)) + "]" + ("::VARCHAR[]" if not x else "")
+        return "'" + str(x).replace("'", "''") + "'"
+
+    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS t({names})"
+
+
+# ------------------------------------------------------------ models that are run
+
+for _name, (_template, _sql) in bundled.SHAPES.items():
+    register(f"model_{_name}", _sql)(lambda spark, sf_dir, name=_name: bundled.run_shape(spark, sf_dir, name))
+
+
+# ------------------------------------------------------------------ text functions
+
+_SLUG = "regexp_replace({}, '[^0-9a-zA-Z_]', '_', 'g')"
+_HTML = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@register("relation_key", f"SELECT doc_id, concat_ws('_', 'rk', 'source', {_SLUG.format('source')}, nullif({_SLUG.format('left(text, 40)')}, '')) AS relation_key FROM documents")
+def relation_key(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.relation_key(F.lit("source"), F.col("source"), F.substring("text", 1, 40)).alias("relation_key"))
+
+
+@register("html_neutralise", f"SELECT page_id, {_HTML.format('html')} AS inert FROM pages")
+def html_neutralise(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", T.neutral_html(F.col("html")).alias("inert"))
+
+
+_ESCAPED = "replace(regexp_replace(" + _HTML.format("coalesce({}, '')") + r", '([\\`*_{{}}\[\]()#+\-.!|~])', '\\\1', 'g'), '@', '&#64;')"
+
+
+@register("markdown_escape", "SELECT doc_id, CASE WHEN length(e) > 120 THEN left(e, 120) || '…' ELSE e END AS escaped FROM (SELECT doc_id, " + _ESCAPED.format("text") + " AS e FROM documents)")
+def markdown_escape(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.markdown_escape(F.col("text")).alias("escaped"))
+
+
+@register(
+    "markdown_code",
+    "SELECT conv_id, turn, CASE WHEN coalesce(text, '') = '' THEN '' ELSE '`' || left(replace(" + _HTML.format("replace(text, '`', '')") + ", '@', '&#64;'), 120) || '`' END AS code FROM conversations",
+)
+def markdown_code(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.markdown_code(F.col("text")).alias("code"))
+
+
+@register("short_ref", "SELECT page_id, CASE WHEN len(p) > 2 THEN p[len(p) - 1] || '.' || p[len(p)] ELSE url END AS ref FROM (SELECT page_id, url, string_split(url, '.') AS p FROM pages)")
+def short_ref(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", T.short_ref(F.col("url")).alias("ref"))
+
+
+@register("column_of", "SELECT page_id, string_split(url, '.')[-1] AS col FROM pages")
+def column_of(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", T.column_of(F.col("url")).alias("col"))
+
+
+@register("schema_version_extract", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN -1 ELSE CAST(page_id % 40 AS INT) END AS version FROM pages")
+def schema_version_extract(spark, sf_dir):
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://x/manifest/"), "url")).otherwise(F.concat(F.lit("https://x/manifest/v"), (F.col("page_id") % 40).cast("string"), F.lit(".json")))
+    return _table(spark, sf_dir, "pages").select("page_id", F.coalesce(T.schema_version(url), F.lit(-1)).alias("version"))
+
+
+_MACROS = [("a", "{% macro a() %}x{% endmacro %}"), ("b", "  \n{%- macro b(x) -%}{% endmacro %}"), ("c", "{% test c(m) %}{% endtest %}"), ("d", "select 1"), ("e", "{% macrox %}"), ("f", None)]
+
+
+@register("plain_macro_filter", "SELECT name FROM " + values(_MACROS, "name, sql") + r" WHERE regexp_matches(ltrim(sql, chr(32)), '^\s*\{%[-+]?\s*macro\b') AND NOT regexp_matches(sql, '^\n')")
+def plain_macro_filter(spark, sf_dir):
+    return spark.createDataFrame(_MACROS, "name string, sql string").where(T.plain_macro(F.ltrim(F.regexp_replace("sql", r"^\s+", "")))).select("name")
+
+
+# -------------------------------------------------------------------- evidence
+
+_EVIDENCE = [(r, c, h) for r in E.RESOLUTIONS for c in (True, False) for h in (True, False)]
+
+
+@register(
+    "confidence_for",
+    "SELECT resolution, compiled, heuristic, least(CASE resolution WHEN 'exact' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END, CASE WHEN compiled THEN 2 ELSE 1 END, CASE WHEN heuristic THEN 1 ELSE 2 END) AS confidence FROM "
+    + values(_EVIDENCE, "resolution, compiled, heuristic"),
+)
+def confidence_for(spark, sf_dir):
+    df = spark.createDataFrame(_EVIDENCE, "resolution string, compiled boolean, heuristic boolean")
+    return df.select("*", E.confidence_for(F.col("resolution"), F.col("compiled"), F.col("heuristic")).alias("confidence"))
+
+
+@register("severity_rank", "SELECT * FROM " + values([(s, i) for i, s in enumerate(E.SEVERITIES)], "severity, rank"))
+def severity_rank(spark, sf_dir):
+    return spark.createDataFrame([(s,) for s in E.SEVERITIES], "severity string").select("severity", E.severity_rank(F.col("severity")).alias("rank"))
+
+
+@register("confidence_weakest", "SELECT o_custkey, CAST(min(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END) AS INT) AS confidence FROM orders GROUP BY o_custkey")
+def confidence_weakest(spark, sf_dir):
+    code = F.when(F.col("o_orderstatus") == "F", E.CONFIRMED).when(F.col("o_orderstatus") == "O", E.LIKELY).otherwise(E.UNKNOWN)
+    return _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(E.weakest_confidence(code).cast("int").alias("confidence"))
+
+
+@register(
+    "resolution_weakest",
+    "SELECT o_custkey, CASE min(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END) WHEN 2 THEN 'exact' WHEN 1 THEN 'partial' ELSE 'unknown' END AS resolution FROM orders GROUP BY o_custkey",
+)
+def resolution_weakest(spark, sf_dir):
+    name = F.when(F.col("o_orderstatus") == "F", "exact").when(F.col("o_orderstatus") == "O", "partial").otherwise("unknown")
+    return _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(E.weakest_resolution(name).alias("resolution"))
+
+
+@register("worst_severity", "SELECT o_custkey, CASE max(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END) WHEN 1 THEN 'safe' WHEN 2 THEN 'possibly_breaking' ELSE 'breaking' END AS severity FROM orders GROUP BY o_custkey")
+def worst_severity(spark, sf_dir):
+    name = F.when(F.col("o_orderstatus") == "F", "safe").when(F.col("o_orderstatus") == "O", "possibly_breaking").otherwise("breaking")
+    return _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(E.worst_severity(name).alias("severity"))
+
+
+# ----------------------------------------------------- contracts of the real tables
+
+_TABLES = tuple(bundled.SOURCES)
+#: What another side of the tables' contracts would be: lineitem loses and gains columns, part is gone, depot is new.
+_HEAD = {
+    **{t: c for t, c in bundled.SOURCES.items() if t != "part"},
+    "lineitem": [c for c in bundled.SOURCES["lineitem"] if c not in ("l_tax", "l_linestatus")] + ["l_comment", "L_SHIPMODE"],
+    "depot": ["d_depotkey"],
+}
+_REAL = f"real AS (SELECT table_name AS node_id, CAST(ordinal_position AS INT) - 1 AS ordinal, column_name AS col FROM information_schema.columns WHERE table_name IN ({', '.join(repr(t) for t in _TABLES)}))"
+_HEAD_SQL = "head AS (SELECT * FROM " + values([(t, i, c) for t, cs in _HEAD.items() for i, c in enumerate(cs)], "node_id, ordinal, col") + ")"
+
+
+def _real_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("base", t, i, c) for t in _TABLES for i, c in enumerate(_table(spark, sf_dir, t).columns)]
+    return spark.createDataFrame(rows, "side string, node_id string, ordinal int, column string")
+
+
+def _head_contracts(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("head", t, i, c) for t, cs in _HEAD.items() for i, c in enumerate(cs)], "side string, node_id string, ordinal int, column string")
+
+
+def _as_nodes(contracts: DataFrame) -> DataFrame:
+    return contracts.select("side", F.col("node_id").alias("unique_id"), F.col("node_id").alias("name"), F.lit("model").alias("resource_type")).distinct()
+
+
+def _as_states(contracts: DataFrame) -> DataFrame:
+    return contracts.select("node_id", F.lit("exact").alias("resolution"), F.lit("").alias("reason")).distinct()
+
+
+def _common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, head = _real_contracts(spark, sf_dir), _head_contracts(spark)
+    return C.models_common(_as_nodes(base), _as_nodes(head), _as_states(base), _as_states(head))
+
+
+@register("columns_removed", f"WITH {_REAL}, {_HEAD_SQL} SELECT node_id, col AS column_name FROM real WHERE node_id IN (SELECT node_id FROM head) AND (node_id, lower(col)) NOT IN (SELECT node_id, lower(col) FROM head)")
+def columns_removed(spark, sf_dir):
+    return C.columns_removed(_common(spark, sf_dir), _real_contracts(spark, sf_dir), _head_contracts(spark)).select("node_id", F.col("column").alias("column_name"))
+
+
+@register("columns_added", f"WITH {_REAL}, {_HEAD_SQL} SELECT node_id, col AS column_name FROM head WHERE node_id IN (SELECT node_id FROM real) AND (node_id, lower(col)) NOT IN (SELECT node_id, lower(col) FROM real)")
+def columns_added(spark, sf_dir):
+    return C.columns_added(_common(spark, sf_dir), _real_contracts(spark, sf_dir), _head_contracts(spark)).select("node_id", F.col("column").alias("column_name"))
+
+
+@register("models_removed", f"WITH {_REAL}, {_HEAD_SQL} SELECT DISTINCT node_id AS name FROM real WHERE node_id NOT IN (SELECT node_id FROM head)")
+def models_removed(spark, sf_dir):
+    return C.models_removed(_as_nodes(_real_contracts(spark, sf_dir)), _as_nodes(_head_contracts(spark))).select("name")
+
+
+@register("models_added", f"WITH {_REAL}, {_HEAD_SQL} SELECT DISTINCT node_id AS name FROM head WHERE node_id NOT IN (SELECT node_id FROM real)")
+def models_added(spark, sf_dir):
+    return C.models_added(_as_nodes(_real_contracts(spark, sf_dir)), _as_nodes(_head_contracts(spark))).select("name")
+
+
+@register("models_common", f"WITH {_REAL}, {_HEAD_SQL} SELECT DISTINCT node_id AS name FROM head WHERE node_id IN (SELECT node_id FROM real)")
+def models_common(spark, sf_dir):
+    return _common(spark, sf_dir).select("name")
+
+
+@register(
+    "doc_drift",
+    f"WITH {_REAL}, {_HEAD_SQL}, r AS (SELECT node_id, list(col ORDER BY ordinal) AS c FROM real GROUP BY node_id), h AS (SELECT node_id, list(col ORDER BY ordinal) AS c FROM head GROUP BY node_id) "
+    "SELECT r.node_id, array_to_string(CASE WHEN h.c IS NULL THEN [] ELSE list_filter(r.c, lambda x: NOT list_contains(h.c, x)) END, ',') AS undocumented, "
+    "array_to_string(CASE WHEN h.c IS NULL THEN [] ELSE list_filter(h.c, lambda x: NOT list_contains(r.c, x)) END, ',') AS absent FROM r LEFT JOIN h USING (node_id)",
+)
+def doc_drift(spark, sf_dir):
+    def listed(df):
+        return df.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "column"))), lambda x: x["column"]).alias("columns"))
+
+    return C.doc_drift(listed(_head_contracts(spark)), listed(_real_contracts(spark, sf_dir))).select("node_id", F.array_join("undocumented", ",").alias("undocumented"), F.array_join("absent", ",").alias("absent"))
+
+
+@register("csv_header", f"WITH {_REAL} SELECT ordinal, col AS column_name FROM real WHERE node_id = 'nation'")
+def csv_header(spark, sf_dir):
+    """The header of a seed that holds a real table's columns, read as a project's seed is."""
+    import tempfile
+    from pathlib import Path
+
+    from ripple.sources.project import seed_header
+
+    with tempfile.TemporaryDirectory() as root:
+        (Path(root) / "seeds").mkdir()
+        (Path(root) / "seeds/nation.csv").write_text(", ".join(f'"{c}"' if i else c for i, c in enumerate(_table(spark, sf_dir, "nation").columns)) + "\n1,x,2\n")
+        found = seed_header(Path(root), "seeds/nation.csv")
+    return spark.createDataFrame([(i, c.strip('"').strip()) for i, c in enumerate(c.replace('"', "") for c in found)], "ordinal int, column_name string")
+
+
+# ------------------------------------------------------------- graphs from the data
+
+_EDGES_SQL = """edges AS (
+  SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer
+  UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
+  UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+  UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders WHERE o_orderkey % 10 = 0)"""
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which row depends on which: orders on customers, these and suppliers on nations, nations on regions."""
+
+    def pair(table: str, a: str, child: str, b: str, parent: str) -> DataFrame:
+        return _table(spark, sf_dir, table).select(F.concat(F.lit(a), F.col(child).cast("string")).alias("child"), F.concat(F.lit(b), F.col(parent).cast("string")).alias("parent"))
+
+    tenth = _table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("child"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("parent"))
+    return pair("customer", "c", "c_custkey", "n", "c_nationkey").union(pair("supplier", "s", "s_suppkey", "n", "s_nationkey")).union(pair("nation", "n", "n_nationkey", "r", "n_regionkey")).union(tenth).distinct()
+
+
+@register(
+    "topo_levels",
+    f"WITH RECURSIVE {_EDGES_SQL}, walk(node, level) AS (SELECT DISTINCT parent, 0 FROM edges WHERE parent NOT IN (SELECT child FROM edges) UNION SELECT e.child, w.level + 1 FROM walk w JOIN edges e ON e.parent = w.node) SELECT node, CAST(max(level) AS INT) AS level FROM walk GROUP BY node",
+)
+def topo_levels(spark, sf_dir):
+    return G.topo_levels(_edges(spark, sf_dir))
+
+
+@register("reverse_edges", f"WITH {_EDGES_SQL} SELECT node, coalesce(string_agg(child, ',' ORDER BY child), '') AS children FROM (SELECT child AS node FROM edges UNION SELECT parent FROM edges) n LEFT JOIN edges e ON e.parent = n.node GROUP BY node")
+def reverse_edges(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent"))
+    return G.reverse_edges(edges, nodes).select("node", F.array_join("children", ",").alias("children"))
+
+
+@register("descendants", f"WITH RECURSIVE {_EDGES_SQL}, walk(node) AS (SELECT 'r1' UNION SELECT 'n3' UNION SELECT e.child FROM walk w JOIN edges e ON e.parent = w.node) SELECT node FROM walk WHERE node NOT IN ('r1', 'n3')")
+def descendants(spark, sf_dir):
+    return G.descendants(_edges(spark, sf_dir), spark.createDataFrame([("r1",), ("n3",), ("none",)], "seed string"))
+
+
+@register(
+    "cycle_nodes",
+    "WITH RECURSIVE edges AS (SELECT 'n' || n_nationkey AS child, 'n' || ((n_nationkey + 5) % 20) AS parent FROM nation UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier), "
+    "walk(seed, node) AS (SELECT parent, child FROM edges UNION SELECT w.seed, e.child FROM walk w JOIN edges e ON e.parent = w.node) SELECT DISTINCT node FROM walk WHERE seed = node",
+)
+def cycle_nodes(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("child"), F.concat(F.lit("n"), ((F.col("n_nationkey") + 5) % 20).cast("string")).alias("parent"))
+    s = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("child"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("parent"))
+    return G.cycle_nodes(n.union(s))
+
+
+@register("dependency_edges", f"WITH {_EDGES_SQL} SELECT child, parent FROM edges WHERE parent IN (SELECT child FROM edges)")
+def dependency_edges(spark, sf_dir):
+    """Dependencies on rows that have dependencies themselves; the regions are dangling."""
+    nodes = _edges(spark, sf_dir).groupBy(F.lit("base").alias("side"), F.col("child").alias("unique_id")).agg(F.collect_list("parent").alias("depends_on"))
+    return C.dependency_edges(nodes).select("child", "parent")
+
+
+_COLUMN_EDGES_SQL = """e AS (
+  SELECT 'o' || o_orderkey AS down_node, lower(o_orderstatus) AS down_col, 'c' || o_custkey AS up_node, 'k' || (o_orderkey % 3) AS up_col,
+         CASE o_orderkey % 4 WHEN 0 THEN 'direct' WHEN 1 THEN 'expression' WHEN 2 THEN 'aggregate' ELSE 'star_expanded' END AS kind, CAST(o_orderkey % 3 AS INT) AS confidence FROM orders)"""
+
+
+def _column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    kind = F.when(k % 4 == 0, "direct").when(k % 4 == 1, "expression").when(k % 4 == 2, "aggregate").otherwise("star_expanded")
+    return _table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("o"), k.cast("string")).alias("down_node"), F.lower("o_orderstatus").alias("down_col"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("up_node"),
+        F.concat(F.lit("k"), (k % 3).cast("string")).alias("up_col"), kind.alias("kind"), (k % 3).cast("int").alias("confidence"),
+    )
+
+
+@register(
+    "edge_dedupe",
+    f"WITH {_COLUMN_EDGES_SQL}, d AS (SELECT up_node AS down_node, down_col, 'x' AS up_node, up_col, kind, confidence FROM e) SELECT down_node, down_col, up_node, up_col, kind, confidence FROM (SELECT *, row_number() OVER (PARTITION BY down_node, down_col, up_node, up_col ORDER BY confidence DESC, kind) AS nth FROM d) WHERE nth = 1",
+)
+def edge_dedupe(spark, sf_dir):
+    edges = _column_edges(spark, sf_dir).select(F.col("up_node").alias("down_node"), "down_col", F.lit("x").alias("up_node"), "up_col", "kind", "confidence")
+    return C.edge_dedupe(edges)
+
+
+@register("edge_stats", f"WITH {_COLUMN_EDGES_SQL} SELECT CASE confidence WHEN 2 THEN 'confirmed' WHEN 1 THEN 'likely' ELSE 'unknown' END AS confidence, count(*) AS edges FROM e GROUP BY 1")
+def edge_stats(spark, sf_dir):
+    return V.edge_stats(_column_edges(spark, sf_dir))
+
+
+@register("edges_upstream_of", f"WITH {_COLUMN_EDGES_SQL} SELECT * FROM e WHERE down_node = 'o7' AND down_col = (SELECT lower(o_orderstatus) FROM orders WHERE o_orderkey = 7)")
+def edges_upstream_of(spark, sf_dir):
+    edges = _column_edges(spark, sf_dir)
+    status = _table(spark, sf_dir, "orders").where("o_orderkey = 7").select(F.lower("o_orderstatus")).first()
+    return C.edges_upstream_of(edges, "o7", status[0] if status else "")
+
+
+@register("edges_downstream_of", f"WITH {_COLUMN_EDGES_SQL} SELECT * FROM e WHERE up_node = 'c7' AND up_col = 'k1'")
+def edges_downstream_of(spark, sf_dir):
+    return C.edges_downstream_of(_column_edges(spark, sf_dir), "c7", "k1")
+
+
+@register("dependents_of", f"WITH {_COLUMN_EDGES_SQL} SELECT DISTINCT down_node AS node FROM e WHERE up_node = 'c7' AND up_col IN ('k1')")
+def dependents_of(spark, sf_dir):
+    edges = _column_edges(spark, sf_dir)
+    return C.dependents_of(edges.where("kind = 'direct'"), edges.where("kind <> 'direct'"), "c7", "k1")
+
+
+@register("uses_only_star", f"WITH {_COLUMN_EDGES_SQL}, s AS (SELECT 'c' || c_custkey AS node_id, 'k1' AS col FROM customer) SELECT s.node_id, coalesce(bool_and(kind = 'star_expanded'), FALSE) AS star_only FROM s LEFT JOIN e ON e.up_node = s.node_id AND e.up_col = s.col GROUP BY s.node_id")
+def uses_only_star(spark, sf_dir):
+    seeds = _table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node_id"), F.lit("k1").alias("column"))
+    return I.uses_only_star(_column_edges(spark, sf_dir), seeds).select("node_id", "star_only")
+
+
+@register(
+    "data_blast_radius",
+    "WITH RECURSIVE " + _EDGES_SQL + ", seeds AS (SELECT 'r' || r_regionkey AS seed FROM region), walk(seed, node) AS (SELECT s.seed, e.child FROM seeds s JOIN edges e ON e.parent = s.seed UNION SELECT w.seed, e.child FROM walk w JOIN edges e ON e.parent = w.node) "
+    "SELECT s.seed AS node_id, count(w.node) AS n_columns, CAST(coalesce(min(CASE WHEN left(w.node, 1) = 'o' THEN 1 WHEN w.node IS NULL THEN 0 ELSE 2 END), 0) AS INT) AS confidence FROM seeds s LEFT JOIN walk w ON w.seed = s.seed GROUP BY s.seed",
+)
+def data_blast_radius(spark, sf_dir):
+    """What each region reaches through the tables' keys, with the least confidence on the way: an order's edge is likely, others are confirmed."""
+    edges = _edges(spark, sf_dir).select(F.col("child").alias("down_node"), F.lit("k").alias("down_col"), F.col("parent").alias("up_node"), F.lit("k").alias("up_col"), F.lit("direct").alias("kind"), F.when(F.col("child").startswith("o"), 1).otherwise(2).alias("confidence"))
+    seeds = _table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node_id"), F.lit("k").alias("column"))
+    base, _ = sides(spark)
+    found = I.blast_radius(seeds, edges, base.required.limit(0), base.snapshot.tests.limit(0), base.snapshot.exposures.limit(0))
+    return found.select("node_id", F.size("columns").cast("long").alias("n_columns"), "confidence")
+
+
+@register(
+    "project_rollup",
+    "WITH p AS (SELECT source, lang, count(*) AS n, count(*) FILTER (WHERE n_chars > 1000) AS good FROM documents GROUP BY source, lang) SELECT lang AS kind, CAST(sum(n) AS BIGINT) AS models, round(100.0 * sum(good) / sum(n), 6) AS weighted_pct, round(avg(100.0 * good / n), 6) AS mean_pct FROM p GROUP BY lang",
+)
+def project_rollup(spark, sf_dir):
+    """Shares by kind, weighted by models and as the mean of projects: documents as models, sources as projects."""
+    found = V.summarise(_table(spark, sf_dir, "documents"), "source", "lang", F.col("n_chars") > 1000)
+    return found.select(F.col("lang").alias("kind"), "models", F.round("weighted_pct", 6).alias("weighted_pct"), F.round("mean_pct", 6).alias("mean_pct"))
+
+
+# ------------------------------------------------- findings made from the data's rows
+
+_FINDINGS_SQL = """f AS (
+  SELECT 'R' || lpad(CAST(o_orderkey % 3 AS VARCHAR), 3, '0') AS rule, CASE o_orderstatus WHEN 'F' THEN 'safe' WHEN 'O' THEN 'possibly_breaking' ELSE 'breaking' END AS severity,
+         CAST(o_orderkey % 3 AS INT) AS confidence, 'm' || o_custkey AS node_name, CASE WHEN o_orderkey % 2 = 0 THEN 'c' || o_orderkey END AS col FROM orders)"""
+_RANK = "CASE severity WHEN 'info' THEN 0 WHEN 'safe' THEN 1 WHEN 'possibly_breaking' THEN 2 ELSE 3 END"
+_BY = f"{_RANK} DESC, confidence DESC, rule, node_name, coalesce(col, '')"
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    severity = F.when(F.col("o_orderstatus") == "F", "safe").when(F.col("o_orderstatus") == "O", "possibly_breaking").otherwise("breaking")
+    return _table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("R"), F.lpad((k % 3).cast("string"), 3, "0")).alias("rule"), severity.alias("severity"), (k % 3).cast("int").alias("confidence"),
+        F.concat(F.lit("m"), F.col("o_custkey").cast("string")).alias("node_name"), F.when(k % 2 == 0, F.concat(F.lit("c"), k.cast("string"))).alias("column"),
+    )
+
+
+@register("failing_findings", f"WITH {_FINDINGS_SQL} SELECT rule, severity, confidence, node_name, col FROM f WHERE {_RANK} >= 2")
+def failing_findings(spark, sf_dir):
+    return R.failing(_findings(spark, sf_dir), "possibly-breaking").withColumnRenamed("column", "col")
+
+
+@register("findings_by_severity", f"WITH {_FINDINGS_SQL} SELECT severity, count(*) AS n FROM f GROUP BY severity")
+def findings_by_severity(spark, sf_dir):
+    return _findings(spark, sf_dir).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+@register("findings_ordered", f"WITH {_FINDINGS_SQL} SELECT rule, severity, confidence, node_name, col FROM f ORDER BY {_BY}")
+def findings_ordered(spark, sf_dir):
+    return R.ordered(_findings(spark, sf_dir)).withColumnRenamed("column", "col")
+
+
+@register("top_k_findings", f"WITH {_FINDINGS_SQL} SELECT rule, severity, confidence, node_name, col FROM f ORDER BY {_BY} LIMIT 50")
+def top_k_findings(spark, sf_dir):
+    """The report's limit of 50."""
+    return R.top_k(_findings(spark, sf_dir), 50).withColumnRenamed("column", "col")
+
+
+@register("impact_summary", "SELECT i, CASE WHEN c + q + t + x = 0 THEN 'nothing' ELSE concat_ws(', ', CASE c WHEN 0 THEN NULL WHEN 1 THEN '1 downstream column' ELSE c || ' downstream columns' END, CASE q WHEN 0 THEN NULL WHEN 1 THEN '1 query' ELSE q || ' queries' END, CASE t WHEN 0 THEN NULL WHEN 1 THEN '1 test' ELSE t || ' tests' END, CASE x WHEN 0 THEN NULL WHEN 1 THEN '1 exposure' ELSE x || ' exposures' END) END AS summary FROM (SELECT n_nationkey AS i, n_nationkey % 3 AS c, n_nationkey // 3 % 3 AS q, n_nationkey // 9 % 2 AS t, n_nationkey // 18 % 2 AS x FROM nation)")
+def impact_summary(spark, sf_dir):
+    i = F.col("n_nationkey")
+    made = {"columns": i % 3, "query_breaks": F.floor(i / 3) % 3, "tests": F.floor(i / 9) % 2, "exposures": F.floor(i / 18) % 2}
+    rows = _table(spark, sf_dir, "nation").select(i.alias("i"), *[F.array_repeat(F.lit("x"), n.cast("int")).alias(c) for c, n in made.items()])
+    return rows.select("i", I.impact_summary().alias("summary"))
+
+
+_STATES_SQL = "s AS (SELECT 'd' || doc_id AS name, CASE lang WHEN 'en' THEN 'exact' WHEN 'fr' THEN 'partial' ELSE 'unknown' END AS resolution, CASE lang WHEN 'en' THEN '' WHEN 'fr' THEN 'surviving_star' WHEN 'de' THEN 'no_sql' ELSE 'upstream_unknown' END AS reason FROM documents)"
+
+
+def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lang, id_ = F.col("lang"), F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    docs = _table(spark, sf_dir, "documents")
+    nodes = docs.select(id_.alias("unique_id"), id_.alias("name"), F.lit("model").alias("resource_type"))
+    resolution = F.when(lang == "en", "exact").when(lang == "fr", "partial").otherwise("unknown")
+    reason = F.when(lang == "en", "").when(lang == "fr", "surviving_star").when(lang == "de", "no_sql").otherwise("upstream_unknown")
+    return nodes, docs.select(id_.alias("node_id"), resolution.alias("resolution"), reason.alias("reason"))
+
+
+@register("coverage_counts", f"WITH {_STATES_SQL} SELECT count(*) AS total_models, count(*) FILTER (WHERE resolution = 'exact') AS exact, count(*) FILTER (WHERE resolution = 'partial') AS partial, count(*) FILTER (WHERE resolution = 'unknown') AS unknown FROM s")
+def coverage_counts(spark, sf_dir):
+    return V.coverage(*_states(spark, sf_dir)).select("total_models", "exact", "partial", "unknown")
+
+
+@register("coverage_pct", f"WITH {_STATES_SQL} SELECT round_even(100.0 * count(*) FILTER (WHERE resolution <> 'unknown') / count(*), 1) AS analysed_pct FROM s")
+def coverage_pct(spark, sf_dir):
+    return V.coverage(*_states(spark, sf_dir)).select(F.col("analysed_pct").cast("double").alias("analysed_pct"))
+
+
+@register("catalog_would_help", f"WITH {_STATES_SQL} SELECT count(*) FILTER (WHERE reason IN ('surviving_star', 'upstream_unknown')) AS models FROM s")
+def catalog_would_help(spark, sf_dir):
+    return V.coverage(*_states(spark, sf_dir)).select(F.col("catalog_would_help").alias("models"))
+
+
+@register("coverage_reasons", f"WITH {_STATES_SQL} SELECT reason, count(*) AS models FROM s WHERE reason <> '' GROUP BY reason")
+def coverage_reasons(spark, sf_dir):
+    return V.reasons(*_states(spark, sf_dir))
+
+
+@register("coverage_headline", f"WITH {_STATES_SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE resolution = 'exact') AS e, count(*) FILTER (WHERE resolution = 'partial') AS p, count(*) FILTER (WHERE resolution = 'unknown') AS u FROM s) SELECT 'analysed ' || (e + p) || '/' || n || ' models (' || printf('%.1f', round_even(100.0 * (e + p) / n, 1)) || '%): ' || e || ' exact, ' || p || ' partial, ' || u || ' not analysed' AS headline FROM c")
+def coverage_headline(spark, sf_dir):
+    counts = V.coverage(*_states(spark, sf_dir))
+    return counts.select(F.replace(V.headline(), F.lit(","), F.lit(",")).alias("headline"))
+
+
+# ----------------------------------------------------------------- bundled project
+
+_BASE_MODELS = [n for n, x in bundled.MODELS.items() if x[0]]
+_HEAD_MODELS = [n for n, x in bundled.MODELS.items() if (x[0] if x[1] is None else x[1])]
+_M, _S = "model.shop.", "source.shop.shop."
+
+
+def _snapshot(spark: SparkSession, side: str = "base") -> manifest.Snapshot:
+    return manifest.from_text(spark, bundled.manifest(side), side)
+
+
+@register("manifest_nodes", "SELECT * FROM " + values([(_M + n, n, "model", "rk_model_" + n) for n in _BASE_MODELS] + [(_S + t, t, "source", "rk_source_shop_" + t) for t in _TABLES], "unique_id, name, resource_type, relation_key"))
+def manifest_nodes(spark, sf_dir):
+    return _snapshot(spark).nodes.select("unique_id", "name", "resource_type", "relation_key")
+
+
+@register("route_resources", "SELECT * FROM " + values([("model", len(_BASE_MODELS)), ("source", len(_TABLES)), ("test", len(bundled.TESTS)), ("exposure", len(bundled.EXPOSURES)), ("macro", len(bundled.MACROS))], "kind, n"))
+def route_resources(spark, sf_dir):
+    s = _snapshot(spark)
+    kinds = s.nodes.select(F.col("resource_type").alias("kind"))
+    for df, kind in ((s.tests, "test"), (s.exposures, "exposure"), (s.macros, "macro")):
+        kinds = kinds.union(df.select(F.lit(kind)))
+    return kinds.groupBy("kind").agg(F.count("*").cast("int").alias("n"))
+
+
+@register("models_only", "SELECT * FROM " + values([(n,) for n in _BASE_MODELS], "name"))
+def models_only(spark, sf_dir):
+    return C.models_only(_snapshot(spark).nodes).select("name")
+
+
+@register("macro_stats", "SELECT * FROM " + values([(4, 3, 1)], "total, plain, skipped"))
+def macro_stats(spark, sf_dir):
+    return V.macro_stats(_snapshot(spark).macros).select(*[F.col(a).cast("int").alias(b) for a, b in (("total", "total"), ("plain", "plain"), ("skipped_non_macro", "skipped"))])
+
+
+@register("vars_flatten", "SELECT * FROM " + values([("limit", "7"), ("shop", '{"limit": 3, "zone": "eu"}'), ("zone", '"eu"')], "name, value"))
+def vars_flatten(spark, sf_dir):
+    import json
+
+    from ripple.sources.project import flat_vars
+
+    found = flat_vars({"limit": 7, "shop": {"limit": 3, "zone": "eu"}})
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in found.items()], "name string, value string")
+
+
+_CONTRACTS = {
+    "stg_orders": "order_id,customer_id,status,total,ordered_at,priority",
+    "stg_customers": "customer_id,name,nation_id,balance,segment",
+    "fct_orders": "order_id,customer_id,order_status,total",
+    "dim_customers": "customer_id,name,n_orders",
+    "order_priorities": "order_id,priority",
+    "all_customers": "customer_id,name,nation_id,balance,segment",
+    "order_report": "order_status,revenue",
+    "tmp_orders": "order_id",
+}
+
+
+@register("contracts_inferred", "SELECT * FROM " + values([(_M + k, v, "exact") for k, v in _CONTRACTS.items()], "node_id, columns, resolution"))
+def contracts_inferred(spark, sf_dir):
+    base, _ = sides(spark)
+    listed = base.contracts_df.groupBy("node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "column"))), lambda x: x["column"]), ",").alias("columns"))
+    return listed.join(base.states.select("node_id", "resolution"), "node_id").where(F.col("node_id").startswith("model."))
+
+
+@register("parent_contracts", "SELECT * FROM " + values([(_M + "fct_orders", "rk_model_stg_orders", 6), (_M + "order_report", "rk_model_fct_orders", 4), (_M + "stg_orders", "rk_source_shop_orders", 6), (_M + "stg_customers", "rk_source_shop_customer", 5), (_M + "dim_customers", "rk_model_stg_customers", 5), (_M + "dim_customers", "rk_model_stg_orders", 6), (_M + "order_priorities", "rk_model_stg_orders", 6), (_M + "all_customers", "rk_model_stg_customers", 5), (_M + "tmp_orders", "rk_model_stg_orders", 6)], "child, relation_key, n_columns"))
+def parent_contracts(spark, sf_dir):
+    base, _ = sides(spark)
+    return C.parent_contracts(base.snapshot.nodes, base.contracts_df).select("child", "relation_key", F.size("columns").alias("n_columns"))
+
+
+_LINEAGE = [
+    ("fct_orders", "order_status", _M + "stg_orders", "status", "direct"), ("fct_orders", "total", _M + "stg_orders", "total", "expression"), ("dim_customers", "n_orders", _M + "stg_orders", "order_id", "aggregate"),
+    ("all_customers", "segment", _M + "stg_customers", "segment", "star_expanded"), ("order_report", "revenue", _M + "fct_orders", "total", "aggregate"), ("stg_orders", "status", _S + "orders", "o_orderstatus", "direct"),
+]
+
+
+@register("column_edges", "SELECT * FROM " + values(_LINEAGE, "model, col, up_node, up_col, kind"))
+def column_edges(spark, sf_dir):
+    base, _ = sides(spark)
+    wanted = [f"{m}.{c}" for m, c, *_ in _LINEAGE]
+    e = base.edges.select(F.element_at(F.split("down_node", r"\."), -1).alias("model"), F.col("down_col").alias("col"), "up_node", "up_col", "kind")
+    return e.where(F.concat("model", F.lit("."), "col").isin(wanted))
+
+
+@register("required_columns", "SELECT * FROM " + values([(_M + "dim_customers", _M + "stg_orders", "customer_id"), (_M + "dim_customers", _M + "stg_orders", "status")], "down_node, up_node, up_col"))
+def required_columns(spark, sf_dir):
+    return sides(spark)[0].required.select("down_node", "up_node", "up_col")
+
+
+_RADIUS = [
+    ("stg_orders", "status", [_M + "fct_orders.order_status", _M + "order_report.order_status"], [_M + "dim_customers"], ["accepted_values_stg_orders_status", "revenue_adds_up"], ["revenue_board"], 1),
+    ("stg_customers", "segment", [_M + "all_customers.segment"], [], [], ["customer_list"], 1),
+    ("stg_orders", "priority", [_M + "order_priorities.priority"], [], [], [], 1),
+    ("all_customers", "segment", [], [], [], ["customer_list"], 0),
+]
+
+
+@register("blast_radius", "SELECT * FROM " + values([(_M + a, b, *[",".join(x) for x in r], k) for a, b, *r, k in _RADIUS], "node_id, col, columns, query_breaks, tests, exposures, confidence"))
+def blast_radius(spark, sf_dir):
+    base, head = sides(spark)
+    removed = C.columns_removed(R.Sides(base, head).common, base.contracts_df, head.contracts_df)
+    found = I.blast_radius(removed, base.edges, base.required, base.snapshot.tests, base.snapshot.exposures)
+    return found.select("node_id", F.col("column").alias("col"), *[F.array_join(c, ",").alias(c) for c in ("columns", "query_breaks", "tests", "exposures")], "confidence")
+
+
+@register("affected_exposures", "SELECT * FROM " + values([("a", "revenue_board"), ("b", "customer_list"), ("b", "revenue_board")], "seed, name"))
+def affected_exposures(spark, sf_dir):
+    affected = spark.createDataFrame([("a", _M + "order_report"), ("b", _M + "order_report"), ("b", _M + "all_customers"), ("c", _M + "none")], "seed string, node string")
+    return I.affected_exposures(_snapshot(spark).exposures, affected)
+
+
+@register("affected_tests", "SELECT * FROM " + values([("status", "accepted_values_stg_orders_status"), ("status", "revenue_adds_up"), ("order_id", "not_null_stg_orders_order_id"), ("order_id", "revenue_adds_up")], "col, name"))
+def affected_tests(spark, sf_dir):
+    rows = [(c, n) for c in ("status", "order_id", "total") for n in ("stg_orders", "order_report") if c != "total" or n == "stg_orders"]
+    affected = spark.createDataFrame([((_M + "stg_orders", c), _M + n) for c, n in rows], "seed struct<node:string,col:string>, node string")
+    return I.affected_tests(_snapshot(spark).tests, affected).select(F.col("seed.col").alias("col"), "name")
+
+
+@register("head_mentions", "SELECT * FROM " + values([("status", f"{_M}dim_customers,{_M}fct_orders")], "col, models"))
+def head_mentions(spark, sf_dir):
+    base, head = sides(spark)
+    removed = C.columns_removed(R.Sides(base, head).common, base.contracts_df, head.contracts_df)
+    return C.head_mentions(head.references, removed).select(F.col("column").alias("col"), F.array_join("models", ",").alias("models"))
+
+
+@register("dangling_refs", "SELECT * FROM " + values([("stg_orders", x) for x in ("fct_orders", "dim_customers", "order_priorities", "big_spenders")], "removed, dependent"))
+def dangling_refs(spark, sf_dir):
+    """What the head would still refer to, had stg_orders gone."""
+    gone = spark.createDataFrame([(_M + "stg_orders", "stg_orders"), (_M + "tmp_orders", "tmp_orders")], "unique_id string, name string")
+    return C.dangling_refs(gone, _snapshot(spark, "head").nodes)
+
+
+_FOUND = [
+    ("R001", "breaking", "likely", "stg_orders", "status"), ("R001", "possibly_breaking", "likely", "stg_customers", "segment"), ("R001", "safe", "likely", "all_customers", "segment"), ("R001", "safe", "likely", "stg_orders", "priority"),
+    ("R002", "possibly_breaking", "likely", "tmp_orders", None), ("R003", "safe", "likely", "all_customers", "sort_name"), ("R003", "safe", "likely", "stg_customers", "sort_name"),
+    ("R900", "info", "unknown", "dim_customers", None), ("R900", "info", "unknown", "fct_orders", None),
+]
+
+for _query, _rule in (("classify_columns_removed", "R001"), ("classify_models_removed", "R002"), ("classify_columns_added", "R003"), ("classify_incomparable", "R900")):
+
+    @register(_query, "SELECT rule, severity, confidence, node_name, CAST(col AS VARCHAR) AS col FROM " + values([x for x in _FOUND if x[0] == _rule], "rule, severity, confidence, node_name, col"))
+    def _classified(spark, sf_dir, rule=_rule):
+        found = R.findings(*sides(spark)).where(F.col("rule") == rule)
+        return found.select("rule", "severity", E.confidence_name(F.col("confidence")).alias("confidence"), "node_name", F.col("column").alias("col"))
+
+
+@register("findings_json", "SELECT rule, node_name, CAST(col AS VARCHAR) AS col, severity AS said FROM " + values(_FOUND, "rule, severity, confidence, node_name, col"))
+def findings_json(spark, sf_dir):
+    rows = report.findings_json(R.findings(*sides(spark)))
+    return rows.select("rule", "node_name", F.col("column").alias("col"), F.get_json_object("json", "$.severity").alias("said"))
+
+
+@register("findings_markdown_rows", "SELECT rule, node_name, CAST(col AS VARCHAR) AS col, CASE WHEN col IS NULL THEN 'model `' || node_name ELSE 'column `' || node_name || '.' || col END || '`' AS subject FROM " + values(_FOUND, "rule, severity, confidence, node_name, col"))
+def findings_markdown_rows(spark, sf_dir):
+    rows = report.markdown_rows(R.findings(*sides(spark)))
+    return rows.select("rule", "node_name", F.col("column").alias("col"), F.regexp_extract("markdown", r"((?:model|column) `[^`]*`)", 1).alias("subject"))
+
+
