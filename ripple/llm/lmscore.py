@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from ripple.llm.common import Hashes, mix, raw_texts, shuffle_partitions, slices
 VOCABULARY = 65_533
 UNKNOWN, BEGIN, END = 65_533, 65_534, 65_535
 PRIOR = 50.0  # weight, in tokens, of the unigram model in each bigram context
-STRETCH_TOKENS, STRETCH_DOCS = 2_500_000, 60_000
+STRETCH_TOKENS, STRETCH_DOCS = 1_000_000, 60_000
 SHARD_BIGRAMS = 1_000_000
 NULL_ID = -(1 << 63)
 
@@ -42,7 +43,7 @@ def _runs(keys: np.ndarray) -> np.ndarray:
 
 def _word_counts(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """Counts of words, in the target and in all, for each shard of words."""
-    words, pending, size = Hashes(), [], 0
+    words, pending, size = Hashes(250_000), [], 0
 
     def flush() -> pa.RecordBatch:
         hashes, target = (np.concatenate([x[i] for x in pending]) for i in (0, 1))
@@ -113,15 +114,16 @@ class Vocabulary:
 class Numbers(dict):
     """Word to number in the vocabulary, remembered."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 400_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, limit: int = 250_000) -> None:
         super().__init__()
-        self.vocabulary, self.limit, self.hashes = vocabulary, limit, Hashes(limit)
+        self.vocabulary, self.limit = vocabulary, limit
 
     def of(self, words: list[bytes]) -> np.ndarray:
         if len(self) > self.limit:
             self.clear()
         new = [w for w in set(words) if w not in self]
-        self.update(zip(new, self.vocabulary.of(self.hashes.of(new)).tolist(), strict=True))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
+        self.update(zip(new, self.vocabulary.of(hashes).tolist(), strict=True))
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
@@ -138,8 +140,9 @@ def _bigrams(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, shards:
         key, owner, time = np.concatenate(keys), np.concatenate(owners), np.concatenate(times)
         target, stretch = np.concatenate(targets), (task << 24) + nth
         dealt = (mix(key.astype(np.uint64), 33) % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((key, dealt))
+        order = np.argsort(dealt << 32 | key, kind="stable")
         key, owner, time, dealt = key[order], owner[order], time[order], dealt[order]
+        del order
         first = _runs(key)
         n, t = np.add.reduceat(time, first), np.add.reduceat(time * target[owner], first)
         span = np.diff(np.append(first, len(key)))
