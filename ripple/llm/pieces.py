@@ -41,8 +41,8 @@ from ripple.llm.common import mix, raw_texts, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁".encode()
 CHUNK = re.compile(rb" *[^ ]+| +")
-SLICE = 4 << 20
-HEAD = 96  # steps of a path from which a bound is taken that spares the others
+SLICE = 5 << 20
+HEAD = 48  # steps of a path from which a bound is taken that spares the others
 
 
 class Pieces:
@@ -170,12 +170,19 @@ class Lattice:
         slot = fill[lost]
         self.to[slot], self.id[slot], weight[slot] = lost + wide[lost], -1, wide[lost] * pieces.byte_weight
 
-        # The log sum over all paths from a node to its chunk's end, for all nodes of one distance at a time.
-        rest = np.full(n_nodes, -np.inf)
-        rest[last] = 0.0
+        # The sum over all paths from a node to its chunk's end, for all nodes of one distance at a time; far from the end, where
+        # the sums could underflow, by their logs.
+        mass, gain = np.zeros(n_nodes), np.exp(weight)
+        mass[last] = 1.0
+        near = int(600 / max(1e-9, float(-weight.min(initial=-1.0))))
         by_size = np.argsort(-sizes, kind="stable")
         long, ends = -sizes[by_size], last[by_size]
-        for distance in range(1, int(sizes.max(initial=0)) + 1):
+        rest: np.ndarray | None = None
+        longest = int(sizes.max(initial=0))
+        for distance in range(1, longest + 1):
+            if distance == near + 1:
+                with np.errstate(divide="ignore"):
+                    rest = np.log(mass)
             node = ends[: np.searchsorted(long, -distance, "right")] - distance
             count = n_edges[node]
             if distance > 1 or not count.all():
@@ -185,17 +192,19 @@ class Lattice:
                 continue
             begin = np.cumsum(count) - count
             edge = np.repeat(self.at[node] - begin, count) + np.arange(int(begin[-1] + count[-1]))
-            value = np.exp(weight[edge] + rest[self.to[edge]])  # far from underflow: chunks are words
-            low = np.log(np.add.reduceat(value, begin))
-            deep = np.flatnonzero(~(low > -600))
-            if len(deep):  # very long chunks
-                for i in deep.tolist():
-                    of = edge[begin[i] : begin[i] + count[i]]
-                    low[i] = np.logaddexp.reduce(weight[of] + rest[self.to[of]])
-            rest[node] = low
+            if rest is None:
+                mass[node] = np.add.reduceat(gain[edge] * mass[self.to[edge]], begin)
+            else:
+                value = weight[edge] + rest[self.to[edge]]
+                top = np.maximum.reduceat(value, begin)
+                rest[node] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count)), begin))
         self.start = np.repeat(np.arange(n_nodes, dtype=np.int32), n_edges)
-        self.log = weight + rest[self.to] - rest[self.start]
-        chance = np.exp(self.log)
+        if rest is None:
+            chance = gain * mass[self.to] / mass[self.start]
+            self.log = np.log(chance)
+        else:
+            self.log = weight + rest[self.to] - rest[self.start]
+            chance = np.exp(self.log)
         upto = np.cumsum(chance)
         before = np.append(0.0, upto)[self.at]
         self.upto = (upto - before[self.start]).astype(np.float32)
@@ -214,7 +223,7 @@ class Lattice:
 class Known(dict):
     """Numbers chunks; of those that occur more than once in a slice, KEEP are kept with their lattices."""
 
-    KEEP = 60_000
+    KEEP = 120_000
 
     def __init__(self, pieces: Pieces) -> None:
         super().__init__()
