@@ -24,6 +24,7 @@ and the position, hence the same on any partitioning.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -588,6 +589,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(proto.value, theta)
         known = Known(pieces)
+        gc.disable()  # nothing here refers to itself; the collector would walk the millions of chunks again and again
         for batch in slices(batches, "text", SLICE):
             raw = raw_texts(batch, "text")
             sampler = Sampler(known, raw, row_keys(batch.column("id").to_pylist(), seed), k)
@@ -632,5 +634,6 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
                 columns += [pa.array([x.tolist() for x in ids], pa.list_(pa.int32())), pa.array([r["ids"] for r in rows], pa.list_(pa.list_(pa.int32())))]
                 names += ["ids", "sample_ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        gc.enable()
 
     return plain.mapInArrow(run, f"id {kind}, {own}, {drawn}{full}").withColumnRenamed("id", key)
