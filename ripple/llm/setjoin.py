@@ -31,8 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ripple.llm.common import Hashes, Sieve, connected_components, mix, raw_texts, shuffle_partitions, slices, without, written
 from ripple.llm.shingles import set_key, shingle_sets
@@ -54,7 +57,8 @@ class Classes:
 
     def at(self, size: int) -> int:
         while self.low[-1] <= size:
-            self.low.append(max(self.low[-1] + 1, math.ceil(self.low[-1] * max(5 * self.num, 4 * self.den) / (4 * self.num))))
+            # By the square of den / num, so that a partner is in the same class or the next.
+            self.low.append(max(self.low[-1] + 1, -(-self.low[-1] * self.den**2 // self.num**2)))
         lo, hi = 0, len(self.low) - 1
         while hi - lo > 1:
             mid = (lo + hi) // 2
@@ -140,6 +144,7 @@ def stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 SIGNED = "id {kind}, n_shingles long, set_key binary, node long, shard int, sigs binary, nodes binary, a binary, b binary"
+LINKED = "id {kind}, n_shingles long, set_key binary, node long, a long, b long"
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, shards: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -147,6 +152,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, shard
     words, classes = Hashes(), Classes(num, den)
     seen: set[int] = set()
     kept: list[tuple[np.ndarray, np.ndarray]] = []
+    done = 0
 
     def rows(**columns: list | pa.Array) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
@@ -173,7 +179,8 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, shard
         sets = shingle_sets(raw_texts(batch, "text"), k, words)
         keys = [set_key(x) if len(x) else None for x in sets]
         nodes = [int.from_bytes(x[:8], "little", signed=True) if x else None for x in keys]
-        yield rows(id=batch.column("id"), n_shingles=[len(x) for x in sets], set_key=keys, node=nodes)
+        yield rows(id=batch.column("id"), n_shingles=[len(x) for x in sets], set_key=keys, node=nodes, shard=[i % shards for i in range(done, done + len(sets))])
+        done += len(sets)
         fresh = []
         for i, x in enumerate(nodes):
             if x is not None and x not in seen:
@@ -188,15 +195,25 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, shard
         yield flush()
 
 
-def _bucket_links(table: pa.Table) -> pa.Table:
-    """The links of one shard."""
-    joined = {c: np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64 if c == "sigs" else np.int64) for c in ("sigs", "nodes", "a", "b")}
+def _bucket_links(table: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The links of one shard, after the documents that came along."""
+    known = table.filter(pc.is_null(table.column("sigs")))
+    packed = table.filter(pc.is_valid(table.column("sigs")))
+    joined = {c: np.frombuffer(b"".join(packed.column(c).to_pylist()), np.uint64 if c == "sigs" else np.int64) for c in ("sigs", "nodes", "a", "b")}
     _, _, a, b = stars(joined["sigs"], joined["nodes"])
     # What tasks have linked goes through the same forest, as buckets of two.
     pairs = np.concatenate([np.arange(len(a)), np.arange(len(joined["a"])) + len(a)]).astype(np.uint64)
     left, right = np.concatenate([a, joined["a"]]), np.concatenate([b, joined["b"]])
     _, _, a, b = stars(np.concatenate([pairs, pairs]), np.concatenate([left, right]))
-    return pa.table({"a": a, "b": b})
+    total = known.num_rows + len(a)
+    columns = []
+    for f in schema:
+        if f.name in ("a", "b"):
+            columns.append(pa.concat_arrays([pa.nulls(known.num_rows, f.type), pa.array(a if f.name == "a" else b, f.type)]))
+        else:
+            columns.append(pa.concat_arrays([*known.column(f.name).cast(f.type).chunks, pa.nulls(len(a), f.type)]))
+    assert all(len(c) == total for c in columns)
+    return pa.Table.from_arrays(columns, schema=schema)
 
 
 def matrix_links(sets: list[np.ndarray], num: int, den: int) -> Union:
@@ -265,14 +282,11 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     shards = max(shuffle_partitions(spark), math.ceil(docs.count() * 90 / SHARD_ROWS))
-    schema = SIGNED.format(kind=kind)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-    signed = written(docs.mapInArrow(lambda it: _signed(it, k, num, den, shards, arrow), schema), "signed")
-    each = signed.where("shard is null").select("id", "n_shingles", "set_key", "node")
-    links = signed.where("shard is not null").select("shard", "sigs", "nodes", "a", "b").groupBy("shard").applyInArrow(_bucket_links, "a long, b long")
+    schema, linked = (to_arrow_schema(_parse_datatype_string(x.format(kind=kind))) for x in (SIGNED, LINKED))
+    signed = docs.mapInArrow(lambda it: _signed(it, k, num, den, shards, schema), SIGNED.format(kind=kind))
+    signed = written(signed.groupBy("shard").applyInArrow(lambda t: _bucket_links(t, linked), LINKED.format(kind=kind)), "signed")
+    each = signed.where("a is null").select("id", "n_shingles", "set_key", "node")
+    links = signed.where("a is not null").select("a", "b")
     near = connected_components(links)
 
     # The distinct sets of components, each with the text of one document.
