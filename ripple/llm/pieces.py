@@ -43,6 +43,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁".encode()
 CHUNK = re.compile(rb" *[^ ]+| +")
 SLICE = 5 << 20
+KEEP = 120_000  # chunks whose lattices a task keeps
 HEAD = 48  # steps of a path from which a bound is taken that spares the others
 
 
@@ -222,13 +223,11 @@ class Lattice:
 
 
 class Known(dict):
-    """Numbers chunks; of those that occur more than once in a slice, KEEP are kept with their lattices."""
+    """Numbers chunks; of those that occur more than once in a slice, so many are kept with their lattices."""
 
-    KEEP = 120_000
-
-    def __init__(self, pieces: Pieces) -> None:
+    def __init__(self, pieces: Pieces, keep: int = KEEP) -> None:
         super().__init__()
-        self.pieces, self.lattice, self.new = pieces, Lattice(pieces, []), []
+        self.pieces, self.lattice, self.new, self.keep = pieces, Lattice(pieces, []), [], keep
         self.base = 0
         self.own, self.own_count = np.empty(0, np.int32), np.empty(0, np.int64)  # the tokenizer's own ids of the chunks that are kept
 
@@ -246,7 +245,7 @@ class Known(dict):
         numbers = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
         base, new = self.base, self.new
         often = np.bincount(numbers[numbers >= base] - base, minlength=len(new)) > 1
-        often[np.flatnonzero(often)[max(0, self.KEEP - base) :]] = False
+        often[np.flatnonzero(often)[max(0, self.keep - base) :]] = False
         order = np.argsort(~often, kind="stable")
         place = np.empty(len(new), dtype=np.int64)
         place[order] = np.arange(len(new)) + base
@@ -564,7 +563,7 @@ def read_model(spark: SparkSession, path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2, theta: float = 1.0, seed: int = 17, model: str = MODEL, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2, theta: float = 1.0, seed: int = 17, model: str = MODEL, with_ids: bool = False, slice_bytes: int = SLICE, keep: int = KEEP) -> DataFrame:
     """Encode each text, check that it decodes, and sample k segmentations without replacement.
 
     Returns, one row for each input row: key, n_ids and ids_sha256 (of the
@@ -574,7 +573,9 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
     sample_log_inclusion (log chance of being among the k, given the threshold)
     and samples_decode; with ``with_ids`` also ids and sample_ids.
 
-    A text with fewer than k segmentations has them all.  Null texts count as
+    A task handles ``slice_bytes`` of text at once and keeps the lattices of
+    ``keep`` chunks; both bound its memory (some 450 MB as they are, 200 MB at 2 MB
+    and 40,000) and change no result.  A text with fewer than k segmentations has them all.  Null texts count as
     empty, and an empty text has one empty segmentation.  Texts of one key share
     their draws where they begin alike; keys may be of any type and null.  Other
     columns are not read; an empty table gives an empty one.
@@ -588,9 +589,9 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(proto.value, theta)
-        known = Known(pieces)
+        known = Known(pieces, keep)
         gc.disable()  # nothing here refers to itself; the collector would walk the millions of chunks again and again
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text", slice_bytes):
             raw = raw_texts(batch, "text")
             sampler = Sampler(known, raw, row_keys(batch.column("id").to_pylist(), seed), k)
             rows: list[dict[str, list]] = [{"n": [], "sha": [], "logp": [], "in": [], "ids": []} for _ in raw]
