@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripple.llm.common import mix, raw_texts, slices
+from ripple.llm.common import lean, mix, raw_texts, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁".encode()
@@ -84,6 +84,7 @@ class Pieces:
         self.sizes = np.fromiter(map(len, self.surface), np.int64, n)
         self.places = np.cumsum(self.sizes) - self.sizes
         self.letters = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.space = [sp.piece_to_id("▁")]
         self.byte_weight = -theta * np.log(4 * n)
         self.ends = np.full(size, -1, dtype=np.int32)
         self.ends[list(ends)] = list(ends.values())
@@ -262,6 +263,7 @@ class Known(dict):
             del self[c]
         self.base, self.new = base + n_kept, []
         found = self.pieces.library.encode([c[1:].decode() for c in ordered]) if ordered else []  # a space is added before each
+        found = [x or self.pieces.space for x in found]  # but not to an empty text, which stands for a space at the end
         count = np.concatenate([self.own_count, np.fromiter(map(len, found), np.int64, len(found))])
         own = np.concatenate([self.own, np.fromiter(chain.from_iterable(found), np.int32, int(count[base:].sum()))])
         self.own_count = count[: self.base].copy()
@@ -637,4 +639,4 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
             yield pa.RecordBatch.from_arrays(columns, names=names)
         gc.enable()
 
-    return plain.mapInArrow(run, f"id {kind}, {own}, {drawn}{full}").withColumnRenamed("id", key)
+    return plain.mapInArrow(lean(run), f"id {kind}, {own}, {drawn}{full}").withColumnRenamed("id", key)
