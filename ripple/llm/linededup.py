@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripple.llm import perfecthash
-from ripple.llm.common import raw_texts, shuffle_partitions, slices, written
+from ripple.llm.common import lean, raw_texts, shuffle_partitions, slices, written
 
 SPACE = b" \t\n\v\f\r"
 SHARD_KEYS = 200_000
@@ -112,15 +112,15 @@ def shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_c
     """The lines to drop: (id, lines), lines being the 128-bit keys that document ``id`` loses."""
     spark = docs.sparkSession
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    stretches = written(plain.mapInArrow(lambda it: _stretches(it, min_chars), "ids binary, keys binary"), "stretches")
-    counted = stretches.mapInArrow(_counted, "lo long, hi long, n long, top long")
+    stretches = written(plain.mapInArrow(lean(lambda it: _stretches(it, min_chars)), "ids binary, keys binary"), "stretches")
+    counted = stretches.mapInArrow(lean(_counted), "lo long, hi long, n long, top long")
     common = written(counted.groupBy("lo", "hi").agg(F.sum("n").alias("n"), F.max("top").alias("top")).where(F.col("n") >= min_docs), "common")
     shards = max(shuffle_partitions(spark), math.ceil(common.count() / SHARD_KEYS))
     index = common.withColumn("shard", F.pmod("lo", F.lit(shards).cast("long"))).groupBy("shard").applyInArrow(
         _index, "shard long, sizes binary, levels binary, prints binary, counts binary, tops binary"
     )
-    probes = stretches.mapInArrow(lambda it: _dealt(it, shards), "shard long, ids binary, keys binary")
-    dropped = probes.join(written(index, "index"), "shard").mapInArrow(lambda it: _probed(it, min_docs), "id long, line binary")
+    probes = stretches.mapInArrow(lean(lambda it: _dealt(it, shards)), "shard long, ids binary, keys binary")
+    dropped = probes.join(written(index, "index"), "shard").mapInArrow(lean(lambda it: _probed(it, min_docs)), "id long, line binary")
     return dropped.groupBy("id").agg(F.collect_set("line").alias("lines")).withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id")))
 
 
@@ -160,7 +160,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
             yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "n_lines", "n_dropped"])
 
     row = joined.schema["row"].dataType.simpleString()
-    done = joined.mapInArrow(run, f"row {row}, text string, n_lines long, n_dropped long")
+    done = joined.mapInArrow(lean(run), f"row {row}, text string, n_lines long, n_dropped long")
     back = [F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in names if c in others or c == text]
     return done.select(*back, "n_lines", "n_dropped")
 

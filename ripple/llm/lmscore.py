@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripple.llm.common import Hashes, mix, raw_texts, shuffle_partitions, slices
+from ripple.llm.common import Hashes, lean, mix, raw_texts, shuffle_partitions, slices
 
 VOCABULARY = 65_533
 UNKNOWN, BEGIN, END = 65_533, 65_534, 65_535
@@ -271,7 +271,7 @@ def cross_entropy_difference(docs: DataFrame, target: Column, key: str = "doc_id
     spark = docs.sparkSession
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
     shards = max(shuffle_partitions(spark), math.ceil(plain.count() * 200 / SHARD_BIGRAMS))
-    counted = plain.select("text", "target").mapInArrow(lambda it: _word_counts(it, shards), "shard long, word binary, n binary, t binary")
+    counted = plain.select("text", "target").mapInArrow(lean(lambda it: _word_counts(it, shards)), "shard long, word binary, n binary, t binary")
     tops = counted.groupBy("shard").applyInArrow(_top_words, "word long, n long, t long")
     # One job: the vocabulary is bounded by VOCABULARY, totals are a row a shard, summed at once.
     ranked = tops.where("word is not null").orderBy(F.desc("n"), "word").limit(VOCABULARY).withColumn("kind", F.lit(0))
@@ -285,9 +285,9 @@ def cross_entropy_difference(docs: DataFrame, target: Column, key: str = "doc_id
         np.array([r["word"] for r in words], dtype=np.int64).view(np.uint64), np.array([[r[c] for r in words] for c in ("n", "t")], dtype=np.int64), np.array(sums[1]), np.array(sums[2])
     )
     shared = spark.sparkContext.broadcast(vocabulary)
-    stream = plain.mapInArrow(lambda it: _bigrams(it, shared.value, shards), STREAM)
+    stream = plain.mapInArrow(lean(lambda it: _bigrams(it, shared.value, shards)), STREAM)
     stream = stream.repartition(shuffle_partitions(spark), "shard").sortWithinPartitions("shard", "kind")
-    sums = stream.mapInArrow(lambda it: _scored(it, shared.value), "stretch long, ids binary, lengths binary, docs binary, target binary, whole binary")
+    sums = stream.mapInArrow(lean(lambda it: _scored(it, shared.value)), "stretch long, ids binary, lengths binary, docs binary, target binary, whole binary")
     done = sums.groupBy("stretch").applyInArrow(_summed, "id long, n_tokens long, t long, b long")
     tokens = F.when(F.col("n_tokens") > 0, F.col("n_tokens") + 1)
     mean = lambda x: F.coalesce(x / (tokens * 1e6), F.lit(0.0))

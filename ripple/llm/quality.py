@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripple.llm.common import Hashes, raw_texts, slices
+from ripple.llm.common import Hashes, lean, raw_texts, slices
 from ripple.llm.labelled import SAMPLE_ROWS, held_out, sigmoid, training_rows
 
 BUCKETS = 1 << 15
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
             columns = [pa.array([at[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([value[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([x.tobytes() for x in stats], pa.binary()), batch.column("label")]
             yield pa.RecordBatch.from_arrays(columns, names=["at", "value", "stats", "label"])
 
-    got = sample.mapInArrow(run, "at binary, value binary, stats binary, label int").toArrow().to_pylist()
+    got = sample.mapInArrow(lean(run), "at binary, value binary, stats binary, label int").toArrow().to_pylist()
     got.sort(key=lambda r: (r["stats"], r["at"], r["label"]))  # the same order for any partitioning
     docs_ = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32), np.frombuffer(r["stats"], np.float32)) for r in got]
     y = np.array([r["label"] for r in got], dtype=np.float32)
@@ -184,5 +184,5 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
     kind = plain.schema["id"].dataType.simpleString()
-    done = plain.mapInArrow(run, f"id {kind}, score double, predicted int")
+    done = plain.mapInArrow(lean(run), f"id {kind}, score double, predicted int")
     return done.select(F.col("id").alias(key), held_out(F.col("id")).alias("held_out"), "score", "predicted")

@@ -6,9 +6,11 @@ and every link between different sets counts towards the components.
 1. Equal sets are one set from here on, named by 128 bits of its hash.
 2. *Similar documents are dealt into groups.*  Sets of like size share a number
    of parts p, and each set's tokens are dealt over the parts by hash.  Sets that
-   reach the threshold differ in at most d tokens, so with p = d + 1 + SPARE parts
-   at least 1 + SPARE of them agree; the hash of each part is a signature.  A
-   bucket of sets that share a signature needs no pairs: a star to its smallest
+   reach the threshold differ in at most d tokens, so with p = d + 1 + spare parts
+   at least 1 + spare of them agree; the hash of each part that is not empty is a
+   signature.  (Two sets whose agreeing parts are all empty have more empty parts
+   than are spare; such sets also have the tokens of their prefixes as signatures,
+   of which similar sets share one.)  A bucket of sets that share a signature needs no pairs: a star to its smallest
    set will do, as the components of these stars enclose all links.  Stars are
    made within each task first, so that a signature that many documents share
    costs one row a task.
@@ -37,10 +39,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from ripple.llm.common import Hashes, Sieve, connected_components, mix, raw_texts, shuffle_partitions, slices, without, written
+from ripple.llm.common import Hashes, Sieve, connected_components, lean, mix, raw_texts, shuffle_partitions, slices, without, written
 from ripple.llm.shingles import set_key, shingle_sets
 
-SPARE = 2
+SPARE_SHARE = 0.25  # spare parts at most, of the others
+WIDE = 2000
 GROUP = 32
 BLOCK = 4096
 FLUSH_ROWS = 1_000_000  # signatures gathered in a task before they are dealt out
@@ -54,6 +57,8 @@ class Classes:
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den = num, den
         self.low = [1]
+        #: Whether parts are so small that sets of one bucket have to be told apart by sketches.
+        self.sketched = 100 * num < 88 * den
 
     def at(self, size: int) -> int:
         while self.low[-1] <= size:
@@ -65,45 +70,80 @@ class Classes:
             lo, hi = (mid, hi) if self.low[mid] <= size else (lo, mid)
         return lo
 
-    def parts(self, c: int) -> int:
-        """0 where the class admits equal sets only."""
+    def parts(self, c: int) -> tuple[int, int]:
+        """(number of parts, how many of them are spare); none where the class admits equal sets only."""
         self.at(self.low[c])
         while len(self.low) < c + 2:
             self.at(self.low[-1])
         d = 2 * (self.low[c + 1] - 1) * (self.den - self.num) // (self.den + self.num)
-        return d + 1 + SPARE if d else 0
-
-    def of(self, size: int) -> list[tuple[int, int]]:
-        """The (class, parts) under which a set of this size has signatures."""
+        if not d:
+            return 0, 0
+        spare = 2
+        for _ in range(4):  # so many that few sets have as many empty parts
+            parts = d + 1 + spare
+            empty = parts * math.exp(-self.low[c] / parts)
+            spare = 2 + math.ceil(min(empty + 3 * math.sqrt(empty), SPARE_SHARE * (d + 1)))
+        return d + 1 + spare, spare
+
+    def of(self, size: int) -> list[tuple[int, int, int]]:
+        """The (class, parts, spare) under which a set of this size has signatures."""
         c = self.at(size)
         found = [c]
         if size * self.den >= self.low[c + 1] * self.num:
             found.append(c + 1)
-        return [(x, p) for x in found if (p := self.parts(x))]
+        return [(x, p, e) for x in found for p, e in [self.parts(x)] if p]
+
+
+def sketches(tokens: np.ndarray, entry: np.ndarray, n: int, shift: np.ndarray) -> np.ndarray:
+    """Parities by 256 cells of those tokens of each entry whose hash ends in ``shift`` zeros; 4 words an entry."""
+    hashed = mix(tokens, 17)
+    taken = (hashed & ((np.uint64(1) << shift[entry].astype(np.uint64)) - np.uint64(1))) == 0
+    cell = entry[taken] * 256 + (hashed[taken] >> np.uint64(40) & np.uint64(255)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=256 * n).astype(np.uint8).reshape(n, 256) & 1, axis=1).view(np.uint64)
+
 
+def signatures(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, its entry) of all parts of all sets; and for each entry the index of its set, and 6 words: size, limit, sketch.
 
-def signatures(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of its set) of all parts of all sets."""
-    picked = [(i, c, p) for i, x in enumerate(sets) if len(x) for c, p in classes.of(len(x))]
+    A set has an entry for each class it has signatures under, and one for the
+    tokens of its prefix, which no sketch limits.
+    """
+    none = np.empty(0, np.int64)
+    picked = [(i, c, *pe) for i, x in enumerate(sets) if len(x) for c, *pe in classes.of(len(x))]
     if not picked:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    index, kind, parts = (np.array(x, dtype=np.int64) for x in zip(*picked, strict=True))
+        return np.empty(0, np.uint64), none, none, np.empty((0, 6), np.uint64)
+    index, kind, parts, spare = (np.array(x, dtype=np.int64) for x in zip(*picked, strict=True))
+    n = len(index)
     sizes = np.array([len(sets[i]) for i in index.tolist()], dtype=np.int64)
     starts = np.cumsum(parts) - parts
-    tokens = np.concatenate([sets[i] for i in index.tolist()])
-    slot = np.repeat(starts, sizes) + (mix(tokens, 11) % np.repeat(parts, sizes).astype(np.uint64)).astype(np.int64)
+    tokens, entry = np.concatenate([sets[i] for i in index.tolist()]), np.repeat(np.arange(n), sizes)
+    slot = starts[entry] + (mix(tokens, 11) % parts[entry].astype(np.uint64)).astype(np.int64)
     total = int(parts.sum())
     low = np.bincount(slot, (tokens & np.uint64(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64)
     high = np.bincount(slot, (tokens >> np.uint64(32)).astype(np.float64), total).astype(np.uint64)
     filled = np.bincount(slot, minlength=total) > 0
-    owner = np.repeat(np.arange(len(index)), parts)
+    owner = np.repeat(np.arange(n), parts)
     place = np.arange(total, dtype=np.int64) - starts[owner]
     with np.errstate(over="ignore"):
         sig = mix(mix(low, 1) + mix(high, 2) + mix((kind[owner].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64), 3), 4)
-    # Equal parts may all be empty; SPARE makes up for that many.  A set with more empty parts has signatures for these too.
-    empty = np.bincount(owner[~filled], minlength=len(index)) > SPARE
-    kept = filled | empty[owner]
-    return sig[kept], index[owner[kept]]
+    differ = parts - spare - 1  # tokens in which two sets of the class may differ
+    facts = np.zeros((n, 6), dtype=np.uint64)
+    facts[:, 0] = sizes
+    if classes.sketched:
+        shift = np.where(differ <= 60, 0, np.ceil(np.log2(np.maximum(differ, 1) / 30.0))).astype(np.int64)
+        share = differ / 2.0**shift
+        facts[:, 1] = np.where(shift > 0, np.ceil(share + 8 * np.sqrt(share)), differ)
+        facts[:, 2:] = sketches(tokens, entry, n, shift)
+    found, owners, more, more_facts = [sig[filled]], [owner[filled]], [], []
+    for i in sorted(set(index[np.bincount(owner[~filled], minlength=n) > spare].tolist())):
+        size = len(sets[i])  # tokens are sorted, so these are the first in one order for all sets
+        prefix = sets[i][: size + (-size * classes.num // classes.den) + 1]
+        found.append(mix(prefix, 13))
+        owners.append(np.full(len(prefix), n + len(more), dtype=np.int64))
+        more.append(i)
+        more_facts.append([size, 256, 0, 0, 0, 0])
+    index = np.concatenate([index, np.array(more, dtype=np.int64)])
+    return np.concatenate(found), np.concatenate(owners), index, np.concatenate([facts, np.array(more_facts, dtype=np.uint64).reshape(-1, 6)])
 
 
 class Union:
@@ -133,17 +173,53 @@ def stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     first[1:] = sig[1:] != sig[:-1]
     least = node[np.flatnonzero(first)][np.cumsum(first) - 1]
     a, b = node[node != least], least[node != least]
+    both = np.unique(np.stack([a, b]), axis=1)
+    return sig[first], node[first], *forest(both[0], both[1])
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) rows that connect what the pairs connect."""
     names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    both = np.unique(flat[: len(a)] * max(1, len(names)) + flat[len(a) :]) if len(a) else np.empty(0, np.int64)
     links = Union(len(names))
-    for x, y in zip((both // max(1, len(names))).tolist(), (both % max(1, len(names))).tolist(), strict=True):
+    for x, y in zip(flat[: len(a)].tolist(), flat[len(a) :].tolist(), strict=True):
         links.join(x, y)
     roots = np.array([links.find(i) for i in range(len(names))], dtype=np.int64)
     moved = roots != np.arange(len(names))
-    return sig[first], node[first], names[moved], names[roots[moved]] if len(names) else names
-
-
-SIGNED = "id {kind}, n_shingles long, set_key binary, node long, shard int, sigs binary, nodes binary, a binary, b binary"
+    return names[moved], names[roots[moved]] if len(names) else names
+
+
+def compared(sig: np.ndarray, entry: np.ndarray, node: np.ndarray, facts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) rows that connect the entries of a signature that sizes and sketches do not tell apart; of a signature of over WIDE entries all."""
+    order = np.lexsort((entry, sig))
+    sig, entry = sig[order], entry[order]
+    first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.empty(0, np.int64)
+    count = np.diff(np.append(first, len(sig)))
+    left, right = [], []
+    wide = np.flatnonzero(count > WIDE)
+    for f, n in zip(first[wide].tolist(), count[wide].tolist(), strict=True):
+        left.append(node[entry[f : f + n]])
+        right.append(np.full(n, node[entry[f]]))
+    at = np.arange(len(sig)) - np.repeat(first, count)
+    room = np.repeat(count, count) - at - 1  # entries of the bucket that follow
+    rows = np.flatnonzero((room > 0) & (np.repeat(count, count) <= WIDE))
+    size = facts[:, 0].astype(np.int64)
+    step = 1
+    while len(rows):
+        for chunk in np.array_split(rows, max(1, len(rows) // 500_000)):
+            x, y = entry[chunk], entry[chunk + step]
+            some = (node[x] != node[y]) & (den * np.minimum(size[x], size[y]) >= num * np.maximum(size[x], size[y]))
+            x, y = x[some], y[some]
+            apart = np.bitwise_count(facts[x, 2:] ^ facts[y, 2:]).sum(axis=1)
+            some = apart <= np.maximum(facts[x, 1], facts[y, 1])
+            pair = np.unique(np.stack([node[x[some]], node[y[some]]]), axis=1)
+            left.append(pair[0])
+            right.append(pair[1])
+        step += 1
+        rows = rows[room[rows] >= step]
+    return forest(np.concatenate(left), np.concatenate(right)) if left else (node[:0], node[:0])
+
+
+SIGNED = "id {kind}, n_shingles long, set_key binary, node long, shard int, sigs binary, nodes binary, a binary, b binary, who binary, facts binary"
 LINKED = "id {kind}, n_shingles long, set_key binary, node long, a long, b long"
 
 
@@ -151,29 +227,54 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, shard
     """Rows of two kinds: for each document its set, and for each shard the signatures of the sets of many documents."""
     words, classes = Hashes(), Classes(num, den)
     seen: set[int] = set()
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     done = 0
 
     def rows(**columns: list | pa.Array) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
+    def dealt(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order by shard, and where the shards begin in it."""
+        shard = (mix(values.view(np.uint64), 5) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
     def flush() -> pa.RecordBatch:
-        sig, node, a, b = stars(np.concatenate([x[0] for x in kept]), np.concatenate([x[1] for x in kept]))
+        before = np.cumsum([0, *(len(x[2]) for x in kept)])
+        sig, entry = np.concatenate([x[0] for x in kept]), np.concatenate([x[1] + b for x, b in zip(kept, before, strict=False)])
+        node, facts = np.concatenate([x[2] for x in kept]), np.concatenate([x[3] for x in kept])
         kept.clear()
         seen.clear()
-        dealt, links = (mix(sig, 5) % np.uint64(shards)).astype(np.int64), (mix(a.view(np.uint64), 5) % np.uint64(shards)).astype(np.int64)
-        order, by = np.argsort(dealt, kind="stable"), np.argsort(links, kind="stable")
-        cut, at = np.searchsorted(dealt[order], np.arange(shards + 1)), np.searchsorted(links[by], np.arange(shards + 1))
-        sig, node, a, b = sig[order], node[order], a[by], b[by]
+        a = b = node[:0]
+        if classes.sketched:  # what is too wide already is starred here, and sends one entry on
+            names, flat, count = np.unique(sig, return_inverse=True, return_counts=True)
+            wide = count[flat] > WIDE
+            if wide.any():
+                _, _, a, b = stars(sig[wide], node[entry[wide]])
+                order = np.flatnonzero(wide)[np.argsort(node[entry[wide]], kind="stable")]
+                first = order[np.unique(flat[order], return_index=True)[1]]
+                chosen = np.sort(np.concatenate([np.flatnonzero(~wide), first]))
+                sig, entry = sig[chosen], entry[chosen]
+        else:
+            sig, least, a, b = stars(sig, node[entry])
+        order, cut = dealt(sig)
+        by, at = dealt(a)
+        sig, a, b = sig[order], a[by], b[by]
         full = [i for i in range(shards) if cut[i] < cut[i + 1] or at[i] < at[i + 1]]
-        return rows(
-            shard=full,
-            sigs=[sig[cut[i] : cut[i + 1]].tobytes() for i in full],
-            nodes=[node[cut[i] : cut[i + 1]].tobytes() for i in full],
-            a=[a[at[i] : at[i + 1]].tobytes() for i in full],
-            b=[b[at[i] : at[i + 1]].tobytes() for i in full],
-        )
+        columns: dict[str, list] = {"shard": full, "sigs": [sig[cut[i] : cut[i + 1]].tobytes() for i in full]}
+        columns |= {c: [x[at[i] : at[i + 1]].tobytes() for i in full] for c, x in (("a", a), ("b", b))}
+        if classes.sketched:
+            entry = entry[order]
+            columns |= {"nodes": [], "who": [], "facts": []}
+            for i in full:
+                mine, local = np.unique(entry[cut[i] : cut[i + 1]], return_inverse=True)
+                for c, x in (("nodes", local.astype(np.uint32)), ("who", node[mine]), ("facts", facts[mine])):
+                    columns[c].append(x.tobytes())
+        else:
+            least = least[order]
+            columns["nodes"] = [least[cut[i] : cut[i + 1]].tobytes() for i in full]
+        return rows(**columns)
 
     for batch in slices(batches, "text"):
         sets = shingle_sets(raw_texts(batch, "text"), k, words)
@@ -186,25 +287,32 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, shard
             if x is not None and x not in seen:
                 seen.add(x)
                 fresh.append(i)
-        sig, owner = signatures([sets[i] for i in fresh], classes)
+        sig, entry, index, facts = signatures([sets[i] for i in fresh], classes)
         if len(sig):
-            kept.append((sig, np.array([nodes[i] for i in fresh], dtype=np.int64)[owner]))
+            kept.append((sig, entry, np.array([nodes[i] for i in fresh], dtype=np.int64)[index], facts))
         if sum(len(x[0]) for x in kept) >= FLUSH_ROWS:
             yield flush()
     if kept:
         yield flush()
 
 
-def _bucket_links(table: pa.Table, schema: pa.Schema) -> pa.Table:
+def _bucket_links(table: pa.Table, schema: pa.Schema, num: int, den: int) -> pa.Table:
     """The links of one shard, after the documents that came along."""
     known = table.filter(pc.is_null(table.column("sigs")))
     packed = table.filter(pc.is_valid(table.column("sigs")))
-    joined = {c: np.frombuffer(b"".join(packed.column(c).to_pylist()), np.uint64 if c == "sigs" else np.int64) for c in ("sigs", "nodes", "a", "b")}
-    _, _, a, b = stars(joined["sigs"], joined["nodes"])
-    # What tasks have linked goes through the same forest, as buckets of two.
-    pairs = np.concatenate([np.arange(len(a)), np.arange(len(joined["a"])) + len(a)]).astype(np.uint64)
-    left, right = np.concatenate([a, joined["a"]]), np.concatenate([b, joined["b"]])
-    _, _, a, b = stars(np.concatenate([pairs, pairs]), np.concatenate([left, right]))
+
+    def joined(c: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(packed.column(c).to_pylist()), kind)
+
+    sig, a, b = joined("sigs", np.uint64), joined("a", np.int64), joined("b", np.int64)
+    if Classes(num, den).sketched:
+        who, facts = joined("who", np.int64), joined("facts", np.uint64).reshape(-1, 6)
+        counts = [len(x) // 8 for x in packed.column("who").to_pylist()]
+        shift = np.repeat(np.cumsum(counts) - counts, [len(x) // 4 for x in packed.column("nodes").to_pylist()])
+        x, y = compared(sig, joined("nodes", np.uint32).astype(np.int64) + shift, who, facts, num, den)
+    else:
+        _, _, x, y = stars(sig, joined("nodes", np.int64))
+    a, b = forest(np.concatenate([a, x]), np.concatenate([b, y]))
     total = known.num_rows + len(a)
     columns = []
     for f in schema:
@@ -283,8 +391,8 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     kind = docs.schema["id"].dataType.simpleString()
     shards = max(shuffle_partitions(spark), math.ceil(docs.count() * 90 / SHARD_ROWS))
     schema, linked = (to_arrow_schema(_parse_datatype_string(x.format(kind=kind))) for x in (SIGNED, LINKED))
-    signed = docs.mapInArrow(lambda it: _signed(it, k, num, den, shards, schema), SIGNED.format(kind=kind))
-    signed = written(signed.groupBy("shard").applyInArrow(lambda t: _bucket_links(t, linked), LINKED.format(kind=kind)), "signed")
+    signed = docs.mapInArrow(lean(lambda it: _signed(it, k, num, den, shards, schema)), SIGNED.format(kind=kind))
+    signed = written(signed.groupBy("shard").applyInArrow(lambda t: _bucket_links(t, linked, num, den), LINKED.format(kind=kind)), "signed")
     each = signed.where("a is null").select("id", "n_shingles", "set_key", "node")
     links = signed.where("a is not null").select("a", "b")
     near = connected_components(links)
@@ -308,7 +416,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             columns = [batch.column("id"), pa.array([set_key(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["at", "key", "tokens"]).filter(kept)
 
-    picked = docs.select(F.xxhash64("id").alias("h"), "id", "text").mapInArrow(tokens, f"at {kind}, key binary, tokens binary")
+    picked = docs.select(F.xxhash64("id").alias("h"), "id", "text").mapInArrow(lean(tokens), f"at {kind}, key binary, tokens binary")
     full = picked.join(members, (F.col("key") == F.col("set_key")) & F.col("at").eqNullSafe(F.col("id"))).select("set_key", "node", "component", "tokens").join(sizes, "component")
     block = F.pmod(F.xxhash64("set_key"), F.col("blocks"))
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array(block.cast("int")))))

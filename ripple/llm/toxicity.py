@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripple.llm.common import raw_texts, slices
+from ripple.llm.common import lean, raw_texts, slices
 from ripple.llm.labelled import SAMPLE_ROWS, held_out, logistic, sigmoid, training_rows
 
 WORD = re.compile(r"\w+")
@@ -183,7 +183,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     Terms are taken by the signed root of their likelihood ratio; a word that
     begins with a stem already taken adds nothing and is passed over.
     """
-    words = sample.mapInArrow(_counted, "word string, n0 long, d0 long, n1 long, d1 long")
+    words = sample.mapInArrow(lean(_counted), "word string, n0 long, d0 long, n1 long, d1 long")
     stems = [F.substring("word", 1, n) for n in range(MIN_STEM, MAX_STEM + 1)]
     terms = words.select("*", F.explode(F.array_distinct(F.array(F.concat(F.lit("="), "word"), *stems))).alias("term"))
     terms = terms.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n0", "d0", "n1", "d1")], F.countDistinct("word").alias("forms")).where(F.col("d1") >= MIN_TOXIC_DOCS)
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
             x = [describe(t.decode("utf-8", "replace"), kinds) for t in raw_texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("label")], names=["x", "label"])
 
-    got = sample.select("text", "label").mapInArrow(run, "x array<double>, label int").toPandas()
+    got = sample.select("text", "label").mapInArrow(lean(run), "x array<double>, label int").toPandas()
     if not len(got):
         return lexicon, np.append(np.zeros(FEATURES), -3.0)
     return lexicon, logistic(np.array(got["x"].tolist()), got["label"].to_numpy(dtype=float))
@@ -244,7 +244,7 @@ def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray], key: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(x[:, 4] > 0)], names=["row", "score", "predicted", "any_hit"])
 
     row = wide.schema["row"].dataType.simpleString()
-    done = wide.mapInArrow(run, f"row {row}, score double, predicted int, any_hit boolean")
+    done = wide.mapInArrow(lean(run), f"row {row}, score double, predicted int, any_hit boolean")
     return done.select(*[F.col(f"row.`{c}`").alias(c) for c in others], "score", "predicted", "any_hit")
 
 
