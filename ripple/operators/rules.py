@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ripple.functions import evidence as E
@@ -40,10 +40,11 @@ def _finding(df: DataFrame, **columns: Column | str) -> DataFrame:
     return df.select(*[full[k].alias(k) for k in FINDING])
 
 
-def removed_columns(removed: DataFrame, radius: DataFrame, mentions: DataFrame, stars: DataFrame, complete: DataFrame) -> DataFrame:
+def removed_columns(removed: DataFrame, radius: DataFrame, mentions: DataFrame, stars: DataFrame, complete: Row) -> DataFrame:
     """R001 over (node_id, name, column), their radius, what still names them, and star use; ``complete`` is the head's coverage row."""
     on = ["node_id", "column"]
-    x = removed.join(radius, on, "left").join(mentions.withColumnRenamed("models", "named_in"), on, "left").join(stars, on, "left").crossJoin(F.broadcast(complete.select("is_complete", "analysed_pct")))
+    x = removed.join(radius, on, "left").join(mentions.withColumnRenamed("models", "named_in"), on, "left").join(stars, on, "left")
+    x = x.withColumn("is_complete", F.lit(complete["is_complete"])).withColumn("analysed_pct", F.lit(float(complete["analysed_pct"])))
     none = F.array().cast("array<string>")
     x = x.withColumns({c: F.coalesce(c, none) for c in ("columns", "models", "tests", "exposures", "query_breaks", "named_in")})
     x = x.withColumn("confidence", F.coalesce("confidence", F.lit(E.UNKNOWN))).withColumn("star_only", F.coalesce("star_only", F.lit(False)))
@@ -66,10 +67,10 @@ def removed_columns(removed: DataFrame, radius: DataFrame, mentions: DataFrame,
     )
 
 
-def removed_models(removed: DataFrame, dangling: DataFrame, complete: DataFrame) -> DataFrame:
+def removed_models(removed: DataFrame, dangling: DataFrame, complete: Row) -> DataFrame:
     """R002 over (unique_id, name) and what in the head still refers to them."""
     wanted = dangling.groupBy(F.col("removed").alias("name")).agg(F.array_sort(F.collect_list("dependent")).alias("dependents"))
-    x = removed.join(wanted, "name", "left").crossJoin(F.broadcast(complete.select("is_complete")))
+    x = removed.join(wanted, "name", "left").withColumn("is_complete", F.lit(complete["is_complete"]))
     some = F.col("dependents").isNotNull()
     severity = F.when(some, "breaking").when(F.col("is_complete"), "safe").otherwise("possibly_breaking")
     detail = (
@@ -96,7 +97,7 @@ def findings(base, head) -> DataFrame:
     """All findings of a change from base to head."""
     sides = Sides(base, head)
     common = sides.common
-    complete = V.coverage(head.snapshot.nodes, head.states)
+    complete = V.coverage(head.snapshot.nodes, head.states).first()  # one row
     removed = C.columns_removed(common, base.contracts_df, head.contracts_df)
     radius = I.blast_radius(removed, base.edges, base.required, base.snapshot.tests, base.snapshot.exposures)
     gone = C.models_removed(base.snapshot.nodes, head.snapshot.nodes)
