@@ -60,3 +60,20 @@ def summarise(results: DataFrame, project: str, kind: str, good: Column) -> Data
     """(kind, models, weighted_pct, mean_pct): the share of good rows over all models, and the mean of the projects' shares."""
     per = results.groupBy(kind, project).agg(F.count("*").alias("n"), F.count_if(good).alias("good"))
     return per.groupBy(kind).agg(F.sum("n").alias("models"), (100 * F.sum("good") / F.sum("n")).alias("weighted_pct"), F.avg(100 * F.col("good") / F.col("n")).alias("mean_pct"))
+
+
+def top_reasons(results: DataFrame, reason: str, k: int = 25) -> DataFrame:
+    """(reason, models): the most frequent reasons that are not empty, ties by name."""
+    return results.where(F.coalesce(F.col(reason), F.lit("")) != "").groupBy(F.col(reason).alias("reason")).agg(F.count("*").alias("models")).orderBy(F.desc("models"), "reason").limit(k)
+
+
+def edges_by_kind(edges: DataFrame) -> DataFrame:
+    """(kind, confidence, edges)."""
+    return edges.groupBy("kind", E.confidence_name(F.col("confidence")).alias("confidence")).agg(F.count("*").alias("edges"))
+
+
+def unearned(edges: DataFrame, states: DataFrame, recovered: DataFrame) -> DataFrame:
+    """Edges said to be confirmed whose model is not exact or whose SQL was only rendered; there must be none."""
+    have = states.select("side", F.col("node_id").alias("down_node"), "resolution").join(recovered.select("side", F.col("node_id").alias("down_node"), "sql_source"), ["side", "down_node"])
+    earned = (F.col("resolution") == "exact") & F.col("sql_source").isin("manifest_compiled", "disk_compiled")
+    return edges.where(F.col("confidence") == E.CONFIRMED).join(have, ["side", "down_node"]).where(~earned)

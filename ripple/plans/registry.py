@@ -651,3 +651,34 @@ def findings_markdown_rows(spark, sf_dir):
     return rows.select("rule", "node_name", F.col("column").alias("col"), F.regexp_extract("markdown", r"((?:model|column) `[^`]*`)", 1).alias("subject"))
 
 
+
+
+@register("star_profile", "SELECT * FROM " + values([("stg_orders", True, True), ("stg_customers", False, False), ("fct_orders", True, False), ("dim_customers", False, False), ("order_priorities", False, False), ("all_customers", True, True), ("order_report", False, False), ("tmp_orders", False, False)], "model, any_star, top_star"))
+def star_profile(spark, sf_dir):
+    base, _ = sides(spark)
+    with FrontEnd(spark, "duckdb") as front:
+        rows = [(u.split(".")[-1], *front.parsed(r.sql).stars) for u, r in base.recovered.items() if r.sql]
+    return spark.createDataFrame(rows, "model string, any_star boolean, top_star boolean")
+
+
+@register("edges_by_kind", f"WITH {_COLUMN_EDGES_SQL} SELECT kind, CASE confidence WHEN 2 THEN 'confirmed' WHEN 1 THEN 'likely' ELSE 'unknown' END AS confidence, count(*) AS edges FROM e GROUP BY ALL")
+def edges_by_kind(spark, sf_dir):
+    return V.edges_by_kind(_column_edges(spark, sf_dir))
+
+
+@register("top_reasons", f"WITH {_STATES_SQL} SELECT reason, count(*) AS models FROM s WHERE reason <> '' GROUP BY reason ORDER BY models DESC, reason LIMIT 25")
+def top_reasons(spark, sf_dir):
+    """The 25 most frequent reasons, the report's limit."""
+    return V.top_reasons(_states(spark, sf_dir)[1], "reason")
+
+
+@register("unearned_edges", "SELECT CAST(0 AS BIGINT) AS edges")
+def unearned_edges(spark, sf_dir):
+    base, _ = sides(spark)
+    return V.unearned(base.edges, base.states, base.recovered_df).agg(F.count("*").alias("edges"))
+
+
+@register("recovered_sql", "SELECT * FROM " + values([(n, "rendered") for n in _BASE_MODELS], "model, sql_source"))
+def recovered_sql(spark, sf_dir):
+    base, _ = sides(spark)
+    return base.recovered_df.select(F.element_at(F.split("node_id", r"\."), -1).alias("model"), "sql_source")
