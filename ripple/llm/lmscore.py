@@ -266,7 +266,8 @@ def cross_entropy_difference(docs: DataFrame, target: Column, key: str = "doc_id
     and texts without words, have no tokens, are in no model and score 0; a null
     target is false; keys are whole numbers or null; repeated rows count each.
     An empty target leaves its model uniform; an empty table gives an empty one.
-    Other columns are not read.
+    Other columns are not read.  ``docs`` is read three times and should be a table,
+    or written as one before: what tasks send depends on their rows' order.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))

@@ -228,7 +228,6 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, shard
     words, classes = Hashes(), Classes(num, den)
     seen: set[int] = set()
     kept: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    done = 0
 
     def rows(**columns: list | pa.Array) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
@@ -280,8 +279,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, shard
         sets = shingle_sets(raw_texts(batch, "text"), k, words)
         keys = [set_key(x) if len(x) else None for x in sets]
         nodes = [int.from_bytes(x[:8], "little", signed=True) if x else None for x in keys]
-        yield rows(id=batch.column("id"), n_shingles=[len(x) for x in sets], set_key=keys, node=nodes, shard=[i % shards for i in range(done, done + len(sets))])
-        done += len(sets)
+        yield rows(id=batch.column("id"), n_shingles=[len(x) for x in sets], set_key=keys, node=nodes, shard=(batch.column("h").to_numpy() % shards).tolist())
         fresh = []
         for i, x in enumerate(nodes):
             if x is not None and x not in seen:
@@ -384,14 +382,15 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     have no word have no shingles and are linked with nothing: their component
     is their own key.  Rows that repeat, and rows whose key is null, are nodes
     like others (a component of null keys alone is null).  Other columns are not
-    read; an empty table gives an empty one.
+    read; an empty table gives an empty one.  ``docs`` is read twice and should be
+    a table, or written as one before: what tasks send depends on their rows' order.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     shards = max(shuffle_partitions(spark), math.ceil(docs.count() * 90 / SHARD_ROWS))
     schema, linked = (to_arrow_schema(_parse_datatype_string(x.format(kind=kind))) for x in (SIGNED, LINKED))
-    signed = docs.mapInArrow(lean(lambda it: _signed(it, k, num, den, shards, schema)), SIGNED.format(kind=kind))
+    signed = docs.withColumn("h", F.xxhash64("id")).mapInArrow(lean(lambda it: _signed(it, k, num, den, shards, schema)), SIGNED.format(kind=kind))
     signed = written(signed.groupBy("shard").applyInArrow(lambda t: _bucket_links(t, linked, num, den), LINKED.format(kind=kind)), "signed")
     each = signed.where("a is null").select("id", "n_shingles", "set_key", "node")
     links = signed.where("a is not null").select("a", "b")
