@@ -28,7 +28,7 @@ import gc
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁".encode()
 CHUNK = re.compile(rb" *[^ ]+| +")
 SLICE = 5 << 20
-KEEP = 120_000  # chunks whose lattices a task keeps
+KEEP = 200_000  # chunks whose lattices a task keeps
+LONG = 64  # bytes of a chunk beyond which it is not kept, and mean bytes beyond which a slice is cut smaller
 HEAD = 48  # steps of a path from which a bound is taken that spares the others
 
 
@@ -81,8 +82,8 @@ class Pieces:
                         size += 1
                     at = trie[key]
                 ends[at] = i
-        self.sizes = np.fromiter(map(len, self.surface), np.int64, n)
-        self.places = np.cumsum(self.sizes) - self.sizes
+        self.sizes = np.fromiter(map(len, self.surface), np.int32, n)
+        self.places = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
         self.letters = np.frombuffer(b"".join(self.surface), np.uint8)
         self.space = [sp.piece_to_id("▁")]
         self.byte_weight = -theta * np.log(4 * n)
@@ -107,8 +108,8 @@ class Pieces:
         """The nodes below, -1 where there is none."""
         keys = nodes.astype(np.int64) << 8 | letters
         slot = self._slot(keys)
-        found = self.keys[slot]
-        out = np.where(found == keys, self.values[slot], -1)
+        found = self.keys.take(slot)
+        out = np.where(found == keys, self.values.take(slot), -1)
         open_ = np.flatnonzero((found != keys) & (found >= 0))
         while len(open_):
             slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
@@ -145,20 +146,20 @@ class Lattice:
         at, nodes, depth = here, np.zeros(len(here), dtype=np.int32), 0
         n_edges = np.zeros(n_nodes, dtype=np.int32)
         while len(at):
-            nodes = pieces.step(nodes, self.letters[at + depth])
+            nodes = pieces.step(nodes, self.letters.take(at + depth))
             depth += 1
-            on = nodes >= 0
-            at, nodes = at[on], nodes[on]
-            ids = pieces.ends[nodes]
-            some = ids >= 0
-            if some.any():
-                start = at[some]
-                found.append((start, depth, ids[some]))
+            on = np.flatnonzero(nodes >= 0)
+            at, nodes = at.take(on), nodes.take(on)
+            ids = pieces.ends.take(nodes)
+            some = np.flatnonzero(ids >= 0)
+            if len(some):
+                start = at.take(some)
+                found.append((start, depth, ids.take(some)))
                 n_edges[start] += 1
                 if depth <= 4:
-                    alone[start[wide[start] == depth]] = True
-            on = at + depth < limit[at]
-            at, nodes = at[on], nodes[on]
+                    alone[start[wide.take(start) == depth]] = True
+            on = np.flatnonzero(at + depth < limit.take(at))
+            at, nodes = at.take(on), nodes.take(on)
         lost = here[~alone[here]]
         n_edges[lost] += 1
         total = int(n_edges.sum())
@@ -167,9 +168,9 @@ class Lattice:
         self.to, self.id, weight = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total)
         fill = self.at + n_edges - 1  # long pieces come first
         for start, length, ids in found:
-            slot = fill[start]
-            self.to[slot], self.id[slot], weight[slot] = start + length, ids, pieces.weight[ids]
-            fill[start] -= 1
+            slot = fill.take(start)
+            self.to[slot], self.id[slot], weight[slot] = start + length, ids, pieces.weight.take(ids)
+            fill[start] = slot - 1
         slot = fill[lost]
         self.to[slot], self.id[slot], weight[slot] = lost + wide[lost], -1, wide[lost] * pieces.byte_weight
 
@@ -194,81 +195,99 @@ class Lattice:
             if not len(node):
                 continue
             begin = np.cumsum(count) - count
-            edge = np.repeat(self.at[node] - begin, count) + np.arange(int(begin[-1] + count[-1]))
+            edge = np.repeat(self.at.take(node) - begin, count) + np.arange(int(begin[-1] + count[-1]))
             if rest is None:
-                mass[node] = np.add.reduceat(gain[edge] * mass[self.to[edge]], begin)
+                mass[node] = np.add.reduceat(gain.take(edge) * mass.take(self.to.take(edge)), begin)
             else:
                 value = weight[edge] + rest[self.to[edge]]
                 top = np.maximum.reduceat(value, begin)
                 rest[node] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count)), begin))
         self.start = np.repeat(np.arange(n_nodes, dtype=np.int32), n_edges)
         if rest is None:
-            chance = gain * mass[self.to] / mass[self.start]
+            chance = gain * mass.take(self.to) / mass.take(self.start)
             self.log = np.log(chance)
         else:
             self.log = weight + rest[self.to] - rest[self.start]
             chance = np.exp(self.log)
         upto = np.cumsum(chance)
         before = np.append(0.0, upto)[self.at]
-        self.upto = (upto - before[self.start]).astype(np.float32)
+        self.upto = (upto - before.take(self.start)).astype(np.float32)
         self.upto[(self.at + n_edges - 1)[n_edges > 0]] = 2.0  # the last edge takes what is left
 
-    def joined(self, other: "Lattice") -> "Lattice":
-        """Both, the other's chunks after one's own."""
-        out = object.__new__(Lattice)
-        nodes, edges = len(self.letters), len(self.to)
+
+class Store:
+    """Lattices one after another in arrays that grow; what follows the kept ones is overwritten."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.arrays = {f: np.empty(0, getattr(Lattice(pieces, []), f).dtype) for f in Lattice.FIELDS}
+        self.kept = dict.fromkeys(Lattice.FIELDS, 0)
+
+    def add(self, lattice: Lattice, keep: bool) -> Lattice:
+        """The kept lattices and this one, as one; it is kept itself if asked."""
+        nodes, edges = self.kept["letters"], self.kept["to"]
         shift = {"first": nodes, "last": nodes, "to": nodes, "start": nodes, "at": edges}
-        for f in self.FIELDS:
-            setattr(out, f, np.concatenate([getattr(self, f), getattr(other, f) + np.int32(shift[f]) if f in shift else getattr(other, f)]))
+        out = object.__new__(Lattice)
+        for f in Lattice.FIELDS:
+            new, old, n = getattr(lattice, f), self.arrays[f], self.kept[f]
+            if len(old) < n + len(new):
+                self.arrays[f] = np.empty(int(1.2 * (n + len(new))), old.dtype)
+                self.arrays[f][:n] = old[:n]
+            part = self.arrays[f][n : n + len(new)]
+            part[:] = new
+            if f in shift:
+                part += part.dtype.type(shift[f])
+            setattr(out, f, self.arrays[f][: n + len(new)])
+            if keep:
+                self.kept[f] = n + len(new)
         return out
 
 
 class Known(dict):
-    """Numbers chunks; of those that occur more than once in a slice, so many are kept with their lattices."""
+    """Numbers chunks, given without the space they begin with, and keeps the lattices of so many.
+
+    At first all are kept, from half of that number on those that occur more
+    than once in a slice; what is kept changes no result.
+    """
 
     def __init__(self, pieces: Pieces, keep: int = KEEP) -> None:
         super().__init__()
-        self.pieces, self.lattice, self.new, self.keep = pieces, Lattice(pieces, []), [], keep
+        self.pieces, self.store, self.keep = pieces, Store(pieces), keep
         self.base = 0
         self.own, self.own_count = np.empty(0, np.int32), np.empty(0, np.int64)  # the tokenizer's own ids of the chunks that are kept
 
-    def __missing__(self, chunk: bytes) -> int:
-        number = self[chunk] = self.base + len(self.new)
-        self.new.append(chunk)
-        return number
-
     def numbered(self, chunks: list[bytes]) -> tuple[np.ndarray, Lattice, np.ndarray, np.ndarray]:
         """The chunks' numbers, and by number their lattices, the tokenizer's own ids, and the counts of these.
 
         No piece holds a space after another character, so no merge crosses
         from one chunk to the next, and a text's ids are those of its chunks.
         """
-        numbers = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-        base, new = self.base, self.new
-        often = np.bincount(numbers[numbers >= base] - base, minlength=len(new)) > 1
+        numbers, base = np.fromiter(map(self.get, chunks, repeat(-1)), np.int64, len(chunks)), self.base
+        fresh = np.flatnonzero(numbers < 0)
+        new: dict[bytes, int] = {}
+        ids = np.array([new.setdefault(chunks[i], len(new)) for i in fresh.tolist()], dtype=np.int64)
+        often = np.bincount(ids, minlength=len(new)) > 1
+        if base + len(new) <= self.keep // 2:  # as long as there is room, all of them
+            often[:] = True
+        often &= np.fromiter(map(len, new), np.int64, len(new)) <= LONG
         often[np.flatnonzero(often)[max(0, self.keep - base) :]] = False
         order = np.argsort(~often, kind="stable")
         place = np.empty(len(new), dtype=np.int64)
         place[order] = np.arange(len(new)) + base
-        fresh = numbers >= base
-        numbers[fresh] = place[numbers[fresh] - base]
-        n_kept = int(often.sum())
-        ordered = [new[i] for i in order.tolist()]
-        kept, passing = ([c.replace(b" ", SPACE) for c in x] for x in (ordered[:n_kept], ordered[n_kept:]))
+        numbers[fresh] = place[ids]
+        n_kept, names = int(often.sum()), list(new)
+        ordered = [names[i] for i in order.tolist()]
+        kept, passing = ([SPACE + c.replace(b" ", SPACE) for c in x] for x in (ordered[:n_kept], ordered[n_kept:]))
         if n_kept:
-            self.lattice = self.lattice.joined(Lattice(self.pieces, kept))
-        for i, c in enumerate(ordered[:n_kept]):
-            self[c] = base + i
-        for c in ordered[n_kept:]:
-            del self[c]
-        self.base, self.new = base + n_kept, []
-        found = self.pieces.library.encode([c[1:].decode() for c in ordered]) if ordered else []  # a space is added before each
+            self.store.add(Lattice(self.pieces, kept), True)
+            self.update(zip(ordered[:n_kept], range(base, base + n_kept), strict=True))
+        self.base = base + n_kept
+        found = self.pieces.library.encode([c.decode() for c in ordered]) if ordered else []  # a space is added before each
         found = [x or self.pieces.space for x in found]  # but not to an empty text, which stands for a space at the end
         count = np.concatenate([self.own_count, np.fromiter(map(len, found), np.int64, len(found))])
         own = np.concatenate([self.own, np.fromiter(chain.from_iterable(found), np.int32, int(count[base:].sum()))])
         self.own_count = count[: self.base].copy()
         self.own = own[: int(self.own_count.sum())].copy()
-        return numbers, self.lattice.joined(Lattice(self.pieces, passing)) if passing else self.lattice, own, count
+        return numbers, self.store.add(Lattice(self.pieces, passing), False), own, count
 
 
 def uniform(key: np.ndarray, salt: int) -> np.ndarray:
@@ -281,24 +300,24 @@ def walk(lattice: Lattice, nodes: np.ndarray, last: np.ndarray, keys: np.ndarray
     counts = np.zeros(len(nodes), dtype=np.int64)
     taken: list[tuple[np.ndarray, np.ndarray]] = []
     on = np.flatnonzero(nodes != last)
-    node, key = nodes[on], keys[on]
+    node, key, stop = nodes.take(on), keys.take(on), last.take(on)
     while len(on):
-        edge = lattice.at[node]
-        open_ = np.flatnonzero(lattice.count[node] > 1)
+        edge = lattice.at.take(node)
+        open_ = np.flatnonzero(lattice.count.take(node) > 1)
         if len(open_):
-            u, e = uniform(key[open_], salt).astype(np.float32), edge[open_]
-            left = np.flatnonzero(u >= lattice.upto[e])
+            u, e = uniform(key.take(open_), salt).astype(np.float32), edge.take(open_)
+            left = np.flatnonzero(u >= lattice.upto.take(e))
             while len(left):
                 e[left] += 1
-                left = left[u[left] >= lattice.upto[e[left]]]
+                left = left[u.take(left) >= lattice.upto.take(e.take(left))]
             edge[open_] = e
         taken.append((on, edge))
         counts[on] += 1
-        node = lattice.to[edge]
-        more = node != last[on]
-        on, node = on[more], node[more]
+        node = lattice.to.take(edge)
+        more = np.flatnonzero(node != stop)
+        on, node, stop = on.take(more), node.take(more), stop.take(more)
         with np.errstate(over="ignore"):
-            key = key[more] + np.uint64(0x632BE59BD9B4E019)
+            key = key.take(more) + np.uint64(0x632BE59BD9B4E019)
     ends = np.cumsum(counts)
     out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
     begin = ends - counts
@@ -322,19 +341,26 @@ def ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(begin - ends + count, count) + np.arange(int(ends[-1]))
 
 
+def chunks_of(text: bytes) -> list[bytes]:
+    """Maximal runs of spaces with what follows them, after the space that the tokenizer adds; each without its first space."""
+    if b"  " in text or text[:1] == b" " or text[-1:] == b" ":
+        return [c[1:] for c in CHUNK.findall(b" " + text)]
+    return text.split(b" ") if text else []
+
+
 class Sampler:
     """The k-best perturbed paths of the documents of one slice."""
 
     def __init__(self, known: Known, texts: list[bytes], keys: np.ndarray, k: int) -> None:
         self.k, self.keys = k, keys
-        # A space before the text, as the tokenizer adds one; then maximal runs of spaces with what follows them.
-        split = [CHUNK.findall(b" " + x) if x else [] for x in texts]
+        split = [chunks_of(x) for x in texts]
         per = np.fromiter(map(len, split), np.int64, len(split))
         self.chunk, self.lattice, own, count = known.numbered(list(chain.from_iterable(split)))
         del split
         #: The tokenizer's own ids, text by text, and how many each has.
-        self.own = own[ragged((np.cumsum(count) - count)[self.chunk], count[self.chunk])]
-        self.n_own = _sums(count[self.chunk], per)
+        each = count.take(self.chunk)
+        self.own = own.take(ragged((np.cumsum(count) - count).take(self.chunk), each))
+        self.n_own = _sums(each, per)
         self.doc = np.repeat(np.arange(len(texts)), per)
         self.doc_first = np.cumsum(per) - per  # first chunk of each document
         with np.errstate(over="ignore"):
@@ -427,7 +453,7 @@ class Sampler:
         edges = np.empty(int(counts.sum()), dtype=np.int32)
         for chunks, first, pool in source:
             n = counts[chunks] - shift[chunks]
-            edges[ragged(begin[chunks] + shift[chunks], n)] = pool[ragged(first, n)]
+            edges[ragged(begin.take(chunks) + shift.take(chunks), n)] = pool.take(ragged(first, n))
         edges[ragged(begin[at], lengths)] = [e for j in range(len(docs)) for e in begun[j]]
         return counts, edges
 
@@ -441,7 +467,7 @@ class Sampler:
         per = np.bincount(of_chunk, minlength=n)
         n_edges = np.bincount(of_chunk, counts, minlength=n).astype(np.int64)
         begin = np.cumsum(n_edges) - n_edges
-        log = lat.log[edges]
+        log = lat.log.take(edges)
         total = np.cumsum(log)
         offset = np.where(begin > 0, total[np.maximum(begin, 1) - 1], 0.0) if len(log) else np.zeros(n)
         logp = np.where(n_edges > 0, total[np.maximum(begin + n_edges, 1) - 1] - offset, 0.0) if len(log) else np.zeros(n)
@@ -502,8 +528,8 @@ class Sampler:
     def _others(self, edges: np.ndarray) -> np.ndarray:
         """The chance of the other edges at each edge's node."""
         lat = self.lattice
-        mass = -np.expm1(lat.log[edges])
-        mass[lat.count[lat.start[edges]] == 1] = 0.0
+        mass = -np.expm1(lat.log.take(edges))
+        mass[lat.count.take(lat.start.take(edges)) == 1] = 0.0
         return mass
 
     def _kth_mass(self, prefix: np.ndarray, edges: np.ndarray, begin: np.ndarray, step: np.ndarray, head: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -523,7 +549,7 @@ class Sampler:
     def ids(self, pieces: Pieces, s: int) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of the s-th samples, text by text; how many each has, -1 for texts without such a sample)."""
         lat, sample = self.lattice, self.samples[s]
-        ids = lat.id[sample["edges"]]
+        ids = lat.id.take(sample["edges"])
         counts = np.full(len(self.keys), -1, dtype=np.int64)
         n_edges = sample["n_edges"]
         lost = np.flatnonzero(ids < 0)
@@ -541,12 +567,26 @@ class Sampler:
 
 def decode(pieces: Pieces, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
     """The texts of ids that stand one after another, so many each; the space before every text is taken off."""
-    size = pieces.sizes[ids]
-    raw = pieces.letters[ragged(pieces.places[ids], size)].tobytes()
+    size = pieces.sizes.take(ids)
+    ends = np.cumsum(size, dtype=np.int32)  # a slice has far fewer than 2**31 bytes
+    total = int(ends[-1]) if len(ends) else 0
+    raw = pieces.letters.take(np.repeat(pieces.places.take(ids) - ends + size, size) + np.arange(total, dtype=np.int32)).tobytes()
     ends = np.cumsum(_sums(size, counts)).tolist()
     return [(lambda x: x[1:] if x[:1] == b" " else x)(raw[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
+_last: dict[tuple, Known] = {}
+
+
+def _known(proto: bytes, theta: float, keep: int) -> Known:
+    """The vocabulary and the lattices kept so far; a worker's later tasks take up what its earlier ones left."""
+    key = (xxhash.xxh3_64_intdigest(proto), theta, keep)
+    if key not in _last:
+        _last.clear()
+        _last[key] = Known(Pieces(proto, theta), keep)
+    return _last[key]
+
+
 def row_keys(keys: list, seed: int) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(repr(k).encode(), seed) for k in keys], dtype=np.uint64)
 
@@ -565,6 +605,16 @@ def read_model(spark: SparkSession, path: str) -> bytes:
         return f.read()
 
 
+def _bounded(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of so many bytes, or a fifth where texts have few spaces: their chunks hardly repeat, and each needs a lattice."""
+    for batch in slices(batches, "text", limit):
+        raw = raw_texts(batch, "text")
+        if sum(map(len, raw)) > LONG * (len(raw) + sum(x.count(b" ") for x in raw)):
+            yield from slices(iter([batch]), "text", limit // 5)
+        else:
+            yield batch
+
+
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2, theta: float = 1.0, seed: int = 17, model: str = MODEL, with_ids: bool = False, slice_bytes: int = SLICE, keep: int = KEEP) -> DataFrame:
     """Encode each text, check that it decodes, and sample k segmentations without replacement.
 
@@ -590,10 +640,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
     full = ", ids array<int>, sample_ids array<array<int>>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(proto.value, theta)
-        known = Known(pieces, keep)
+        known = _known(proto.value, theta, keep)
+        pieces = known.pieces
         gc.disable()  # nothing here refers to itself; the collector would walk the millions of chunks again and again
-        for batch in slices(batches, "text", slice_bytes):
+        for batch in _bounded(batches, slice_bytes):
             raw = raw_texts(batch, "text")
             sampler = Sampler(known, raw, row_keys(batch.column("id").to_pylist(), seed), k)
             rows: list[dict[str, list]] = [{"n": [], "sha": [], "logp": [], "in": [], "ids": []} for _ in raw]
