@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ from ripple.operators import contracts as C
 from ripple.operators import coverage as V
 from ripple.operators import rules as R
 from ripple.plans import analysis
-from ripple.plans.catalyst import FrontEnd
 from ripple.plans.report import Report
+from ripple.sources import manifest, project
 from ripple.sources.errors import InputError
 
 
@@ -48,9 +49,8 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _check(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
-    front = FrontEnd(spark)  # one memory for both sides: an unchanged model is analysed once
-    base = analysis.run(spark, args.base, "base", args.base_root, front)
-    head = analysis.run(spark, args.head, "head", args.head_root, front)
+    roots = [Path(r) if r else project.root_of(p) for r, p in ((args.base_root, args.base), (args.head_root, args.head))]
+    base, head = analysis.both(spark, manifest.load(spark, args.base, "base"), manifest.load(spark, args.head, "head"), *roots)
     report = Report(R.ordered(R.findings(base, head)), head)
     said = {"json": lambda: report.json(args.fail_on) + "\n", "markdown": report.markdown, "text": report.text}[args.format]()
     return said, int(report.failed(args.fail_on))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ripple.functions.evidence import UNKNOWN
 from ripple.operators.graph import reach
+from ripple.sources.shared import written
 
 
 def _ref(node: str, column: str):
@@ -50,7 +51,8 @@ def blast_radius(seeds: DataFrame, edges: DataFrame, required: DataFrame, tests:
     starts = seeds.select(F.struct(F.col("node_id").alias("node"), F.lower("column").alias("col")).alias("seed"), "node_id", "column").distinct()
     links = edges.select(_ref("up_node", "up_col").alias("a"), _ref("down_node", "down_col").alias("b"), "confidence")
     needs = required.select(_ref("up_node", "up_col").alias("a"), F.col("down_node").alias("breaks"), "confidence")
-    reached = reach(links.select("a", "b"), starts.select("seed"), keep_seeds=True)
+    starts = written(starts, "seeds")  # both are read many times below
+    reached = written(reach(links.select("a", "b"), starts.select("seed"), keep_seeds=True), "reached")
     met = reached.select("seed", F.col("node").alias("a")).union(starts.select("seed", "seed")).distinct()
 
     columns = reached.groupBy("seed").agg(F.array_sort(F.collect_set(F.concat("node.node", F.lit("."), "node.col"))).alias("columns"), F.collect_set("node.node").alias("column_models"))

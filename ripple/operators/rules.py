@@ -16,6 +16,7 @@ from ripple.functions import evidence as E
 from ripple.operators import contracts as C
 from ripple.operators import coverage as V
 from ripple.operators import impact as I
+from ripple.sources.shared import written
 
 IMPACT = "struct<columns:array<string>,models:array<string>,tests:array<string>,exposures:array<string>,query_breaks:array<string>>"
 FINDING = ("rule", "severity", "confidence", "node_name", "node_id", "column", "summary", "detail", "impact")
@@ -98,7 +99,7 @@ def findings(base, head) -> DataFrame:
     sides = Sides(base, head)
     common = sides.common
     complete = V.coverage(head.snapshot.nodes, head.states).first()  # one row
-    removed = C.columns_removed(common, base.contracts_df, head.contracts_df)
+    removed = written(C.columns_removed(common, base.contracts_df, head.contracts_df), "removed")
     radius = I.blast_radius(removed, base.edges, base.required, base.snapshot.tests, base.snapshot.exposures)
     gone = C.models_removed(base.snapshot.nodes, head.snapshot.nodes)
     parts = [

@@ -21,7 +21,7 @@ from ripple.operators import graph as G
 from ripple.operators import impact as I
 from ripple.operators import rules as R
 from ripple.plans import bundled, report
-from ripple.plans.analysis import Analysis, analyse
+from ripple.plans.analysis import Analysis, both
 from ripple.plans.catalyst import FrontEnd
 from ripple.sources import manifest
 
@@ -51,8 +51,7 @@ def sides(spark: SparkSession) -> tuple[Analysis, Analysis]:
     """Both sides of the bundled project, analysed once a session."""
     app = spark.sparkContext.applicationId
     if app not in _analysed:
-        front = FrontEnd(spark, "duckdb")
-        base, head = (analyse(spark, manifest.from_text(spark, bundled.manifest(s), s), None, front) for s in ("base", "head"))
+        base, head = both(spark, *(manifest.from_text(spark, bundled.manifest(s), s) for s in ("base", "head")))
         _analysed.clear()
         _analysed[app] = (app, base, head)
     return _analysed[app][1:]
