@@ -5,8 +5,8 @@ words apart; templates into windows at every word.  A window's MinHash has BANDS
 bands of one row over its SHINGLE-word runs.  A run of WINDOW - STEP + 1 = 6 words
 lies whole in some window, so a notice of five words or more has a window of which
 its runs are at least half, and meets it in some band with a probability of
-1 - 2 ** -BANDS = 99.98 %; a copy of eight words and more has windows that equal
-the template's and meets them always.  Candidates are verified exactly: the share
+1 - 2 ** -BANDS = 99.98 %; a copy of ten words and more has a window that equals
+one of the template's and meets it always.  Candidates are verified exactly: the share
 of the template's five-word shingles that occur in the whole document.
 """
 
