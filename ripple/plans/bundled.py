@@ -140,7 +140,7 @@ SHAPES: dict[str, tuple[str, str]] = {
     ),
     "distinct": ("select distinct o_orderstatus, o_orderpriority from {{ source('shop', 'orders') }}", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders"),
     "window": (
-        "select o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as nth from {{ source('shop', 'orders') }}",
+        "select o_orderkey, cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as bigint) as nth from {{ source('shop', 'orders') }}",
         "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS nth FROM orders",
     ),
     "join": (
