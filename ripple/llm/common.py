@@ -46,7 +46,7 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
 class Hashes(dict):
     """Word (bytes) to 64-bit hash; forgets everything past ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 120_000) -> None:
         super().__init__()
         self.limit = limit
 
@@ -70,10 +70,29 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+    return whole
+
+
+def trim() -> None:
+    """Give memory that nothing uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean_group(run: Callable[[pa.Table], pa.Table], least: int = 8 << 20) -> Callable[[pa.Table], pa.Table]:
+    """The same map over groups, after which its worker gives free memory back if the group was of so many bytes."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        size = table.nbytes
+        out = run(table)
+        del table
+        if size >= least:
+            trim()
+        return out
 
     return whole
 

@@ -90,7 +90,7 @@ class Pieces:
         self.ends = np.full(size, -1, dtype=np.int32)
         self.ends[list(ends)] = list(ends.values())
         # The trie's edges in an open-addressed table.
-        self.bits = 20
+        self.bits = 18
         self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int32)
         keys, values = np.array(list(trie), dtype=np.int64), np.array(list(trie.values()), dtype=np.int32)
         slot = self._slot(keys)
@@ -615,7 +615,7 @@ def _bounded(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Recor
             yield batch
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2, theta: float = 1.0, seed: int = 17, model: str = MODEL, with_ids: bool = False, slice_bytes: int = SLICE, keep: int = KEEP) -> DataFrame:
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2, theta: float = 1.0, seed: int = 17, model: str = MODEL, with_ids: bool = False, slice_bytes: int = SLICE, keep: int = KEEP, carry: bool = True) -> DataFrame:
     """Encode each text, check that it decodes, and sample k segmentations without replacement.
 
     Returns, one row for each input row: key, n_ids and ids_sha256 (of the
@@ -627,7 +627,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
 
     A task handles ``slice_bytes`` of text at once and keeps the lattices of
     ``keep`` chunks; both bound its memory (some 450 MB as they are, 200 MB at 2 MB
-    and 40,000) and change no result.  A text with fewer than k segmentations has them all.  Null texts count as
+    and 40,000), and without ``carry`` it keeps nothing for the worker's next task; none
+    of these changes a result.  A text with fewer than k segmentations has them all.  Null texts count as
     empty, and an empty text has one empty segmentation.  Texts of one key share
     their draws where they begin alike; keys may be of any type and null.  Other
     columns are not read; an empty table gives an empty one.
@@ -640,7 +641,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
     full = ", ids array<int>, sample_ids array<array<int>>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known(proto.value, theta, keep)
+        known = _known(proto.value, theta, keep) if carry else Known(Pieces(proto.value, theta), keep)
         pieces = known.pieces
         gc.disable()  # nothing here refers to itself; the collector would walk the millions of chunks again and again
         for batch in _bounded(batches, slice_bytes):

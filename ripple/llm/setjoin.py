@@ -39,14 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from ripple.llm.common import Hashes, Sieve, connected_components, lean, mix, raw_texts, shuffle_partitions, slices, without, written
+from ripple.llm.common import Hashes, Sieve, connected_components, lean, lean_group, mix, raw_texts, shuffle_partitions, slices, without, written
 from ripple.llm.shingles import set_key, shingle_sets
 
 SPARE_SHARE = 0.25  # spare parts at most, of the others
 WIDE = 2000
 GROUP = 32
 BLOCK = 4096
-FLUSH_ROWS = 1_000_000  # signatures gathered in a task before they are dealt out
+FLUSH_ROWS = 300_000  # signatures gathered in a task before they are dealt out
 SHARD_ROWS = 1_500_000  # signatures that a shard is meant to hold
 BATCH_SETS = 400  # sets of small components whose matrix is made together
 
@@ -391,7 +391,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     shards = max(shuffle_partitions(spark), math.ceil(docs.count() * 90 / SHARD_ROWS))
     schema, linked = (to_arrow_schema(_parse_datatype_string(x.format(kind=kind))) for x in (SIGNED, LINKED))
     signed = docs.withColumn("h", F.xxhash64("id")).mapInArrow(lean(lambda it: _signed(it, k, num, den, shards, schema)), SIGNED.format(kind=kind))
-    signed = written(signed.groupBy("shard").applyInArrow(lambda t: _bucket_links(t, linked, num, den), LINKED.format(kind=kind)), "signed")
+    signed = written(signed.groupBy("shard").applyInArrow(lean_group(lambda t: _bucket_links(t, linked, num, den)), LINKED.format(kind=kind)), "signed")
     each = signed.where("a is null").select("id", "n_shingles", "set_key", "node")
     links = signed.where("a is not null").select("a", "b")
     near = connected_components(links)
@@ -422,7 +422,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     full = full.withColumn("block", block.cast("int")).withColumn("other", other).withColumn("whole", F.col("blocks") == 1)
     task = F.when(F.col("whole"), F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
     found = full.select(task.alias("task"), "component", "whole", "set_key", "node", "tokens")
-    verified = written(found.groupBy("task").applyInArrow(lambda t: _verified(t, num, den), "node long, root long, whole boolean"), "verified")
+    verified = written(found.groupBy("task").applyInArrow(lean_group(lambda t: _verified(t, num, den)), "node long, root long, whole boolean"), "verified")
     roots = verified.where("whole").select("node", "root")
     if verified.where("not whole").limit(1).count():
         cut = verified.where("not whole")

@@ -115,7 +115,7 @@ class Lexicon:
 class Kinds(dict):
     """Remembers words' kinds, so many at a time."""
 
-    def __init__(self, lexicon: Lexicon, limit: int = 300_000) -> None:
+    def __init__(self, lexicon: Lexicon, limit: int = 100_000) -> None:
         super().__init__()
         self.lexicon, self.limit = lexicon, limit
 
