@@ -39,7 +39,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining documents as ids, with two sampled segmentations (operator 1)."""
-    return pieces.encode(docs, slice_bytes=1 << 20, keep=30_000)
+    return pieces.encode(docs, slice_bytes=1 << 19, keep=15_000, carry=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
