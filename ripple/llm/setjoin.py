@@ -189,7 +189,10 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def compared(sig: np.ndarray, entry: np.ndarray, node: np.ndarray, facts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) rows that connect the entries of a signature that sizes and sketches do not tell apart; of a signature of over WIDE entries all."""
+    """(node, root) rows that connect the entries of a signature that sizes and sketches do not tell apart; of a signature of over WIDE entries all.
+
+    An entry of size 0 stands for a star of sets and is connected with all of its signature.
+    """
     order = np.lexsort((entry, sig))
     sig, entry = sig[order], entry[order]
     first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.empty(0, np.int64)
@@ -207,7 +210,8 @@ def compared(sig: np.ndarray, entry: np.ndarray, node: np.ndarray, facts: np.nda
     while len(rows):
         for chunk in np.array_split(rows, max(1, len(rows) // 500_000)):
             x, y = entry[chunk], entry[chunk + step]
-            some = (node[x] != node[y]) & (den * np.minimum(size[x], size[y]) >= num * np.maximum(size[x], size[y]))
+            low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+            some = (node[x] != node[y]) & ((low == 0) | (den * low >= num * high))
             x, y = x[some], y[some]
             apart = np.bitwise_count(facts[x, 2:] ^ facts[y, 2:]).sum(axis=1)
             some = apart <= np.maximum(facts[x, 1], facts[y, 1])
@@ -253,8 +257,11 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, shard
                 _, _, a, b = stars(sig[wide], node[entry[wide]])
                 order = np.flatnonzero(wide)[np.argsort(node[entry[wide]], kind="stable")]
                 first = order[np.unique(flat[order], return_index=True)[1]]
-                chosen = np.sort(np.concatenate([np.flatnonzero(~wide), first]))
-                sig, entry = sig[chosen], entry[chosen]
+                # That entry stands for sets it may be unlike, so neither size (0) nor sketch may tell it apart.
+                each, local = np.unique(entry[first], return_inverse=True)
+                sig, entry = np.concatenate([sig[~wide], sig[first]]), np.concatenate([entry[~wide], len(node) + local])
+                node = np.concatenate([node, node[each]])
+                facts = np.concatenate([facts, np.tile(np.array([0, 256, 0, 0, 0, 0], dtype=np.uint64), (len(each), 1))])
         else:
             sig, least, a, b = stars(sig, node[entry])
         order, cut = dealt(sig)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -151,6 +152,46 @@ def test_signatures_lose_no_pair(seed, threshold):
     assert len(a) == 1 or not setjoin.Classes(num, den).sketched
 
 
+def test_stars_of_a_flush_lose_no_link(spark, monkeypatch):
+    # Copies of one base: many with ten changed words, and two with one, which are like each other and unlike the many.
+    monkeypatch.setattr(setjoin, "WIDE", 8)
+    monkeypatch.setattr(setjoin, "FLUSH_ROWS", 1)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(134)]
+
+    def changed(n, tag):
+        out = list(base)
+        for i in rng.choice(np.arange(9, 125), n, replace=False):
+            out[i] = f"{tag}x{i}"
+        return out
+
+    def node(words):
+        return int.from_bytes(setjoin.set_key(shingle_sets([" ".join(words).encode()], 5, common.Hashes())[0])[:8], "little", signed=True)
+
+    many = [changed(10, f"h{i}") for i in range(200)]
+    like, other = changed(1, "x"), max((changed(1, f"y{i}") for i in range(60)), key=node)  # not the smallest of any star
+    kind, num, den = "bigint", 80, 100
+    schema, linked = (setjoin.to_arrow_schema(setjoin._parse_datatype_string(x.format(kind=kind))) for x in (setjoin.SIGNED, setjoin.LINKED))
+    tables, sets = [], {}
+    for part, texts in enumerate(([*many, other], [like])):
+        lines = [" ".join(t) for t in texts]
+        batch = pa.RecordBatch.from_pydict({"id": pa.array(range(part * 100, part * 100 + len(lines)), pa.int64()), "text": lines, "h": pa.array([1] * len(lines), pa.int64())})
+        for row in setjoin._signed(iter([batch]), 5, num, den, 1, schema):
+            tables.append(pa.Table.from_batches([row]))
+        for x in shingle_sets([t.encode() for t in lines], 5, common.Hashes()):
+            sets[int.from_bytes(setjoin.set_key(x)[:8], "little", signed=True)] = set(x.tolist())
+    got = setjoin._bucket_links(pa.concat_tables(tables), linked, num, den)
+    names = sorted(sets)
+    links = setjoin.Union(len(names))
+    for a, b in zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True):
+        if a is not None:
+            links.join(names.index(a), names.index(b))
+    pairs = [(a, b) for a in names for b in names if a < b and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    assert (min(node(like), node(other)), max(node(like), node(other))) in pairs
+    for a, b in pairs:
+        assert links.find(names.index(a)) == links.find(names.index(b))
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)]
