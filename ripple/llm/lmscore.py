@@ -186,21 +186,20 @@ def _bigrams(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, shards:
         if size >= STRETCH_TOKENS or held >= STRETCH_DOCS - 10_000:
             if size:
                 yield from flush()
-                nth += 1
             else:
-                yield _unscored(ids, lengths)
+                yield _unscored(ids, lengths, (task << 24) + nth)
+            nth += 1
             for x in (keys, owners, times, ids, lengths, targets):
                 x.clear()
             size = held = 0
     if held and size:
         yield from flush()
     elif held:
-        yield _unscored(ids, lengths)
+        yield _unscored(ids, lengths, (task << 24) + nth)
 
 
-def _unscored(ids: list[np.ndarray], lengths: list[np.ndarray]) -> pa.RecordBatch:
+def _unscored(ids: list[np.ndarray], lengths: list[np.ndarray], stretch: int) -> pa.RecordBatch:
     """A stretch without any word: ids alone."""
-    stretch = -1 - (TaskContext.get().partitionId() << 24) - int(sum(map(len, ids)))
     values = [0, 2, stretch, np.concatenate(ids).tobytes(), np.concatenate(lengths).tobytes(), None, None, None]
     kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["shard", "kind", "stretch", "keys", "n", "t", "docs", "times"])

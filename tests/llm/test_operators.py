@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -312,6 +313,21 @@ def test_language_models(spark, flags):
     assert lmscore.cross_entropy_difference(docs(spark, [None, "", "a b"], [None, None, 1]), F.lit(None).cast("boolean")).count() == 3
 
 
+def test_stretches_without_words_keep_all_rows(monkeypatch):
+    monkeypatch.setattr(lmscore, "STRETCH_DOCS", 10_004)  # a stretch is full at four texts
+    monkeypatch.setattr(lmscore.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 3})()))
+    words = np.array([common.xxhash.xxh3_64_intdigest(b"a")], dtype=np.uint64)
+    vocabulary = lmscore.Vocabulary(words, np.ones((2, 1), np.int64), np.ones(2, np.int64), np.ones(2, np.int64))
+    texts = [*[None] * 4, *[""] * 4, "a", None, " ", None, *[" "] * 4, None, ""]
+    batches = [pa.RecordBatch.from_pydict({"id": [i, i + 1], "text": pa.array(texts[i : i + 2], pa.string()), "target": [True, True]}) for i in range(0, len(texts), 2)]
+    sent = pa.Table.from_batches(list(lmscore._bigrams(iter(batches), vocabulary, 2)))
+    sent = sent.sort_by([("shard", "ascending"), ("kind", "ascending")])
+    summed = pa.Table.from_batches(list(lmscore._scored(iter(sent.to_batches()), vocabulary)))
+    stretches = sorted(set(summed.column("stretch").to_pylist()))
+    got = [x for s in stretches for x in lmscore._summed(summed.filter(pc.equal(summed.column("stretch"), s))).column("id").to_pylist()]
+    assert len(stretches) == 5 and sorted(got) == list(range(len(texts)))
+
+
 # ------------------------------------------------------------------------ chat
 
 
