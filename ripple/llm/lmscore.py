@@ -5,12 +5,17 @@ one vocabulary, one order and one smoothing (Moore and Lewis, 2010).  A document
 score is the mean over its tokens of the loss under the target model less that
 under the background model; the lower, the more it is like the target.
 
-The vocabulary is the VOCABULARY most frequent words of all documents; it and its
-counts go to every task, a bounded 1.5 MB.  Bigram counts are not bounded, and
-never leave their shards: tasks send each shard the bigrams of a stretch of
-documents, first with their counts and then with the documents that hold them.  A
-shard's rows are sorted so that all counts come first; the documents then stream
-past the finished model, and only sums for each document leave the shard.
+Every word has its own statistics.  The VOCABULARY most frequent words are known
+to every task by number and count, a bounded 1.5 MB; all others, the rare ones, go
+by 64 bits of hash, and their counts stay in shards.  Tasks send each shard the
+bigrams of a stretch of documents, first with their counts and then with the
+documents that hold them.  A bigram that ends in a rare word goes to that word's
+shard, which so sees all of its occurrences and can count it; others are dealt by
+their own hash.  As each rare word of a text ends one bigram and begins the next,
+the weight of the context it is in the next is charged where its count is known,
+with the bigram it ends.  A shard's rows are sorted so that all counts come first;
+the documents then stream past the finished model, and only sums for each document
+leave the shard.
 Losses are whole micro-nats, so that sums are the same in any order.
 """
 
@@ -28,8 +33,9 @@ from pyspark.sql import functions as F
 
 from ripple.llm.common import Hashes, lean, mix, raw_texts, shuffle_partitions, slices
 
-VOCABULARY = 65_533
-UNKNOWN, BEGIN, END = 65_533, 65_534, 65_535
+VOCABULARY = 65_533  # words that have numbers
+UNKNOWN, BEGIN, END = 65_533, 65_534, 65_535  # UNKNOWN stands for any rare word
+RARE = np.uint64(1 << 63)  # set in the codes of rare words, and in the keys of bigrams that hold one
 PRIOR = 50.0  # weight, in tokens, of the unigram model in each bigram context
 STRETCH_TOKENS, STRETCH_DOCS = 1_000_000, 60_000
 SHARD_BIGRAMS = 1_000_000
@@ -70,7 +76,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.
 
 
 def _top_words(table: pa.Table) -> pa.Table:
-    """The words of a shard that can be in the vocabulary, and the shard's totals in a row without word."""
+    """The words of a shard that can have numbers, and the shard's totals and number of words in a row without word."""
     word, n, t = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("word", np.uint64), ("n", np.int64), ("t", np.int64)))
     order = np.argsort(word, kind="stable")
     first = _runs(word[order])
@@ -80,39 +86,56 @@ def _top_words(table: pa.Table) -> pa.Table:
         "word": pa.concat_arrays([pa.array(word[best].view(np.int64)), pa.nulls(1, pa.int64())]),
         "n": np.append(n[best], n.sum()),
         "t": np.append(t[best], t.sum()),
+        "d": np.append(np.zeros(len(best), np.int64), len(word)),
     })
 
 
 class Vocabulary:
-    """Sorted word hashes with their numbers, and the counts of all numbers in the whole (0) and the target (1)."""
+    """Sorted hashes of frequent words with their numbers, and the counts of all numbers in the whole (0) and the target (1)."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, totals: np.ndarray, documents: np.ndarray) -> None:
+    def __init__(self, words: np.ndarray, counts: np.ndarray, totals: np.ndarray, documents: np.ndarray, distinct: int = 0) -> None:
         order = np.argsort(words)
-        self.words, self.numbers = words[order], order.astype(np.int64)
+        self.words, self.numbers = words[order], order.astype(np.uint64)
         self.counts = np.zeros((2, END + 1), dtype=np.int64)
         self.counts[:, : len(words)] = counts
         self.counts[:, UNKNOWN] = totals - counts.sum(axis=1)
         self.counts[:, BEGIN] = self.counts[:, END] = documents
+        #: What can follow a word: the words, END and one that is in no text; as many as there are numbers at least.
+        self.types = max(END, distinct + 2)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
+        """Codes of words: numbers, or of rare words their hashes."""
         if not len(self.words):
-            return np.full(len(hashes), UNKNOWN, dtype=np.int64)
+            return hashes | RARE
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.numbers[at], UNKNOWN)
+        return np.where(self.words[at] == hashes, self.numbers[at], hashes | RARE)
 
-    def losses(self, model: int, bigrams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Micro-nats of each bigram (its two numbers in 16 bits each) that occurs ``counts`` times in the model's texts."""
-        before, after = bigrams >> 16, bigrams & 0xFFFF
+    def losses(self, model: int, bigrams: np.ndarray, counts: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Micro-nats of each bigram that occurs ``counts`` times in the model's texts.
+
+        Bigrams are sorted keys; those with a rare word are the last, and have the
+        number ``before`` (UNKNOWN for a rare word) and the code ``after``.  All
+        bigrams that end in a rare word have to be here.
+        """
         own = self.counts[model].astype(np.float64)
         predicted = own.copy()
         predicted[BEGIN] = 0
-        single = (predicted + 1) / (predicted.sum() + END)  # all numbers but BEGIN can follow
-        chance = (counts + PRIOR * single[after]) / (own[before] + PRIOR)
+        total = predicted.sum() + self.types  # all but BEGIN can follow
+        plain = bigrams[: len(bigrams) - len(after)].astype(np.int64)
+        first = np.concatenate([plain >> 16, before.astype(np.int64)])
+        rare = np.flatnonzero(after >= RARE) + len(plain)
+        last = np.concatenate([plain & 0xFFFF, np.where(after >= RARE, 0, after).astype(np.int64)])
+        seen = predicted[last]
+        _, flat = np.unique(after[after >= RARE], return_inverse=True)
+        seen[rare] = np.bincount(flat, counts[rare])[flat]
+        context = np.where(first == UNKNOWN, 1.0, own[first] + PRIOR)  # that of a rare word is charged with the bigram it ends
+        context[rare] *= seen[rare] + PRIOR
+        chance = (counts + PRIOR * ((seen + 1) / total)) / context
         return np.round(-1e6 * np.log(chance)).astype(np.int64)
 
 
 class Numbers(dict):
-    """Word to number in the vocabulary, remembered."""
+    """Word to its code, remembered."""
 
     def __init__(self, vocabulary: Vocabulary, limit: int = 250_000) -> None:
         super().__init__()
@@ -124,7 +147,17 @@ class Numbers(dict):
         new = [w for w in set(words) if w not in self]
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
         self.update(zip(new, self.vocabulary.of(hashes).tolist(), strict=True))
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """64-bit keys as their low and their high halves; the high ones of numbers compress to nothing."""
+    return keys.astype(np.uint32).tobytes() + (keys >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    low, high = np.frombuffer(data, np.uint32).reshape(2, -1).astype(np.uint64)
+    return high << np.uint64(32) | low
 
 
 STREAM = "shard long, kind int, stretch long, keys binary, n binary, t binary, docs binary, times binary"
@@ -133,16 +166,20 @@ STREAM = "shard long, kind int, stretch long, keys binary, n binary, t binary, d
 def _bigrams(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, shards: int) -> Iterator[pa.RecordBatch]:
     """For each stretch of documents and shard: bigrams with counts (kind 0) and with documents (kind 1); the documents' ids (kind 2)."""
     numbers, task, nth = Numbers(vocabulary), TaskContext.get().partitionId(), 0
-    keys, owners, times, ids, lengths, targets = [], [], [], [], [], []
+    keys, deals, rares, owners, times, ids, lengths, targets = [], [], [], [], [], [], [], []
     size = held = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        key, owner, time = np.concatenate(keys), np.concatenate(owners), np.concatenate(times)
         target, stretch = np.concatenate(targets), (task << 24) + nth
-        dealt = (mix(key.astype(np.uint64), 33) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(dealt << 32 | key, kind="stable")
-        key, owner, time, dealt = key[order], owner[order], time[order], dealt[order]
+        key, dealt, owner, time = (np.concatenate(x) for x in (keys, deals, owners, times))
+        for x in (keys, deals, owners, times):
+            x.clear()
+        order = np.lexsort((key, dealt))
+        key, dealt, owner, time = key[order], dealt[order], owner[order], time[order].astype(np.int64)
         del order
+        far, before, after = (np.concatenate([x[i] for x in rares]) for i in range(3))
+        far, at = np.unique(far, return_index=True)
+        before, after = before[at], after[at]
         first = _runs(key)
         n, t = np.add.reduceat(time, first), np.add.reduceat(time * target[owner], first)
         span = np.diff(np.append(first, len(key)))
@@ -153,12 +190,13 @@ def _bigrams(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, shards:
             for c, v in zip(rows, values, strict=True):
                 rows[c].append(v)
 
-        key = key[first].astype(np.uint32)
+        key = key[first]
         for i in range(shards):
             a, b, c, d = cut[i], cut[i + 1], whole[i], whole[i + 1]
             if a < b:
-                add(i, 0, stretch, key[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes(), t[a:b].astype(np.uint32).tobytes(), None, None)
-                add(i, 1, stretch, key[a:b].tobytes(), span[a:b].astype(np.uint32).tobytes(), None, owner[c:d].astype(np.uint16).tobytes(), time[c:d].astype(np.uint32).tobytes())
+                rare = np.searchsorted(far, key[a + int(np.searchsorted(key[a:b], RARE)) : b])
+                add(i, 0, stretch, _packed(key[a:b]), n[a:b].astype(np.uint32).tobytes(), t[a:b].astype(np.uint32).tobytes(), before[rare].tobytes(), _packed(after[rare]))
+                add(i, 1, stretch, _packed(key[a:b]), span[a:b].astype(np.uint32).tobytes(), None, owner[c:d].astype(np.uint16).tobytes(), time[c:d].astype(np.uint32).tobytes())
         add(stretch % shards, 2, stretch, np.concatenate(ids).tobytes(), np.concatenate(lengths).tobytes(), None, None, None)
         kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
@@ -170,15 +208,25 @@ def _bigrams(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, shards:
         full = np.flatnonzero(count)  # texts without words have no tokens at all
         # Each text with words becomes BEGIN, its words, END.
         ends = np.cumsum(count[full] + 2)
-        tokens, doc = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int64), np.repeat(full, count[full] + 2)
+        tokens, doc = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint64), np.repeat(full, count[full] + 2)
         inner = np.ones(len(tokens), dtype=bool)
         inner[ends - 1] = inner[ends - count[full] - 2] = False
         tokens[inner], tokens[ends - 1], tokens[ends - count[full] - 2] = flat, END, BEGIN
-        pair = (tokens[:-1] << 16 | tokens[1:])[doc[1:] == doc[:-1]] if len(tokens) else tokens
-        both, n = np.unique((doc[:-1][doc[1:] == doc[:-1]] << 32 | pair) if len(tokens) else tokens, return_counts=True)
-        keys.append(both & 0xFFFFFFFF)
-        owners.append((both >> 32) + held)
-        times.append(n)
+        within = doc[1:] == doc[:-1]
+        before, after, doc = tokens[:-1][within], tokens[1:][within], doc[:-1][within]
+        key = np.where((before | after) >= RARE, mix(mix(before, 35) ^ after, 36) | RARE, before << np.uint64(16) | after)
+        order = np.lexsort((key, doc))
+        key, doc = key[order], doc[order]
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else order
+        before, after = before[order[first]], after[order[first]]
+        key = key[first]
+        keys.append(key)
+        deals.append((mix(np.where(after >= RARE, after, key), 33) % np.uint64(shards)).astype(np.int32))
+        far, at = np.unique(key[key >= RARE], return_index=True)
+        at = np.flatnonzero(key >= RARE)[at]
+        rares.append((far, np.where(before[at] >= RARE, UNKNOWN, before[at]).astype(np.uint16), after[at]))
+        owners.append((doc[first] + held).astype(np.uint16))
+        times.append(np.diff(np.append(first, len(doc))).astype(np.uint32))
         targets.append(batch.column("target").to_numpy(zero_copy_only=False).astype(np.int64))
         ids.append(batch.column("id").fill_null(NULL_ID).to_numpy())
         lengths.append(count)
@@ -189,7 +237,7 @@ def _bigrams(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, shards:
             else:
                 yield _unscored(ids, lengths, (task << 24) + nth)
             nth += 1
-            for x in (keys, owners, times, ids, lengths, targets):
+            for x in (keys, deals, rares, owners, times, ids, lengths, targets):
                 x.clear()
             size = held = 0
     if held and size:
@@ -206,10 +254,14 @@ def _unscored(ids: list[np.ndarray], lengths: list[np.ndarray], stretch: int) ->
 
 
 def _merged(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
-    key, n, t = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    key, n, t, before, after = (np.concatenate([p[i] for p in parts]) for i in range(5))
     order = np.argsort(key, kind="stable")
-    first = _runs(key[order])
-    return [(key[order][first], np.add.reduceat(n[order], first), np.add.reduceat(t[order], first))]
+    rare = order[np.searchsorted(key, RARE, sorter=order) :]
+    place = np.cumsum(key >= RARE) - 1
+    sorted_key = key[order]
+    first = _runs(sorted_key)
+    once = place[rare[_runs(key[rare])]]
+    return [(sorted_key[first], *(np.add.reduceat(x[order], first, dtype=np.int64) for x in (n, t)), before[once], after[once])]
 
 
 def _scored(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
@@ -220,7 +272,8 @@ def _scored(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterat
             if row["shard"] != shard:
                 shard, parts, held, model = row["shard"], [], 0, None
             if row["kind"] == 0:
-                parts.append((np.frombuffer(row["keys"], np.uint32), np.frombuffer(row["n"], np.uint32).astype(np.int64), np.frombuffer(row["t"], np.uint32).astype(np.int64)))
+                counts = [np.frombuffer(row[c], np.uint32) for c in ("n", "t")]
+                parts.append((_unpacked(row["keys"]), *counts, np.frombuffer(row["docs"], np.uint16), _unpacked(row["times"])))
                 held += len(parts[-1][0])
                 if held > 4 * SHARD_BIGRAMS and held > 2 * len(parts[0][0]):
                     parts = _merged(parts)
@@ -230,10 +283,10 @@ def _scored(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterat
                 values = [row["stretch"], row["keys"], row["n"], None, None, None]
             else:
                 if model is None:
-                    key, n, t = _merged(parts)[0]
-                    pairs, parts = key.astype(np.int64), []
-                    model = key, vocabulary.losses(1, pairs, t), vocabulary.losses(0, pairs, n)
-                at = np.searchsorted(model[0], np.frombuffer(row["keys"], np.uint32))
+                    (key, n, t, before, after), parts = _merged(parts)[0], []
+                    model = key, vocabulary.losses(1, key, t, before, after), vocabulary.losses(0, key, n, before, after)
+                    del n, t, before, after
+                at = np.searchsorted(model[0], _unpacked(row["keys"]))
                 each = np.repeat(at, np.frombuffer(row["n"], np.uint32))
                 doc, times = np.frombuffer(row["docs"], np.uint16), np.frombuffer(row["times"], np.uint32).astype(np.float64)
                 sums = [np.bincount(doc, x[each] * times).astype(np.int64) for x in model[1:]]  # exact: far below 2**53
@@ -272,17 +325,18 @@ def cross_entropy_difference(docs: DataFrame, target: Column, key: str = "doc_id
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
     shards = max(shuffle_partitions(spark), math.ceil(plain.count() * 200 / SHARD_BIGRAMS))
     counted = plain.select("text", "target").mapInArrow(lean(lambda it: _word_counts(it, shards)), "shard long, word binary, n binary, t binary")
-    tops = counted.groupBy("shard").applyInArrow(_top_words, "word long, n long, t long")
-    # One job: the vocabulary is bounded by VOCABULARY, totals are a row a shard, summed at once.
+    tops = counted.groupBy("shard").applyInArrow(_top_words, "word long, n long, t long, d long")
+    # One job: the numbered words are bounded by VOCABULARY, totals are a row a shard, summed at once.
     ranked = tops.where("word is not null").orderBy(F.desc("n"), "word").limit(VOCABULARY).withColumn("kind", F.lit(0))
-    totals = tops.where("word is null").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).select(F.lit(None).cast("long").alias("word"), "n", "t", F.lit(1).alias("kind"))
+    totals = tops.where("word is null").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("d").alias("d")).select(F.lit(None).cast("long").alias("word"), "n", "t", "d", F.lit(1).alias("kind"))
     filled = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    documents = plain.where(filled).agg(F.count("*").alias("n"), F.count_if("target").alias("t")).select(F.lit(None).cast("long").alias("word"), "n", "t", F.lit(2).alias("kind"))
+    documents = plain.where(filled).agg(F.count("*").alias("n"), F.count_if("target").alias("t")).select(F.lit(None).cast("long").alias("word"), "n", "t", F.lit(0).cast("long").alias("d"), F.lit(2).alias("kind"))
     got = ranked.unionByName(totals).unionByName(documents).toArrow().to_pylist()
     words = sorted((r for r in got if r["kind"] == 0), key=lambda r: (-r["n"], r["word"]))
     sums = {r["kind"]: [r["n"] or 0, r["t"] or 0] for r in got if r["kind"]}
     vocabulary = Vocabulary(
-        np.array([r["word"] for r in words], dtype=np.int64).view(np.uint64), np.array([[r[c] for r in words] for c in ("n", "t")], dtype=np.int64), np.array(sums[1]), np.array(sums[2])
+        np.array([r["word"] for r in words], dtype=np.int64).view(np.uint64), np.array([[r[c] for r in words] for c in ("n", "t")], dtype=np.int64), np.array(sums[1]), np.array(sums[2]),
+        sum(r["d"] or 0 for r in got if r["kind"] == 1),
     )
     shared = spark.sparkContext.broadcast(vocabulary)
     stream = plain.mapInArrow(lean(lambda it: _bigrams(it, shared.value, shards)), STREAM)

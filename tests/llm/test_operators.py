@@ -313,6 +313,16 @@ def test_language_models(spark, flags):
     assert lmscore.cross_entropy_difference(docs(spark, [None, "", "a b"], [None, None, 1]), F.lit(None).cast("boolean")).count() == 3
 
 
+@pytest.mark.parametrize("numbered", [0, 1, 5])
+def test_rare_words_have_statistics(spark, monkeypatch, numbered):
+    monkeypatch.setattr(lmscore, "VOCABULARY", numbered)  # all other words are rare ones
+    texts = [*MESSY, *near_copies(6, 40), "rare", "rare rare rare other"]
+    flags = [i % 3 == 0 for i in range(len(texts))]
+    got = lmscore.cross_entropy_difference(docs(spark, texts), F.col("doc_id") % 3 == 0).orderBy("doc_id").collect()
+    for r, w in zip(got, brute_losses(texts, flags), strict=True):
+        assert [r["target_loss"], r["background_loss"], r["ce_difference"]] == pytest.approx([w[1], w[2], w[1] - w[2]], abs=1e-5)
+
+
 def test_stretches_without_words_keep_all_rows(monkeypatch):
     monkeypatch.setattr(lmscore, "STRETCH_DOCS", 10_004)  # a stretch is full at four texts
     monkeypatch.setattr(lmscore.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 3})()))
