@@ -180,8 +180,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_lexicon(sample: DataFrame) -> Lexicon:
     """Terms of the bounded sample whose rate in toxic documents is MIN_RATIO times that in others.
 
-    Terms are taken by the signed root of their likelihood ratio; a word that
-    begins with a stem already taken adds nothing and is passed over.
+    Terms are taken by the signed root of their likelihood ratio.  A word that
+    begins with a stem already taken stands beside it and does not count towards
+    MAX_TERMS: stems are met exactly, and its misspellings are met by the word.
     """
     words = sample.mapInArrow(lean(_counted), "word string, n0 long, d0 long, n1 long, d1 long")
     stems = [F.substring("word", 1, n) for n in range(MIN_STEM, MAX_STEM + 1)]
@@ -195,16 +196,20 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         n, expected = r["n1"] + r["n0"], (r["n1"] + r["n0"]) * share["b"] / (share["a"] + share["b"])
         return 2 * (r["n1"] * math.log(r["n1"] / expected) + (r["n0"] * math.log(r["n0"] / (n - expected)) if r["n0"] else 0))
 
-    whole, begun = [], []
+    whole, begun, covered = [], [], []
     for r in sorted(rows, key=lambda r: (-round(surprise(r), 6), r["term"][0] != "=", -len(r["term"]), r["term"])):
         word = r["term"].removeprefix("=")
-        if any(word.startswith(s) for s in begun) or word in whole or len(whole) + len(begun) >= MAX_TERMS:
+        if any(word.startswith(s) for s in begun):
+            if r["term"][0] == "=":
+                covered.append(word)
+            continue
+        if word in whole or len(whole) + len(begun) >= MAX_TERMS:
             continue
         if r["term"][0] == "=":
             whole.append(word)
         elif r["forms"] > 1 and not any(w.startswith(word) for w in whole) and not any(s.startswith(word) for s in begun):
             begun.append(word)
-    return Lexicon(whole, begun)
+    return Lexicon(whole + covered, begun)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> tuple[Lexicon, np.ndarray]:

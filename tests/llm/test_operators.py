@@ -436,6 +436,15 @@ def distance(a, b):
     return row[-1]
 
 
+def test_misspelled_forms_of_a_stem(spark):
+    forms = ["idiot", "idiots", "idiotic"]
+    rows = [(f"you {forms[i % 3]} there number {i}", 1) if i % 2 else (f"hello there number {i}", 0) for i in range(120)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    assert any("idiots".startswith(s) for s in lexicon.stems)
+    assert [lexicon.kind(w) for w in ("ldiot", "1diots", "idlot", "ldiotic")] == [toxicity.FUZZY] * 4
+    assert lexicon.kind("idiots") == toxicity.EXACT and lexicon.kind("idioticly") and lexicon.kind("hello") == toxicity.NONE
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="abcdé", max_size=9), st.lists(st.text(alphabet="abcdé", min_size=1, max_size=8), max_size=6), st.lists(st.text(alphabet="abcdé", min_size=2, max_size=4), max_size=3))
 def test_lexicon_against_edit_distance(word, words, stems):
