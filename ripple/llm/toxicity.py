@@ -36,6 +36,7 @@ WINDOW = 12  # words, for the densest window of hits
 QUOTED = 0.25  # weight of a hit that is quoted or reported
 # Opening and closing quotation marks, and words that report another's speech.
 QUOTES = "\"“”„«»‘’‹›"
+MARK = re.compile(f"[\n{QUOTES}]")
 REPORTING = frozenset("said says called calls wrote writes quote quoted quotes word words term slur reported zitat sagte nannte dit écrit appelé citation dijo llamó escribió cita".split())
 
 NONE, EXACT, FUZZY, STEM = range(4)
@@ -124,13 +125,6 @@ class Kinds(dict):
         return kind
 
 
-def _weight(text: str, start: int, before: list[str]) -> float:
-    """Less for a hit inside quotation marks of its line, or soon after a word of reporting."""
-    line = text[max(text.rfind("\n", 0, start) + 1, start - 400) : start]
-    open_marks = sum(line.count(q) for q in QUOTES)
-    return QUOTED if open_marks % 2 or not REPORTING.isdisjoint(before) else 1.0
-
-
 FEATURES = 7
 
 
@@ -147,10 +141,16 @@ def describe(text: str, kinds: Kinds) -> list[float]:
     weights, wanted = np.ones(len(hits)), iter(hits.tolist())
     nth = next(wanted)
     if any(q in low for q in QUOTES) or not REPORTING.isdisjoint(words):
-        k = 0
+        # Less for a hit inside quotation marks of its line, or soon after a word of reporting.
+        k, quoted, marks = 0, False, MARK.finditer(low)
+        mark = next(marks, None)
         for i, m in enumerate(WORD.finditer(low)):
             if i == nth:
-                weights[k] = _weight(low, m.start(), words[max(0, i - 4) : i])
+                while mark and mark.start() < m.start():
+                    quoted = mark[0] != "\n" and not quoted
+                    mark = next(marks, None)
+                if quoted or not REPORTING.isdisjoint(words[max(0, i - 4) : i]):
+                    weights[k] = QUOTED
                 k, nth = k + 1, next(wanted, -1)
                 if nth < 0:
                     break

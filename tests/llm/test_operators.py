@@ -465,6 +465,13 @@ def test_context_tells_quotation_from_abuse():
     assert toxicity.describe("you 1d10t and ldiot", kinds)[1] > 0 and toxicity.describe("", kinds) == [0.0] * toxicity.FEATURES
 
 
+def test_quotation_marks_of_long_lines():
+    kinds = toxicity.Kinds(toxicity.Lexicon(["idiot"], []))
+    far = "plain text " * 60
+    for text, quoted in ((f'"{far} idiot {far}"', 1.0), (f'"{far}" {far[:200]} idiot', 0.0), (f'"{far}\n{far} idiot', 0.0), (f'"a" "{far}\n" {far} idiot "', 1.0)):
+        assert toxicity.describe(text, kinds)[6] == quoted
+
+
 def labelled_docs(spark, n=400):
     rng = np.random.default_rng(4)
     words = [f"{a}{b}" for a in "bcdfg" for b in ("an", "el", "or", "it", "us")]
