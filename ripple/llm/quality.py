@@ -54,7 +54,7 @@ def _stats(raw: bytes, words: list[bytes], counts: np.ndarray, n_chars: int | No
         1 - distinct / len(lines),
         len(counts) / n_words,
         float(counts.max()) / n_words if len(counts) else 0.0,
-        sum(x.rstrip().endswith((b".", b"!", b"?")) for x in lines[:50]) / min(50, len(lines)),
+        sum(x.rstrip().endswith((b".", b"!", b"?")) for x in lines) / len(lines),
         math.log1p(abs((n_chars or 0) - n) / n),
     ]
 

@@ -513,6 +513,14 @@ def test_quality(spark):
     assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-6 for r in got)
 
 
+def test_line_ends_of_whole_texts():
+    def share(text):
+        return quality._stats(text, text.split(), np.ones(1), len(text))[18]
+
+    assert share(b"A line.\n" * 49 + b"A line.") == 1.0
+    assert share(b"A line.\n" * 50 + b"\n".join([b"| 1"] * 50)) == 0.5
+
+
 def test_factorisation_identity():
     m = quality.Machine(np.zeros(quality.STATS, np.float32), np.ones(quality.STATS, np.float32), 0.3)
     rng = np.random.default_rng(1)
