@@ -56,5 +56,5 @@ def schema_version(url: Column) -> Column:
 
 
 def plain_macro(text: Column) -> Column:
-    """Whether a macro's text begins with a macro tag."""
-    return F.coalesce(F.ltrim(text).rlike(r"^\{%[-+]?\s*macro\b"), F.lit(False))
+    """Whether a macro's text begins with a macro tag, after white space of any kind."""
+    return F.coalesce(text.rlike(r"^[\s\x1C-\x1F\x85\p{Z}]*\{%[-+]?\s*macro\b"), F.lit(False))
