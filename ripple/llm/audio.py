@@ -1,8 +1,8 @@
 """Media columns: telephony audio (operator 7).
 
 ``store`` keeps byte payloads losslessly as 8-bit companded samples in a WAV
-container; ``expand`` reads such a column back and adds features and resampled
-16-bit PCM.  Mu-law and A-law go through 256-entry tables made from the G.711
+container; ``read`` reads such a column back and gives features and, to be stored,
+the sound as resampled 16-bit PCM.  Mu-law and A-law go through 256-entry tables made from the G.711
 rule; IMA ADPCM is decoded step by step over all blocks of a batch at once, so
 numpy's width is the number of blocks.
 
@@ -15,14 +15,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripple.llm.common import slices
+from ripple.llm.common import fields, lean, quote, slices, small_batches
 
 FRAME = 576
 RATE, RATE_OUT = 8000, 16000
@@ -148,8 +148,9 @@ def store(docs: DataFrame, key: str, payload: str, tag: int = MULAW) -> DataFram
             files = [wav(x + b"\xff" * (-len(x) % FRAME if x else FRAME), tag) for x in raw]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(x) for x in raw], pa.int64()), pa.array(files, pa.binary())], names=[key, "n_bytes", "media"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(payload).cast("binary").alias("payload")).mapInArrow(run, f"{key} {kind}, n_bytes long, media binary")
+    small_batches(docs.sparkSession)
+    kinds = fields(**{key: docs.schema[key].dataType, "n_bytes": "long", "media": "binary"})
+    return docs.select(F.col(quote(key)).alias("key"), F.col(quote(payload)).cast("binary").alias("payload")).mapInArrow(lean(run), kinds)
 
 
 def _stats(pcm: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
@@ -164,8 +165,8 @@ def _stats(pcm: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> list[np.n
     return [rms, peak, np.add.reduceat(flips, starts)]
 
 
-def features(payloads: list[bytes]) -> list[str]:
-    """Features of 8-bit payloads (each a positive multiple of 576 bytes), as text.
+def features(payloads: Sequence[bytes]) -> tuple[list[str], list[np.ndarray]]:
+    """Features of 8-bit payloads (each a positive multiple of 576 bytes), as text; and the mu-law signals, resampled.
 
     The bytes are expanded by either law and decoded as ADPCM blocks; each
     signal gives root mean square, peak and sign changes, and the mu-law signal
@@ -178,12 +179,11 @@ def features(payloads: list[bytes]) -> list[str]:
     parts = [_stats(mu, starts, counts), _stats(_TABLES[ALAW][raw], starts, counts)]
     blocks = adpcm_blocks(raw.reshape(-1, FRAME))
     parts.append(_stats(blocks.ravel(), starts // FRAME * blocks.shape[1], counts // FRAME * blocks.shape[1]))
-    out = []
-    for i, (a, n) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
-        pcm = resample(mu[a : a + n], RATE, RATE_OUT)
+    out, sounds = [], [resample(mu[a : a + n], RATE, RATE_OUT) for a, n in zip(starts.tolist(), counts.tolist(), strict=True)]
+    for i, pcm in enumerate(sounds):
         said = [f"{name}:rms={p[0][i]:.2f},peak={p[1][i]},flips={p[2][i]}" for name, p in zip(("mulaw", "alaw", "adpcm"), parts, strict=True)]
         out.append(";".join([*said, f"pcm16k:n={len(pcm)},crc={zlib.crc32(pcm):08x}"]))
-    return out
+    return out, sounds
 
 
 def read(stored: DataFrame, key: str, media: str = "media", pcm: bool = False) -> DataFrame:
@@ -193,7 +193,8 @@ def read(stored: DataFrame, key: str, media: str = "media", pcm: bool = False) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media"):
             files = batch.column("media").to_pylist()
-            payloads = [unwav(x)[2] for x in files]
+            tags, rates, payloads = zip(*map(unwav, files), strict=True)
+            said, sounds = features(payloads)
             columns = [
                 batch.column("key"),
                 batch.column("n_bytes"),
@@ -202,12 +203,14 @@ def read(stored: DataFrame, key: str, media: str = "media", pcm: bool = False) -
                 pa.array([zlib.crc32(x[-32:]) for x in payloads], pa.int64()),
                 pa.array([len(x) for x in files], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in files]),
-                pa.array(features(payloads)),
+                pa.array(said),
             ]
-            if pcm:
-                columns.append(pa.array([(lambda r, x: resample(x, r, RATE_OUT).tobytes())(*decode(x)) for x in files], pa.binary()))
+            if pcm:  # what was read as mu-law above is there already
+                for i, (tag, rate) in enumerate(zip(tags, rates, strict=True)):
+                    if (tag, rate) != (MULAW, RATE):
+                        sounds[i] = resample(decode(files[i])[1], rate, RATE_OUT)
+                columns.append(pa.array([x.tobytes() for x in sounds], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=[key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *extra])
 
-    kind = stored.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.select(F.col(key).alias("key"), "n_bytes", F.col(media).alias("media")).mapInArrow(run, schema + "".join(f", {x} binary" for x in extra))
+    kinds = {key: stored.schema[key].dataType, "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+    return stored.select(F.col(quote(key)).alias("key"), "n_bytes", F.col(quote(media)).alias("media")).mapInArrow(lean(run), fields(**kinds, **{x: "binary" for x in extra}))

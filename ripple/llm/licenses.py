@@ -8,6 +8,9 @@ its runs are at least half, and meets it in some band with a probability of
 1 - 2 ** -BANDS = 99.98 %; a copy of ten words and more has a window that equals
 one of the template's and meets it always.  Candidates are verified exactly: the share
 of the template's five-word shingles that occur in the whole document.
+
+Only documents with a band in common are written out and looked at again; their
+bands go through the join without their words.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripple.llm.common import written
+from ripple.llm.common import quote, written
 from ripple.llm.winnow import _fitting, _upto, words
 
 WINDOW, STEP, SHINGLE, BANDS = 8, 3, 3, 12
@@ -33,8 +36,19 @@ TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
     "Apache-2.0": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-3-Clause": "may be used to endorse or promote products derived from this software without specific prior written permission",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "GPL-2.0-or-later": "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "LGPL": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL-3.0": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. The software is provided as is",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "BSL-1.0": "Boost Software License, Version 1.0. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
 }
 
 
@@ -61,6 +75,11 @@ def _runs(w: Column) -> Column:
     return F.transform(_upto(F.size(w) - (SHINGLE - 1)), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(SHINGLE)]))
 
 
+def _shingles(w: Column) -> Column:
+    """The runs of VERIFY words, joined by spaces, in order."""
+    return F.transform(_upto(F.size(w) - (VERIFY - 1)), lambda i: F.array_join(F.slice(w, i + 1, VERIFY), " "))
+
+
 def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """(license, text) of the given or the built-in notices."""
     return spark.createDataFrame(list((texts or TEMPLATES).items()), "license string, text string")
@@ -81,26 +100,35 @@ def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "te
     # Written, as the optimizer would copy these expressions into every filter on what they give.
     forms = written(known.select("license", words(F.col("text")).alias("w")).distinct(), "templates").where((F.size("w") >= VERIFY) & F.col("license").isNotNull())
     forms = forms.withColumn("h", _runs(F.col("w")))
-    shingles = F.array_distinct(F.transform(_upto(F.size("w") - (VERIFY - 1)), lambda i: F.array_join(F.slice("w", i + 1, VERIFY), " ")))
-    forms = written(forms.select("license", shingles.alias("shingles"), F.array_distinct(_bands(F.col("h"), 1)).alias("bands")), "templates")
-    bands = forms.select(F.explode("bands").alias("band"), "license")
+    forms = written(forms.select("license", F.array_distinct(_shingles(F.col("w"))).alias("shingles"), F.array_distinct(_bands(F.col("h"), 1)).alias("bands")), "templates")
+    forms = forms.select(F.xxhash64("license", "shingles").alias("form"), "license", "shingles", "bands")
+    bands = forms.select(F.explode("bands").alias("band"), "form").distinct()
 
-    read = docs.select(F.col(key).alias("id"), words(F.col(text)).alias("w")).withColumn("h", _runs(F.col("w")))
-    read = read.select("id", "w", _bands(F.col("h"), STEP).alias("bands"))
+    read = docs.select(F.col(quote(key)).alias("id"), F.xxhash64(quote(text)).alias("text_hash"), words(F.col(quote(text))).alias("w")).withColumn("h", _runs(F.col("w")))
+    read = read.select("id", "text_hash", "w", _bands(F.col("h"), STEP).alias("bands"))
     few = [r[0] for r in bands.select("band").distinct().limit(PLAN_BANDS + 1).collect()]
-    kept = "bands"
     if len(few) <= PLAN_BANDS:
         listed = ", ".join(f"{x}L" if x != -(1 << 63) else "bigint('-9223372036854775808')" for x in few) or "NULL"
-        kept = f"filter(bands, b -> b IN ({listed}))"
-    hits = read.select("id", "w", F.explode(F.array_distinct(F.expr(kept))).alias("band"))
-    hits = hits.select("id", "band", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("norm"))
-    found = hits.join(_fitting(bands.distinct()), "band").select("id", "norm", "license").distinct()
-    found = found.join(_fitting(forms.select("license", "shingles")), "license")
-    held = F.filter("shingles", lambda s: F.contains(F.col("norm"), F.concat(F.lit(" "), s, F.lit(" "))))
-    found = found.select("id", "license", "norm", F.size("shingles").cast("long").alias("n_shingles"), held.alias("held"))
+        met = F.array_distinct(F.expr(f"filter(bands, b -> b IN ({listed}))"))
+        # Documents with a band in common, few of all; a filter on ``met`` would have it computed twice.
+        near = written(read.select("id", "text_hash", "w", F.explode(F.filter(F.array(met), lambda b: F.size(b) > 0)).alias("bands")), "near")
+        hits = near.select("id", "text_hash", F.explode("bands").alias("band"))
+    else:
+        near = read.select("id", "text_hash", "w")
+        hits = read.select("id", "text_hash", F.explode(F.array_distinct("bands")).alias("band"))
+    met = hits.join(_fitting(bands, F.lit(16)), "band").groupBy(F.col("id").alias("at"), F.col("text_hash").alias("of")).agg(F.collect_set("form").alias("forms"))
+    found = near.dropDuplicates(["id", "text_hash"]) if len(few) <= PLAN_BANDS else near
+    found = found.join(met, F.col("id").eqNullSafe(F.col("at")) & (F.col("text_hash") == F.col("of")))
+    found = found.select("id", "text_hash", "w", _shingles(F.col("w")).alias("has"), F.explode("forms").alias("form"))
+    size = F.octet_length(F.array_join("shingles", " ")) + 16 * F.size("shingles")
+    found = found.join(_fitting(forms.select("form", "license", "shingles"), size), "form")
+    held = F.array_intersect("has", "shingles")  # in the order of the document
+    found = found.select("id", "text_hash", "license", "form", "w", F.size("shingles").cast("long").alias("n_shingles"), held.alias("held"))
     found = found.withColumn("n_found", F.size("held").cast("long")).withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("containment") >= least)
-    first = F.array_min(F.transform("held", lambda s: F.instr(F.col("norm"), F.concat(F.lit(" "), s, F.lit(" "))))).cast("long")
-    return found.select(F.col("id").alias(key), "license", "n_shingles", "n_found", "containment", first.alias("first_char"))
+    padded = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    first = F.instr(padded, F.concat(F.lit(" "), F.get("held", F.lit(0)), F.lit(" "))).cast("long")
+    found = found.select("id", "text_hash", "license", "n_shingles", "n_found", "containment", first.alias("first_char"), "form")
+    return found.dropDuplicates(["id", "text_hash", "form"]).select(F.col("id").alias(key), "license", "n_shingles", "n_found", "containment", "first_char")
 
 
 def _sql(x: str) -> str:

@@ -6,10 +6,15 @@ minimal perfect hash that numbers its keys, with arrays by that number: a 64-bit
 fingerprint, the count of documents, and the largest document id.  Documents
 never meet lines in a join: their keys, packed by shard into a few rows of bytes
 for each stretch of the table, probe the shard's arrays, and the fingerprint
-turns away keys that the shard does not hold.
+turns away keys that the shard does not hold.  A shard's arrays come first in its
+rows and are held while the probes stream past.
 
 Counts are summed within stretches before they are shuffled, so that a line of
-a third of all documents costs one row a stretch.
+a third of all documents costs one row a stretch.  Keys that hold more than one
+in HOT_KEYS of all probes, so at most that many, make a shard of their own that is
+sent to every task: their probes are answered where they are and never shuffled.
+A Bloom filter of bounded size spares most of the other probes that would miss.
+Documents that lose none but hot lines, or none, are not shuffled either.
 """
 
 from __future__ import annotations
@@ -25,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripple.llm import perfecthash
-from ripple.llm.common import lean, raw_texts, shuffle_partitions, slices, written
+from ripple.llm.common import Sieve, drop, fields, lean, quote, quoted, raw_texts, shuffle_partitions, slices, small_batches, written
 
 SPACE = b" \t\n\v\f\r"
-SHARD_KEYS = 200_000
+SHARD_KEYS = 500_000
+HOT_KEYS = 20_000
+STRETCH_BYTES = 4 << 20
 NULL_ID = -(1 << 63)  # stands for a null id in packed arrays; sorts first
 
 
@@ -44,7 +51,7 @@ def _key(line: bytes, min_chars: int) -> bytes | None:
 
 def _stretches(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     """For each stretch of documents one row: ids and keys of all long lines, a key once for each document."""
-    for batch in slices(batches, "text", 16 << 20):
+    for batch in slices(batches, "text", STRETCH_BYTES):
         ids, keys = [], []
         for id_, text in zip(batch.column("id").to_pylist(), raw_texts(batch, "text"), strict=True):
             found = {x for line in text.split(b"\n") if (x := _key(line, min_chars)) is not None} if len(text) >= min_chars else ()
@@ -71,57 +78,107 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["lo", "hi", "n", "top"])
 
 
+class Index:
+    """The arrays of one shard: a minimal perfect hash, and by its numbers the fingerprints, counts and largest ids."""
+
+    def __init__(self, sizes: list[int], levels: np.ndarray, prints: np.ndarray, counts: np.ndarray, tops: np.ndarray) -> None:
+        self.sizes, self.levels, self.prints, self.counts, self.tops = sizes, levels, prints, counts, tops
+
+    @classmethod
+    def over(cls, table: pa.Table) -> Index:
+        lo, hi = (table.column(c).to_numpy().view(np.uint64) for c in ("lo", "hi"))
+        sizes, levels = perfecthash.build(lo, hi)
+        order = np.argsort(perfecthash.lookup(sizes, levels, lo, hi))
+        return cls(sizes, levels, hi[order], *(table.column(c).to_numpy()[order] for c in ("n", "top")))
+
+    def packed(self) -> list[bytes]:
+        return [np.array(self.sizes, dtype=np.int64).tobytes(), *(x.tobytes() for x in (self.levels, self.prints, self.counts, self.tops))]
+
+    @classmethod
+    def unpacked(cls, parts: list[bytes]) -> Index:
+        kinds = (np.uint8, np.uint64, np.int64, np.int64)
+        return cls(np.frombuffer(parts[0], np.int64).tolist(), *(np.frombuffer(x, k) for x, k in zip(parts[1:], kinds, strict=True)))
+
+    def found(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The keys' numbers, -1 for keys that are not here."""
+        if not self.sizes:
+            return np.full(len(lo), -1, dtype=np.int64)
+        at = perfecthash.lookup(self.sizes, self.levels, lo, hi)
+        at[(at >= 0) & (self.prints[at] != hi)] = -1
+        return at
+
+    def dropped(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, min_docs: int) -> np.ndarray:
+        """Whether each document loses the line."""
+        at = self.found(lo, hi)
+        return (at >= 0) & (self.counts[at] >= min_docs) & (self.tops[at] != ids) if len(self.counts) else at >= 0
+
+
+ARRAYS = ["sizes", "levels", "prints", "counts", "tops"]
+#: Rows of a shard: its arrays (kind 0), then the probes of stretches (kind 1).
+PROBES = "shard long, kind int, " + ", ".join(f"{x} binary" for x in ARRAYS)
+
+
 def _index(table: pa.Table) -> pa.Table:
     """The arrays of one shard."""
-    lo, hi = (table.column(c).to_numpy().view(np.uint64) for c in ("lo", "hi"))
-    sizes, levels = perfecthash.build(lo, hi)
-    order = np.argsort(perfecthash.lookup(sizes, levels, lo, hi))
-    counts, tops = (table.column(c).to_numpy()[order] for c in ("n", "top"))
-    blobs = [np.array(sizes, dtype=np.int64), levels, hi[order], counts, tops]
-    names = ["sizes", "levels", "prints", "counts", "tops"]
-    return pa.table({"shard": table.column("shard")[:1], **{k: pa.array([v.tobytes()], pa.binary()) for k, v in zip(names, blobs, strict=True)}})
+    packed = Index.over(table).packed()
+    return pa.table({"shard": table.column("shard")[:1], "kind": pa.array([0], pa.int32()), **{k: pa.array([v], pa.binary()) for k, v in zip(ARRAYS, packed, strict=True)}})
 
 
-def _dealt(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """The rows of ``_stretches``, cut by shard."""
+def _dealt(batches: Iterator[pa.RecordBatch], shards: int, hot: Index, sieve: Sieve) -> Iterator[pa.RecordBatch]:
+    """The probes of stretches by shard, without those of hot keys and those that the filter tells from all shards'."""
     for batch in batches:
-        for row in batch.to_pylist():
-            ids, lo, hi = _unpacked(row["ids"], row["keys"])
+        for packed in zip(batch.column("ids").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+            ids, lo, hi = _unpacked(*packed)
+            kept = np.flatnonzero(sieve.passes(lo.view(np.int64)))
+            kept = kept[hot.found(lo[kept], hi[kept]) < 0]
+            ids, lo, hi = ids[kept], lo[kept], hi[kept]
             shard = lo.view(np.int64) % shards
             order = np.argsort(shard, kind="stable")
             cut = np.searchsorted(shard[order], np.arange(shards + 1))
             ids, keys = ids[order], np.ascontiguousarray(np.stack([lo, hi], 1)[order])
             full = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
-            columns = [pa.array(full, pa.int64()), *(pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()) for x in (ids, keys))]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "ids", "keys"])
+            columns = [pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()) for x in (ids, keys)]
+            none = pa.nulls(len(full), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([1] * len(full), pa.int32()), *columns, none, none, none], names=["shard", "kind", *ARRAYS])
 
 
 def _probed(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
-    """(id, key) of the lines to drop."""
+    """(id, key) of the lines to drop, from rows sorted by shard and kind."""
+    shard, index = None, None
     for batch in batches:
-        for row in batch.to_pylist():
-            ids, lo, hi = _unpacked(row["ids"], row["keys"])
-            at = perfecthash.lookup(np.frombuffer(row["sizes"], np.int64).tolist(), np.frombuffer(row["levels"], np.uint8), lo, hi)
-            prints, counts, tops = np.frombuffer(row["prints"], np.uint64), np.frombuffer(row["counts"], np.int64), np.frombuffer(row["tops"], np.int64)
-            drop = np.flatnonzero((at >= 0) & (prints[at] == hi) & (counts[at] >= min_docs) & (tops[at] != ids))
-            keys = np.stack([lo, hi], 1)[drop]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[drop], pa.int64()), pa.array([x.tobytes() for x in keys], pa.binary())], names=["id", "line"])
-
-
-def shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """The lines to drop: (id, lines), lines being the 128-bit keys that document ``id`` loses."""
+        for at, kind, *packed in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", *ARRAYS)), strict=True):
+            if kind == 0:
+                shard, index = at, Index.unpacked(packed)
+            elif index is not None and at == shard:
+                ids, lo, hi = _unpacked(packed[0], packed[1])
+                drop_ = np.flatnonzero(index.dropped(ids, lo, hi, min_docs))
+                keys = np.stack([lo, hi], 1)[drop_]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[drop_], pa.int64()), pa.array([x.tobytes() for x in keys], pa.binary())], names=["id", "line"])
+
+
+def shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5) -> tuple[DataFrame, Index]:
+    """The lines to drop: (id, lines), lines being the 128-bit keys that document ``id`` loses; and the shard of the hot keys, which are not among them."""
     spark = docs.sparkSession
-    plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    small_batches(spark)
+    plain = docs.select(F.col(quote(key)).cast("long").alias("id"), F.col(quote(text)).alias("text"))
     stretches = written(plain.mapInArrow(lean(lambda it: _stretches(it, min_chars)), "ids binary, keys binary"), "stretches")
     counted = stretches.mapInArrow(lean(_counted), "lo long, hi long, n long, top long")
     common = written(counted.groupBy("lo", "hi").agg(F.sum("n").alias("n"), F.max("top").alias("top")).where(F.col("n") >= min_docs), "common")
-    shards = max(shuffle_partitions(spark), math.ceil(common.count() / SHARD_KEYS))
-    index = common.withColumn("shard", F.pmod("lo", F.lit(shards).cast("long"))).groupBy("shard").applyInArrow(
-        _index, "shard long, sizes binary, levels binary, prints binary, counts binary, tops binary"
-    )
-    probes = stretches.mapInArrow(lean(lambda it: _dealt(it, shards)), "shard long, ids binary, keys binary")
-    dropped = probes.join(written(index, "index"), "shard").mapInArrow(lean(lambda it: _probed(it, min_docs)), "id long, line binary")
-    return dropped.groupBy("id").agg(F.collect_set("line").alias("lines")).withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id")))
+    probes = stretches.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // 8
+    # Fewer than HOT_KEYS keys can have so many documents each.
+    often = F.col("n") > probes // HOT_KEYS
+    hot = Index.over(common.where(often).toArrow())
+    rare = common.where(~often)
+    n_rare = rare.count()
+    shards = max(shuffle_partitions(spark), math.ceil(n_rare / SHARD_KEYS))
+    index = rare.withColumn("shard", F.pmod("lo", F.lit(shards).cast("long"))).groupBy("shard").applyInArrow(_index, PROBES)
+    shared = spark.sparkContext.broadcast((hot, Sieve(rare.select("lo"), "lo", n_rare)))
+    dealt = stretches.mapInArrow(lean(lambda it: _dealt(it, shards, *shared.value)), PROBES)
+    stream = index.unionByName(dealt).repartition(shuffle_partitions(spark), "shard").sortWithinPartitions("shard", "kind")
+    dropped = stream.mapInArrow(lean(lambda it: _probed(it, min_docs)), "id long, line binary")
+    lines = written(dropped.groupBy("id").agg(F.collect_set("line").alias("lines")), "lines")
+    drop(stretches)
+    return lines.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id"))), hot
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -136,33 +193,52 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     before all others.  Keys are whole numbers.  Columns named n_lines and
     n_dropped are replaced; an empty table gives an empty one.
     """
-    names = docs.columns
+    spark, names = docs.sparkSession, docs.columns
     others = [c for c in names if c not in (text, "n_lines", "n_dropped")]
-    wide = docs.select(F.struct(*others).alias("row"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    lines = shared_lines(docs, key, text, min_chars, min_docs).select(F.col("id").alias("at"), "lines")
-    joined = wide.join(lines, F.col("id").eqNullSafe(F.col("at")), "left").select("row", "text", "lines")
+    lines, hot = shared_lines(docs, key, text, min_chars, min_docs)
+    sieve = Sieve(lines.select(F.xxhash64("id").alias("h")), "h", lines.count())
+    shared = spark.sparkContext.broadcast((sieve, hot))
+    wide = docs.select(F.struct(*quoted(others)).alias("row"), F.col(quote(key)).cast("long").alias("id"), F.col(quote(text)).alias("text"))
+    wide = wide.withColumn("h", F.xxhash64("id"))
+    row = wide.schema["row"].dataType
+    done = fields(row=row, text="string", n_lines="long", n_dropped="long")
+
+    def cut(batch: pa.RecordBatch, lost: list[list[bytes] | None]) -> pa.RecordBatch:
+        """The batch's texts without the lines whose keys are given, and without hot ones."""
+        raws, ids = raw_texts(batch, "text"), batch.column("id").fill_null(NULL_ID).to_numpy()
+        keys = [[_key(x, min_chars) for x in raw.split(b"\n")] if len(raw) >= min_chars else () for raw in raws]
+        owner = np.repeat(np.arange(len(raws)), [sum(k is not None for k in x) for x in keys])
+        both = np.frombuffer(b"".join(k for x in keys for k in x if k is not None), np.uint64).reshape(-1, 2).T.copy()
+        hot = iter(shared.value[1].dropped(ids[owner], both[0], both[1], min_docs).tolist())
+        texts, before, gone = [], [], []
+        for raw, mine, drop in zip(raws, keys, lost, strict=True):
+            drop = set(drop or ())
+            out = [k is not None and (next(hot) or k in drop) for k in mine]
+            n = sum(out)
+            texts.append(b"\n".join(x for x, o in zip(raw.split(b"\n"), out, strict=True) if not o) if n else raw)
+            before.append(len(mine) or raw.count(b"\n") + 1)
+            gone.append(n)
+        columns = [batch.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(before, pa.int64()), pa.array(gone, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["row", "text", "n_lines", "n_dropped"])
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            batch = batch.filter(pa.array(~shared.value[0].passes(batch.column("h").to_numpy())))
+            yield cut(batch, [None] * batch.num_rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def losing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value[0].passes(batch.column("h").to_numpy()))).select(["row", "id", "text"])
+
+    def lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            texts, before, gone = [], [], []
-            for raw, drop in zip(raw_texts(batch, "text"), batch.column("lines").to_pylist(), strict=True):
-                if not drop:
-                    texts.append(raw)
-                    before.append(raw.count(b"\n") + 1)
-                    gone.append(0)
-                    continue
-                drop, split = set(drop), raw.split(b"\n")
-                kept = [x for x in split if _key(x, min_chars) not in drop]
-                texts.append(b"\n".join(kept))
-                before.append(len(split))
-                gone.append(len(split) - len(kept))
-            columns = [batch.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(before, pa.int64()), pa.array(gone, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "n_lines", "n_dropped"])
-
-    row = joined.schema["row"].dataType.simpleString()
-    done = joined.mapInArrow(lean(run), f"row {row}, text string, n_lines long, n_dropped long")
-    back = [F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in names if c in others or c == text]
-    return done.select(*back, "n_lines", "n_dropped")
+            yield cut(batch, batch.column("lines").to_pylist())
+
+    clear = wide.mapInArrow(lean(passing), done)
+    met = wide.mapInArrow(lean(losing), fields(row=row, id="long", text="string"))
+    met = met.join(lines.select(F.col("id").alias("at"), "lines"), F.col("id").eqNullSafe(F.col("at")), "left").mapInArrow(lean(lost), done)
+    back = [F.col("text").alias(text) if c == text else F.col("row." + quote(c)).alias(c) for c in names if c in others or c == text]
+    return clear.unionByName(met).select(*back, "n_lines", "n_dropped")
 
 
 def digest(texts: DataFrame, text: str = "text") -> DataFrame:

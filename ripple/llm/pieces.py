@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripple.llm.common import lean, mix, raw_texts, slices
+from ripple.llm.common import lean, mix, quote, raw_texts, slices, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁".encode()
@@ -633,8 +633,9 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
     their draws where they begin alike; keys may be of any type and null.  Other
     columns are not read; an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     proto = docs.sparkSession.sparkContext.broadcast(read_model(docs.sparkSession, model))
-    plain = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    plain = docs.select(F.col(quote(key)).alias("id"), F.coalesce(quote(text), F.lit("")).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
     own = "n_ids long, ids_sha256 string, decodes boolean"
     drawn = "sample_n_ids array<long>, sample_sha256 array<string>, sample_logp array<double>, sample_log_inclusion array<double>, samples_decode boolean"
@@ -644,6 +645,12 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
         known = _known(proto.value, theta, keep) if carry else Known(Pieces(proto.value, theta), keep)
         pieces = known.pieces
         gc.disable()  # nothing here refers to itself; the collector would walk the millions of chunks again and again
+        try:
+            yield from encoded(batches, known, pieces)
+        finally:
+            gc.enable()
+
+    def encoded(batches: Iterator[pa.RecordBatch], known: Known, pieces: Pieces) -> Iterator[pa.RecordBatch]:
         for batch in _bounded(batches, slice_bytes):
             raw = raw_texts(batch, "text")
             sampler = Sampler(known, raw, row_keys(batch.column("id").to_pylist(), seed), k)
@@ -688,6 +695,5 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
                 columns += [pa.array([x.tolist() for x in ids], pa.list_(pa.int32())), pa.array([r["ids"] for r in rows], pa.list_(pa.list_(pa.int32())))]
                 names += ["ids", "sample_ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
-        gc.enable()
 
     return plain.mapInArrow(lean(run), f"id {kind}, {own}, {drawn}{full}").withColumnRenamed("id", key)

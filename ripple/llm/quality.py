@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripple.llm.common import Hashes, lean, raw_texts, slices
-from ripple.llm.labelled import SAMPLE_ROWS, held_out, sigmoid, training_rows
+from ripple.llm.common import Hashes, fields, lean, quote, raw_texts, slices, small_batches
+from ripple.llm.labelled import SAMPLE_BYTES, SAMPLE_ROWS, held_out, sigmoid, training_rows
 
 BUCKETS = 1 << 15
 RANK = 8
@@ -134,15 +134,19 @@ class Machine:
         return sigmoid(self.margins(rows, at, value, len(starts))[0].astype(np.float64))
 
 
-def _columns(docs: DataFrame, text: str, n_chars: str | None) -> list[Column]:
-    known = F.col(n_chars).cast("long") if n_chars and n_chars in docs.columns else F.lit(None).cast("long")
-    return [F.col(text).alias("text"), F.coalesce(known, F.char_length(text).cast("long")).alias("n_chars")]
+def _counted(docs: DataFrame, text: str, n_chars: str | None) -> Column:
+    """The metadata column with a text's length; where it is null or missing the text is counted."""
+    known = F.col(quote(n_chars)).cast("long") if n_chars and n_chars in docs.columns else F.lit(None).cast("long")
+    return F.coalesce(known, F.char_length(quote(text)).cast("long"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", rows: int = SAMPLE_ROWS) -> Machine:
-    """A machine fitted on a bounded sample of labelled documents outside the held-out fold."""
-    texts = training_rows(docs, labels, label, key, text, rows).select("text", "label")
-    sample = texts.select(F.col("text"), F.char_length("text").cast("long").alias("n_chars"), "label")
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Machine:
+    """A machine fitted on a bounded sample of labelled documents outside the held-out fold.
+
+    Features of ``size`` bytes of text come to the driver, some four times as many bytes at most.
+    """
+    small_batches(docs.sparkSession)
+    sample = training_rows(docs, labels, label, key, text, rows, size, {"n_chars": _counted(docs, text, n_chars)}).select("text", "n_chars", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Hashes()
@@ -175,7 +179,7 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     labelled rows every score is that of an unfitted machine.
     """
     machine = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, "quality", key, text, n_chars))
-    plain = docs.select(F.col(key).alias("id"), *_columns(docs, text, n_chars))
+    plain = docs.select(F.col(quote(key)).alias("id"), F.col(quote(text)).alias("text"), _counted(docs, text, n_chars).alias("n_chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Hashes()
@@ -183,6 +187,5 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
             p = machine.value.score(*features(batch, words))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
-    kind = plain.schema["id"].dataType.simpleString()
-    done = plain.mapInArrow(lean(run), f"id {kind}, score double, predicted int")
+    done = plain.mapInArrow(lean(run), fields(id=plain.schema["id"].dataType, score="double", predicted="int"))
     return done.select(F.col("id").alias(key), held_out(F.col("id")).alias("held_out"), "score", "predicted")

@@ -24,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op7_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text stored as mu-law audio, read back, with features."""
-    return audio.read(audio.store(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    """Every whole text stored as mu-law audio, read back, with features and its sound as 16-bit PCM at 16 kHz."""
+    return audio.read(audio.store(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", pcm=True)
 
 
 @query
@@ -34,6 +34,9 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.similar_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+ORACLES["op10_ngram_jaccard_join"] = setjoin.ORACLE
+
+
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 characters and more that 5 documents share go, except in the last of them."""
@@ -70,10 +73,13 @@ def op4_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), F.col("lang") == "en")
 
 
+ORACLES["op4_lm_cross_entropy"] = lmscore.ORACLE
+
+
 @query
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text's own ids, and two segmentations sampled without replacement, with the check that all decode to it."""
-    return pieces.encode(table(spark, sf_dir, "documents"))
+    """Each text's own ids, and four segmentations sampled without replacement, with the check that all decode to it."""
+    return pieces.encode(table(spark, sf_dir, "documents"), k=4)
 
 
 @query

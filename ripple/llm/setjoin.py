@@ -39,15 +39,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from ripple.llm.common import Hashes, Sieve, connected_components, lean, lean_group, mix, raw_texts, shuffle_partitions, slices, without, written
+from ripple.llm.common import Hashes, Sieve, connected_components, lean, lean_group, led, mix, quote, quoted, raw_texts, shuffle_partitions, slices, small_batches, without, written
 from ripple.llm.shingles import set_key, shingle_sets
 
 SPARE_SHARE = 0.25  # spare parts at most, of the others
 WIDE = 2000
 GROUP = 32
-BLOCK = 4096
-FLUSH_ROWS = 300_000  # signatures gathered in a task before they are dealt out
-SHARD_ROWS = 1_500_000  # signatures that a shard is meant to hold
+BLOCK, BLOCK_TOKENS = 4096, 2_000_000  # sets and tokens of a component that are verified in one task
+FLUSH_ROWS = 200_000  # signatures gathered in a task before they are dealt out
+SHARD_ROWS = 750_000  # signatures that a shard is meant to hold
 BATCH_SETS = 400  # sets of small components whose matrix is made together
 
 
@@ -208,7 +208,7 @@ def compared(sig: np.ndarray, entry: np.ndarray, node: np.ndarray, facts: np.nda
     size = facts[:, 0].astype(np.int64)
     step = 1
     while len(rows):
-        for chunk in np.array_split(rows, max(1, len(rows) // 500_000)):
+        for chunk in np.array_split(rows, max(1, len(rows) // 200_000)):
             x, y = entry[chunk], entry[chunk + step]
             low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
             some = (node[x] != node[y]) & ((low == 0) | (den * low >= num * high))
@@ -223,8 +223,8 @@ def compared(sig: np.ndarray, entry: np.ndarray, node: np.ndarray, facts: np.nda
     return forest(np.concatenate(left), np.concatenate(right)) if left else (node[:0], node[:0])
 
 
-SIGNED = "id {kind}, n_shingles long, set_key binary, node long, shard int, sigs binary, nodes binary, a binary, b binary, who binary, facts binary"
-LINKED = "id {kind}, n_shingles long, set_key binary, node long, a long, b long"
+SIGNED = "id {kind}, text_hash long, n_shingles long, set_key binary, node long, shard int, sigs binary, nodes binary, a binary, b binary, who binary, facts binary"
+LINKED = "id {kind}, text_hash long, n_shingles long, set_key binary, node long, a long, b long"
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, shards: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -286,7 +286,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, shard
         sets = shingle_sets(raw_texts(batch, "text"), k, words)
         keys = [set_key(x) if len(x) else None for x in sets]
         nodes = [int.from_bytes(x[:8], "little", signed=True) if x else None for x in keys]
-        yield rows(id=batch.column("id"), n_shingles=[len(x) for x in sets], set_key=keys, node=nodes, shard=(batch.column("h").to_numpy() % shards).tolist())
+        yield rows(id=batch.column("id"), text_hash=batch.column("text_hash"), n_shingles=[len(x) for x in sets], set_key=keys, node=nodes, shard=(batch.column("h").to_numpy() % shards).tolist())
         fresh = []
         for i, x in enumerate(nodes):
             if x is not None and x not in seen:
@@ -360,55 +360,66 @@ def matrix_links(sets: list[np.ndarray], num: int, den: int) -> Union:
     return links
 
 
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The 64-bit words of each binary value, without copies."""
+    out: list[np.ndarray] = []
+    for x in column.chunks:
+        ends = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1].tolist() if len(x) else [0]
+        data = x.buffers()[2] if len(x) else None
+        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+        out += [raw[i:j].view(np.uint64) for i, j in zip(ends, ends[1:], strict=False)]
+    return out
+
+
+VERIFIED = "whole boolean, set_key binary, root binary, node long, root_node long"
+
+
 def _verified(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Roots of the verified components among the sets of one task; (node, root, whole)."""
-    rows = {}
-    for key, component, whole, node, tokens in zip(*(table.column(c).to_pylist() for c in ("set_key", "component", "whole", "node", "tokens")), strict=True):
-        rows[key] = (component, np.frombuffer(tokens, np.uint64), node, whole)
-    kept = sorted(rows.values(), key=lambda x: (x[0], x[1][:4].tolist(), len(x[1])))
-    out: dict[str, list] = {"node": [], "root": [], "whole": []}
+    """Roots of the verified components among the sets of one task: sets' keys where whole components are here, else nodes."""
+    keys, component, whole, node = (table.column(c).to_pylist() for c in ("set_key", "component", "whole", "node"))
+    tokens = _arrays(table.column("tokens"))
+    first = {key: i for i, key in reversed(list(enumerate(keys)))}
+    kept = sorted(first.values(), key=lambda i: (component[i], tokens[i][:4].tolist(), len(tokens[i])))
+    out: dict[str, list] = {c: [] for c in ("whole", "set_key", "root", "node", "root_node")}
     start = 0
     while start < len(kept):  # whole components, so many at once that a matrix pays
         end = start
-        while end < len(kept) and (end - start < BATCH_SETS or kept[end][0] == kept[end - 1][0]):
+        while end < len(kept) and (end - start < BATCH_SETS or component[kept[end]] == component[kept[end - 1]]):
             end += 1
-        links = matrix_links([x[1] for x in kept[start:end]], num, den)
-        nodes = [x[2] for x in kept[start:end]]
-        out["node"] += nodes
-        out["root"] += [nodes[links.find(i)] for i in range(end - start)]
-        out["whole"] += [x[3] for x in kept[start:end]]
+        part = kept[start:end]
+        links = matrix_links([tokens[i] for i in part], num, den)
+        for at, i in enumerate(part):
+            root = part[links.find(at)]
+            for c, value in zip(out, (whole[i], keys[i], keys[root], node[i], node[root]), strict=True):
+                out[c].append(value)
         start = end
-    return pa.table({"node": pa.array(out["node"], pa.int64()), "root": pa.array(out["root"], pa.int64()), "whole": pa.array(out["whole"], pa.bool_())})
+    kinds = {"whole": pa.bool_(), "set_key": pa.binary(), "root": pa.binary(), "node": pa.int64(), "root_node": pa.int64()}
+    return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
 
 
-def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Components of documents whose k-word shingle sets have a Jaccard similarity of ``num / den`` at least.
-
-    Returns (key, n_shingles, component_id), one row for each input row;
-    component_id is the smallest key that links reach.  Texts that are null or
-    have no word have no shingles and are linked with nothing: their component
-    is their own key.  Rows that repeat, and rows whose key is null, are nodes
-    like others (a component of null keys alone is null).  Other columns are not
-    read; an empty table gives an empty one.  ``docs`` is read twice and should be
-    a table, or written as one before: what tasks send depends on their rows' order.
-    """
+def _rooted(docs: DataFrame, key: str, text: str, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, int]:
+    """(a row for each document: id, text_hash, n_shingles, set_key; for each distinct set: set_key, the root of its component and the component's least id; the number of documents)."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    shards = max(shuffle_partitions(spark), math.ceil(docs.count() * 90 / SHARD_ROWS))
+    n_docs = docs.count()
+    shards = max(shuffle_partitions(spark), math.ceil(n_docs * 90 / SHARD_ROWS))
     schema, linked = (to_arrow_schema(_parse_datatype_string(x.format(kind=kind))) for x in (SIGNED, LINKED))
-    signed = docs.withColumn("h", F.xxhash64("id")).mapInArrow(lean(lambda it: _signed(it, k, num, den, shards, schema)), SIGNED.format(kind=kind))
+    signed = docs.withColumn("h", F.xxhash64("id")).withColumn("text_hash", F.xxhash64("text")).mapInArrow(lean(lambda it: _signed(it, k, num, den, shards, schema)), SIGNED.format(kind=kind))
     signed = written(signed.groupBy("shard").applyInArrow(lean_group(lambda t: _bucket_links(t, linked, num, den)), LINKED.format(kind=kind)), "signed")
-    each = signed.where("a is null").select("id", "n_shingles", "set_key", "node")
+    each = signed.where("a is null").select("id", "text_hash", "n_shingles", "set_key", "node")
     links = signed.where("a is not null").select("a", "b")
+    # Nodes are 64 bits of a set's key.  Should two sets share one, their components are verified together, and fall apart there.
     near = connected_components(links)
 
     # The distinct sets of components, each with the text of one document.
-    sets = each.where("set_key is not null").groupBy("set_key", "node").agg(F.min("id").alias("id"))
-    members = written(sets.join(near, "node").select("id", "set_key", "node", "component"), "members")
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    n_members = members.count()
-    tasks = max(shuffle_partitions(spark), math.ceil(n_members / 1000))
+    sets = each.where("set_key is not null").groupBy("set_key", "node").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"))
+    members = written(sets.join(near, "node").select("id", "set_key", "node", "component", "n"), "members")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
+    sizes = members.groupBy("component").agg(blocks.alias("blocks"))
+    n_members, n_tokens = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tasks = max(shuffle_partitions(spark), math.ceil(n_members / 1000), math.ceil(4 * n_tokens / BLOCK_TOKENS))
 
     # Only members' token sets are shuffled; other documents end at the sieve.
     sieve = spark.sparkContext.broadcast(Sieve(members.select(F.xxhash64("id").alias("h")), "h", n_members))
@@ -429,33 +440,82 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     full = full.withColumn("block", block.cast("int")).withColumn("other", other).withColumn("whole", F.col("blocks") == 1)
     task = F.when(F.col("whole"), F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
     found = full.select(task.alias("task"), "component", "whole", "set_key", "node", "tokens")
-    verified = written(found.groupBy("task").applyInArrow(lean_group(lambda t: _verified(t, num, den)), "node long, root long, whole boolean"), "verified")
-    roots = verified.where("whole").select("node", "root")
-    if verified.where("not whole").limit(1).count():
-        cut = verified.where("not whole")
-        roots = roots.unionByName(connected_components(cut, "node", "root").select("node", F.col("component").alias("root")))
-
-    # From sets back to documents.
-    rooted = sets.join(roots, "node", "left").select("set_key", "id", F.coalesce("root", "node").alias("root"))
+    verified = written(found.groupBy("task").applyInArrow(lean_group(lambda t: _verified(t, num, den)), VERIFIED), "verified")
+    roots = verified.where("whole").select("set_key", "root")
+    cut = verified.where("not whole")
+    if cut.limit(1).count():
+        over = connected_components(cut, "node", "root_node").withColumn("root", F.col("component").cast("string").cast("binary"))
+        roots = roots.unionByName(cut.select("set_key", "node").distinct().join(over, "node", "left").select("set_key", F.coalesce("root", F.col("node").cast("string").cast("binary")).alias("root")))
+
+    rooted = written(sets.join(roots, "set_key", "left").select("set_key", "id", F.coalesce("root", "set_key").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = rooted.join(least, "root").select("set_key", "component_id")
-    return each.join(named, "set_key", "left").select(
-        F.col("id").alias(key), "n_shingles", F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    return each.drop("node"), led(rooted.drop("id"), "root", least, "component_id", n_docs).select("set_key", F.struct("root", "component_id").alias("of")), n_docs
+
+
+def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Components of documents whose k-word shingle sets have a Jaccard similarity of ``num / den`` at least.
+
+    Returns (key, n_shingles, component_id), one row for each input row;
+    component_id is the smallest key that links reach.  Texts that are null or
+    have no word have no shingles and are linked with nothing: their component
+    is their own key.  Rows that repeat, and rows whose key is null, are nodes
+    like others (a component of null keys alone is null).  Other columns are not
+    read; an empty table gives an empty one.  ``docs`` is read twice and should be
+    a table, or written as one before: what tasks send depends on their rows' order.
+    """
+    each, named, n_docs = _rooted(docs, key, text, k, num, den)
+    alone = each.where("set_key is null").select(F.col("id").alias(key), "n_shingles", F.col("id").alias("component_id"))
+    return alone.unionByName(led(each, "set_key", named, "of", n_docs).select(F.col("id").alias(key), "n_shingles", F.col("of.component_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Of each group of similar documents, the rows whose key is the smallest, with all columns; equal rows once.
+    """Of each group of similar documents one row, with all columns: that of the smallest key.
 
-    Rows without words are kept, as they are linked with nothing.
+    Documents are rows, not keys: a row goes if it is similar to one that stays,
+    whatever other rows share its key.  Null keys come last.  Among rows of a
+    group that share the smallest key, the text of the smallest hash stays, and
+    of rows equal in key and text any one.  Rows without words are linked with
+    nothing and stay; an empty table gives an empty one.
     """
-    found = similar_components(docs, key, text, k, num, den)
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col(key).eqNullSafe(F.col("component_id"))).select(key)
-    left = without(docs, gone, key)
-    # Rows that share a key and a text are copies of each other.
-    again = found.where("n_shingles > 0").groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
-    again = written(again, "again")
-    if not again.limit(1).count():
+    each, named, n_docs = _rooted(docs, key, text, k, num, den)
+    found = led(each, "set_key", named, "of", n_docs).select("id", "text_hash", "of.root", F.col("id").eqNullSafe(F.col("of.component_id")).alias("first"))
+    found = written(found, "found")
+    ties = found.where("first").groupBy("root").agg(F.count("*").alias("n"), F.min("text_hash").alias("kept")).where("n > 1")
+    ties = written(ties.select("root", "kept"), "ties")
+    on = {"id": F.col(quote(key)), "text_hash": F.xxhash64(quote(text))}
+    gone = found.where("not first").select("id", "text_hash")
+    if not ties.limit(1).count():
+        return without(docs, gone, on)
+    tied = found.where("first").join(ties, "root")
+    gone = gone.unionByName(tied.where("text_hash <> kept").select("id", "text_hash"))
+    equal = written(tied.where("text_hash = kept").groupBy("id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("id", "text_hash"), "equal")
+    left = without(docs, gone, on)
+    if not equal.limit(1).count():
         return left
-    alike = left.join(again, left[key].eqNullSafe(again[key]), "left_semi")
-    return without(left, again, key).unionByName(alike.dropDuplicates([key, text]))
+    # Rows that are equal in key and text: one of each.
+    same = equal.select(F.col("id").alias("equal_id"), F.col("text_hash").alias("equal_hash"))
+    alike = left.select(F.struct(*quoted(docs.columns)).alias("row"), on["id"].alias("id"), on["text_hash"].alias("text_hash"))
+    alike = alike.join(same, F.col("id").eqNullSafe(F.col("equal_id")) & (F.col("text_hash") == F.col("equal_hash")), "left_semi")
+    return without(left, equal, on).unionByName(alike.dropDuplicates(["id", "text_hash"]).select("row.*"))
+
+
+#: The registered query's: three words, 90 of 100.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + 2], ' ') AS x FROM (SELECT r, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), both_ AS (
+  SELECT s.r AS a, t.r AS b, count(*) AS c FROM s JOIN s AS t ON s.x = t.x AND s.r <> t.r GROUP BY ALL
+), link AS (
+  SELECT a, b FROM both_ JOIN n AS m ON m.r = a JOIN n AS o ON o.r = b WHERE 100 * c >= 90 * (m.n + o.n - c)
+), walk(r, x) AS (
+  SELECT r, r FROM d UNION SELECT walk.r, b FROM walk JOIN link ON link.a = walk.x
+), least_ AS (
+  SELECT walk.r, min(d.doc_id) AS component_id FROM walk JOIN d ON d.r = walk.x GROUP BY walk.r
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN least_ USING (r) LEFT JOIN n USING (r)
+"""

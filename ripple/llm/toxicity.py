@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripple.llm.common import lean, raw_texts, slices
-from ripple.llm.labelled import SAMPLE_ROWS, held_out, logistic, sigmoid, training_rows
+from ripple.llm.common import fields, lean, quote, quoted, raw_texts, slices, small_batches
+from ripple.llm.labelled import SAMPLE_BYTES, SAMPLE_ROWS, held_out, logistic, sigmoid, training_rows
 
 WORD = re.compile(r"\w+")
 MIN_STEM, MAX_STEM = 4, 12
 MIN_TOXIC_DOCS = 5  # of the sample, that a term must occur in
 MIN_RATIO = 6.0  # of its rates in toxic and in other documents
-MAX_TERMS = 500
+MAX_TERMS, CANDIDATES = 500, 20_000  # terms that are taken, and that are looked at, those in most toxic texts first
 EDIT_FROM = 5  # letters from which a term admits one edit
 WINDOW = 12  # words, for the densest window of hits
 QUOTED = 0.25  # weight of a hit that is quoted or reported
@@ -116,7 +116,7 @@ class Lexicon:
 class Kinds(dict):
     """Remembers words' kinds, so many at a time."""
 
-    def __init__(self, lexicon: Lexicon, limit: int = 100_000) -> None:
+    def __init__(self, lexicon: Lexicon, limit: int = 60_000) -> None:
         super().__init__()
         self.lexicon, self.limit = lexicon, limit
 
@@ -169,20 +169,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
             for word, n in Counter(WORD.findall(text.lower())).items():
-                if len(word) <= 40:
-                    x = counts.setdefault(word, [0, 0, 0, 0])
-                    x[2 * label] += n
-                    x[2 * label + 1] += 1
+                x = counts.setdefault(word, [0, 0, 0, 0])
+                x[2 * label] += n
+                x[2 * label + 1] += 1
     rows = list(counts.items())
     yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows]), *(pa.array([x[i] for _, x in rows], pa.int64()) for i in range(4))], names=["word", "n0", "d0", "n1", "d1"])
 
 
-def learn_lexicon(sample: DataFrame) -> Lexicon:
+def learn_lexicon(sample: DataFrame, most: int = MAX_TERMS, candidates: int = CANDIDATES) -> Lexicon:
     """Terms of the bounded sample whose rate in toxic documents is MIN_RATIO times that in others.
 
-    Terms are taken by the signed root of their likelihood ratio.  A word that
-    begins with a stem already taken stands beside it and does not count towards
-    MAX_TERMS: stems are met exactly, and its misspellings are met by the word.
+    The ``candidates`` most frequent in toxic texts are looked at, and ``most`` are
+    taken by the signed root of their likelihood ratio.  A word that begins with a
+    stem already taken stands beside it and does not count towards ``most``: stems are met exactly, and its misspellings are met by the word.
     """
     words = sample.mapInArrow(lean(_counted), "word string, n0 long, d0 long, n1 long, d1 long")
     stems = [F.substring("word", 1, n) for n in range(MIN_STEM, MAX_STEM + 1)]
@@ -190,7 +189,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     terms = terms.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n0", "d0", "n1", "d1")], F.countDistinct("word").alias("forms")).where(F.col("d1") >= MIN_TOXIC_DOCS)
     share = sample.agg(F.count_if(F.col("label") == 0).alias("a"), F.count_if(F.col("label") == 1).alias("b")).first()
     rate = (F.col("n1") / max(1, share["b"])) / ((F.col("n0") + 0.5) / max(1, share["a"]))
-    rows = terms.withColumn("rate", rate).where(F.col("rate") >= MIN_RATIO).orderBy(F.desc("n1"), "term").limit(20_000).collect()
+    rows = terms.withColumn("rate", rate).where(F.col("rate") >= MIN_RATIO).orderBy(F.desc("n1"), "term").limit(candidates).collect()
 
     def surprise(r) -> float:
         n, expected = r["n1"] + r["n0"], (r["n1"] + r["n0"]) * share["b"] / (share["a"] + share["b"])
@@ -203,7 +202,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
             if r["term"][0] == "=":
                 covered.append(word)
             continue
-        if word in whole or len(whole) + len(begun) >= MAX_TERMS:
+        if word in whole or len(whole) + len(begun) >= most:
             continue
         if r["term"][0] == "=":
             whole.append(word)
@@ -212,21 +211,33 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     return Lexicon(whole + covered, begun)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> tuple[Lexicon, np.ndarray]:
-    """(lexicon, weights) learned from a bounded sample of labelled documents outside the held-out fold."""
-    sample = training_rows(docs, labels, label, key, text, rows)
-    lexicon = learn_lexicon(sample)
+def _described(batch: pa.RecordBatch, kinds: Kinds) -> np.ndarray:
+    return np.array([describe(t.decode("utf-8", "replace"), kinds) for t in raw_texts(batch, "text")])
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, most: int = MAX_TERMS, candidates: int = CANDIDATES
+) -> tuple[Lexicon, np.ndarray]:
+    """(lexicon, weights) learned from labelled documents outside the held-out fold.
+
+    The bounds of the fit are ``rows`` documents of ``size`` bytes in all, ``candidates``
+    terms that are looked at and ``most`` that are taken.
+    """
+    small_batches(docs.sparkSession)
+    sample = training_rows(docs, labels, label, key, text, rows, size)
+    lexicon = learn_lexicon(sample, most, candidates)
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.stems))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = Kinds(lexicon)
+        kinds = Kinds(Lexicon(*shared.value))
         for batch in slices(batches, "text"):
-            x = [describe(t.decode("utf-8", "replace"), kinds) for t in raw_texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("label")], names=["x", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(_described(batch, kinds).tolist(), pa.list_(pa.float64())), batch.column("label")], names=["x", "label"])
 
-    got = sample.select("text", "label").mapInArrow(lean(run), "x array<double>, label int").toPandas()
-    if not len(got):
+    got = sample.select("text", "label").mapInArrow(lean(run), "x array<double>, label int").toArrow()
+    if not got.num_rows:
         return lexicon, np.append(np.zeros(FEATURES), -3.0)
-    return lexicon, logistic(np.array(got["x"].tolist()), got["label"].to_numpy(dtype=float))
+    order = sorted(zip(got.column("x").to_pylist(), got.column("label").to_pylist(), strict=True))  # the same sums for any partitioning
+    return lexicon, logistic(np.array([x for x, _ in order]), np.array([y for _, y in order], dtype=float))
 
 
 def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray], key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -235,26 +246,28 @@ def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray], key: str = "doc_id
     Null and empty texts have no hits and the score of such texts.  Repeated
     rows have equal scores; columns named as the results are replaced; an empty
     table gives an empty one.  Without any labelled row the lexicon is empty and
-    every text scores the same.
+    every text scores the same.  The model, of a bounded number of terms, is sent to
+    all tasks; the automaton's states are made and dropped within a task.
     """
+    small_batches(docs.sparkSession)
     lexicon, weights = model
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.stems))
     others = [c for c in docs.columns if c not in ("score", "predicted", "any_hit")]
-    wide = docs.select(F.struct(*others).alias("row"), F.col(text).alias("text"))
+    wide = docs.select(F.struct(*quoted(others)).alias("row"), F.col(quote(text)).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = Kinds(lexicon)
+        kinds = Kinds(Lexicon(*shared.value))
         for batch in slices(batches, "text"):
-            x = np.array([describe(t.decode("utf-8", "replace"), kinds) for t in raw_texts(batch, "text")])
+            x = _described(batch, kinds)
             p = sigmoid(x @ weights[:-1] + weights[-1])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(x[:, 4] > 0)], names=["row", "score", "predicted", "any_hit"])
 
-    row = wide.schema["row"].dataType.simpleString()
-    done = wide.mapInArrow(lean(run), f"row {row}, score double, predicted int, any_hit boolean")
-    return done.select(*[F.col(f"row.`{c}`").alias(c) for c in others], "score", "predicted", "any_hit")
+    done = wide.mapInArrow(lean(run), fields(row=wide.schema["row"].dataType, score="double", predicted="int", any_hit="boolean"))
+    return done.select(*[F.col("row." + quote(c)).alias(c) for c in others], "score", "predicted", "any_hit")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, score, predicted) for each document."""
-    plain = docs.select(key, text)
+    plain = docs.select(*quoted([key, text]))
     done = score(plain, fit(docs, labels, "toxic", key, text), key, text)
-    return done.select(key, held_out(F.col(key)).alias("held_out"), "score", "predicted")
+    return done.select(F.col(quote(key)), held_out(F.col(quote(key))).alias("held_out"), "score", "predicted")

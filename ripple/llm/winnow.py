@@ -3,10 +3,12 @@
 A window is WINDOW consecutive words of an item (a shorter item is one window).
 Its fingerprint is the smallest hash of its K-word runs, so a document that holds
 the window has that fingerprint too, as the smallest hash among the same runs:
-every shared span of WINDOW words is found, whatever surrounds it.  Documents
-keep the distinct smallest hashes over their sliding windows; these are joined
-with the items' fingerprints, and hits are extended to whole windows, which are
-compared word by word with the items' windows.
+every shared span of WINDOW words is found, whatever surrounds it.  Documents are
+read in blocks of BLOCK words, each with the words that windows begun in it need;
+of a block's sliding windows, each stretch that keeps one smallest hash is a row.
+These rows are joined with the items' fingerprints, and the hits, with their
+block's words, are extended to whole windows, which are compared word by word with
+the items' windows.  Texts are read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -14,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripple.llm.common import written
+from ripple.llm.common import quote, quoted, written
 
 WINDOW, K = 8, 5
-#: A join side of so many rows at most (some 10 MB each) is sent to all executors; a larger one is shuffled.
-BROADCAST_ROWS = 200_000
+BLOCK = 96
+#: A join side of so many bytes at most is sent to all executors; a larger one is shuffled.
+BROADCAST_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,14 +55,19 @@ def smallest(h: Column, length: int) -> Column:
     return F.transform(_upto(F.size(h) - (width - 1)), lambda i: F.least(*[F.get(h, i + j) for j in range(width)]))
 
 
-def _fitting(side: DataFrame) -> DataFrame:
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+def fits(side: DataFrame, size: Column) -> bool:
+    """Whether rows of ``size`` bytes each may be broadcast."""
+    return (side.agg(F.sum(size + 48)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def _fitting(side: DataFrame, size: Column) -> DataFrame:
+    return F.broadcast(side) if fits(side, size) else side
 
 
 def item_windows(items: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFrame:
-    """The distinct windows of all items: (length, print, window, items).  Items without key or words have none."""
+    """The windows of all items: (length, print, window, item).  Items without key or words have none."""
     # Written, as the optimizer would copy the splitting into every filter on its result.
-    w = items.select(F.col(key).cast("string").alias("item"), words(F.col(text)).alias("w"))
+    w = items.select(F.col(quote(key)).cast("string").alias("item"), words(F.col(quote(text))).alias("w"))
     w = written(w, "items").where(F.col("item").isNotNull() & (F.size("w") > 0))
     parts = []
     for length in range(1, window + 1):
@@ -69,45 +77,64 @@ def item_windows(items: DataFrame, key: str, text: str, window: int = WINDOW) ->
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
-    return every.groupBy("length", "print", "window").agg(F.collect_set("item").alias("items"))
+    return every.distinct()
 
 
-def _windows_at(n: int) -> Column:
-    """The windows of n words whose fingerprint is in ``prints``, with their starts."""
-    starts = F.filter(_upto(F.size(f"m{n}")), lambda s: F.array_contains(F.col("prints"), F.get(F.col(f"m{n}"), s)))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(n).alias("length"), F.array_join(F.slice("w", s + 1, n), " ").alias("window")))
+def blocks(docs: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFrame:
+    """(id, text_hash, block, words): BLOCK words each, and those after them that windows begun in the block need."""
+    w = docs.select(F.col(quote(key)).alias("id"), F.xxhash64(quote(text)).alias("text_hash"), words(F.col(quote(text))).alias("w"))
+    starts = _upto(F.ceil(F.size("w") / BLOCK).cast("int"))
+    cut = F.transform(starts, lambda i: F.slice("w", i * BLOCK + 1, BLOCK + window - 1))
+    return w.select("id", "text_hash", F.posexplode(cut).alias("block", "words"))
 
 
-def matches(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(each document's id, text hash and n_words; the windows found: id, text hash, start, length, items)."""
-    known = written(item_windows(items, item_key, item_text, window), "windows")
-    lengths = sorted(x[0] for x in known.select("length").distinct().collect())
-    plain = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+def _changes(x: Column) -> Column:
+    """Where the array's values differ from those before."""
+    return F.filter(_upto(F.size(x)), lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1)))
+
 
-    # Fingerprints that documents and items share.
-    read = plain.select("id", words(F.col("text")).alias("w"))
+def runs(block: DataFrame, lengths: list[int]) -> DataFrame:
+    """A row for each stretch of a block's windows with one smallest hash: (id, text_hash, block, words, length, print, start, n)."""
     for n in lengths:
-        read = read.withColumn(f"h{n}", run_hashes(F.col("w"), n))
-    prints = [F.array_distinct(smallest(F.col(f"h{n}"), n)) for n in lengths]
-    prints = F.concat(*prints) if prints else F.array().cast("array<bigint>")
-    shared = read.select("id", F.explode(prints).alias("print")).join(_fitting(known.select("print").distinct()), "print")
-    shared = shared.groupBy(F.col("id").alias("at")).agg(F.collect_set("print").alias("prints"))
-
-    # Only documents with a shared fingerprint are looked at again, at the windows that have it.
-    near = plain.join(shared, F.col("id").eqNullSafe(F.col("at")), "left")
-    near = near.select("id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"), "prints")
-    hit = F.col("prints").isNotNull()
+        block = block.withColumn(f"h{n}", run_hashes(F.col("words"), n))
     for n in lengths:
-        near = near.withColumn(f"h{n}", F.when(hit, run_hashes(F.col("w"), n)))
+        block = block.withColumn(f"m{n}", F.slice(smallest(F.col(f"h{n}"), n), 1, BLOCK))
     for n in lengths:
-        near = near.withColumn(f"m{n}", F.when(hit, smallest(F.col(f"h{n}"), n)))
-    starts = [_windows_at(n) for n in lengths]
-    empty = F.array().cast("array<struct<start:int,length:int,window:string>>")
-    near = near.select("id", "text_hash", F.size("w").cast("long").alias("n_words"), F.when(hit, F.concat(*starts)).otherwise(empty).alias("found") if starts else empty.alias("found"))
-    near = written(near, "near")
-    found = near.select("id", "text_hash", F.explode("found").alias("x")).select("id", "text_hash", "x.*").distinct()
-    found = found.join(_fitting(known.select("length", "window", "items")), ["length", "window"])
-    return near.select("id", "text_hash", "n_words"), found.select("id", "text_hash", "start", "length", "items")
+        block = block.withColumn(f"s{n}", _changes(F.col(f"m{n}")))
+
+    def stretch(n: int) -> Column:
+        m, s = F.col(f"m{n}"), F.col(f"s{n}")
+        return F.transform(s, lambda at, i: F.struct(F.lit(n).alias("length"), F.get(m, at).alias("print"), at.alias("start"), (F.coalesce(F.get(s, i + 1), F.size(m)) - at).alias("n")))
+
+    return block.select("id", "text_hash", "block", "words", F.inline(F.concat(*[stretch(n) for n in lengths])))
+
+
+def matches(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, window: int = WINDOW) -> DataFrame:
+    """Items' windows in documents: (id, text_hash, start, length, item), a row for each occurrence and item."""
+    known = written(item_windows(items, item_key, item_text, window), "windows")
+    lengths = sorted(x[0] for x in known.select("length").distinct().collect())
+    cut = blocks(docs, key, text, window)
+    if not lengths:
+        return cut.select("id", "text_hash", F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("item")).where(F.lit(False))
+    every, prints = runs(cut, lengths), known.select("print").distinct()
+    if fits(prints, F.lit(8)):
+        met = every.join(F.broadcast(prints), "print")
+    else:  # the words would be shuffled with each row: they are joined to the hits alone
+        hit = written(every.drop("words").join(prints, "print"), "hits").withColumnsRenamed({"id": "id_", "text_hash": "hash_", "block": "block_"})
+        at = hit.select("id_", "hash_", "block_").distinct()
+        same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")) & (F.col("block") == F.col("block_"))
+        once = cut.join(at, same, "left_semi").dropDuplicates(["id", "text_hash", "block"])  # equal rows have equal hits
+        met = hit.join(once, same)
+    window_at = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct((F.col("start") + i).alias("s"), F.array_join(F.slice("words", F.col("start") + i + 1, F.col("length")), " ").alias("window")))
+    found = met.select("id", "text_hash", "block", "length", F.inline(window_at))
+    found = found.select("id", "text_hash", (F.col("block") * BLOCK + F.col("s")).alias("start"), "length", "window")
+    return found.join(_fitting(known.select("length", "window", "item"), F.octet_length("window") + F.octet_length("item")), ["length", "window"]).select("id", "text_hash", "start", "length", "item")
+
+
+def _per_document(found: DataFrame) -> DataFrame:
+    """(at, of, n_hit, items) for each document with a window, by its id and text hash; equal rows are one."""
+    covered = F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("length") - 1))))
+    return found.groupBy(F.col("id").alias("at"), F.col("text_hash").alias("of")).agg(F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def contamination(
@@ -123,11 +150,9 @@ def contamination(
     once, items without id or words never.  Other columns are not read; empty
     tables on either side give no hits.
     """
-    every, found = matches(docs, items, key, text, item_key, item_text, window)
-    covered = F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("length") - 1))))
-    per = found.groupBy(F.col("id").alias("at"), F.col("text_hash").alias("of")).agg(
-        F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
-    )
+    found = matches(docs, items, key, text, item_key, item_text, window)
+    every = docs.select(F.col(quote(key)).alias("id"), F.xxhash64(quote(text)).alias("text_hash"), F.size(words(F.col(quote(text)))).cast("long").alias("n_words"))
+    per = _per_document(found)
     joined = every.join(per, F.col("id").eqNullSafe(F.col("at")) & (F.col("text_hash") == F.col("of")), "left")
     n_items = F.coalesce(F.size("items"), F.lit(0)).cast("long")
     n_items = F.when(F.col("items").isNull(), F.lit(0).cast("long")).otherwise(n_items)
@@ -144,13 +169,16 @@ def contamination(
 def decontaminate(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, min_items: int = 1
 ) -> DataFrame:
-    """The rows of ``docs`` without those keys whose text holds windows of ``min_items`` items, with all columns.
+    """The rows of ``docs`` without those whose text holds windows of ``min_items`` items, with all columns.
 
-    Rows that share a key go together.
+    Rows are told apart by key and text: a row goes for its own text only.
     """
-    found = contamination(docs, items, key, text, item_key, item_text, window, min_items)
-    gone = written(found.where("contaminated").select(F.col(key).alias("gone")).distinct(), "gone")
-    return docs.join(_fitting(gone), docs[key].eqNullSafe(gone["gone"]), "left_anti")
+    found = _per_document(matches(docs, items, key, text, item_key, item_text, window)).where(F.size("items") >= min_items)
+    gone = written(found.select(F.col("at").alias("gone_id"), F.col("of").alias("gone_hash")), "gone")
+    row = docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.col(quote(key)).alias("id"), F.xxhash64(quote(text)).alias("text_hash"))
+    size = F.octet_length(F.coalesce(F.col("gone_id").cast("string"), F.lit(""))) + 8
+    left = row.join(_fitting(gone, size), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left_anti")
+    return left.select("row.*")
 
 
 ORACLE = r"""

@@ -51,9 +51,11 @@ def brute_lines(ids, texts, chars=40, least=5):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("hot", [1, 20_000])  # whether shards hold the lines, or every task
 @pytest.mark.parametrize("ids", [None, [None, 3, 3, 9, 1, 0, 2, 14, 14, 5, 6, None, 8, 7, 4]])
-def test_line_dedup(spark, ids):
-    df = docs(spark, MESSY, ids)
+def test_line_dedup(spark, monkeypatch, ids, hot):
+    monkeypatch.setattr(linededup, "HOT_KEYS", hot)
+    df = docs(spark, MESSY, ids).withColumnRenamed("row", "a.b").withColumn("n_lines", F.lit("old"))
     got = linededup.dedup_lines(df)
     assert set(df.columns) < set(got.columns)
     ids = ids or list(range(len(MESSY)))
@@ -61,6 +63,17 @@ def test_line_dedup(spark, ids):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT_KEYS", 3)
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 2)
+    monkeypatch.setattr(linededup, "STRETCH_BYTES", 500)
+    rng = np.random.default_rng(3)
+    lines = [f"line {i} that is long enough to be counted as one" for i in range(60)] + ["short"] * 5
+    texts = ["\n".join(lines[int(i)] for i in np.minimum(rng.zipf(1.3, rng.integers(0, 12)), 64)) for _ in range(150)]
+    got = linededup.dedup_lines(docs(spark, texts).repartition(5))
+    assert sorted([(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()], key=repr) == brute_lines(list(range(150)), texts)
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     lo, hi = (rng.integers(0, 2**63, 5000, dtype=np.int64).view(np.uint64) for _ in range(2))
@@ -130,8 +143,43 @@ def test_set_join_edges(spark):
     got = sorted(map(tuple, setjoin.similar_components(df, k=2, num=80).select("doc_id", "component_id").collect()), key=repr)
     assert got == sorted([(None, 4), (4, 4), (5, 5), (6, 6), (4, 4), (None, None)], key=repr)
     assert setjoin.similar_components(df.limit(0)).count() == 0
-    kept = setjoin.keep_one(docs(spark, [LONG, LONG, LONG + " more", "", "", "solo text"], [1, 1, 2, 3, 3, 4]), k=2)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 3, 4] and kept.columns == df.columns
+
+
+def brute_keep(ids, texts, k, num, den):
+    """Rows that stay: of each component the least (null keys last, key, then one text, then one row)."""
+    members = defaultdict(list)
+    for i, (n, c) in brute_components(texts, k, num, den).items():
+        members[c if n else ("alone", i)].append(i)
+    kept = []
+    for rows in members.values():
+        least = min((ids[i] is None, ids[i] or 0) for i in rows)
+        kept.append((ids[rows[0]] if len(rows) == 1 else None if least[0] else least[1], {texts[i] for i in rows if (ids[i] is None, ids[i] or 0) == least}))
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_keep_one_goes_by_row(spark, seed):
+    rng = np.random.default_rng(seed)
+    texts = [LONG, LONG, "wholly different words stand here", LONG, "an unrelated text of no key", LONG + " more", LONG.upper(), "", None, "", LONG, LONG, *near_copies(seed, 25)]
+    ids = [1, 2, 2, None, None, 0 if seed else 9, 1, 3, 3, None, 1, None, *[None if i == 7 else int(i) for i in rng.integers(0, 8, 25)]]
+    df = docs(spark, texts, ids).withColumnsRenamed({"source": "id", "lang": "a.b", "row": "text_hash"})
+    kept = setjoin.keep_one(df, k=2)
+    assert kept.columns == df.columns
+    left = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    for id_, any_of in brute_keep(ids, texts, 2, 80, 100):
+        here = [x for x in left if x[0] == id_ and x[1] in any_of]
+        assert here
+        left.remove(here[0])
+    assert not left
+    assert setjoin.keep_one(df.limit(0)).count() == 0
+
+
+def test_hot_keys_of_a_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 10**9)
+    rows = spark.createDataFrame([(1, i) for i in range(1500)] + [(2, 0), (3, 0), (None, 0)] + [(4, i) for i in range(1200)], "k_ long, v long")
+    to = spark.createDataFrame([(1, "a"), (3, "c")], "k_ long, x string")
+    got = Counter((r["k_"], r["x"]) for r in common.led(rows, "k_", to, "x", 2702).collect())
+    assert got == {(1, "a"): 1500, (2, None): 1, (3, "c"): 1, (4, None): 1200}
 
 
 @settings(max_examples=60, deadline=None)
@@ -176,7 +224,7 @@ def test_stars_of_a_flush_lose_no_link(spark, monkeypatch):
     tables, sets = [], {}
     for part, texts in enumerate(([*many, other], [like])):
         lines = [" ".join(t) for t in texts]
-        batch = pa.RecordBatch.from_pydict({"id": pa.array(range(part * 100, part * 100 + len(lines)), pa.int64()), "text": lines, "h": pa.array([1] * len(lines), pa.int64())})
+        batch = pa.RecordBatch.from_pydict({"id": pa.array(range(part * 100, part * 100 + len(lines)), pa.int64()), "text": lines, "text_hash": pa.array([0] * len(lines), pa.int64()), "h": pa.array([1] * len(lines), pa.int64())})
         for row in setjoin._signed(iter([batch]), 5, num, den, 1, schema):
             tables.append(pa.Table.from_batches([row]))
         for x in shingle_sets([t.encode() for t in lines], 5, common.Hashes()):
@@ -214,8 +262,10 @@ def test_components(spark):
 def test_without(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (2, "d")], "k long, v string")
     gone = spark.createDataFrame([(2,), (None,), (9,)], "k long")
-    assert [tuple(r) for r in common.without(df, gone, "k").collect()] == [(1, "a")]
-    assert common.without(df, gone.limit(0), "k").count() == 4
+    assert [tuple(r) for r in common.without(df, gone, {"k": F.col("k")}).collect()] == [(1, "a")]
+    assert common.without(df, gone.limit(0), {"k": F.col("k")}).count() == 4
+    pairs = spark.createDataFrame([(2, "b"), (None, "x")], "k long, w string")
+    assert sorted(map(str, common.without(df, pairs, {"k": F.col("k"), "w": F.col("v")}).select("v").collect())) == ["Row(v='a')", "Row(v='c')", "Row(v='d')"]
 
 
 # ---------------------------------------------------------------- decontamination
@@ -242,7 +292,10 @@ def brute_hits(texts, items):
     return out
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("size, block", [(16 << 20, 96), (0, 5), (16 << 20, 3)])
+def test_decontamination(spark, monkeypatch, size, block):
+    monkeypatch.setattr(winnow, "BROADCAST_BYTES", size)
+    monkeypatch.setattr(winnow, "BLOCK", block)
     items = [(1, LONG), (2, LONG + " tonight"), (10, "one two three"), (3, "solo"), (4, ""), (5, None), (None, "far away"), (6, "É é one two three four five six seven eight nine"), (1, LONG)]
     texts = [*MESSY, "He said: " + LONG.replace(" ", "--") + "!", "one two THREE four", "solo, one two three; one two three", "É é one two three four five six seven eight nine ten", "e é one two three four five six"]
     known = spark.createDataFrame(items, "item_id long, text string")
@@ -258,6 +311,18 @@ def test_decontamination_of_repeated_keys(spark):
     known = spark.createDataFrame([(1, LONG)], "item_id long, text string")
     got = winnow.contamination(docs(spark, [LONG, "other", LONG, None], [7, 7, None, None]), known, min_items=1)
     assert sorted((str(r["doc_id"]), r["n_hit"] > 0) for r in got.collect()) == [("7", False), ("7", True), ("None", False), ("None", True)]
+    left = winnow.decontaminate(docs(spark, [LONG, "other", LONG, None, "other", f"x {LONG}"], [7, 7, None, None, 7, 7]).withColumnRenamed("row", "a.b"), known)
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in left.collect()) == [("7", "other"), ("7", "other"), ("None", "None")] and "a.b" in left.columns
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(0, 10**6))
+def test_every_shared_span_is_found(spark, seed):
+    rng = np.random.default_rng(seed)
+    texts = [" ".join(rng.choice(["a", "b", "c"], rng.integers(0, 300))) for _ in range(12)]
+    items = [(int(i), " ".join(rng.choice(["a", "b", "c"], rng.integers(1, 14)))) for i in range(8)]
+    got = winnow.contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute_hits(texts, items)
 
 
 # -------------------------------------------------------------------- licences
@@ -270,10 +335,48 @@ def test_licenses(spark):
     found = {(r["doc_id"], r["license"]) for r in got}
     assert {(i + 2, n) for i, n in enumerate(names)} <= found
     assert (len(names) + 2, "MIT-notice") in found and not any(d == len(names) + 3 for d, _ in found)
+    repeated = licenses.scan(docs(spark, [texts[2]] * 3 + [texts[2]], [None, None, 4, 4]), licenses.templates(spark)).collect()
+    assert sorted(str(r["doc_id"]) for r in repeated if r["license"] == names[0]) == ["4", "None"]  # equal rows give one result
     assert licenses.scan(docs(spark, texts).limit(0), licenses.templates(spark)).count() == 0
     assert licenses.scan(docs(spark, texts), licenses.templates(spark).limit(0)).count() == 0
 
 
+def brute_contained(texts, known, least):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t))
+    forms, out = [(n, words(t)) for n, t in known], {}
+    held = {n: [" ".join(w[i : i + 5]) for i in range(len(w) - 4)] for n, w in forms}
+    for d, t in enumerate(texts):
+        w = words(t)
+        has = {}
+        for i in range(len(w) - 4):
+            has.setdefault(" ".join(w[i : i + 5]), sum(len(x) + 1 for x in w[:i]) + 1)
+        for n, s in held.items():
+            both = set(s) & set(has)
+            if s and len(both) >= least * len(set(s)):
+                out[d, n] = (len(set(s)), len(both), min(has[x] for x in both))
+    return out
+
+
+@pytest.mark.parametrize("planned", [20_000, 10])
+def test_recall_over_a_thousand_templates(spark, monkeypatch, planned):
+    """Whole licences of up to 800 words, met as edited copies: of the pairs that are contained, how many are found."""
+    monkeypatch.setattr(licenses, "PLAN_BANDS", planned)
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    n = 1000 if planned > 10 else 60
+    known = [(f"L{i}", " ".join(rng.choice(vocabulary, int(rng.integers(5, 800 if i % 10 == 0 else 60))))) for i in range(n)]
+    texts = []
+    for i in rng.integers(0, n, 150):
+        w = known[i][1].split()
+        for _ in range(rng.integers(0, 1 + len(w) // 40)):
+            w[rng.integers(0, len(w))] = "edited"
+        texts.append(" ".join([*rng.choice(vocabulary, int(rng.integers(0, 200))), *w, *rng.choice(vocabulary, 20)]))
+    want = brute_contained(texts, known, 0.8)
+    got = {(r["doc_id"], r["license"]): (r["n_shingles"], r["n_found"], r["first_char"]) for r in licenses.scan(docs(spark, texts), spark.createDataFrame(known, "license string, text string")).collect()}
+    assert all(want[k] == v for k, v in got.items())
+    assert len(want) > 100 and len(got) >= 0.99 * len(want)
+
+
 # ------------------------------------------------------------------ language models
 
 
@@ -313,29 +416,40 @@ def test_language_models(spark, flags):
     assert lmscore.cross_entropy_difference(docs(spark, [None, "", "a b"], [None, None, 1]), F.lit(None).cast("boolean")).count() == 3
 
 
-@pytest.mark.parametrize("numbered", [0, 1, 5])
-def test_rare_words_have_statistics(spark, monkeypatch, numbered):
-    monkeypatch.setattr(lmscore, "VOCABULARY", numbered)  # all other words are rare ones
+@pytest.mark.parametrize("numbered, often", [(0, 4096), (1, 4096), (5, 3), (65_533, 0), (65_533, 4096), (30, 4096)])
+def test_rare_words_and_frequent_bigrams(spark, monkeypatch, numbered, often):
+    monkeypatch.setattr(lmscore, "HOT_BIGRAMS", max(1, often))
+    if not often:
+        monkeypatch.setattr(lmscore.Vocabulary, "charge", lambda self, first, last, counts: None)
+    monkeypatch.setattr(lmscore, "SHARD_BIGRAMS", 50)
+    monkeypatch.setattr(lmscore, "STRETCH_DOCS", 7)
     texts = [*MESSY, *near_copies(6, 40), "rare", "rare rare rare other"]
     flags = [i % 3 == 0 for i in range(len(texts))]
-    got = lmscore.cross_entropy_difference(docs(spark, texts), F.col("doc_id") % 3 == 0).orderBy("doc_id").collect()
+    got = lmscore.cross_entropy_difference(docs(spark, texts), F.col("doc_id") % 3 == 0, vocabulary=numbered).orderBy("doc_id").collect()
     for r, w in zip(got, brute_losses(texts, flags), strict=True):
         assert [r["target_loss"], r["background_loss"], r["ce_difference"]] == pytest.approx([w[1], w[2], w[1] - w[2]], abs=1e-5)
 
 
-def test_stretches_without_words_keep_all_rows(monkeypatch):
-    monkeypatch.setattr(lmscore, "STRETCH_DOCS", 10_004)  # a stretch is full at four texts
-    monkeypatch.setattr(lmscore.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 3})()))
-    words = np.array([common.xxhash.xxh3_64_intdigest(b"a")], dtype=np.uint64)
-    vocabulary = lmscore.Vocabulary(words, np.ones((2, 1), np.int64), np.ones(2, np.int64), np.ones(2, np.int64))
-    texts = [*[None] * 4, *[""] * 4, "a", None, " ", None, *[" "] * 4, None, ""]
-    batches = [pa.RecordBatch.from_pydict({"id": [i, i + 1], "text": pa.array(texts[i : i + 2], pa.string()), "target": [True, True]}) for i in range(0, len(texts), 2)]
-    sent = pa.Table.from_batches(list(lmscore._bigrams(iter(batches), vocabulary, 2)))
-    sent = sent.sort_by([("shard", "ascending"), ("kind", "ascending")])
-    summed = pa.Table.from_batches(list(lmscore._scored(iter(sent.to_batches()), vocabulary)))
-    stretches = sorted(set(summed.column("stretch").to_pylist()))
-    got = [x for s in stretches for x in lmscore._summed(summed.filter(pc.equal(summed.column("stretch"), s))).column("id").to_pylist()]
-    assert len(stretches) == 5 and sorted(got) == list(range(len(texts)))
+def test_language_models_for_any_batch_size(spark):
+    """Long runs of texts without words, and short texts, in one task."""
+    n = 150_000
+    df = spark.range(n, numPartitions=1).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 90_000, F.when(F.col("id") % 2 == 0, F.lit(" "))).otherwise(F.concat(F.lit("w"), (F.col("id") % 7).cast("string"))).alias("text"))
+    found = []
+    for size in ("100", "10000", "200000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        spark.conf.set(common.BATCH_CONF, "64m")
+        try:
+            got = lmscore.cross_entropy_difference(df, F.col("doc_id") % 2 == 0)
+            found.append(got.agg(F.count("*"), F.countDistinct("doc_id"), F.sum("n_tokens"), F.sum(F.round(F.col("background_loss") * 1e6).cast("long")), F.count_if(F.col("background_loss") > 0)).first())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            spark.conf.unset(common.BATCH_CONF)
+    assert found[0] == found[1] == found[2] and found[0][0] == found[0][1] == n and found[0][4] == 60_000
+
+
+def test_packed_numbers():
+    for values in ([], [0, 255], [256], [65_535, 0], [65_536], [2**32 - 1], [2**40, 3]):
+        assert lmscore._unpacked(lmscore._packed(np.array(values, dtype=np.int64))).tolist() == values
 
 
 # ------------------------------------------------------------------------ chat
@@ -369,8 +483,51 @@ def test_escaping_reverses(text):
 def test_events_fold(spark):
     log = [(1, 0, 1, 0, "start", "user", ""), (1, 0, 1, 2, "delta", "", "b"), (1, 0, 1, 1, "delta", "", "a"), (1, 1, 1, 0, "start", "assistant", None), (1, 1, 1, 1, "delta", None, "bad"), (1, 1, 1, 2, "regenerate", None, None), (1, 1, 1, 3, "delta", None, "good"),
            (1, 2, 1, 0, "start", "user", ""), (1, 2, 1, 1, "delete", "", ""), (1, 3, 1, 0, "start", "user", ""), (1, 3, 1, 1, "delta", "", "x"), (1, 3, 1, 2, "edit", "", "y"), (1, 3, 1, 3, "delta", "", "z"), (1, 4, 1, 0, "delta", "", "lost")]
+    # One sequence for the conversation: the messages of later turns that the regeneration (at 5) undoes come before it, others after.
+    log = [(c, t, n, {(0, 0): 0, (0, 1): 1, (0, 2): 2, (1, 0): 3, (1, 1): 4, (1, 2): 5, (1, 3): 9}.get((t, s), 10 * t + s), e, r, x) for c, t, n, s, e, r, x in log]
+    log += [(1, 3, 2, 4, "start", "user", ""), (1, 3, 2, 4, "delta", "", "undone"), (1, 0, 1, 99, "edit", "", "edited last")]
     events = spark.createDataFrame(log, "conv long, turn long, nth int, seq int, event string, role string, text string")
-    assert [(r["turn"], r["role"], r["text"]) for r in chat.fold(events).orderBy("turn").collect()] == [(0, "user", "ab"), (1, "assistant", "good"), (3, "user", "yz")]
+    assert [(r["turn"], r["role"], r["text"]) for r in chat.fold(events).orderBy("turn").collect()] == [(0, "user", "edited last"), (1, "assistant", "good"), (3, "user", "yz")]
+
+
+def plain_fold(events):
+    """Each conversation in sequence, one event after another."""
+    out = {}
+    for c, t, n, _, event, role, text in sorted(events, key=lambda e: (repr(e[0]), -1 if e[3] is None else e[3], e[4], e[6] or "")):
+        at = (c, t, n)
+        if event == "start":
+            out[at] = [role or "", ""]
+        elif at in out and event == "delta":
+            out[at][1] += text or ""
+        elif at in out and event == "edit":
+            out[at][1] = text or ""
+        elif event == "delete":
+            out.pop(at, None)
+        elif event == "regenerate":
+            if at in out:
+                out[at][1] = ""
+            for x in [x for x in out if x[0] == c and (x[1] is None, 0) != (True, 0) and x[1] is not None and (t is None or x[1] > t)]:
+                del out[x]
+    return {(*k, *v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fold_against_a_plain_one(spark, seed):
+    rng = np.random.default_rng(seed)
+    events = []
+    for c in (1, 2, None):
+        for seq in range(120):
+            t = [None, 0, 1, 2, 3, 4][rng.integers(0, 6)]
+            events.append((c, t, int(rng.integers(1, 3)), seq, str(rng.choice(["start", "delta", "edit", "regenerate", "delete"], p=[0.3, 0.45, 0.1, 0.08, 0.07])), str(rng.choice(["user", "assistant"])), str(rng.choice(["a", "b", "c"]))))
+    df = spark.createDataFrame([events[i] for i in rng.permutation(len(events))], "conv long, turn long, nth int, seq int, event string, role string, text string")
+    assert {tuple(r) for r in chat.fold(df).collect()} == plain_fold(events)
+
+
+def test_long_conversation(spark):
+    said = "x<|im_end|>" * 400_000
+    rows = [(1, 0, "user", said), (1, 1, "assistant", said[::-1]), (1, 2, "user", None)]
+    got = chat.digests(chat.render(chat.fold(chat.log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))).first()
+    assert got["n_turns"] == 3 and got["loss_sha256"] == hashlib.sha256(said[::-1].encode()).hexdigest()
 
 
 # ----------------------------------------------------------------------- audio
@@ -408,6 +565,29 @@ def test_resample():
     assert len(audio.resample(pcm, 8000, 11025)) == 6 and audio.resample(pcm, 8000, 8000).tolist() == pcm.tolist() and len(audio.resample(pcm[:0], 8000, 16000)) == 0
 
 
+def plain_feature(full):
+    """The features of a payload, sample by sample."""
+    def stats(pcm, first):
+        flips = sum((a < 0) != (b < 0) for i, (a, b) in enumerate(zip(pcm, pcm[1:], strict=False)))
+        return f"{first}:rms={np.sqrt(sum(x * x for x in pcm) / len(full) if first != 'adpcm' else sum(x * x for x in pcm) / len(pcm)):.2f},peak={max(abs(x) for x in pcm)},flips={flips}"
+
+    mu, a = ([int(t[b]) for b in full] for t in (audio.mulaw_table(), audio.alaw_table()))
+    blocks = [x for i in range(0, len(full), 576) for x in plain_adpcm(full[i : i + 576])]
+    out = []
+    for x, y in zip(mu, [*mu[1:], mu[-1]], strict=True):
+        out += [x, (x + y) >> 1]
+    sound = np.array(out, dtype=np.int16)
+    return ";".join([stats(mu, "mulaw"), stats(a, "alaw"), stats(blocks, "adpcm"), f"pcm16k:n={len(sound)},crc={zlib.crc32(sound):08x}"]), sound.tobytes()
+
+
+def test_features_and_sound_against_plain_ones(spark):
+    texts = [*MESSY[:11], "".join(map(chr, range(1, 900)))]
+    for t, r in zip(texts, audio.read(audio.store(docs(spark, texts), "doc_id", "text"), "doc_id", pcm=True).orderBy("doc_id").collect(), strict=True):
+        raw = (t or "").encode()
+        feature, sound = plain_feature(raw + b"\xff" * (-len(raw) % 576 if raw else 576))
+        assert (r["feature"], bytes(r["pcm16k"])) == (feature, sound)
+
+
 @pytest.mark.parametrize("tag", [audio.MULAW, audio.ALAW, audio.ADPCM])
 def test_audio_round_trip(spark, tag):
     got = audio.read(audio.store(docs(spark, MESSY), "doc_id", "text", tag), "doc_id", pcm=True).orderBy("doc_id").collect()
@@ -513,6 +693,84 @@ def test_quality(spark):
     assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-6 for r in got)
 
 
+def test_metadata_are_fitted(spark):
+    """Texts that differ in n_chars alone: the fit and the score read the same column."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "the same plain text for every row", "en", None, 33 if i % 2 else 3300, "x") for i in rng.permutation(300).tolist()]
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = quality.quality(df, labels).collect()
+    assert np.mean([r["score"] > 0.5 for r in got if r["doc_id"] % 2]) == 1.0 and np.mean([r["score"] < 0.5 for r in got if r["doc_id"] % 2 == 0]) == 1.0
+
+
+def test_texts_of_megabytes(spark):
+    df, labels = labelled_docs(spark)
+    clean = " ".join(["ban del for"] * 300_000)
+    texts = [clean, clean + " you villain, you scoundrel, you rotter villain scoundrel", " | ".join(["ban del for"] * 300_000)]
+    lexicon, weights = toxicity.fit(df, labels)
+    hits = [toxicity.describe(t, toxicity.Kinds(lexicon)) for t in texts[:2]]
+    assert hits[0] == [0.0] * toxicity.FEATURES and hits[1][0] + hits[1][2] > 0  # the signal lies at the end
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, texts), (lexicon, weights)).collect()}
+    assert got[1] > got[0]
+    assert quality.quality(df.unionByName(docs(spark, texts, [1000, 1001, 1002])), labels).where("doc_id >= 1000").count() == 3
+
+
+def test_any_labels(spark):
+    df, labels = labelled_docs(spark)
+    odd = labels.withColumn("toxic", F.when(F.col("toxic") == 1, 7).otherwise(-2)).withColumn("quality", F.col("quality") * 3)
+    names = ("doc_id", "predicted")
+    assert toxicity.toxicity(df, odd).select(*names).exceptAll(toxicity.toxicity(df, labels).select(*names)).count() == 0
+    assert quality.quality(df, odd).count() == 400
+
+
+def test_scores_against_brute_force(spark):
+    """Toxicity with every word held against every term by edit distance, and the machine over all pairs of features."""
+    df, labels = labelled_docs(spark, 120)
+    texts = [r["text"] for r in df.orderBy("doc_id").collect()]
+    texts += ['he said "you villain"', "a vilain, a rottter; scoundrels", "the word villain\nvillain", "", "villain " * 30]
+    lexicon, weights = toxicity.fit(df, labels)
+
+    def kind(word):
+        if word in lexicon.words:
+            return toxicity.EXACT
+        if any(len(w) >= toxicity.EDIT_FROM and distance(word, w) == 1 for w in lexicon.words):
+            return toxicity.FUZZY
+        return toxicity.STEM if any(word.startswith(x) for x in lexicon.stems) else toxicity.NONE
+
+    def plain(text):
+        found, weigh = [], []
+        words = re.findall(r"\w+", text.lower())
+        for i, m in enumerate(re.finditer(r"\w+", text.lower())):
+            if kind(m[0]):
+                line = text.lower()[: m.start()].rsplit("\n", 1)[-1]
+                marks = sum(c in toxicity.QUOTES for c in line)
+                found.append((i, kind(m[0]), m[0]))
+                weigh.append(toxicity.QUOTED if marks % 2 or set(words[max(0, i - 4) : i]) & toxicity.REPORTING else 1.0)
+        if not found:
+            return [0.0] * toxicity.FEATURES
+        strong = [w * (0.5 if k == toxicity.FUZZY else 1.0) for w, (_, k, _) in zip(weigh, found, strict=True)]
+        densest = max(sum(s for s, (j, _, _) in zip(strong, found, strict=True) if i - toxicity.WINDOW < j <= i) for i, _, _ in found)
+        sums = [sum(w for w, (_, k, _) in zip(weigh, found, strict=True) if k == x) for x in (toxicity.EXACT, toxicity.FUZZY, toxicity.STEM)]
+        return [*map(np.log1p, sums), np.log1p(densest), np.log1p(len({w for _, _, w in found})), min(1.0, 20 * sum(strong) / len(words)), float(np.mean([w < 1 for w in weigh]))]
+
+    got = toxicity.score(docs(spark, texts), (lexicon, weights)).orderBy("doc_id").collect()
+    for t, r in zip(texts, got, strict=True):
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(np.array(plain(t)) @ weights[:-1] + weights[-1], -30, 30))), abs=1e-9)
+
+    machine = quality.fit(df, labels)
+    rows = quality.quality(df, labels).orderBy("doc_id").collect()
+    for t, r in zip(texts[:40], rows, strict=False):
+        raw = t.encode()
+        counts = Counter(int(common.xxhash.xxh3_64_intdigest(w)) & (quality.BUCKETS - 1) for w in raw.split())
+        value = {b: np.log1p(n) for b, n in counts.items()}
+        norm = np.sqrt(sum(v * v for v in value.values()))
+        x = [(b, v / norm) for b, v in value.items()]
+        stats = np.array(quality._stats(raw, raw.split(), np.array(list(counts.values())), len(t)), dtype=np.float32)
+        x += [(quality.BUCKETS + i, v) for i, v in enumerate(np.clip((stats - machine.mean) / machine.spread, -4, 4) / np.sqrt(quality.STATS))]
+        margin = machine.bias + sum(machine.weights[i] * v for i, v in x) + sum(float(machine.vectors[i] @ machine.vectors[j]) * v * w for n, (i, v) in enumerate(x) for j, w in x[:n])
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-4)
+
+
 def test_line_ends_of_whole_texts():
     def share(text):
         return quality._stats(text, text.split(), np.ones(1), len(text))[18]
@@ -537,6 +795,9 @@ def test_factorisation_identity():
 def test_sample_is_bounded(spark):
     df, labels = labelled_docs(spark)
     assert labelled.training_rows(df, labels, "toxic", rows=50).count() == 50
+    few = labelled.training_rows(df, labels, "toxic", size=2000)
+    assert 5 < few.count() < 20 and few.agg(F.sum(F.octet_length("text"))).first()[0] < 2500
+    assert labelled.training_rows(df.unionByName(df).unionByName(df.withColumn("text", F.lit("again"))), labels, "toxic", rows=50).count() == 50
 
 
 # --------------------------------------------------------------- SentencePiece
