@@ -1,9 +1,12 @@
 """A small model project over the test tables, before and after a change.
 
-The change drops ``status`` from stg_orders while fct_orders still takes it and
-dim_customers still filters on it; drops ``segment`` from stg_customers, which
-all_customers reaches through a star only; drops ``priority``, whose one consumer is
-updated along; removes the model tmp_orders; and adds a column to stg_customers.
+It follows what vendors ship: lines of orders become parcels, their net value is
+summed by vendor and country, and countries are ranked.  The change drops ``rebate``
+and ``shipped_on`` from parcels, while net_lines still computes with the one and
+late_parcels still filters on the other; drops ``credit`` from vendors, which
+every_vendor reaches through a star only, and adds ``initials``; drops ``brand`` from
+part_sizes, whose one consumer is updated along; removes sandbox_lines and adds
+heavy_parcels.
 """
 
 from __future__ import annotations
@@ -25,59 +28,77 @@ SOURCES = {
     "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
 }
 
-STG_ORDERS = """{{{{ config(materialized='view') }}}}
-with source as (
-    select * from {{{{ source('shop', 'orders') }}}}  -- all columns
-),
-renamed as (
-    select o_orderkey as order_id, o_custkey as customer_id, {status}o_totalprice as total, o_orderdate as ordered_at{priority}
-    from source
-)
-select * from renamed"""
+PARCELS = """{{{{ config(materialized='view') }}}}
+select
+    l_orderkey as order_key, l_linenumber as line_no, l_partkey as part_key, l_suppkey as vendor_key,
+    l_quantity as units, l_extendedprice as gross{dropped}
+from {{{{ source('tpc', 'lineitem') }}}}  -- one row a line"""
 
-STG_CUSTOMERS = "select c_custkey as customer_id, c_name as name, c_nationkey as nation_id, c_acctbal as balance{more} from {{{{ source('shop', 'customer') }}}}"
+VENDORS = "select s.s_suppkey as vendor_key, s.s_name as vendor, n.n_name as country{more} from {{{{ source('tpc', 'supplier') }}}} s join {{{{ source('tpc', 'nation') }}}} n on n.n_nationkey = s.s_nationkey"
+PART_SIZES = "select p_partkey as part_key, {{{{ whole('p_size') }}}} as size{brand} from {{{{ source('tpc', 'part') }}}}"
 
 #: Models by name: (template of the base, template of the head or None for the same, parents).
 MODELS: dict[str, tuple[str | None, str | None, list[str]]] = {
-    "stg_orders": (STG_ORDERS.format(status="o_orderstatus as status, ", priority=", o_orderpriority as priority"), STG_ORDERS.format(status="", priority=""), ["source.shop.shop.orders"]),
-    "stg_customers": (STG_CUSTOMERS.format(more=", c_mktsegment as segment"), STG_CUSTOMERS.format(more=", upper(c_name) as sort_name"), ["source.shop.shop.customer"]),
-    "fct_orders": (
-        "with orders as (select * from {{ ref('stg_orders') }}) select orders.order_id, orders.customer_id, orders.status as order_status, {{ rounded('orders.total') }} as total from orders",
+    "parcels": (PARCELS.format(dropped=", l_discount as rebate, l_shipdate as shipped_on"), PARCELS.format(dropped=""), ["source.freight.tpc.lineitem"]),
+    "vendors": (VENDORS.format(more=", s.s_acctbal as credit"), VENDORS.format(more=", substr(s.s_name, 1, 2) as initials"), ["source.freight.tpc.supplier", "source.freight.tpc.nation"]),
+    "net_lines": (
+        "with p as (select * from {{ ref('parcels') }}) select p.order_key, p.vendor_key, {{ after_rebate('p.gross', 'p.rebate') }} as net, p.units from p",
         None,
-        ["model.shop.stg_orders"],
+        ["model.freight.parcels"],
     ),
-    "dim_customers": (
-        "select c.customer_id, c.name, count(o.order_id) as n_orders from {{ ref('stg_customers') }} c join {{ ref('stg_orders') }} o on o.customer_id = c.customer_id where o.status = 'F' group by c.customer_id, c.name",
+    "vendor_sales": (
+        "select v.country, v.vendor, sum(l.net) as revenue, count(*) as n_lines from {{ ref('net_lines') }} l join {{ ref('vendors') }} v on v.vendor_key = l.vendor_key group by v.country, v.vendor",
         None,
-        ["model.shop.stg_customers", "model.shop.stg_orders"],
+        ["model.freight.net_lines", "model.freight.vendors"],
     ),
-    "order_priorities": (
-        "select order_id, {% if target.type == 'duckdb' %}priority{% endif %} from {{ ref('stg_orders') }}",
-        "select order_id, 'none' as priority from {{ ref('stg_orders') }}",
-        ["model.shop.stg_orders"],
+    "country_rank": ("select country, rank() over (order by revenue desc) as place from {{ ref('vendor_sales') }}", None, ["model.freight.vendor_sales"]),
+    "late_parcels": ("select order_key, line_no from {{ ref('parcels') }} where shipped_on > '1998-01-01'", None, ["model.freight.parcels"]),
+    "every_vendor": ("select * from {{ ref('vendors') }}", None, ["model.freight.vendors"]),
+    "part_sizes": (PART_SIZES.format(brand=", p_brand as brand"), PART_SIZES.format(brand=""), ["source.freight.tpc.part"]),
+    "brand_index": (
+        "select part_key, {% if target.type == 'duckdb' %}brand{% else %}null{% endif %} as label from {{ ref('part_sizes') }}",
+        "select part_key, 'none' as label from {{ ref('part_sizes') }}",
+        ["model.freight.part_sizes"],
     ),
-    "all_customers": ("select * from {{ ref('stg_customers') }}", None, ["model.shop.stg_customers"]),
-    "order_report": ("select order_status, sum(total) as revenue from {{ ref('fct_orders') }} group by order_status", None, ["model.shop.fct_orders"]),
-    "tmp_orders": ("select order_id from {{ ref('stg_orders') }}", "", ["model.shop.stg_orders"]),
-    "big_spenders": (None, "select customer_id, sum(total) as spent from {{ ref('stg_orders') }} group by customer_id", ["model.shop.stg_orders"]),
+    "sandbox_lines": ("select order_key from {{ ref('parcels') }}", "", ["model.freight.parcels"]),
+    "heavy_parcels": (None, "select order_key, sum(units) as units from {{ ref('parcels') }} group by order_key", ["model.freight.parcels"]),
 }
 
 MACROS = {
-    "rounded": "{% macro rounded(column, digits=2) %}{{ return(adapter.dispatch('rounded')(column, digits)) }}{% endmacro %}",
-    "default__rounded": "{%- macro default__rounded(column, digits) -%}round({{ column }}, {{ digits }}){%- endmacro -%}",
-    "test_positive": "{% test positive(model) %}select 1{% endtest %}",
+    "after_rebate": "{% macro after_rebate(amount, share) %}{{ return(adapter.dispatch('after_rebate')(amount, share)) }}{% endmacro %}",
+    "default__after_rebate": "{%- macro default__after_rebate(amount, share) -%}round({{ amount }} * (1 - {{ share }}), 2){%- endmacro -%}",
+    "whole": "\n\t{% macro whole(column) %}cast({{ column }} as int){% endmacro %}\n",
+    "test_between": "{% test between(model) %}select 1{% endtest %}",
     "broken": "{% macro broken( %}{% endmacro %}",
 }
 
 TESTS = {
-    "accepted_values_stg_orders_status": {"column_name": "status", "attached_node": "model.shop.stg_orders", "depends_on": {"nodes": ["model.shop.stg_orders"]}, "test_metadata": {"name": "accepted_values"}},
-    "not_null_stg_orders_order_id": {"column_name": "order_id", "attached_node": "model.shop.stg_orders", "depends_on": {"nodes": ["model.shop.stg_orders"]}, "test_metadata": {"name": "not_null"}},
-    "revenue_adds_up": {"depends_on": {"nodes": ["model.shop.order_report"]}},
+    "rebate_is_a_share": {"column_name": "rebate", "attached_node": "model.freight.parcels", "depends_on": {"nodes": ["model.freight.parcels"]}, "test_metadata": {"name": "between"}},
+    "line_no_is_there": {"column_name": "line_no", "attached_node": "model.freight.parcels", "depends_on": {"nodes": ["model.freight.parcels"]}, "test_metadata": {"name": "not_null"}},
+    "revenue_is_positive": {"depends_on": {"nodes": ["model.freight.vendor_sales"]}},
 }
 
 EXPOSURES = {
-    "revenue_board": {"type": "dashboard", "url": "https://boards.example/revenue", "owner": {"name": "Finance", "email": "finance@example.com"}, "depends_on": {"nodes": ["model.shop.order_report"]}},
-    "customer_list": {"type": "notebook", "owner": {"name": "Sales"}, "depends_on": {"nodes": ["model.shop.all_customers"]}},
+    "sales_board": {"type": "dashboard", "url": "https://boards.example/sales", "owner": {"name": "Sales", "email": "sales@example.com"}, "depends_on": {"nodes": ["model.freight.country_rank"]}},
+    "vendor_sheet": {"type": "notebook", "owner": {"name": "Buying"}, "depends_on": {"nodes": ["model.freight.every_vendor"]}},
+}
+
+#: What the base's models render to.
+RENDERED = {
+    "parcels": """
+select
+    l_orderkey as order_key, l_linenumber as line_no, l_partkey as part_key, l_suppkey as vendor_key,
+    l_quantity as units, l_extendedprice as gross, l_discount as rebate, l_shipdate as shipped_on
+from rk_source_tpc_lineitem  -- one row a line""",
+    "vendors": "select s.s_suppkey as vendor_key, s.s_name as vendor, n.n_name as country, s.s_acctbal as credit from rk_source_tpc_supplier s join rk_source_tpc_nation n on n.n_nationkey = s.s_nationkey",
+    "net_lines": "with p as (select * from rk_model_parcels) select p.order_key, p.vendor_key, round(p.gross * (1 - p.rebate), 2) as net, p.units from p",
+    "vendor_sales": "select v.country, v.vendor, sum(l.net) as revenue, count(*) as n_lines from rk_model_net_lines l join rk_model_vendors v on v.vendor_key = l.vendor_key group by v.country, v.vendor",
+    "country_rank": "select country, rank() over (order by revenue desc) as place from rk_model_vendor_sales",
+    "late_parcels": "select order_key, line_no from rk_model_parcels where shipped_on > '1998-01-01'",
+    "every_vendor": "select * from rk_model_vendors",
+    "part_sizes": "select p_partkey as part_key, cast(p_size as int) as size, p_brand as brand from rk_source_tpc_part",
+    "brand_index": "select part_key, brand as label from rk_model_part_sizes",
+    "sandbox_lines": "select order_key from rk_model_parcels",
 }
 
 
@@ -87,24 +108,24 @@ def manifest(side: str, extra: dict[str, Any] | None = None) -> str:
     for name, (base, head, parents) in MODELS.items():
         raw = base if side == "base" else base if head is None else head
         if raw:
-            nodes[f"model.shop.{name}"] = {
-                "name": name, "resource_type": "model", "package_name": "shop", "original_file_path": f"models/{name}.sql", "raw_code": raw, "language": "sql",
-                "depends_on": {"nodes": parents, "macros": []}, "columns": {}, "config": {"materialized": "view" if name.startswith("stg") else "table"},
+            nodes[f"model.freight.{name}"] = {
+                "name": name, "resource_type": "model", "package_name": "freight", "original_file_path": f"models/{name}.sql", "raw_code": raw, "language": "sql",
+                "depends_on": {"nodes": parents, "macros": []}, "columns": {}, "config": {"materialized": "view" if name in ("parcels", "vendors") else "table"},
             }
-    nodes["model.shop.stg_orders"]["columns"] = {c: {"name": c} for c in ("order_id", "customer_id", "status")}
+    nodes["model.freight.parcels"]["columns"] = {c: {"name": c} for c in ("order_key", "line_no", "rebate")}
     for name, x in TESTS.items():
-        nodes[f"test.shop.{name}"] = {"name": name, "resource_type": "test", "package_name": "shop", **x}
+        nodes[f"test.freight.{name}"] = {"name": name, "resource_type": "test", "package_name": "freight", **x}
     nodes["junk"] = "not an object"
     nodes |= extra or {}
     sources = {
-        f"source.shop.shop.{t}": {"name": t, "source_name": "shop", "resource_type": "source", "package_name": "shop", "columns": {c: {"name": c, "data_type": None} for c in columns}}
+        f"source.freight.tpc.{t}": {"name": t, "source_name": "tpc", "resource_type": "source", "package_name": "freight", "columns": {c: {"name": c, "data_type": None} for c in columns}}
         for t, columns in SOURCES.items()
     }
     return json.dumps({
-        "metadata": {"dbt_schema_version": "https://schemas.example/dbt/manifest/v12.json", "dbt_version": "1.9.0", "adapter_type": "duckdb", "project_name": "shop"},
+        "metadata": {"dbt_schema_version": "https://schemas.example/dbt/manifest/v12.json", "dbt_version": "1.9.0", "adapter_type": "duckdb", "project_name": "freight"},
         "nodes": nodes, "sources": sources,
-        "exposures": {f"exposure.shop.{k}": {"name": k, **v} for k, v in EXPOSURES.items()},
-        "macros": {f"macro.shop.{k}": {"name": k, "package_name": "shop", "macro_sql": v} for k, v in MACROS.items()},
+        "exposures": {f"exposure.freight.{k}": {"name": k, **v} for k, v in EXPOSURES.items()},
+        "macros": {f"macro.freight.{k}": {"name": k, "package_name": "freight", "macro_sql": v} for k, v in MACROS.items()},
     })
 
 
@@ -112,63 +133,63 @@ def manifest(side: str, extra: dict[str, Any] | None = None) -> str:
 
 #: Models of every SQL construct the engine analyses: (template, parents), with the SQL that an independent engine runs.
 SHAPES: dict[str, tuple[str, str]] = {
-    "projection": ("select c_custkey, c_name as name from {{ source('shop', 'customer') }}", "SELECT c_custkey, c_name AS name FROM customer"),
+    "projection": ("select c_custkey, c_name as name from {{ source('tpc', 'customer') }}", "SELECT c_custkey, c_name AS name FROM customer"),
     "expression": (
-        "select c_custkey, upper(c_name) || '-' || c_mktsegment as tag, round(coalesce(c_acctbal, 0) * 2 + 1, 2) as twice from {{ source('shop', 'customer') }}",
+        "select c_custkey, upper(c_name) || '-' || c_mktsegment as tag, round(coalesce(c_acctbal, 0) * 2 + 1, 2) as twice from {{ source('tpc', 'customer') }}",
         "SELECT c_custkey, upper(c_name) || '-' || c_mktsegment AS tag, round(coalesce(c_acctbal, 0) * 2 + 1, 2) AS twice FROM customer",
     ),
     "aggregate": (
-        "select o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from {{ source('shop', 'orders') }} group by o_orderstatus",
+        "select o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from {{ source('tpc', 'orders') }} group by o_orderstatus",
         "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus",
     ),
     "having": (
-        "select o_custkey, count(*) as n from {{ source('shop', 'orders') }} group by o_custkey having count(*) > {{ var('least', 12) }}",
+        "select o_custkey, count(*) as n from {{ source('tpc', 'orders') }} group by o_custkey having count(*) > {{ var('least', 12) }}",
         "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12",
     ),
     "cte_chain": (
-        "with a as (select * from {{ source('shop', 'orders') }}), b as (select o_orderkey as k, o_totalprice as p from a), c as (select b.k, b.p from b where b.p > 1000) select * from c",
+        "with a as (select * from {{ source('tpc', 'orders') }}), b as (select o_orderkey as k, o_totalprice as p from a), c as (select b.k, b.p from b where b.p > 1000) select * from c",
         "SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_totalprice > 1000",
     ),
     "case": (
-        "select o_orderkey, case when o_totalprice > 100000 then 'large' when o_totalprice > 10000 then 'medium' else 'small' end as size from {{ source('shop', 'orders') }}",
+        "select o_orderkey, case when o_totalprice > 100000 then 'large' when o_totalprice > 10000 then 'medium' else 'small' end as size from {{ source('tpc', 'orders') }}",
         "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'large' WHEN o_totalprice > 10000 THEN 'medium' ELSE 'small' END AS size FROM orders",
     ),
-    "filter": ("select l_orderkey, l_linenumber from {{ source('shop', 'lineitem') }} where l_quantity < 10 and l_returnflag = 'R'", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 10 AND l_returnflag = 'R'"),
+    "filter": ("select l_orderkey, l_linenumber from {{ source('tpc', 'lineitem') }} where l_quantity < 10 and l_returnflag = 'R'", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 10 AND l_returnflag = 'R'"),
     "subquery": (
-        "select s.nation, s.n from (select n_name as nation, n_regionkey as n from {{ source('shop', 'nation') }}) s where s.n in (select r_regionkey from {{ source('shop', 'region') }} where r_name > 'AS')",
+        "select s.nation, s.n from (select n_name as nation, n_regionkey as n from {{ source('tpc', 'nation') }}) s where s.n in (select r_regionkey from {{ source('tpc', 'region') }} where r_name > 'AS')",
         "SELECT n_name AS nation, n_regionkey AS n FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name > 'AS')",
     ),
-    "distinct": ("select distinct o_orderstatus, o_orderpriority from {{ source('shop', 'orders') }}", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders"),
+    "distinct": ("select distinct o_orderstatus, o_orderpriority from {{ source('tpc', 'orders') }}", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders"),
     "window": (
-        "select o_orderkey, cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as bigint) as nth from {{ source('shop', 'orders') }}",
+        "select o_orderkey, cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as bigint) as nth from {{ source('tpc', 'orders') }}",
         "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS nth FROM orders",
     ),
     "join": (
-        "select o.o_orderkey, c.c_name from {{ source('shop', 'orders') }} o join {{ source('shop', 'customer') }} c on c.c_custkey = o.o_custkey",
+        "select o.o_orderkey, c.c_name from {{ source('tpc', 'orders') }} o join {{ source('tpc', 'customer') }} c on c.c_custkey = o.o_custkey",
         "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey",
     ),
     "left_join": (
-        "select c.c_custkey, coalesce(o.o_orderkey, -1) as order_key from {{ source('shop', 'customer') }} c left join {{ source('shop', 'orders') }} o on o.o_custkey = c.c_custkey and o.o_orderstatus = 'P'",
+        "select c.c_custkey, coalesce(o.o_orderkey, -1) as order_key from {{ source('tpc', 'customer') }} c left join {{ source('tpc', 'orders') }} o on o.o_custkey = c.c_custkey and o.o_orderstatus = 'P'",
         "SELECT c.c_custkey, coalesce(o.o_orderkey, -1) AS order_key FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P'",
     ),
-    "cross_join": ("select n.n_name, r.r_name from {{ source('shop', 'nation') }} n, {{ source('shop', 'region') }} r", "SELECT n.n_name, r.r_name FROM nation n, region r"),
+    "cross_join": ("select n.n_name, r.r_name from {{ source('tpc', 'nation') }} n, {{ source('tpc', 'region') }} r", "SELECT n.n_name, r.r_name FROM nation n, region r"),
     "union_all": (
-        "select c_name as name, c_nationkey as nation from {{ source('shop', 'customer') }} union all select s_name, s_nationkey from {{ source('shop', 'supplier') }}",
+        "select c_name as name, c_nationkey as nation from {{ source('tpc', 'customer') }} union all select s_name, s_nationkey from {{ source('tpc', 'supplier') }}",
         "SELECT c_name AS name, c_nationkey AS nation FROM customer UNION ALL SELECT s_name, s_nationkey FROM supplier",
     ),
-    "star": ("select *, r_regionkey + 1 as next_key from {{ source('shop', 'region') }}", "SELECT *, r_regionkey + 1 AS next_key FROM region"),
+    "star": ("select *, r_regionkey + 1 as next_key from {{ source('tpc', 'region') }}", "SELECT *, r_regionkey + 1 AS next_key FROM region"),
     "literal": ("select 1 as one, 'x' as letter{% for i in range(2) %}, {{ i }} as n{{ i }}{% endfor %}", "SELECT 1 AS one, 'x' AS letter, 0 AS n0, 1 AS n1"),
     "exists": (
-        "select c_custkey from {{ source('shop', 'customer') }} c where exists (select 1 from {{ source('shop', 'orders') }} o where o.o_custkey = c.c_custkey and o.o_totalprice > 300000)",
+        "select c_custkey from {{ source('tpc', 'customer') }} c where exists (select 1 from {{ source('tpc', 'orders') }} o where o.o_custkey = c.c_custkey and o.o_totalprice > 300000)",
         "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)",
     ),
-    "except": ("select n_regionkey as k from {{ source('shop', 'nation') }} except select r_regionkey from {{ source('shop', 'region') }} where r_regionkey < 2", "SELECT n_regionkey AS k FROM nation EXCEPT SELECT r_regionkey FROM region WHERE r_regionkey < 2"),
+    "except": ("select n_regionkey as k from {{ source('tpc', 'nation') }} except select r_regionkey from {{ source('tpc', 'region') }} where r_regionkey < 2", "SELECT n_regionkey AS k FROM nation EXCEPT SELECT r_regionkey FROM region WHERE r_regionkey < 2"),
 }
 
 
 def rendered(template: str) -> str:
     node = {"name": "shape", "raw_code": template, "compiled_code": None, "package_name": "", "original_file_path": "", "materialized": None, "unique_key": None}
-    found = Recovery([], "duckdb", "shop", None, {}).recover(node)
+    found = Recovery([], "duckdb", "freight", None, {}).recover(node)
     if found.sql is None:
         raise ValueError(found.detail)
     return found.sql
@@ -178,6 +199,6 @@ def run_shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Render a model and run it over the tables; only those it reads are registered, under their surrogate names."""
     sql = rendered(SHAPES[name][0])
     for t in SOURCES:
-        if key("source", "shop", t) in sql:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(key("source", "shop", t))
+        if key("source", "tpc", t) in sql:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(key("source", "tpc", t))
     return spark.sql(sql)

@@ -95,9 +95,9 @@ _SLUG = "regexp_replace({}, '[^0-9a-zA-Z_]', '_', 'g')"
 _HTML = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-@register("relation_key", f"SELECT doc_id, concat_ws('_', 'rk', 'source', {_SLUG.format('source')}, nullif({_SLUG.format('left(text, 40)')}, '')) AS relation_key FROM documents")
+@register("relation_key", f"SELECT doc_id, concat_ws('_', 'rk', 'source', {_SLUG.format('source')}, nullif({_SLUG.format('text')}, '')) AS relation_key FROM documents")
 def relation_key(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", T.relation_key(F.lit("source"), F.col("source"), F.substring("text", 1, 40)).alias("relation_key"))
+    return _table(spark, sf_dir, "documents").select("doc_id", T.relation_key(F.lit("source"), F.col("source"), F.col("text")).alias("relation_key"))
 
 
 @register("html_neutralise", f"SELECT page_id, {_HTML.format('html')} AS inert FROM pages")
@@ -137,12 +137,15 @@ def schema_version_extract(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.coalesce(T.schema_version(url), F.lit(-1)).alias("version"))
 
 
-_MACROS = [("a", "{% macro a() %}x{% endmacro %}"), ("b", "  \n{%- macro b(x) -%}{% endmacro %}"), ("c", "{% test c(m) %}{% endtest %}"), ("d", "select 1"), ("e", "{% macrox %}"), ("f", None)]
+_MACROS = [
+    ("a", "{% macro a() %}x{% endmacro %}"), ("b", "  \n{%- macro b(x) -%}{% endmacro %}"), ("c", "{% test c(m) %}{% endtest %}"), ("d", "select 1"), ("e", "{% macrox %}"), ("f", None),
+    ("g", "\n\n{% macro g() %}{% endmacro %}"), ("h", "\t\r\n {%-\nmacro h() %}{% endmacro %}"), ("i", "\u00a0\u2003{% macro i() %}{% endmacro %}"), ("j", "x {% macro j() %}{% endmacro %}"), ("k", "\x0b\x0c{%macro k() %}{% endmacro %}"), ("l", ""),
+]
 
 
-@register("plain_macro_filter", "SELECT name FROM " + values(_MACROS, "name, sql") + r" WHERE regexp_matches(ltrim(sql, chr(32)), '^\s*\{%[-+]?\s*macro\b') AND NOT regexp_matches(sql, '^\n')")
+@register("plain_macro_filter", "SELECT name FROM " + values(_MACROS, "name, sql") + r" WHERE regexp_matches(sql, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]*\{%[-+]?\s*macro\b')")
 def plain_macro_filter(spark, sf_dir):
-    return spark.createDataFrame(_MACROS, "name string, sql string").where(T.plain_macro(F.ltrim(F.regexp_replace("sql", r"^\s+", "")))).select("name")
+    return spark.createDataFrame(_MACROS, "name string, sql string").where(T.plain_macro(F.col("sql"))).select("name")
 
 
 # -------------------------------------------------------------------- evidence
@@ -261,17 +264,11 @@ def doc_drift(spark, sf_dir):
 
 @register("csv_header", f"WITH {_REAL} SELECT ordinal, col AS column_name FROM real WHERE node_id = 'nation'")
 def csv_header(spark, sf_dir):
-    """The header of a seed that holds a real table's columns, read as a project's seed is."""
-    import tempfile
-    from pathlib import Path
-
-    from ripple.sources.project import seed_header
+    """The header of a seed that holds a real table's columns, quoted or not, read as a project's seed is."""
+    from ripple.sources.project import header
 
-    with tempfile.TemporaryDirectory() as root:
-        (Path(root) / "seeds").mkdir()
-        (Path(root) / "seeds/nation.csv").write_text(", ".join(f'"{c}"' if i else c for i, c in enumerate(_table(spark, sf_dir, "nation").columns)) + "\n1,x,2\n")
-        found = seed_header(Path(root), "seeds/nation.csv")
-    return spark.createDataFrame([(i, c.strip('"').strip()) for i, c in enumerate(c.replace('"', "") for c in found)], "ordinal int, column_name string")
+    names = [f'"{c}"' if i else f" {c} " for i, c in enumerate(_table(spark, sf_dir, "nation").columns)]
+    return spark.createDataFrame(list(enumerate(header(",".join(names) + "\r\n"))), "ordinal int, column_name string")
 
 
 # ------------------------------------------------------------- graphs from the data
@@ -280,7 +277,7 @@ _EDGES_SQL = """edges AS (
   SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer
   UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
   UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
-  UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders WHERE o_orderkey % 10 = 0)"""
+  UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders)"""
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,8 +286,8 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     def pair(table: str, a: str, child: str, b: str, parent: str) -> DataFrame:
         return _table(spark, sf_dir, table).select(F.concat(F.lit(a), F.col(child).cast("string")).alias("child"), F.concat(F.lit(b), F.col(parent).cast("string")).alias("parent"))
 
-    tenth = _table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("child"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("parent"))
-    return pair("customer", "c", "c_custkey", "n", "c_nationkey").union(pair("supplier", "s", "s_suppkey", "n", "s_nationkey")).union(pair("nation", "n", "n_nationkey", "r", "n_regionkey")).union(tenth).distinct()
+    parts = pair("customer", "c", "c_custkey", "n", "c_nationkey"), pair("supplier", "s", "s_suppkey", "n", "s_nationkey"), pair("nation", "n", "n_nationkey", "r", "n_regionkey"), pair("orders", "o", "o_orderkey", "c", "o_custkey")
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).distinct()
 
 
 @register(
@@ -489,21 +486,21 @@ def coverage_reasons(spark, sf_dir):
 @register("coverage_headline", f"WITH {_STATES_SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE resolution = 'exact') AS e, count(*) FILTER (WHERE resolution = 'partial') AS p, count(*) FILTER (WHERE resolution = 'unknown') AS u FROM s) SELECT 'analysed ' || (e + p) || '/' || n || ' models (' || printf('%.1f', round_even(100.0 * (e + p) / n, 1)) || '%): ' || e || ' exact, ' || p || ' partial, ' || u || ' not analysed' AS headline FROM c")
 def coverage_headline(spark, sf_dir):
     counts = V.coverage(*_states(spark, sf_dir))
-    return counts.select(F.replace(V.headline(), F.lit(","), F.lit(",")).alias("headline"))
+    return counts.select(V.headline().alias("headline"))
 
 
 # ----------------------------------------------------------------- bundled project
 
 _BASE_MODELS = [n for n, x in bundled.MODELS.items() if x[0]]
 _HEAD_MODELS = [n for n, x in bundled.MODELS.items() if (x[0] if x[1] is None else x[1])]
-_M, _S = "model.shop.", "source.shop.shop."
+_M, _S = "model.freight.", "source.freight.tpc."
 
 
 def _snapshot(spark: SparkSession, side: str = "base") -> manifest.Snapshot:
     return manifest.from_text(spark, bundled.manifest(side), side)
 
 
-@register("manifest_nodes", "SELECT * FROM " + values([(_M + n, n, "model", "rk_model_" + n) for n in _BASE_MODELS] + [(_S + t, t, "source", "rk_source_shop_" + t) for t in _TABLES], "unique_id, name, resource_type, relation_key"))
+@register("manifest_nodes", "SELECT * FROM " + values([(_M + n, n, "model", "rk_model_" + n) for n in _BASE_MODELS] + [(_S + t, t, "source", "rk_source_tpc_" + t) for t in _TABLES], "unique_id, name, resource_type, relation_key"))
 def manifest_nodes(spark, sf_dir):
     return _snapshot(spark).nodes.select("unique_id", "name", "resource_type", "relation_key")
 
@@ -522,30 +519,32 @@ def models_only(spark, sf_dir):
     return C.models_only(_snapshot(spark).nodes).select("name")
 
 
-@register("macro_stats", "SELECT * FROM " + values([(4, 3, 1)], "total, plain, skipped"))
+@register("macro_stats", "SELECT * FROM " + values([(5, 4, 1)], "total, plain, skipped"))
 def macro_stats(spark, sf_dir):
     return V.macro_stats(_snapshot(spark).macros).select(*[F.col(a).cast("int").alias(b) for a, b in (("total", "total"), ("plain", "plain"), ("skipped_non_macro", "skipped"))])
 
 
-@register("vars_flatten", "SELECT * FROM " + values([("limit", "7"), ("shop", '{"limit": 3, "zone": "eu"}'), ("zone", '"eu"')], "name, value"))
+@register("vars_flatten", "SELECT * FROM " + values([("limit", "7"), ("freight", '{"limit": 3, "zone": "eu"}'), ("zone", '"eu"')], "name, value"))
 def vars_flatten(spark, sf_dir):
     import json
 
     from ripple.sources.project import flat_vars
 
-    found = flat_vars({"limit": 7, "shop": {"limit": 3, "zone": "eu"}})
+    found = flat_vars({"limit": 7, "freight": {"limit": 3, "zone": "eu"}})
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in found.items()], "name string, value string")
 
 
 _CONTRACTS = {
-    "stg_orders": "order_id,customer_id,status,total,ordered_at,priority",
-    "stg_customers": "customer_id,name,nation_id,balance,segment",
-    "fct_orders": "order_id,customer_id,order_status,total",
-    "dim_customers": "customer_id,name,n_orders",
-    "order_priorities": "order_id,priority",
-    "all_customers": "customer_id,name,nation_id,balance,segment",
-    "order_report": "order_status,revenue",
-    "tmp_orders": "order_id",
+    "parcels": "order_key,line_no,part_key,vendor_key,units,gross,rebate,shipped_on",
+    "vendors": "vendor_key,vendor,country,credit",
+    "net_lines": "order_key,vendor_key,net,units",
+    "vendor_sales": "country,vendor,revenue,n_lines",
+    "country_rank": "country,place",
+    "late_parcels": "order_key,line_no",
+    "every_vendor": "vendor_key,vendor,country,credit",
+    "part_sizes": "part_key,size,brand",
+    "brand_index": "part_key,label",
+    "sandbox_lines": "order_key",
 }
 
 
@@ -556,103 +555,167 @@ def contracts_inferred(spark, sf_dir):
     return listed.join(base.states.select("node_id", "resolution"), "node_id").where(F.col("node_id").startswith("model."))
 
 
-@register("parent_contracts", "SELECT * FROM " + values([(_M + "fct_orders", "rk_model_stg_orders", 6), (_M + "order_report", "rk_model_fct_orders", 4), (_M + "stg_orders", "rk_source_shop_orders", 6), (_M + "stg_customers", "rk_source_shop_customer", 5), (_M + "dim_customers", "rk_model_stg_customers", 5), (_M + "dim_customers", "rk_model_stg_orders", 6), (_M + "order_priorities", "rk_model_stg_orders", 6), (_M + "all_customers", "rk_model_stg_customers", 5), (_M + "tmp_orders", "rk_model_stg_orders", 6)], "child, relation_key, n_columns"))
+_OFFERED = [
+    ("parcels", "rk_source_tpc_lineitem", 11), ("vendors", "rk_source_tpc_supplier", 4), ("vendors", "rk_source_tpc_nation", 3), ("net_lines", "rk_model_parcels", 8), ("vendor_sales", "rk_model_net_lines", 4),
+    ("vendor_sales", "rk_model_vendors", 4), ("country_rank", "rk_model_vendor_sales", 4), ("late_parcels", "rk_model_parcels", 8), ("every_vendor", "rk_model_vendors", 4), ("part_sizes", "rk_source_tpc_part", 6),
+    ("brand_index", "rk_model_part_sizes", 3), ("sandbox_lines", "rk_model_parcels", 8),
+]
+
+
+@register("parent_contracts", "SELECT * FROM " + values([(_M + a, b, n) for a, b, n in _OFFERED], "child, relation_key, n_columns"))
 def parent_contracts(spark, sf_dir):
     base, _ = sides(spark)
     return C.parent_contracts(base.snapshot.nodes, base.contracts_df).select("child", "relation_key", F.size("columns").alias("n_columns"))
 
 
-_LINEAGE = [
-    ("fct_orders", "order_status", _M + "stg_orders", "status", "direct"), ("fct_orders", "total", _M + "stg_orders", "total", "expression"), ("dim_customers", "n_orders", _M + "stg_orders", "order_id", "aggregate"),
-    ("all_customers", "segment", _M + "stg_customers", "segment", "star_expanded"), ("order_report", "revenue", _M + "fct_orders", "total", "aggregate"), ("stg_orders", "status", _S + "orders", "o_orderstatus", "direct"),
-]
+#: Every column that a model of the base takes: (model, its columns, where from, the columns there, how).
+_TAKES = [
+    ("parcels", "order_key line_no part_key vendor_key units gross rebate shipped_on", _S + "lineitem", "l_orderkey l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_discount l_shipdate", "direct"),
+    ("vendors", "vendor_key vendor credit", _S + "supplier", "s_suppkey s_name s_acctbal", "direct"),
+    ("vendors", "country", _S + "nation", "n_name", "direct"),
+    ("net_lines", "order_key vendor_key units", _M + "parcels", "order_key vendor_key units", "direct"),
+    ("net_lines", "net net", _M + "parcels", "gross rebate", "expression"),
+    ("vendor_sales", "country vendor", _M + "vendors", "country vendor", "direct"),
+    ("vendor_sales", "revenue", _M + "net_lines", "net", "aggregate"),
+    ("country_rank", "country", _M + "vendor_sales", "country", "direct"),
+    ("country_rank", "place", _M + "vendor_sales", "revenue", "expression"),
+    ("late_parcels", "order_key line_no", _M + "parcels", "order_key line_no", "direct"),
+    ("every_vendor", "vendor_key vendor country credit", _M + "vendors", "vendor_key vendor country credit", "star_expanded"),
+    ("part_sizes", "part_key brand", _S + "part", "p_partkey p_brand", "direct"),
+    ("part_sizes", "size", _S + "part", "p_size", "expression"),
+    ("brand_index", "part_key label", _M + "part_sizes", "part_key brand", "direct"),
+    ("sandbox_lines", "order_key", _M + "parcels", "order_key", "direct"),
+]
+_LINEAGE = [(_M + m, c, up, u, kind, 1) for m, cs, up, us, kind in _TAKES for c, u in zip(cs.split(), us.split(), strict=True)]
 
 
-@register("column_edges", "SELECT * FROM " + values(_LINEAGE, "model, col, up_node, up_col, kind"))
+@register("column_edges", "SELECT * FROM " + values(_LINEAGE, "down_node, down_col, up_node, up_col, kind, confidence"))
 def column_edges(spark, sf_dir):
-    base, _ = sides(spark)
-    wanted = [f"{m}.{c}" for m, c, *_ in _LINEAGE]
-    e = base.edges.select(F.element_at(F.split("down_node", r"\."), -1).alias("model"), F.col("down_col").alias("col"), "up_node", "up_col", "kind")
-    return e.where(F.concat("model", F.lit("."), "col").isin(wanted))
+    return sides(spark)[0].edges.drop("side")
+
 
+_NEEDS = [("late_parcels", _M + "parcels", "shipped_on"), ("vendor_sales", _M + "net_lines", "vendor_key"), ("vendor_sales", _M + "vendors", "vendor_key"), ("vendors", _S + "nation", "n_nationkey"), ("vendors", _S + "supplier", "s_nationkey")]
 
-@register("required_columns", "SELECT * FROM " + values([(_M + "dim_customers", _M + "stg_orders", "customer_id"), (_M + "dim_customers", _M + "stg_orders", "status")], "down_node, up_node, up_col"))
+
+@register("required_columns", "SELECT * FROM " + values([(_M + a, b, c, "predicate", 1) for a, b, c in _NEEDS], "down_node, up_node, up_col, kind, confidence"))
 def required_columns(spark, sf_dir):
-    return sides(spark)[0].required.select("down_node", "up_node", "up_col")
+    return sides(spark)[0].required.drop("side")
 
 
 _RADIUS = [
-    ("stg_orders", "status", [_M + "fct_orders.order_status", _M + "order_report.order_status"], [_M + "dim_customers"], ["accepted_values_stg_orders_status", "revenue_adds_up"], ["revenue_board"], 1),
-    ("stg_customers", "segment", [_M + "all_customers.segment"], [], [], ["customer_list"], 1),
-    ("stg_orders", "priority", [_M + "order_priorities.priority"], [], [], [], 1),
-    ("all_customers", "segment", [], [], [], ["customer_list"], 0),
+    ("parcels", "rebate", ["country_rank.place", "net_lines.net", "vendor_sales.revenue"], ["country_rank", "net_lines", "vendor_sales"], [], ["rebate_is_a_share", "revenue_is_positive"], ["sales_board"], 1),
+    ("parcels", "shipped_on", [], ["late_parcels"], ["late_parcels"], [], [], 1),
+    ("vendors", "credit", ["every_vendor.credit"], ["every_vendor"], [], [], ["vendor_sheet"], 1),
+    ("every_vendor", "credit", [], [], [], [], ["vendor_sheet"], 0),
+    ("part_sizes", "brand", ["brand_index.label"], ["brand_index"], [], [], [], 1),
 ]
 
 
-@register("blast_radius", "SELECT * FROM " + values([(_M + a, b, *[",".join(x) for x in r], k) for a, b, *r, k in _RADIUS], "node_id, col, columns, query_breaks, tests, exposures, confidence"))
+def _of(names: list[str]) -> list[str]:
+    return [_M + x for x in names]
+
+
+@register(
+    "blast_radius",
+    "SELECT * FROM " + values([(_M + a, b, *[",".join(x) for x in (_of(c), _of(m), _of(q), t, e)], k) for a, b, c, m, q, t, e, k in _RADIUS], "node_id, col, columns, models, query_breaks, tests, exposures, confidence"),
+)
 def blast_radius(spark, sf_dir):
     base, head = sides(spark)
     removed = C.columns_removed(R.Sides(base, head).common, base.contracts_df, head.contracts_df)
     found = I.blast_radius(removed, base.edges, base.required, base.snapshot.tests, base.snapshot.exposures)
-    return found.select("node_id", F.col("column").alias("col"), *[F.array_join(c, ",").alias(c) for c in ("columns", "query_breaks", "tests", "exposures")], "confidence")
+    return found.select("node_id", F.col("column").alias("col"), *[F.array_join(c, ",").alias(c) for c in ("columns", "models", "query_breaks", "tests", "exposures")], "confidence")
 
 
-@register("affected_exposures", "SELECT * FROM " + values([("a", "revenue_board"), ("b", "customer_list"), ("b", "revenue_board")], "seed, name"))
+@register("affected_exposures", "SELECT * FROM " + values([("a", "sales_board"), ("b", "vendor_sheet"), ("b", "sales_board")], "seed, name"))
 def affected_exposures(spark, sf_dir):
-    affected = spark.createDataFrame([("a", _M + "order_report"), ("b", _M + "order_report"), ("b", _M + "all_customers"), ("c", _M + "none")], "seed string, node string")
+    affected = spark.createDataFrame([("a", _M + "country_rank"), ("b", _M + "country_rank"), ("b", _M + "every_vendor"), ("c", _M + "none")], "seed string, node string")
     return I.affected_exposures(_snapshot(spark).exposures, affected)
 
 
-@register("affected_tests", "SELECT * FROM " + values([("status", "accepted_values_stg_orders_status"), ("status", "revenue_adds_up"), ("order_id", "not_null_stg_orders_order_id"), ("order_id", "revenue_adds_up")], "col, name"))
+@register("affected_tests", "SELECT * FROM " + values([("rebate", "rebate_is_a_share"), ("rebate", "revenue_is_positive"), ("line_no", "line_no_is_there"), ("line_no", "revenue_is_positive")], "col, name"))
 def affected_tests(spark, sf_dir):
-    rows = [(c, n) for c in ("status", "order_id", "total") for n in ("stg_orders", "order_report") if c != "total" or n == "stg_orders"]
-    affected = spark.createDataFrame([((_M + "stg_orders", c), _M + n) for c, n in rows], "seed struct<node:string,col:string>, node string")
+    rows = [(c, n) for c in ("rebate", "line_no", "units") for n in ("parcels", "vendor_sales") if c != "units" or n == "parcels"]
+    affected = spark.createDataFrame([((_M + "parcels", c), _M + n) for c, n in rows], "seed struct<node:string,col:string>, node string")
     return I.affected_tests(_snapshot(spark).tests, affected).select(F.col("seed.col").alias("col"), "name")
 
 
-@register("head_mentions", "SELECT * FROM " + values([("status", f"{_M}dim_customers,{_M}fct_orders")], "col, models"))
+@register("head_mentions", "SELECT * FROM " + values([("rebate", _M + "net_lines"), ("shipped_on", _M + "late_parcels")], "col, models"))
 def head_mentions(spark, sf_dir):
     base, head = sides(spark)
     removed = C.columns_removed(R.Sides(base, head).common, base.contracts_df, head.contracts_df)
     return C.head_mentions(head.references, removed).select(F.col("column").alias("col"), F.array_join("models", ",").alias("models"))
 
 
-@register("dangling_refs", "SELECT * FROM " + values([("stg_orders", x) for x in ("fct_orders", "dim_customers", "order_priorities", "big_spenders")], "removed, dependent"))
+@register("dangling_refs", "SELECT * FROM " + values([("parcels", x) for x in ("net_lines", "late_parcels", "heavy_parcels")], "removed, dependent"))
 def dangling_refs(spark, sf_dir):
-    """What the head would still refer to, had stg_orders gone."""
-    gone = spark.createDataFrame([(_M + "stg_orders", "stg_orders"), (_M + "tmp_orders", "tmp_orders")], "unique_id string, name string")
+    """What the head would still refer to, had parcels gone."""
+    gone = spark.createDataFrame([(_M + "parcels", "parcels"), (_M + "sandbox_lines", "sandbox_lines")], "unique_id string, name string")
     return C.dangling_refs(gone, _snapshot(spark, "head").nodes)
 
 
+#: (rule, severity, confidence, model, column, detail).
 _FOUND = [
-    ("R001", "breaking", "likely", "stg_orders", "status"), ("R001", "possibly_breaking", "likely", "stg_customers", "segment"), ("R001", "safe", "likely", "all_customers", "segment"), ("R001", "safe", "likely", "stg_orders", "priority"),
-    ("R002", "possibly_breaking", "likely", "tmp_orders", None), ("R003", "safe", "likely", "all_customers", "sort_name"), ("R003", "safe", "likely", "stg_customers", "sort_name"),
-    ("R900", "info", "unknown", "dim_customers", None), ("R900", "info", "unknown", "fct_orders", None),
-]
+    ("R001", "breaking", "likely", "parcels", "rebate", "still named by net_lines; it breaks 3 downstream columns, 2 tests, 1 exposure"),
+    ("R001", "breaking", "likely", "parcels", "shipped_on", "still named by late_parcels; it breaks 1 query"),
+    ("R001", "possibly_breaking", "likely", "vendors", "credit", "consumers take it through a star only: they go on without it, with fewer columns"),
+    ("R001", "safe", "likely", "every_vendor", "credit", "its consumers no longer refer to it"),
+    ("R001", "safe", "likely", "part_sizes", "brand", "its consumers no longer refer to it"),
+    ("R002", "possibly_breaking", "likely", "sandbox_lines", None, "nothing was found to refer to it, but not all models could be analysed"),
+    ("R003", "safe", "likely", "every_vendor", "initials", ""),
+    ("R003", "safe", "likely", "vendors", "initials", ""),
+    ("R900", "info", "unknown", "late_parcels", None, "the head contract is unknown"),
+    ("R900", "info", "unknown", "net_lines", None, "the head contract is unknown"),
+]
+_FOUND_SQL = "SELECT rule, severity, confidence, node_name, CAST(col AS VARCHAR) AS col, detail FROM " + values(_FOUND, "rule, severity, confidence, node_name, col, detail")
 
 for _query, _rule in (("classify_columns_removed", "R001"), ("classify_models_removed", "R002"), ("classify_columns_added", "R003"), ("classify_incomparable", "R900")):
 
-    @register(_query, "SELECT rule, severity, confidence, node_name, CAST(col AS VARCHAR) AS col FROM " + values([x for x in _FOUND if x[0] == _rule], "rule, severity, confidence, node_name, col"))
+    @register(_query, f"SELECT * FROM ({_FOUND_SQL}) WHERE rule = '{_rule}'")
     def _classified(spark, sf_dir, rule=_rule):
         found = R.findings(*sides(spark)).where(F.col("rule") == rule)
-        return found.select("rule", "severity", E.confidence_name(F.col("confidence")).alias("confidence"), "node_name", F.col("column").alias("col"))
+        return found.select("rule", "severity", E.confidence_name(F.col("confidence")).alias("confidence"), "node_name", F.col("column").alias("col"), "detail")
 
 
-@register("findings_json", "SELECT rule, node_name, CAST(col AS VARCHAR) AS col, severity AS said FROM " + values(_FOUND, "rule, severity, confidence, node_name, col"))
-def findings_json(spark, sf_dir):
-    rows = report.findings_json(R.findings(*sides(spark)))
-    return rows.select("rule", "node_name", F.col("column").alias("col"), F.get_json_object("json", "$.severity").alias("said"))
+def _payload(rule: str, severity: str, confidence: str, name: str, column: str | None, detail: str) -> str:
+    """A finding as JSON, keys in order, from what is said of it above."""
+    import json
 
+    hit = next(({"columns": _of(c), "exposures": e, "models": _of(m), "query_breaks": _of(q), "tests": t} for a, b, c, m, q, t, e, _ in _RADIUS if rule == "R001" and (a, b) == (name, column)), None)
+    subject = f"column {name}.{column}" if column else f"model {name}" if rule == "R002" else name
+    summary = subject + {"R001": " was removed", "R002": " was removed", "R003": " was added", "R900": " could not be compared"}[rule]
+    said = {
+        "column": column, "confidence": confidence, "detail": detail, "impact": hit or dict.fromkeys(("columns", "exposures", "models", "query_breaks", "tests"), []), "node_id": _M + name if column else None, "node_name": name,
+        "rule": rule, "severity": severity, "summary": summary,
+    }
+    return json.dumps(said, separators=(",", ":"))
 
-@register("findings_markdown_rows", "SELECT rule, node_name, CAST(col AS VARCHAR) AS col, CASE WHEN col IS NULL THEN 'model `' || node_name ELSE 'column `' || node_name || '.' || col END || '`' AS subject FROM " + values(_FOUND, "rule, severity, confidence, node_name, col"))
-def findings_markdown_rows(spark, sf_dir):
-    rows = report.markdown_rows(R.findings(*sides(spark)))
-    return rows.select("rule", "node_name", F.col("column").alias("col"), F.regexp_extract("markdown", r"((?:model|column) `[^`]*`)", 1).alias("subject"))
+
+@register("findings_json", "SELECT * FROM " + values([(_payload(*x),) for x in _FOUND], "json"))
+def findings_json(spark, sf_dir):
+    return report.findings_json(R.findings(*sides(spark))).select("json")
+
+
+_MARKDOWN = [
+    "- **BREAKS** column `parcels.rebate` was removed (R001, likely)\n  - why: still named by net\\_lines; it breaks 3 downstream columns, 2 tests, 1 exposure\n"
+    "  - columns: `country_rank.place`, `net_lines.net`, `vendor_sales.revenue`\n  - tests: `rebate_is_a_share`, `revenue_is_positive`\n  - exposures: `sales_board`",
+    "- **BREAKS** column `parcels.shipped_on` was removed (R001, likely)\n  - why: still named by late\\_parcels; it breaks 1 query\n  - queries that need it to run: `model.freight.late_parcels`",
+    "- **MAY BREAK** column `vendors.credit` was removed (R001, likely)\n  - why: consumers take it through a star only: they go on without it, with fewer columns\n  - columns: `every_vendor.credit`\n  - exposures: `vendor_sheet`",
+    "- **MAY BREAK** model `sandbox_lines` was removed (R002, likely)\n  - why: nothing was found to refer to it, but not all models could be analysed",
+    "| R001 | safe | column `every_vendor.credit` was removed | its consumers no longer refer to it |",
+    "| R001 | safe | column `part_sizes.brand` was removed | its consumers no longer refer to it |",
+    "| R003 | safe | column `every_vendor.initials` was added |  |",
+    "| R003 | safe | column `vendors.initials` was added |  |",
+    "| R900 | note | model `late_parcels` could not be compared | the head contract is unknown |",
+    "| R900 | note | model `net_lines` could not be compared | the head contract is unknown |",
+]
 
 
+@register("findings_markdown_rows", "SELECT * FROM " + values([(x,) for x in _MARKDOWN], "markdown"))
+def findings_markdown_rows(spark, sf_dir):
+    return report.markdown_rows(R.findings(*sides(spark))).select("markdown")
 
 
-@register("star_profile", "SELECT * FROM " + values([("stg_orders", True, True), ("stg_customers", False, False), ("fct_orders", True, False), ("dim_customers", False, False), ("order_priorities", False, False), ("all_customers", True, True), ("order_report", False, False), ("tmp_orders", False, False)], "model, any_star, top_star"))
+@register("star_profile", "SELECT * FROM " + values([(n, n in ("net_lines", "every_vendor"), n == "every_vendor") for n in _BASE_MODELS], "model, any_star, top_star"))
 def star_profile(spark, sf_dir):
     base, _ = sides(spark)
     with FrontEnd(spark, "duckdb") as front:
@@ -671,13 +734,151 @@ def top_reasons(spark, sf_dir):
     return V.top_reasons(_states(spark, sf_dir)[1], "reason")
 
 
-@register("unearned_edges", "SELECT CAST(0 AS BIGINT) AS edges")
+@register(
+    "unearned_edges",
+    f"WITH {_COLUMN_EDGES_SQL}, s AS (SELECT 'o' || o_orderkey AS down_node, o_orderstatus = 'F' AND o_orderkey % 5 IN (0, 1) AS earned FROM orders) "
+    "SELECT down_node, down_col, up_node, up_col FROM e JOIN s USING (down_node) WHERE confidence = 2 AND NOT earned",
+)
 def unearned_edges(spark, sf_dir):
-    base, _ = sides(spark)
-    return V.unearned(base.edges, base.states, base.recovered_df).agg(F.count("*").alias("edges"))
+    """Edges said to be confirmed of models that are not exact or not compiled: orders as models, of which those of status F are exact and two of five compiled."""
+    orders, k = _table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    node, side = F.concat(F.lit("o"), k.cast("string")).alias("node_id"), F.lit("head").alias("side")
+    states = orders.select(side, node, F.when(F.col("o_orderstatus") == "F", "exact").when(F.col("o_orderstatus") == "O", "partial").otherwise("unknown").alias("resolution"))
+    recovered = orders.select(side, node, F.when(k % 5 == 0, "manifest_compiled").when(k % 5 == 1, "disk_compiled").otherwise("rendered").alias("sql_source"))
+    found = V.unearned(_column_edges(spark, sf_dir).withColumn("side", side), states, recovered)
+    return found.select("down_node", "down_col", "up_node", "up_col")
 
 
-@register("recovered_sql", "SELECT * FROM " + values([(n, "rendered") for n in _BASE_MODELS], "model, sql_source"))
+@register("recovered_sql", "SELECT * FROM " + values([(n, "rendered", bundled.RENDERED[n]) for n in _BASE_MODELS], "model, sql_source, sql"))
 def recovered_sql(spark, sf_dir):
     base, _ = sides(spark)
-    return base.recovered_df.select(F.element_at(F.split("node_id", r"\."), -1).alias("model"), "sql_source")
+    return base.recovered_df.select(F.element_at(F.split("node_id", r"\."), -1).alias("model"), "sql_source", "sql")
+
+
+# ------------------------------------------------------- the front end, text by text
+
+#: (what it is, adapter, text, outputs with their sources and kinds, what it reads) over rk_up (alpha, beta, gamma).
+_TEXTS = [
+    ("qualify", "snowflake", "select alpha, upper(beta) as b from rk_up qualify row_number() over (partition by beta order by gamma) = 1", "alpha<alpha:direct b<beta:expression", "alpha beta gamma"),
+    ("qualify in a query", "bigquery", "with x as (select * from rk_up qualify rank() over (order by gamma) < 3) select alpha from x", "alpha<alpha:direct", "alpha gamma"),
+    ("qualify in a union", "snowflake", "select alpha from rk_up qualify row_number() over (order by gamma) = 1 union all select beta from rk_up order by 1", "alpha<alpha,beta:direct", "alpha beta gamma"),
+    ("qualify and order", "snowflake", "select alpha from rk_up qualify count(*) over (partition by gamma) > 1 order by beta limit 5", "alpha<alpha:direct", "alpha beta gamma"),
+    ("short casts", "postgres", "select alpha::varchar as x, beta::numeric(10,2) as y, gamma :: timestamptz z from rk_up", "x<alpha:expression y<beta:expression z<gamma:expression", "alpha beta gamma"),
+    ("types of others", "bigquery", "select cast(alpha as text) as x, safe_cast(beta as int64) as y, cast(gamma as double precision) as z from rk_up", "x<alpha:expression y<beta:expression z<gamma:expression", "alpha beta gamma"),
+    ("functions of others", "snowflake", "select iff(alpha = 'x', beta, gamma) as k, to_varchar(sysdate()) as t from rk_up", "k<alpha,beta,gamma:expression t<:expression", "alpha beta gamma"),
+    ("exclude", "duckdb", "select * exclude (beta) from rk_up", "alpha<alpha:direct gamma<gamma:direct", ""),
+    ("exclude one", "snowflake", "select * exclude beta from rk_up", "alpha<alpha:direct gamma<gamma:direct", ""),
+    ("except", "bigquery", "select * except (beta) from rk_up", "alpha<alpha:direct gamma<gamma:direct", ""),
+    ("placed relation", "duckdb", "select u.alpha from ripple.ripple.rk_up u", "alpha<alpha:direct", "alpha"),
+    ("quoted names", "snowflake", "select \"ALPHA\" as \"We ird\" from \"RK_UP\" -- beta", "we ird<alpha:direct", "alpha"),
+    ("backticks", "bigquery", "select `alpha` from `rk_up` where \"beta\" = gamma", "alpha<alpha:direct", "alpha gamma"),
+    ("words in strings", "duckdb", "select alpha || ' ::text qualify exclude beta' as x from rk_up", "x<alpha:expression", "alpha"),
+    ("recursive", "duckdb", "with recursive r as (select alpha from rk_up union all select r.alpha from r where r.alpha < 'x') select alpha from r", "alpha<alpha:direct", "alpha"),
+    ("using", "duckdb", "select alpha, v.gamma as g from rk_up join (select beta, gamma from rk_up) v using (beta)", "alpha<alpha:direct g<gamma:direct", "alpha beta gamma"),
+    ("pivot", "duckdb", "select * from (select alpha, beta, gamma from rk_up) pivot (max(gamma) for beta in ('x' as x, 'y' as y))", "alpha<alpha:direct x<beta,gamma:direct y<beta,gamma:direct", "alpha beta gamma"),
+    ("unnest", "spark", "select alpha, item from rk_up lateral view explode(split(beta, ',')) t as item", "alpha<alpha:direct item<beta:direct", "alpha beta"),
+]
+
+
+@register("query_lineage", "SELECT * FROM " + values([(a, c, d) for a, _, _, c, d in _TEXTS], "what, outputs, reads"))
+def query_lineage(spark, sf_dir):
+    """Texts of several vendors against one known relation: outputs with their sources and kinds, and all that the text reads by name."""
+    rows = []
+    for what, adapter, text, *_ in _TEXTS:
+        with FrontEnd(spark, adapter) as front:
+            found = front.query(text, {"rk_up": ("alpha", "beta", "gamma")})
+        outputs = " ".join(f"{n}<{','.join(sorted(s.column for s in of))}:{kind}" for n, of, kind in found.outputs)
+        rows.append((what, outputs if found.resolved else "unresolved", " ".join(sorted({s.column for s in found.references}))))
+    return spark.createDataFrame(rows, "what string, outputs string, reads string")
+
+
+_PLACES = {
+    "ok": ("select alpha from {{ source('s', 'up') }}", {}, "alpha", "exact", "", "inferred"),
+    "python": ("def model(): ...", {"language": "python", "columns": {"a": {"name": "a"}}}, "a", "partial", "python_model", "declared"),
+    "unparsed": ("select (", {"columns": {"d": {"name": "d"}}}, "d", "partial", "sql_parse_error", "declared"),
+    "unparsed_bare": ("select (", {}, "", "unknown", "sql_parse_error", "none"),
+    "missing": ("select gone from {{ source('s', 'up') }}", {}, "", "unknown", "qualify_error", "none"),
+    "live": ("{{ run_query('x') }}", {}, "", "unknown", "needs_warehouse", "none"),
+    "unrendered": ("select {{ nowhere() }} as x", {}, "", "unknown", "unparseable_jinja", "none"),
+    "empty": ("  ", {}, "", "unknown", "no_sql", "none"),
+    "wild": ("select * from outside", {}, "", "unknown", "no_output_columns", "none"),
+    "mixed": ("select *, 1 as x from outside", {}, "x", "partial", "surviving_star", "inferred"),
+    "above": ("select *, 1 as x from {{ ref('live') }}", {"depends_on": {"nodes": ["model.p.live"]}}, "x", "partial", "upstream_unknown", "inferred"),
+    "compiled": ("{{ nowhere() }}", {"compiled_code": "select beta from rk_source_s_up"}, "beta", "exact", "", "inferred"),
+}
+
+
+@register("contract_states", "SELECT * FROM " + values([(n, c, r, why, o) for n, (_, _, c, r, why, o) in _PLACES.items()], "model, columns, resolution, reason, origin"))
+def contract_states(spark, sf_dir):
+    """What becomes of models that can be analysed in full, in part or not at all."""
+    import json
+
+    from ripple.plans.analysis import analyse
+
+    nodes = {
+        f"model.p.{n}": {"name": n, "resource_type": "model", "package_name": "p", "raw_code": text, "depends_on": {"nodes": ["source.p.s.up"]}, **more} for n, (text, more, *_) in _PLACES.items()
+    }
+    sources = {"source.p.s.up": {"name": "up", "source_name": "s", "resource_type": "source", "columns": {c: {"name": c} for c in ("alpha", "beta")}}}
+    text = json.dumps({"metadata": {"dbt_schema_version": "x/manifest/v12.json", "adapter_type": "duckdb"}, "nodes": nodes, "sources": sources, "exposures": {}, "macros": {}})
+    found = analyse(spark, manifest.from_text(spark, text))
+    columns = found.contracts_df.groupBy("node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "column"))), lambda x: x["column"]), ",").alias("columns"))
+    rows = found.states.join(columns, "node_id", "left").where(F.col("node_id").startswith("model."))
+    return rows.select(F.element_at(F.split("node_id", r"\."), -1).alias("model"), F.coalesce("columns", F.lit("")).alias("columns"), "resolution", "reason", "origin")
+
+
+_DRAWN = {
+    "loop": ("{% for c in ['a', 'b'] %}{{ c }}{{ ', ' if not loop.last }}{% endfor %}", "a, b", None),
+    "set": ("{% set n = 2 %}{{ n * 3 ~ 'x' }}", "6x", None),
+    "macro": ("{{ twice('c') }}", "c + c", None),
+    "package": ("{{ tools.twice('d') }}", "d + d", None),
+    "dispatch": ("{{ pick('e') }}", "duck e", None),
+    "newline macro": ("{{ late() }}", "late", None),
+    "relations": ("{{ ref('m', v=2) }} {{ source('a', 'b') }} {{ this }}", "rk_model_m rk_source_a_b rk_model_t", None),
+    "settings": ("{{ config(tags=['x']) }}{{ var('day', '1') }} {{ env_var('NONE', 'd') }} {{ target.type }} {{ execute }}", "1 d duckdb False", None),
+    "unknown name": ("{{ nope }}", None, "undefined_macro"),
+    "unknown macro": ("{{ tools.nope() }}", None, "undefined_macro"),
+    "no default": ("{{ var('v') }}", None, "undefined_macro"),
+    "warehouse": ("{{ adapter.get_columns_in_relation(this) }}", None, "introspective"),
+    "malformed": ("{% if x %}", None, "jinja_syntax"),
+    "too large": ("{{ range(1000000) | length }}", None, "too_large"),
+    "without end": ("{{ round_and_round() }}", None, "recursion"),
+    "own names win": ("{{ ref('x') }}", "rk_model_x", None),
+}
+_DRAWN_MACROS = {
+    "twice": ("tools", "{% macro twice(x) %}{{ x }} + {{ x }}{% endmacro %}"), "pick": ("p", "{% macro pick(x) %}{{ return(adapter.dispatch('pick')(x)) }}{% endmacro %}"), "duckdb__pick": ("p", "{% macro duckdb__pick(x) %}duck {{ x }}{% endmacro %}"),
+    "late": ("p", "\n{% macro late() %}late{% endmacro %}"), "round_and_round": ("p", "{% macro round_and_round() %}{{ round_and_round() }}{% endmacro %}"), "ref": ("p", "{% macro ref(x) %}shadow{% endmacro %}"),
+    "bad": ("p", "{% macro bad( %}{% endmacro %}"),
+}
+
+
+@register("rendered_templates", "SELECT what, CAST(sql AS VARCHAR) AS sql, CAST(failure AS VARCHAR) AS failure FROM " + values([(n, sql, failure) for n, (_, sql, failure) in _DRAWN.items()], "what, sql, failure"))
+def rendered_templates(spark, sf_dir):
+    """Templates with a registry of macros, one of which does not parse: what they render to, or why not."""
+    from ripple.plans.recovery import Recovery
+
+    macros = [{"name": n, "package_name": package, "macro_sql": sql, "is_plain": True} for n, (package, sql) in _DRAWN_MACROS.items()]
+    recovery = Recovery(macros, "duckdb", "p", None, {})
+    node = {"name": "t", "compiled_code": None, "package_name": "p", "original_file_path": "", "materialized": None, "unique_key": None}
+    found = [(n, recovery.recover({**node, "raw_code": text})) for n, (text, *_) in _DRAWN.items()]
+    return spark.createDataFrame([(n, r.sql, r.failure) for n, r in found], "what string, sql string, failure string")
+
+
+_REFUSED = {
+    "short": ("x" * 99, "read"), "long": ("x" * (manifest.MAX_SQL + 1), "ManifestTooLarge"), "at the limit": ("x" * manifest.MAX_SQL, "read"),
+}
+
+
+@register("sql_length_limit", "SELECT * FROM " + values([(n, x) for n, (_, x) in _REFUSED.items()], "what, result"))
+def sql_length_limit(spark, sf_dir):
+    """Manifests whose one model has a text of so many characters."""
+    import json
+
+    rows = []
+    for name, (text, _) in _REFUSED.items():
+        made = {"metadata": {"dbt_schema_version": "x/manifest/v12.json"}, "nodes": {"model.p.m": {"name": "m", "resource_type": "model", "raw_code": text}}, "sources": {}, "exposures": {}, "macros": {}}
+        try:
+            manifest.from_text(spark, "\n\t " + json.dumps(made))
+            rows.append((name, "read"))
+        except manifest.ManifestTooLarge as e:
+            rows.append((name, type(e).__name__))
+    return spark.createDataFrame(rows, "what string, result string")

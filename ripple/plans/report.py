@@ -19,7 +19,7 @@ from ripple.operators import rules as R
 
 SCHEMA_VERSION = 1
 SHOWN, SHOWN_IMPACT, SHOWN_GAPS = 50, 8, 20
-ICONS = {"breaking": "🔴", "possibly_breaking": "🟡", "safe": "🟢", "info": "ℹ️"}
+LABELS = {"breaking": "BREAKS", "possibly_breaking": "MAY BREAK", "safe": "safe", "info": "note"}
 ACTIONS = {"R001": "was removed", "R002": "was removed", "R003": "was added", "R900": "could not be compared"}
 
 
@@ -47,20 +47,19 @@ def _shown(items: Column, code: Column | None = None) -> Column:
 def markdown_rows(found: DataFrame) -> DataFrame:
     """One row a finding: its block for grave ones, its table row for others; everything from the project escaped."""
     subject = F.when(F.col("column").isNotNull(), F.concat(F.lit("column "), T.markdown_code(F.concat("node_name", F.lit("."), "column")))).otherwise(F.concat(F.lit("model "), T.markdown_code(F.col("node_name"))))
-    icon, action = _map(ICONS, F.col("severity")), _map(ACTIONS, F.col("rule"))
+    label, action = _map(LABELS, F.col("severity")), _map(ACTIONS, F.col("rule"))
     none = F.array().cast("array<string>")
     part = {c: F.coalesce(F.col(f"impact.{c}"), none) for c in ("columns", "query_breaks", "tests", "exposures")}
     lines = [
-        F.concat(icon, F.lit(" **"), subject, F.lit("** "), action),
-        F.when(F.col("detail") != "", F.concat(F.lit("  "), T.markdown_escape(F.col("detail")))),
-        F.when(F.size(part["columns"]) > 0, F.concat(F.lit("  Columns downstream: "), _shown(part["columns"], F.transform(F.slice(part["columns"], 1, SHOWN_IMPACT), lambda x: T.markdown_code(T.short_ref(x)))))),
-        F.when(F.size(part["query_breaks"]) > 0, F.concat(F.lit("  Queries that only filter or join on it: "), _shown(part["query_breaks"]))),
-        F.when(F.size(part["tests"]) > 0, F.concat(F.lit("  Tests that fail: "), _shown(part["tests"]))),
-        F.when(F.size(part["exposures"]) > 0, F.concat(F.lit("  Exposures: "), _shown(part["exposures"]))),
-        F.concat(F.lit("  <sub>"), "rule", F.lit(" · confidence: "), E.confidence_name(F.col("confidence")), F.lit("</sub>")),
+        F.concat(F.lit("- **"), label, F.lit("** "), subject, F.lit(" "), action, F.lit(" ("), "rule", F.lit(", "), E.confidence_name(F.col("confidence")), F.lit(")")),
+        F.when(F.col("detail") != "", F.concat(F.lit("  - why: "), T.markdown_escape(F.col("detail")))),
+        F.when(F.size(part["columns"]) > 0, F.concat(F.lit("  - columns: "), _shown(part["columns"], F.transform(F.slice(part["columns"], 1, SHOWN_IMPACT), lambda x: T.markdown_code(T.short_ref(x)))))),
+        F.when(F.size(part["query_breaks"]) > 0, F.concat(F.lit("  - queries that need it to run: "), _shown(part["query_breaks"]))),
+        F.when(F.size(part["tests"]) > 0, F.concat(F.lit("  - tests: "), _shown(part["tests"]))),
+        F.when(F.size(part["exposures"]) > 0, F.concat(F.lit("  - exposures: "), _shown(part["exposures"]))),
     ]
     block = F.concat_ws("\n", *lines)
-    row = F.concat(F.lit("| "), icon, F.lit(" | "), "rule", F.lit(" | "), subject, F.lit(" "), action, F.lit(" | "), T.markdown_escape(F.col("detail")), F.lit(" |"))
+    row = F.concat(F.lit("| "), "rule", F.lit(" | "), label, F.lit(" | "), subject, F.lit(" "), action, F.lit(" | "), T.markdown_escape(F.col("detail")), F.lit(" |"))
     return found.select("severity", "confidence", "rule", "node_name", "column", F.when(F.col("severity").isin("breaking", "possibly_breaking"), block).otherwise(row).alias("markdown"))
 
 
@@ -79,7 +78,7 @@ class Report:
         self.found = found.cache()
         self.coverage = V.coverage(head.snapshot.nodes, head.states).first().asDict()
         self.reasons = {r["reason"]: r["models"] for r in V.reasons(head.snapshot.nodes, head.states).orderBy("reason").collect()}
-        self.gaps = [(r["name"], r["why"]) for r in V.unanalysable(head.snapshot.nodes, head.states).orderBy("name", "why").limit(10_000).collect()]
+        self.gaps = [(r["name"], r["why"]) for r in V.unanalysable(head.snapshot.nodes, head.states).orderBy("name", "why").toLocalIterator()]
         self.macro_stats = head.macro_stats
         self.counts = {r["severity"]: r["count"] for r in found.groupBy("severity").count().collect()}
 
@@ -107,41 +106,35 @@ class Report:
         return "\n".join(out) + "\n"
 
     def markdown(self, title: str = "Column contracts") -> str:
+        """The counts first, then what needs a decision, then all else and the coverage, folded."""
         n = {k: self.counts.get(k, 0) for k in E.SEVERITIES}
-        shown = escaped(title)
-        if n["breaking"]:
-            lines = [f"## 🔴 {shown}: {_plural(n['breaking'], 'breaking change')}"]
-        elif n["possibly_breaking"]:
-            lines = [f"## 🟡 {shown}: {_plural(n['possibly_breaking'], 'possible break')}"]
-        else:
-            lines = [f"## 🟢 {shown}: " + ("no breaking changes" if sum(n.values()) else "no changes to column contracts")]
+        said = ", ".join(f"{n[k]} {LABELS[k].lower()}" for k in reversed(E.SEVERITIES) if n[k]) or "no change"
+        lines = [f"# {escaped(title)}: {said}", ""]
+        if not self.coverage["is_complete"]:
+            lines += ["_Not all models were analysed in full: there may be impact that is not listed._", ""]
         rows = markdown_rows(self.found)
-        for severity, head in (("breaking", "### 🔴 Breaking"), ("possibly_breaking", "### 🟡 Possibly breaking")):
-            if n[severity]:
-                lines += ["", head, ""] + [r["markdown"] + "\n" for r in R.ordered(rows.where(F.col("severity") == severity)).limit(SHOWN).collect()]
+        for severity in ("breaking", "possibly_breaking"):
+            lines += [r["markdown"] for r in R.ordered(rows.where(F.col("severity") == severity)).limit(SHOWN).collect()]
+            if n[severity] > SHOWN:
+                lines.append(f"- … and {n[severity] - SHOWN} more of **{LABELS[severity]}**")
         other = n["safe"] + n["info"]
         if other:
-            table = ["| | Rule | Change | Note |", "|---|---|---|---|"]
+            table = ["| rule | verdict | change | why |", "|---|---|---|---|"]
             table += [r["markdown"] for r in R.ordered(rows.where(F.col("severity").isin("safe", "info"))).limit(SHOWN).collect()]
             if other > SHOWN:
-                table.append(f"| | | …and {other - SHOWN} more | |")
-            lines += ["", _fold(f"Other changes ({other})", "\n".join(table))]
+                table.append(f"| | | … and {other - SHOWN} more | |")
+            lines += ["", _fold(f"{_plural(other, 'other finding')}", "\n".join(table))]
         return "\n".join([*lines, "", self._coverage()]).rstrip() + "\n"
 
     def _coverage(self) -> str:
-        c = self.coverage
-        body = [self.headline().capitalize() + "."]
-        if self.reasons:
-            body += ["", "| Reason | Models |", "|---|---:|"] + [f"| {escaped(k)} | {v} |" for k, v in self.reasons.items()]
-        if c["catalog_would_help"]:
-            body += ["", f"A catalog of the warehouse's columns would resolve {c['catalog_would_help']} of these."]
+        body = [f"- {escaped(E.REASONS.get(k, k))} ({escaped(k)}): {_plural(v, 'model')}" for k, v in self.reasons.items()]
+        if self.coverage["catalog_would_help"]:
+            body += ["", f"With the columns of the warehouse known, {self.coverage['catalog_would_help']} of these would be resolved."]
         if self.gaps:
-            body += ["", "Not analysed:"] + [f"- {coded(a)}: {escaped(b)}" for a, b in self.gaps[:SHOWN_GAPS]]
+            body += ["", "Nothing is known of:", ""] + [f"- {coded(a)}: {escaped(b)}" for a, b in self.gaps[:SHOWN_GAPS]]
             if len(self.gaps) > SHOWN_GAPS:
-                body.append(f"- …and {len(self.gaps) - SHOWN_GAPS} more")
-        summary = f"Coverage: {c['exact']}/{c['total_models']} models fully resolved" + (f", {c['partial']} partial" if c["partial"] else "") + (f", {c['unknown']} not analysed" if c["unknown"] else "")
-        folded = _fold(summary, "\n".join(body))
-        return folded if c["is_complete"] else "> **Not all models were analysed in full.** There may be impact that is not listed.\n\n" + folded
+                body.append(f"- … and {len(self.gaps) - SHOWN_GAPS} more")
+        return _fold(self.headline(), "\n".join(body) or "Every model is resolved.")
 
 
 def escaped(text: str) -> str:

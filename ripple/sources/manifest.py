@@ -50,7 +50,7 @@ def _text(column: Column) -> Column:
     return F.when(column.isNotNull() & (column != ""), column)
 
 
-def _is_object(column: Column) -> Column:
+def is_object(column: Column) -> Column:
     """Whether a JSON text is an object; JSON's white space may stand before it."""
     return column.rlike(r"^[ \t\r\n]*\{")
 
@@ -68,7 +68,7 @@ def _columns(column: Column) -> Column:
 
 def entries(raw: DataFrame, field: str) -> DataFrame:
     """One row for each object in one of the manifest's maps: unique_id and the fields of ENTRY."""
-    rows = raw.select(F.explode(field).alias("unique_id", "json")).where(_is_object(F.col("json")))
+    rows = raw.select(F.explode(field).alias("unique_id", "json")).where(is_object(F.col("json")))
     return rows.select("unique_id", F.from_json("json", ENTRY).alias("e")).select("unique_id", "e.*")
 
 
@@ -110,7 +110,7 @@ def exposures_of(raw: DataFrame, side: str) -> DataFrame:
     owner = F.coalesce(_text(F.get_json_object("owner", "$.email")), _text(F.get_json_object("owner", "$.name")))
     return entries(raw, "exposures").select(
         F.lit(side).alias("side"), "unique_id", F.coalesce("name", F.lit("")).alias("name"), _depends(F.col("depends_on")).alias("depends_on"),
-        _text(F.col("type")).alias("exposure_type"), _text(F.col("url")).alias("url"), F.when(_is_object(F.col("owner")), F.coalesce(owner, F.lit(""))).alias("owner"),
+        _text(F.col("type")).alias("exposure_type"), _text(F.col("url")).alias("url"), F.when(is_object(F.col("owner")), F.coalesce(owner, F.lit(""))).alias("owner"),
     )
 
 
@@ -126,7 +126,7 @@ def snapshot(texts: DataFrame, side: str, origin: str = "the manifest") -> Snaps
     """Validate and normalise a manifest given as one row with its text in ``value``."""
     raw = texts.select("value", F.from_json("value", MANIFEST).alias("m")).select("value", "m.*")
     head = raw.select(
-        _is_object(F.col("value")).alias("object"),
+        is_object(F.col("value")).alias("object"),
         F.col("metadata").isNotNull().alias("metadata"),
         T.schema_version(F.col("metadata")["dbt_schema_version"]).alias("version"),
         F.coalesce(F.col("metadata")["adapter_type"], F.lit("")).alias("adapter"),

@@ -20,16 +20,21 @@ def root_of(manifest: str) -> Path | None:
     return root if path.parent.name == "target" and (root / PROJECT_FILE).is_file() else None
 
 
+def header(line: str) -> tuple[str, ...]:
+    """The column names of a CSV file's first line, quoted or not; a quoted name may hold commas."""
+    row = next(csv.reader([line], skipinitialspace=True), [])
+    return tuple(c.strip() for c in row if c.strip())
+
+
 def seed_header(root: Path | None, path: str) -> tuple[str, ...]:
     """The column names of a seed's first line; none where it cannot be read or lies outside the project."""
     if root is None or not path:
         return ()
     try:
         with within(path, root).open(encoding="utf-8", errors="replace", newline="") as f:
-            row = next(csv.reader([f.readline(MAX_HEADER)]), [])
+            return header(f.readline(MAX_HEADER))
     except (OSError, csv.Error, UnsafePath):
         return ()
-    return tuple(c.strip() for c in row if c.strip())
 
 
 def compiled(root: Path | None, package: str, path: str) -> str | None:

@@ -47,6 +47,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+class Growing:
+    """A table in the shared folder that rows are added to."""
+
+    def __init__(self, rows: DataFrame, name: str) -> None:
+        self.rows = written(rows, name)
+
+    def add(self, more: DataFrame) -> None:
+        more.select(*self.rows.columns).write.mode("append").parquet(_path_of[self.rows])
+        grown = self.rows.sparkSession.read.schema(self.rows.schema).parquet(_path_of[self.rows])  # lists its files anew
+        _path_of[grown] = _path_of.pop(self.rows)
+        self.rows = grown
+
+
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """What ``make`` gives, as a table; the tables that were written on the way to it are deleted."""
     before = set(_written)

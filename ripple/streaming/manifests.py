@@ -12,7 +12,7 @@ def nodes(spark: SparkSession, folder: str, side: str = "head", files_at_once: i
     """A streaming DataFrame of the nodes of every manifest that lands in a folder, with its file and time."""
     texts = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_at_once).text(folder)
     raw = texts.select("value", F.input_file_name().alias("file"), F.current_timestamp().alias("arrived"), F.from_json("value", M.MANIFEST).alias("m"))
-    rows = raw.select("file", "arrived", F.explode("m.nodes").alias("unique_id", "json")).where(F.ltrim("json").startswith("{"))
+    rows = raw.select("file", "arrived", F.explode("m.nodes").alias("unique_id", "json")).where(M.is_object(F.col("json")))
     e = F.from_json("json", M.ENTRY)
     return rows.select(F.lit(side).alias("side"), "file", "arrived", "unique_id", e.alias("e")).select("side", "file", "arrived", "unique_id", "e.name", "e.resource_type", M._depends(F.col("e.depends_on")).alias("depends_on"))
 

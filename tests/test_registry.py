@@ -2,6 +2,9 @@
 
 import glob
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -34,3 +37,17 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(registry.QUERIES) <= set(entry.queries()) and set(registry.ORACLES) <= set(entry.oracle_sql())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_without_the_optional_subpackage(tmp_path):
+    """A copy without the training-data operators and their tests: the entry point answers, the rest is collected."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    tree = tmp_path / "tree"
+    skipped = shutil.ignore_patterns("llm", ".git", "__pycache__", "*.md", "*.json")
+    for also in ((), ("corpus_pipeline.py",)):
+        shutil.copytree(root, tree, ignore=lambda d, names: {*skipped(d, names), *also})
+        said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) >= 85 and set(o) <= set(q) and 'pipeline' not in q; print('fine')"], cwd=tree, capture_output=True, text=True, timeout=120)
+        assert said.stdout.strip() == "fine", said.stderr[-500:]
+        said = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=tree, capture_output=True, text=True, timeout=120)
+        assert said.returncode == 0 and "llm" not in said.stdout, said.stdout[-500:]
+        shutil.rmtree(tree)
