@@ -450,7 +450,7 @@ def cross_entropy_difference(docs: DataFrame, target: Column, key: str = "doc_id
     limit = min(VOCABULARY if vocabulary is None else vocabulary, UNKNOWN)
     plain = docs.select(F.col(quote(key)).cast("long").alias("id"), F.col(quote(text)).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
     filled = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    n_docs, full, own = plain.agg(F.count("*"), F.count_if(filled), F.count_if(filled & F.col("target"))).first()
+    n_docs, full, own, size = plain.agg(F.count("*"), F.count_if(filled), F.count_if(filled & F.col("target")), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     # Which bigrams are frequent.
     some = plain.where(F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(max(1, n_docs // SAMPLE_DOCS))) == 0)
     often = some.select("text").mapInArrow(lean(_frequent), "first long, last long, n long").groupBy("first", "last").agg(F.sum("n").alias("n"))
@@ -462,7 +462,8 @@ def cross_entropy_difference(docs: DataFrame, target: Column, key: str = "doc_id
     counted = plain.select("text", "target").mapInArrow(lean(lambda it: _word_counts(it, shards, shared_hot.value)), COUNTED)
     tops = counted.groupBy("shard").applyInArrow(lambda t: _top_words(t, limit), "kind int, word long, n long, t long, d long")
     # One job: the numbered words are bounded by ``limit`` and the frequent bigrams by HOT_BIGRAMS; totals are a row a shard, summed at once.
-    ranked = tops.where("kind = 0").orderBy(F.desc("n"), "word").limit(limit)
+    # Words are ranked in one task, so rarer ones are left out: a word has two bytes with its space, so 128 for each number can pass at most.
+    ranked = tops.where("kind = 0").where(F.col("n") >= size // (256 * VOCABULARY)).orderBy(F.desc("n"), "word").limit(limit)
     others = tops.where("kind = 1").groupBy("kind").agg(F.lit(None).cast("long").alias("word"), *[F.sum(c).alias(c) for c in ("n", "t", "d")])
     got = ranked.unionByName(tops.where("kind = 3")).unionByName(others).toArrow().to_pylist()
     words = sorted((r for r in got if r["kind"] == 0), key=lambda r: (-r["n"], r["word"]))
