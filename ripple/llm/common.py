@@ -94,12 +94,25 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         yield from run(batches)
         trim()
 
     return whole
 
 
+@functools.cache
+def give_back() -> None:
+    """Have the C library return large arrays to the system as soon as they are freed, once a process.
+
+    Left alone it keeps ever more of them, as its thresholds follow the largest it has seen.
+    """
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+
+
 def trim() -> None:
     """Give memory that nothing uses back to the system."""
     gc.collect()
@@ -108,10 +121,11 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def lean_group(run: Callable[[pa.Table], pa.Table], least: int = 8 << 20) -> Callable[[pa.Table], pa.Table]:
+def lean_group(run: Callable[[pa.Table], pa.Table], least: int = 1 << 20) -> Callable[[pa.Table], pa.Table]:
     """The same map over groups, after which its worker gives free memory back if the group was of so many bytes."""
 
     def whole(table: pa.Table) -> pa.Table:
+        give_back()
         size = table.nbytes
         out = run(table)
         del table

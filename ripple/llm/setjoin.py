@@ -47,7 +47,7 @@ WIDE = 2000
 GROUP = 32
 BLOCK, BLOCK_TOKENS = 4096, 2_000_000  # sets and tokens of a component that are verified in one task
 FLUSH_ROWS = 200_000  # signatures gathered in a task before they are dealt out
-SHARD_ROWS = 750_000  # signatures that a shard is meant to hold
+SHARD_ROWS = 400_000  # signatures that a shard is meant to hold
 BATCH_SETS = 400  # sets of small components whose matrix is made together
 
 
@@ -403,8 +403,9 @@ def _rooted(docs: DataFrame, key: str, text: str, k: int, num: int, den: int) ->
     small_batches(spark)
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    n_docs = docs.count()
-    shards = max(shuffle_partitions(spark), math.ceil(n_docs * 90 / SHARD_ROWS))
+    n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # A set of n tokens has some 5 n (den - num) / (den + num) signatures, and a token some six bytes of text.
+    shards = max(shuffle_partitions(spark), math.ceil(size / 6 * 5 * (den - num) / (den + num) / SHARD_ROWS))
     schema, linked = (to_arrow_schema(_parse_datatype_string(x.format(kind=kind))) for x in (SIGNED, LINKED))
     signed = docs.withColumn("h", F.xxhash64("id")).withColumn("text_hash", F.xxhash64("text")).mapInArrow(lean(lambda it: _signed(it, k, num, den, shards, schema)), SIGNED.format(kind=kind))
     signed = written(signed.groupBy("shard").applyInArrow(lean_group(lambda t: _bucket_links(t, linked, num, den)), LINKED.format(kind=kind)), "signed")
