@@ -136,6 +136,12 @@ def lean_group(run: Callable[[pa.Table], pa.Table], least: int = 1 << 20) -> Cal
     return whole
 
 
+def swept(spark: SparkSession) -> None:
+    """Have shuffle files that nothing reads any more deleted now; they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 

@@ -13,7 +13,9 @@ and every link between different sets counts towards the components.
    of which similar sets share one.)  A bucket of sets that share a signature needs no pairs: a star to its smallest
    set will do, as the components of these stars enclose all links.  Stars are
    made within each task first, so that a signature that many documents share
-   costs one row a task.
+   costs one row a task.  Where sketches are compared, which are far larger than
+   a signature, signatures go alone first, and only those that another stretch of
+   documents has as well go once more, with the sketches of their sets.
 3. *Each group's token union* is a row of the token-group matrix: the members of
    a component stand in the order of their smallest hashes and are cut into groups
    of GROUP sets.  An inverted list over the unions bounds |Q & G| for a query and
@@ -28,25 +30,28 @@ follows the number of documents, matrices hold bounded batches of sets.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from ripple.llm.common import Hashes, Sieve, connected_components, lean, lean_group, led, mix, quote, quoted, raw_texts, shuffle_partitions, slices, small_batches, without, written
+from ripple.llm.common import Hashes, Sieve, connected_components, lean, lean_group, led, mix, quote, quoted, raw_texts, shuffle_partitions, slices, small_batches, swept, without, written
 from ripple.llm.shingles import set_key, shingle_sets
 
 SPARE_SHARE = 0.25  # spare parts at most, of the others
 WIDE = 2000
 GROUP = 32
 BLOCK, BLOCK_TOKENS = 4096, 2_000_000  # sets and tokens of a component that are verified in one task
-FLUSH_ROWS = 200_000  # signatures gathered in a task before they are dealt out
+FLUSH_ROWS = 200_000  # signatures gathered in a task before they are dealt out; up to four times as many where shards are many
+SIG_BYTES = 5  # of a signature that goes to its shard without sketch
 SHARD_ROWS = 400_000  # signatures that a shard is meant to hold
 BATCH_SETS = 400  # sets of small components whose matrix is made together
 
@@ -223,13 +228,37 @@ def compared(sig: np.ndarray, entry: np.ndarray, node: np.ndarray, facts: np.nda
     return forest(np.concatenate(left), np.concatenate(right)) if left else (node[:0], node[:0])
 
 
-SIGNED = "id {kind}, text_hash long, n_shingles long, set_key binary, node long, shard int, sigs binary, nodes binary, a binary, b binary, who binary, facts binary"
+SIGNED = "id {kind}, text_hash long, n_shingles long, set_key binary, node long, stretch long, shard int, sigs binary, nodes binary, a binary, b binary, who binary, facts binary"
 LINKED = "id {kind}, text_hash long, n_shingles long, set_key binary, node long, a long, b long"
+MET = "id {kind}, text_hash long, n_shingles long, set_key binary, node long, a long, b long, stretch long, shard int, sigs binary, nodes binary, who binary, facts binary"
+TOLD = "shard int, sigs binary, nodes binary, who binary, facts binary"
+
+
+_outside = itertools.count()  # numbers what no task makes
+
+
+def packed(sig: np.ndarray, entry: np.ndarray) -> tuple[bytes, bytes]:
+    """The signatures' last bytes; and their entries, which ascend, as steps, by which byte of four, so that what is zero stands together."""
+    steps = np.diff(entry, prepend=0).astype("<u4")
+    return sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES].tobytes(), steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(sigs: bytes, nodes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(nodes) // 4
+    sig = np.zeros((n, 8), dtype=np.uint8)
+    sig[:, :SIG_BYTES] = np.frombuffer(sigs, np.uint8).reshape(n, SIG_BYTES)
+    steps = np.ascontiguousarray(np.frombuffer(nodes, np.uint8).reshape(4, n).T)
+    return sig.view("<u8").ravel(), np.cumsum(steps.view("<u4").ravel(), dtype=np.int64)
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, shards: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: for each document its set, and for each shard the signatures of the sets of many documents."""
+    """Rows of two kinds: for each document its set, and for each shard the signatures of the sets of many documents.
+
+    With sketches there is a third: for each stretch of documents its entries' nodes and facts.
+    """
     words, classes = Hashes(), Classes(num, den)
+    context = TaskContext.get()
+    stretch, most = (context.partitionId() if context else next(_outside)) << 32, FLUSH_ROWS * min(4, max(1, shards // 1000))
     seen: set[int] = set()
     kept: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -243,7 +272,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, shard
         order = np.argsort(shard, kind="stable")
         return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> Iterator[pa.RecordBatch]:
         before = np.cumsum([0, *(len(x[2]) for x in kept)])
         sig, entry = np.concatenate([x[0] for x in kept]), np.concatenate([x[1] + b for x, b in zip(kept, before, strict=False)])
         node, facts = np.concatenate([x[2] for x in kept]), np.concatenate([x[3] for x in kept])
@@ -272,21 +301,22 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, shard
         columns |= {c: [x[at[i] : at[i + 1]].tobytes() for i in full] for c, x in (("a", a), ("b", b))}
         if classes.sketched:
             entry = entry[order]
-            columns |= {"nodes": [], "who": [], "facts": []}
+            both = []
             for i in full:
-                mine, local = np.unique(entry[cut[i] : cut[i + 1]], return_inverse=True)
-                for c, x in (("nodes", local.astype(np.uint32)), ("who", node[mine]), ("facts", facts[mine])):
-                    columns[c].append(x.tobytes())
+                by = np.argsort(entry[cut[i] : cut[i + 1]], kind="stable") + cut[i]
+                both.append(packed(sig[by], entry[by]))
+            columns |= {"stretch": [stretch] * len(full), "sigs": [x[0] for x in both], "nodes": [x[1] for x in both]}
+            yield rows(stretch=[stretch], shard=[(stretch >> 32) % shards], who=[node.tobytes()], facts=[facts.tobytes()])
         else:
             least = least[order]
             columns["nodes"] = [least[cut[i] : cut[i + 1]].tobytes() for i in full]
-        return rows(**columns)
+        yield rows(**columns)
 
     for batch in slices(batches, "text"):
         sets = shingle_sets(raw_texts(batch, "text"), k, words)
         keys = [set_key(x) if len(x) else None for x in sets]
         nodes = [int.from_bytes(x[:8], "little", signed=True) if x else None for x in keys]
-        yield rows(id=batch.column("id"), text_hash=batch.column("text_hash"), n_shingles=[len(x) for x in sets], set_key=keys, node=nodes, shard=(batch.column("h").to_numpy() % shards).tolist())
+        yield rows(id=batch.column("id"), text_hash=batch.column("text_hash"), n_shingles=[len(x) for x in sets], set_key=keys, node=nodes, stretch=[stretch] * len(sets), shard=(batch.column("h").to_numpy() % shards).tolist())
         fresh = []
         for i, x in enumerate(nodes):
             if x is not None and x not in seen:
@@ -295,38 +325,106 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, shard
         sig, entry, index, facts = signatures([sets[i] for i in fresh], classes)
         if len(sig):
             kept.append((sig, entry, np.array([nodes[i] for i in fresh], dtype=np.int64)[index], facts))
-        if sum(len(x[0]) for x in kept) >= FLUSH_ROWS:
-            yield flush()
+        if sum(len(x[0]) for x in kept) >= most:
+            yield from flush()
+            stretch += 1
     if kept:
-        yield flush()
+        yield from flush()
 
 
-def _bucket_links(table: pa.Table, schema: pa.Schema, num: int, den: int) -> pa.Table:
-    """The links of one shard, after the documents that came along."""
-    known = table.filter(pc.is_null(table.column("sigs")))
-    packed = table.filter(pc.is_valid(table.column("sigs")))
+def _joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
-    def joined(c: str, kind: type) -> np.ndarray:
-        return np.frombuffer(b"".join(packed.column(c).to_pylist()), kind)
 
-    sig, a, b = joined("sigs", np.uint64), joined("a", np.int64), joined("b", np.int64)
+def _after(known: pa.Table, schema: pa.Schema, **columns: list | np.ndarray) -> pa.Table:
+    """Rows of these columns after known ones; what either lacks is null."""
+    n = len(next(iter(columns.values())))
+    return pa.Table.from_arrays([
+        pa.concat_arrays([
+            *(known.column(f.name).cast(f.type).chunks if f.name in known.column_names and f.name not in ("a", "b") else [pa.nulls(known.num_rows, f.type)]),
+            pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type),
+        ]) for f in schema
+    ], schema=schema)
+
+
+def _bucket_links(table: pa.Table, schema: pa.Schema, num: int, den: int) -> pa.Table:
+    """The links of one shard, after the documents that came along; with sketches of a shard that has its stretches' facts too."""
+    signed = table.filter(pc.is_valid(table.column("sigs")))
     if Classes(num, den).sketched:
-        who, facts = joined("who", np.int64), joined("facts", np.uint64).reshape(-1, 6)
-        counts = [len(x) // 8 for x in packed.column("who").to_pylist()]
-        shift = np.repeat(np.cumsum(counts) - counts, [len(x) // 4 for x in packed.column("nodes").to_pylist()])
-        x, y = compared(sig, joined("nodes", np.uint32).astype(np.int64) + shift, who, facts, num, den)
+        met, told = (to_arrow_schema(_parse_datatype_string(x.format(kind="bigint"))) for x in (MET, TOLD))
+        found = _met(table, met.set(0, table.schema[0]))
+        parts = [_told(found.filter(pc.and_(pc.equal(found.column("stretch"), s), pc.is_null(found.column("n_shingles")))), told) for s in pc.unique(signed.column("stretch")).to_pylist()]
+        links = _sketch_links(pa.concat_tables([told.empty_table(), *parts]), num, den)
+        x, y = (links.column(c).to_numpy() for c in ("a", "b"))
     else:
-        _, _, x, y = stars(sig, joined("nodes", np.int64))
-    a, b = forest(np.concatenate([a, x]), np.concatenate([b, y]))
-    total = known.num_rows + len(a)
-    columns = []
-    for f in schema:
-        if f.name in ("a", "b"):
-            columns.append(pa.concat_arrays([pa.nulls(known.num_rows, f.type), pa.array(a if f.name == "a" else b, f.type)]))
-        else:
-            columns.append(pa.concat_arrays([*known.column(f.name).cast(f.type).chunks, pa.nulls(len(a), f.type)]))
-    assert all(len(c) == total for c in columns)
-    return pa.Table.from_arrays(columns, schema=schema)
+        _, _, x, y = stars(_joined(signed, "sigs", np.uint64), _joined(signed, "nodes", np.int64))
+    a, b = forest(np.concatenate([_joined(signed, "a", np.int64), x]), np.concatenate([_joined(signed, "b", np.int64), y]))
+    return _after(table.filter(pc.is_valid(table.column("n_shingles"))), schema, a=a, b=b)
+
+
+def _met(table: pa.Table, schema: pa.Schema) -> pa.Table:
+    """Of one shard the signatures that come more than once, stretch by stretch, and the stars, after the other rows that came along."""
+    signed = table.filter(pc.is_valid(table.column("sigs")))
+    both = [unpacked(x, y) for x, y in zip(signed.column("sigs").to_pylist(), signed.column("nodes").to_pylist(), strict=True)]
+    sig = np.concatenate([x[0] for x in both]) if both else np.empty(0, np.uint64)
+    _, flat, count = np.unique(sig, return_inverse=True, return_counts=True)
+    often = count[flat] > 1
+    a, b = forest(_joined(signed, "a", np.int64), _joined(signed, "b", np.int64))
+    out: dict[str, list] = {c: [] for c in ("stretch", "shard", "sigs", "nodes")}
+    at = 0
+    for row, (x, y) in zip(signed.select(["stretch", "shard"]).to_pylist(), both, strict=True):
+        some = often[at : at + len(x)]
+        at += len(x)
+        if some.any():
+            sigs, nodes = packed(x[some], y[some])
+            for c, value in zip(out, (row["stretch"], row["shard"], sigs, nodes), strict=True):
+                out[c].append(value)
+    known = _after(table.filter(pc.is_null(table.column("sigs"))), schema, a=a, b=b)
+    return pa.concat_tables([known, _after(known.slice(0, 0), schema, **out)])
+
+
+def _told(table: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The signatures of one stretch with what is known of their sets, without those of sets that an earlier stretch has."""
+    own = table.filter(pc.is_valid(table.column("facts")))
+    who, facts = _joined(own, "who", np.int64), _joined(own, "facts", np.uint64).reshape(-1, 6)
+    # An entry of size 0 stands for a star, which the earlier stretch need not have.
+    mine = ~np.isin(who, table.column("node").drop_null().to_numpy()) | (facts[:, 0] == 0)
+    out: dict[str, list] = {f.name: [] for f in schema}
+    signed = table.filter(pc.is_valid(table.column("sigs")))
+    for row in signed.select(["shard", "sigs", "nodes"]).to_pylist():
+        sig, entry = unpacked(row["sigs"], row["nodes"])
+        sig, entry = sig[mine[entry]], entry[mine[entry]]
+        if len(sig):
+            each, local = np.unique(entry, return_inverse=True)
+            sigs, nodes = packed(sig, local)
+            for c, value in zip(out, (row["shard"], sigs, nodes, who[each].tobytes(), facts[each].tobytes()), strict=True):
+                out[c].append(value)
+    return pa.table([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+
+
+def _sketch_links(table: pa.Table, num: int, den: int) -> pa.Table:
+    """The links of one shard by signatures, sizes and sketches."""
+    both = [unpacked(x, y) for x, y in zip(table.column("sigs").to_pylist(), table.column("nodes").to_pylist(), strict=True)]
+    if not both:
+        return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b")})
+    before = np.cumsum([0, *(len(x) // 8 for x in table.column("who").to_pylist())])
+    sig, entry = np.concatenate([x[0] for x in both]), np.concatenate([x[1] + b for x, b in zip(both, before, strict=False)])
+    a, b = compared(sig, entry, _joined(table, "who", np.int64), _joined(table, "facts", np.uint64).reshape(-1, 6), num, den)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _sketched(signed: DataFrame, kind: str, n_docs: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(documents' rows, links) of signed rows, by signatures that stretches share."""
+    met, told = (to_arrow_schema(_parse_datatype_string(x.format(kind=kind))) for x in (MET, TOLD))
+    found = written(signed.groupBy("shard").applyInArrow(lean_group(lambda t: _met(t, met)), MET.format(kind=kind)), "met")
+    each = found.where("n_shingles is not null")
+    # Of a set that several stretches have, the first one tells.
+    nodes = each.where("node is not null").select("node", "stretch")
+    copies = led(nodes, "node", nodes.groupBy("node").agg(F.min("stretch").alias("owner")), "owner", n_docs).where("stretch > owner").select("node", "stretch").distinct()
+    parts = found.where("sigs is not null or facts is not null").select("node", "stretch", "shard", "sigs", "nodes", "who", "facts").unionByName(copies, allowMissingColumns=True)
+    sent = parts.groupBy("stretch").applyInArrow(lean_group(lambda t: _told(t, told)), TOLD)
+    links = written(sent.groupBy("shard").applyInArrow(lean_group(lambda t: _sketch_links(t, num, den)), "a long, b long"), "links")
+    return each, links.unionByName(found.where("a is not null").select("a", "b"))
 
 
 def matrix_links(sets: list[np.ndarray], num: int, den: int) -> Union:
@@ -408,9 +506,14 @@ def _rooted(docs: DataFrame, key: str, text: str, k: int, num: int, den: int) ->
     shards = max(shuffle_partitions(spark), math.ceil(size / 6 * 5 * (den - num) / (den + num) / SHARD_ROWS))
     schema, linked = (to_arrow_schema(_parse_datatype_string(x.format(kind=kind))) for x in (SIGNED, LINKED))
     signed = docs.withColumn("h", F.xxhash64("id")).withColumn("text_hash", F.xxhash64("text")).mapInArrow(lean(lambda it: _signed(it, k, num, den, shards, schema)), SIGNED.format(kind=kind))
-    signed = written(signed.groupBy("shard").applyInArrow(lean_group(lambda t: _bucket_links(t, linked, num, den)), LINKED.format(kind=kind)), "signed")
-    each = signed.where("a is null").select("id", "text_hash", "n_shingles", "set_key", "node")
-    links = signed.where("a is not null").select("a", "b")
+    if Classes(num, den).sketched:
+        each, links = _sketched(signed, kind, n_docs, num, den)
+    else:
+        signed = written(signed.groupBy("shard").applyInArrow(lean_group(lambda t: _bucket_links(t, linked, num, den)), LINKED.format(kind=kind)), "signed")
+        each, links = signed.where("a is null"), signed.where("a is not null").select("a", "b")
+    each = each.select("id", "text_hash", "n_shingles", "set_key", "node")
+    del signed
+    swept(spark)
     # Nodes are 64 bits of a set's key.  Should two sets share one, their components are verified together, and fall apart there.
     near = connected_components(links)
 
@@ -442,6 +545,8 @@ def _rooted(docs: DataFrame, key: str, text: str, k: int, num: int, den: int) ->
     task = F.when(F.col("whole"), F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
     found = full.select(task.alias("task"), "component", "whole", "set_key", "node", "tokens")
     verified = written(found.groupBy("task").applyInArrow(lean_group(lambda t: _verified(t, num, den)), VERIFIED), "verified")
+    del picked, full, found
+    swept(spark)
     roots = verified.where("whole").select("set_key", "root")
     cut = verified.where("not whole")
     if cut.limit(1).count():

@@ -241,6 +241,20 @@ def test_stars_of_a_flush_lose_no_link(spark, monkeypatch):
         assert links.find(names.index(a)) == links.find(names.index(b))
 
 
+def test_what_a_signature_sends_does_not_grow_with_shards(spark):
+    """However many shards there are, a set's sketch does not go to each of them."""
+    rng = np.random.default_rng(3)
+    lines = [" ".join(map(str, rng.integers(0, 10**6, 300))) for _ in range(200)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(200), pa.int64()), "text": lines, "text_hash": pa.array([0] * 200, pa.int64()), "h": pa.array([1] * 200, pa.int64())})
+    schema = setjoin.to_arrow_schema(setjoin._parse_datatype_string(setjoin.SIGNED.format(kind="bigint")))
+    n = len(setjoin.signatures(shingle_sets([t.encode() for t in lines], 5, common.Hashes()), setjoin.Classes(80, 100))[0])
+    sent = []
+    for shards in (10, 5000):
+        rows = pa.Table.from_batches(list(setjoin._signed(iter([batch]), 5, 80, 100, shards, schema)))
+        sent.append(sum(len(x or b"") for c in ("sigs", "nodes", "who", "facts") for x in rows.column(c).to_pylist()))
+    assert sent[0] == sent[1] < 12 * n
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)]
