@@ -86,31 +86,35 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: Bytes of an array from which the C library gives it back to the system when it is freed.
+HELD = 4 << 20
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], held: int = HELD) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same map over record batches, after which its worker gives free memory back.
 
     Workers outlive their tasks; what their allocators keep would count against
-    the executor in all later stages.
+    the executor in all later stages.  Arrays of fewer than ``held`` bytes may be
+    kept until then.
     """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
+        give_back(held)
         yield from run(batches)
         trim()
 
     return whole
 
 
-@functools.cache
-def give_back() -> None:
-    """Have the C library return large arrays to the system as soon as they are freed, once a process.
+def give_back(held: int = HELD) -> None:
+    """Have the C library return arrays of so many bytes to the system as soon as they are freed.
 
     Left alone it keeps ever more of them, as its thresholds follow the largest it has seen.
     """
     with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, held)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, held)  # M_TRIM_THRESHOLD
 
 
 def trim() -> None:

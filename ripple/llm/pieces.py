@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripple.llm.common import lean, mix, quote, raw_texts, slices, small_batches
+from ripple.llm.common import HELD, lean, mix, quote, raw_texts, slices, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁".encode()
@@ -261,30 +261,29 @@ class Known(dict):
         No piece holds a space after another character, so no merge crosses
         from one chunk to the next, and a text's ids are those of its chunks.
         """
-        numbers, base = np.fromiter(map(self.get, chunks, repeat(-1)), np.int64, len(chunks)), self.base
+        found = pa.array(chunks, pa.binary()).dictionary_encode()
+        names, which, base = found.dictionary.to_pylist(), found.indices.to_numpy(), self.base
+        numbers = np.fromiter(map(self.get, names, repeat(-1)), np.int64, len(names))
         fresh = np.flatnonzero(numbers < 0)
-        new: dict[bytes, int] = {}
-        ids = np.array([new.setdefault(chunks[i], len(new)) for i in fresh.tolist()], dtype=np.int64)
-        often = np.bincount(ids, minlength=len(new)) > 1
+        new = [names[i] for i in fresh.tolist()]
+        often = np.bincount(which, minlength=len(names))[fresh] > 1
         if base + len(new) <= self.keep // 2:  # as long as there is room, all of them
             often[:] = True
         often &= np.fromiter(map(len, new), np.int64, len(new)) <= LONG
         often[np.flatnonzero(often)[max(0, self.keep - base) :]] = False
         order = np.argsort(~often, kind="stable")
-        place = np.empty(len(new), dtype=np.int64)
-        place[order] = np.arange(len(new)) + base
-        numbers[fresh] = place[ids]
-        n_kept, names = int(often.sum()), list(new)
-        ordered = [names[i] for i in order.tolist()]
+        numbers[fresh[order]] = np.arange(len(new)) + base
+        numbers = numbers.take(which)
+        n_kept, ordered = int(often.sum()), [new[i] for i in order.tolist()]
         kept, passing = ([SPACE + c.replace(b" ", SPACE) for c in x] for x in (ordered[:n_kept], ordered[n_kept:]))
         if n_kept:
             self.store.add(Lattice(self.pieces, kept), True)
             self.update(zip(ordered[:n_kept], range(base, base + n_kept), strict=True))
         self.base = base + n_kept
-        found = self.pieces.library.encode([c.decode() for c in ordered]) if ordered else []  # a space is added before each
-        found = [x or self.pieces.space for x in found]  # but not to an empty text, which stands for a space at the end
-        count = np.concatenate([self.own_count, np.fromiter(map(len, found), np.int64, len(found))])
-        own = np.concatenate([self.own, np.fromiter(chain.from_iterable(found), np.int32, int(count[base:].sum()))])
+        ids = self.pieces.library.encode([c.decode() for c in ordered]) if ordered else []  # a space is added before each
+        ids = [x or self.pieces.space for x in ids]  # but not to an empty text, which stands for a space at the end
+        count = np.concatenate([self.own_count, np.fromiter(map(len, ids), np.int64, len(ids))])
+        own = np.concatenate([self.own, np.fromiter(chain.from_iterable(ids), np.int32, int(count[base:].sum()))])
         self.own_count = count[: self.base].copy()
         self.own = own[: int(self.own_count.sum())].copy()
         return numbers, self.store.add(Lattice(self.pieces, passing), False), own, count
@@ -361,11 +360,11 @@ class Sampler:
         each = count.take(self.chunk)
         self.own = own.take(ragged((np.cumsum(count) - count).take(self.chunk), each))
         self.n_own = _sums(each, per)
-        self.doc = np.repeat(np.arange(len(texts)), per)
-        self.doc_first = np.cumsum(per) - per  # first chunk of each document
+        self.per, self.doc_first = per, np.cumsum(per) - per  # chunks of each document, and the first of them
+        self.first, self.last = self.lattice.first.take(self.chunk), self.lattice.last.take(self.chunk)
         with np.errstate(over="ignore"):
-            nth = (np.arange(len(self.doc)) - self.doc_first[self.doc]).astype(np.uint64)
-            self.chunk_key = mix(keys[self.doc] + nth * np.uint64(0x9E3779B97F4A7C15), 3)
+            nth = (np.arange(len(self.chunk)) - np.repeat(self.doc_first, per)).astype(np.uint64)
+            self.chunk_key = mix(np.repeat(keys, per) + nth * np.uint64(0x9E3779B97F4A7C15), 3)
         self.samples: list[dict[str, np.ndarray]] = []
         n = len(texts)
         #: Open regions of each document, best first: value, sample, step; and the edges barred at the step.
@@ -375,9 +374,8 @@ class Sampler:
         self._run()
 
     def _run(self) -> None:
-        lat, n = self.lattice, len(self.keys)
-        first, last = lat.first[self.chunk], lat.last[self.chunk]
-        counts, edges = walk(lat, first, last, self.chunk_key, 100)
+        n = len(self.keys)
+        counts, edges = walk(self.lattice, self.first, self.last, self.chunk_key, 100)
         bound = -np.log(-np.log(uniform(self.keys, 7)))
         self._add(np.arange(n), counts, edges, bound, np.zeros(n, np.int64), [()] * n)
         for s in range(1, self.k):
@@ -401,71 +399,56 @@ class Sampler:
     def _resample(self, docs: np.ndarray, parent: np.ndarray, step: np.ndarray, barred: list[tuple[int, ...]], s: int) -> tuple[np.ndarray, np.ndarray]:
         """Sample the region of each document: its parent's pieces before the step, another piece there, any pieces after."""
         lat = self.lattice
-        slot = np.full(len(self.keys), -1, dtype=np.int64)
-        slot[docs] = np.arange(len(docs))
-        mine = np.flatnonzero(slot[self.doc] >= 0)  # the chunks of these documents
-        of = slot[self.doc[mine]]
-        per = np.bincount(of, minlength=len(docs))
-        chunk_first = np.cumsum(per) - per
-        counts = np.zeros(len(mine), dtype=np.int64)
-        source: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (chunks, first edge in the pool, pool)
-        turn = np.empty(len(docs), dtype=np.int64)  # the chunk that holds the step
-        special: list[list[int]] = []
+        at = np.empty(len(docs), dtype=np.int64)  # the chunk that holds the step
+        held = np.empty(len(docs), dtype=np.int64)  # pieces of that chunk before the step
+        before: list[tuple[np.ndarray, np.ndarray]] = [(at, at)] * len(docs)  # counts of the chunks before that one, and pieces before the step
         for p in range(s):
             which = np.flatnonzero(parent == p)
             if not len(which):
                 continue
             old = self.samples[p]
             row = old["slot"][docs[which]]
-            begin = old["begin"][row]  # of the parents, in chunks
-            at_edge = old["edge_begin"][row] + step[which]
+            begin, first = old["begin"][row], old["edge_begin"][row]  # of the parents
+            at_edge = first + step[which]
             chunk = np.searchsorted(old["chunk_begin"], at_edge, "right") - 1
-            turn[which] = chunk - begin
-            kept = ragged(chunk_first[which], turn[which])
-            theirs = ragged(begin, turn[which])
-            counts[kept] = old["counts"][theirs]
-            source.append((kept, old["chunk_begin"][theirs], old["edges"]))
-            for j, c, e in zip(which.tolist(), chunk.tolist(), at_edge.tolist(), strict=True):
-                special.append([j, *old["edges"][old["chunk_begin"][c] : e].tolist()])
+            at[which] = self.doc_first[docs[which]] + chunk - begin
+            held[which] = at_edge - old["chunk_begin"][chunk]
+            for j, b, c, f, e in zip(which.tolist(), begin.tolist(), chunk.tolist(), first.tolist(), at_edge.tolist(), strict=True):
+                before[j] = old["counts"][b:c], old["edges"][f:e]
         # The step itself: an edge that is not barred, by its chance among these.
-        begun: dict[int, list[int]] = {}
+        picked = np.empty(len(docs), dtype=np.int32)
         u = uniform(self.keys[docs], 1000 + s)
-        for j, *prefix in special:
-            node = int(lat.to[prefix[-1]]) if prefix else int(lat.first[self.chunk[mine[chunk_first[j] + turn[j]]]])
+        for j, (c, inner) in enumerate(zip(at.tolist(), held.tolist(), strict=True)):
+            node = int(lat.to[before[j][1][-1]]) if inner else int(self.first[c])
             free = [e for e in range(int(lat.at[node]), int(lat.at[node] + lat.count[node])) if e not in barred[j]]
             upto = np.cumsum(np.exp(lat.log[free]))
-            begun[j] = [*prefix, free[min(len(free) - 1, int(np.searchsorted(upto, u[j] * upto[-1], "right")))]]
-        # The rest of the step's chunk and all later chunks, freely.
-        at = chunk_first + turn
-        later = ragged(at, per - turn)
-        ids = self.chunk[mine[later]]
-        nodes = lat.first[ids].copy()
-        opening = np.cumsum(per - turn) - (per - turn)
-        nodes[opening] = [int(lat.to[begun[j][-1]]) for j in range(len(docs))]
-        n_new, new = walk(lat, nodes, lat.last[ids], self.chunk_key[mine[later]], 100 + s)
-        counts[later] = n_new
-        source.append((later, np.cumsum(n_new) - n_new, new))
-        lengths = np.array([len(begun[j]) for j in range(len(docs))], dtype=np.int64)
-        shift = np.zeros(len(mine), dtype=np.int64)  # edges that stand before those of the source
-        shift[at] = lengths
-        counts[at] += lengths
-        begin = np.cumsum(counts) - counts
-        edges = np.empty(int(counts.sum()), dtype=np.int32)
-        for chunks, first, pool in source:
-            n = counts[chunks] - shift[chunks]
-            edges[ragged(begin.take(chunks) + shift.take(chunks), n)] = pool.take(ragged(first, n))
-        edges[ragged(begin[at], lengths)] = [e for j in range(len(docs)) for e in begun[j]]
-        return counts, edges
+            picked[j] = free[min(len(free) - 1, int(np.searchsorted(upto, u[j] * upto[-1], "right")))]
+        # The rest of the step's chunk and all later chunks, freely.  Stretches of documents are copied whole.
+        ends = (self.doc_first + self.per)[docs]
+        later = list(zip(at.tolist(), ends.tolist(), strict=True))
+        nodes, last, keys = (np.concatenate([x[a:b] for a, b in later]) for x in (self.first, self.last, self.chunk_key))
+        cut = np.cumsum(ends - at)
+        opening = cut - (ends - at)
+        nodes[opening] = lat.to[picked]
+        n_new, new = walk(lat, nodes, last, keys, 100 + s)
+        edge_cut = np.append(0, np.cumsum(n_new))[cut]
+        n_new[opening] += held + 1
+        counts: list[np.ndarray] = []
+        edges: list[np.ndarray] = []
+        a = x = 0
+        for j, (b, y) in enumerate(zip(cut.tolist(), edge_cut.tolist(), strict=True)):
+            counts += [before[j][0], n_new[a:b]]
+            edges += [before[j][1], picked[j : j + 1], new[x:y]]
+            a, x = b, y
+        return np.concatenate(counts), np.concatenate(edges)
 
     def _add(self, docs: np.ndarray, counts: np.ndarray, edges: np.ndarray, bound: np.ndarray, step: np.ndarray, barred: list[tuple[int, ...]]) -> None:
         """Keep a sample for each of ``docs``, and the regions that the rest of its region falls into."""
         lat, s, n = self.lattice, len(self.samples), len(docs)
         slot = np.full(len(self.keys), -1, dtype=np.int64)
         slot[docs] = np.arange(n)
-        of_chunk = slot[self.doc]
-        of_chunk = of_chunk[of_chunk >= 0]
-        per = np.bincount(of_chunk, minlength=n)
-        n_edges = np.bincount(of_chunk, counts, minlength=n).astype(np.int64)
+        per = self.per[docs]
+        n_edges = _sums(counts, per)
         begin = np.cumsum(n_edges) - n_edges
         log = lat.log.take(edges)
         total = np.cumsum(log)
@@ -479,14 +462,16 @@ class Sampler:
             return
         # A uniform number has 53 bits, so log(-log(u)) lies within -37 and 4: a region of that much less mass than k others
         # cannot be among the first k.  Masses never exceed the chance of what comes before, which only falls along a path.
-        prefix = total - log - np.repeat(offset, n_edges)
         head = np.minimum(n_edges, step + HEAD)
         sure = np.full(n, -np.inf)
-        sure[n_edges > 0] = self._kth_mass(prefix, edges, begin, step, head, n_edges > 0)
-        kept = np.flatnonzero(prefix >= np.repeat(sure - 42.0, n_edges))
-        doc = np.repeat(np.arange(n), n_edges)[kept]
+        sure[n_edges > 0] = self._kth_mass(total, log, offset, edges, begin, step, head, n_edges > 0)
+        # So the first steps are looked at, from the region's own on: the sums fall along the documents, which gives the last of them.
+        least = np.searchsorted(np.negative(total), 43.0 - offset - sure, "right") + 1
+        n_kept = np.maximum(0, np.minimum(begin + n_edges, least) - begin - step)
+        kept = ragged(begin + step, n_kept)
+        doc = np.repeat(np.arange(n), n_kept)
         nth = kept - begin[doc]
-        picked, n_kept = edges[kept], np.bincount(doc, minlength=n)
+        picked, prefix = edges[kept], total[kept] - log[kept] - offset[doc]
         some, begin = n_kept > 0, np.cumsum(n_kept) - n_kept
         mass = self._others(picked)
         hold = np.flatnonzero(nth == step[doc])
@@ -495,19 +480,20 @@ class Sampler:
                 left = lat.count[lat.start[picked[i]]] > len(barred[d]) + 1
                 mass[i] = max(0.0, mass[i] - float(np.exp(lat.log[list(barred[d])]).sum())) if left else 0.0
         with np.errstate(divide="ignore", over="ignore"):
-            location = prefix[kept] + np.log(mass)
+            location = prefix + np.log(mass)
             key = mix(self.keys[docs][doc] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 5)
             rank = np.log(-np.log(uniform(key, 500 + s))) - location  # the smaller, the larger the perturbed value
-        rank[(nth < step[doc]) | (mass <= 0)] = np.inf
+        rank[mass <= 0] = np.inf
         edges, n_edges = picked, n_kept
         if not len(edges):
             return
         filled, live = np.flatnonzero(some), np.ones(int(some.sum()), dtype=bool)
-        for _ in range(self.k):
+        left = self.k - s  # regions that can still be opened, or give the threshold
+        for _ in range(left):
             best = np.minimum.reduceat(rank, begin[filled])
-            # Each document's best region that is left, if it belongs among its first k.
+            # Each document's best region that is left, if it belongs among the first of them.
             value = -np.logaddexp(-bound[filled], best)
-            live &= np.isfinite(best) & (value > self.value[docs[filled], -1])
+            live &= np.isfinite(best) & (value > self.value[docs[filled], left - 1])
             if not live.any():
                 break
             wanted = np.full(n, np.nan)
@@ -532,13 +518,13 @@ class Sampler:
         mass[lat.count.take(lat.start.take(edges)) == 1] = 0.0
         return mass
 
-    def _kth_mass(self, prefix: np.ndarray, edges: np.ndarray, begin: np.ndarray, step: np.ndarray, head: np.ndarray, some: np.ndarray) -> np.ndarray:
+    def _kth_mass(self, total: np.ndarray, log: np.ndarray, offset: np.ndarray, edges: np.ndarray, begin: np.ndarray, step: np.ndarray, head: np.ndarray, some: np.ndarray) -> np.ndarray:
         """A lower bound of the k-th largest log mass of each document's regions, from the first steps of its path; -inf where there are fewer."""
         first, count = (begin + np.minimum(step, head - 1))[some], (head - np.minimum(step, head - 1))[some]
         at = ragged(first, count)
         with np.errstate(divide="ignore"):
             # The step itself may have more edges barred: it is left out.
-            value = prefix[at] + np.log(self._others(edges[at]))
+            value = total[at] - log[at] - np.repeat(offset[some], count) + np.log(self._others(edges[at]))
         starts = np.cumsum(count) - count
         value[starts] = -np.inf
         for _ in range(self.k - 1):
@@ -696,4 +682,5 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2,
                 names += ["ids", "sample_ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return plain.mapInArrow(lean(run), f"id {kind}, {own}, {drawn}{full}").withColumnRenamed("id", key)
+    # Much of the time would else go into fetching the same large arrays from the system, slice after slice.
+    return plain.mapInArrow(lean(run, 32 << 20 if carry else HELD), f"id {kind}, {own}, {drawn}{full}").withColumnRenamed("id", key)

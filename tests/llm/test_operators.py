@@ -851,6 +851,26 @@ def paths(vocabulary, text):
     return dict(zip(every, (weight / weight.sum()).tolist(), strict=True))
 
 
+def test_arrays_are_kept_from_slice_to_slice():
+    """An operator that asks for it does not fetch its large arrays from the system again for each slice."""
+    import resource
+
+    faults = []
+
+    def run(batches):
+        for batch in batches:
+            np.ones(2_000_000)
+            faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt)
+            yield batch
+
+    batch = pa.RecordBatch.from_pydict({"x": [1]})
+    try:
+        assert len(list(common.lean(run, 32 << 20)(iter([batch] * 6)))) == 6
+    finally:
+        common.give_back()
+    assert faults[-1] - faults[1] < 2000  # 16 MB have 3,900 pages, each time
+
+
 def test_samples_follow_the_lattice(vocabulary):
     n, chance = 6000, paths(vocabulary, "the a")
     sampler, out = drawn(vocabulary, ["the a"] * n, 3)
