@@ -14,8 +14,8 @@ and every link between different sets counts towards the components.
    set will do, as the components of these stars enclose all links.  Stars are
    made within each task first, so that a signature that many documents share
    costs one row a task.  Where sketches are compared, which are far larger than
-   a signature, signatures go alone first, and only those that another stretch of
-   documents has as well go once more, with the sketches of their sets.
+   a signature, signatures go alone first, and only those that come more
+   than once go again, with the sketches of their sets.
 3. *Each group's token union* is a row of the token-group matrix: the members of
    a component stand in the order of their smallest hashes and are cut into groups
    of GROUP sets.  An inverted list over the unions bounds |Q & G| for a query and
