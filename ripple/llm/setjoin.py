@@ -15,7 +15,10 @@ and every link between different sets counts towards the components.
    made within each task first, so that a signature that many documents share
    costs one row a task.  Where sketches are compared, which are far larger than
    a signature, signatures go alone first, and only those that come more
-   than once go again, with the sketches of their sets.
+   than once go again, with the sketches of their sets.  These go in two rounds,
+   as similar sets meet in many shards, and each would say the same of them:
+   the signatures of the first FIRST parts make components, and by the others
+   only sets of different components are compared.
 3. *Each group's token union* is a row of the token-group matrix: the members of
    a component stand in the order of their smallest hashes and are cut into groups
    of GROUP sets.  An inverted list over the unions bounds |Q & G| for a query and
@@ -51,6 +54,7 @@ WIDE = 2000
 GROUP = 32
 BLOCK, BLOCK_TOKENS = 4096, 2_000_000  # sets and tokens of a component that are verified in one task
 FLUSH_ROWS = 200_000  # signatures gathered in a task before they are dealt out; up to four times as many where shards are many
+FIRST = 8  # parts of a set whose signatures are compared in the first of two rounds
 SIG_BYTES = 5  # of a signature that goes to its shard without sketch
 SHARD_ROWS = 400_000  # signatures that a shard is meant to hold
 BATCH_SETS = 400  # sets of small components whose matrix is made together
@@ -111,7 +115,8 @@ def signatures(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np
     """(signature, its entry) of all parts of all sets; and for each entry the index of its set, and 6 words: size, limit, sketch.
 
     A set has an entry for each class it has signatures under, and one for the
-    tokens of its prefix, which no sketch limits.
+    tokens of its prefix, which no sketch limits.  With sketches a signature's
+    last bit tells its round: 0 for the FIRST parts, 1 for the others and prefixes.
     """
     none = np.empty(0, np.int64)
     picked = [(i, c, *pe) for i, x in enumerate(sets) if len(x) for c, *pe in classes.of(len(x))]
@@ -135,6 +140,7 @@ def signatures(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np
     facts = np.zeros((n, 6), dtype=np.uint64)
     facts[:, 0] = sizes
     if classes.sketched:
+        sig = sig & ~np.uint64(1) | (place >= FIRST).astype(np.uint64)
         shift = np.where(differ <= 60, 0, np.ceil(np.log2(np.maximum(differ, 1) / 30.0))).astype(np.int64)
         share = differ / 2.0**shift
         facts[:, 1] = np.where(shift > 0, np.ceil(share + 8 * np.sqrt(share)), differ)
@@ -143,7 +149,7 @@ def signatures(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np
     for i in sorted(set(index[np.bincount(owner[~filled], minlength=n) > spare].tolist())):
         size = len(sets[i])  # tokens are sorted, so these are the first in one order for all sets
         prefix = sets[i][: size + (-size * classes.num // classes.den) + 1]
-        found.append(mix(prefix, 13))
+        found.append(mix(prefix, 13) | np.uint64(classes.sketched))
         owners.append(np.full(len(prefix), n + len(more), dtype=np.int64))
         more.append(i)
         more_facts.append([size, 256, 0, 0, 0, 0])
@@ -230,7 +236,7 @@ def compared(sig: np.ndarray, entry: np.ndarray, node: np.ndarray, facts: np.nda
 
 SIGNED = "id {kind}, text_hash long, n_shingles long, set_key binary, node long, stretch long, shard int, sigs binary, nodes binary, a binary, b binary, who binary, facts binary"
 LINKED = "id {kind}, text_hash long, n_shingles long, set_key binary, node long, a long, b long"
-MET = "id {kind}, text_hash long, n_shingles long, set_key binary, node long, a long, b long, stretch long, shard int, sigs binary, nodes binary, who binary, facts binary"
+MET = "id {kind}, text_hash long, n_shingles long, set_key binary, node long, a long, b long, stretch long, shard int, late boolean, sigs binary, nodes binary, who binary, facts binary, label long"
 TOLD = "shard int, sigs binary, nodes binary, who binary, facts binary"
 
 
@@ -363,32 +369,41 @@ def _bucket_links(table: pa.Table, schema: pa.Schema, num: int, den: int) -> pa.
 
 
 def _met(table: pa.Table, schema: pa.Schema) -> pa.Table:
-    """Of one shard the signatures that come more than once, stretch by stretch, and the stars, after the other rows that came along."""
+    """Of one shard the signatures that come more than once, by stretch and round, and the stars, after the other rows that came along."""
     signed = table.filter(pc.is_valid(table.column("sigs")))
     both = [unpacked(x, y) for x, y in zip(signed.column("sigs").to_pylist(), signed.column("nodes").to_pylist(), strict=True)]
     sig = np.concatenate([x[0] for x in both]) if both else np.empty(0, np.uint64)
     _, flat, count = np.unique(sig, return_inverse=True, return_counts=True)
     often = count[flat] > 1
     a, b = forest(_joined(signed, "a", np.int64), _joined(signed, "b", np.int64))
-    out: dict[str, list] = {c: [] for c in ("stretch", "shard", "sigs", "nodes")}
+    out: dict[str, list] = {c: [] for c in ("stretch", "shard", "late", "sigs", "nodes")}
     at = 0
     for row, (x, y) in zip(signed.select(["stretch", "shard"]).to_pylist(), both, strict=True):
-        some = often[at : at + len(x)]
+        for late in (False, True):
+            some = often[at : at + len(x)] & (x & np.uint64(1) == late)
+            if some.any():
+                for c, value in zip(out, (row["stretch"], row["shard"], late, *packed(x[some], y[some])), strict=True):
+                    out[c].append(value)
         at += len(x)
-        if some.any():
-            sigs, nodes = packed(x[some], y[some])
-            for c, value in zip(out, (row["stretch"], row["shard"], sigs, nodes), strict=True):
-                out[c].append(value)
     known = _after(table.filter(pc.is_null(table.column("sigs"))), schema, a=a, b=b)
     return pa.concat_tables([known, _after(known.slice(0, 0), schema, **out)])
 
 
 def _told(table: pa.Table, schema: pa.Schema) -> pa.Table:
-    """The signatures of one stretch with what is known of their sets, without those of sets that an earlier stretch has."""
+    """The signatures of one stretch with what is known of their sets, without those of sets that an earlier stretch has.
+
+    Sets that have a label go by it.
+    """
     own = table.filter(pc.is_valid(table.column("facts")))
     who, facts = _joined(own, "who", np.int64), _joined(own, "facts", np.uint64).reshape(-1, 6)
     # An entry of size 0 stands for a star, which the earlier stretch need not have.
-    mine = ~np.isin(who, table.column("node").drop_null().to_numpy()) | (facts[:, 0] == 0)
+    unnamed = pc.is_null(table.column("label"))
+    mine = ~np.isin(who, table.filter(unnamed).column("node").drop_null().to_numpy()) | (facts[:, 0] == 0)
+    named = table.filter(pc.invert(unnamed)).sort_by("node")
+    if named.num_rows:
+        nodes = named.column("node").to_numpy()
+        at = np.minimum(np.searchsorted(nodes, who), len(nodes) - 1)
+        who = np.where(nodes[at] == who, named.column("label").to_numpy()[at], who)
     out: dict[str, list] = {f.name: [] for f in schema}
     signed = table.filter(pc.is_valid(table.column("sigs")))
     for row in signed.select(["shard", "sigs", "nodes"]).to_pylist():
@@ -414,17 +429,28 @@ def _sketch_links(table: pa.Table, num: int, den: int) -> pa.Table:
 
 
 def _sketched(signed: DataFrame, kind: str, n_docs: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(documents' rows, links) of signed rows, by signatures that stretches share."""
+    """(documents' rows, links) of signed rows, by signatures that are shared.
+
+    However many shards similar sets meet in, they have at most as many links as
+    the FIRST parts, and no more once these have made them one component.
+    """
     met, told = (to_arrow_schema(_parse_datatype_string(x.format(kind=kind))) for x in (MET, TOLD))
     found = written(signed.groupBy("shard").applyInArrow(lean_group(lambda t: _met(t, met)), MET.format(kind=kind)), "met")
     each = found.where("n_shingles is not null")
     # Of a set that several stretches have, the first one tells.
     nodes = each.where("node is not null").select("node", "stretch")
-    copies = led(nodes, "node", nodes.groupBy("node").agg(F.min("stretch").alias("owner")), "owner", n_docs).where("stretch > owner").select("node", "stretch").distinct()
-    parts = found.where("sigs is not null or facts is not null").select("node", "stretch", "shard", "sigs", "nodes", "who", "facts").unionByName(copies, allowMissingColumns=True)
-    sent = parts.groupBy("stretch").applyInArrow(lean_group(lambda t: _told(t, told)), TOLD)
-    links = written(sent.groupBy("shard").applyInArrow(lean_group(lambda t: _sketch_links(t, num, den)), "a long, b long"), "links")
-    return each, links.unionByName(found.where("a is not null").select("a", "b"))
+    owners = nodes.groupBy("node").agg(F.min("stretch").alias("owner"))
+    copies = led(nodes, "node", owners, "owner", n_docs).where("stretch > owner").select("node", "stretch").distinct()
+    parts = found.where("sigs is not null or facts is not null").select("node", "stretch", "shard", "late", "sigs", "nodes", "who", "facts", "label").unionByName(copies, allowMissingColumns=True)
+
+    def linked(rows: DataFrame) -> DataFrame:
+        sent = rows.drop("late").groupBy("stretch").applyInArrow(lean_group(lambda t: _told(t, told)), TOLD)
+        return written(sent.groupBy("shard").applyInArrow(lean_group(lambda t: _sketch_links(t, num, den)), "a long, b long"), "links")
+
+    near = connected_components(linked(parts.where("late is null or not late")).unionByName(found.where("a is not null").select("a", "b")))
+    labels = near.join(owners, "node").select("node", F.col("owner").alias("stretch"), F.col("component").alias("label"))
+    links = linked(parts.where("late is null or late").unionByName(labels, allowMissingColumns=True))
+    return each, links.unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b")))
 
 
 def matrix_links(sets: list[np.ndarray], num: int, den: int) -> Union:

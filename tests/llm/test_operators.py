@@ -255,6 +255,40 @@ def test_what_a_signature_sends_does_not_grow_with_shards(spark):
     assert sent[0] == sent[1] < 12 * n
 
 
+def test_links_do_not_grow_with_shards(spark, monkeypatch):
+    """Similar sets meet in many shards, but are linked in few; those that only late parts link are linked too."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(40):
+        base = [f"w{i}" for i in rng.integers(0, 10**6, 300)]
+        for changes in (0, 1, 3, 5):  # the last share a few of some ninety parts
+            copy = list(base)
+            for i in rng.choice(np.arange(5, 295), changes, replace=False):
+                copy[i] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(copy))
+    made, written = [], setjoin.written
+
+    def counted(df, name):
+        out = written(df, name)
+        made[-1] += out.count() if name == "links" else 0
+        return out
+
+    monkeypatch.setattr(setjoin, "written", counted)
+    df = docs(spark, texts).repartition(2, "doc_id").withColumn("h", F.xxhash64("doc_id")).select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("text_hash"), "h")
+    schema = setjoin.to_arrow_schema(setjoin._parse_datatype_string(setjoin.SIGNED.format(kind="bigint")))
+    for shards in (2, 150):
+        made.append(0)
+        signed = df.mapInArrow(lambda it, n=shards: setjoin._signed(it, 5, 80, 100, n, schema), setjoin.SIGNED.format(kind="bigint"))
+        each, links = setjoin._sketched(signed, "bigint", len(texts), 80, 100)
+        near = common.connected_components(links)
+        got = {r["id"]: r["component"] for r in each.join(near, "node").select("id", "component").collect()}
+        groups = defaultdict(set)
+        for i, (_, c) in brute_components(texts, 5, 80, 100).items():
+            groups[c].add(got[i])
+        assert all(len(x) == 1 for x in groups.values())
+    assert made[1] < 20 * len(texts) and made[1] < 4 * made[0]
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)]
