@@ -58,6 +58,8 @@ FIRST = 8  # parts of a set whose signatures are compared in the first of two ro
 SIG_BYTES = 5  # of a signature that goes to its shard without sketch
 SHARD_ROWS = 400_000  # signatures that a shard is meant to hold
 BATCH_SETS = 400  # sets of small components whose matrix is made together
+CELLS = 256  # of a sketch
+ALL, TAKEN = 60, 24  # a sketch has all tokens where at most ALL may differ, else a share of them, of which at most TAKEN are expected to
 
 
 class Classes:
@@ -103,16 +105,27 @@ class Classes:
         return [(x, p, e) for x in found for p, e in [self.parts(x)] if p]
 
 
-def sketches(tokens: np.ndarray, entry: np.ndarray, n: int, shift: np.ndarray) -> np.ndarray:
-    """Parities by 256 cells of those tokens of each entry whose hash ends in ``shift`` zeros; 4 words an entry."""
+def sketches(tokens: np.ndarray, entry: np.ndarray, n: int, rate: np.ndarray) -> np.ndarray:
+    """Parities by cells of those tokens of each entry whose hash is among ``rate`` of 2**32; 4 words an entry."""
     hashed = mix(tokens, 17)
-    taken = (hashed & ((np.uint64(1) << shift[entry].astype(np.uint64)) - np.uint64(1))) == 0
-    cell = entry[taken] * 256 + (hashed[taken] >> np.uint64(40) & np.uint64(255)).astype(np.int64)
-    return np.packbits(np.bincount(cell, minlength=256 * n).astype(np.uint8).reshape(n, 256) & 1, axis=1).view(np.uint64)
+    taken = (hashed & np.uint64(0xFFFFFFFF)) < rate[entry]
+    cell = entry[taken] * CELLS + (hashed[taken] >> np.uint64(40) & np.uint64(CELLS - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=CELLS * n).astype(np.uint8).reshape(n, CELLS) & 1, axis=1).view(np.uint64)
+
+
+def limits(total: np.ndarray, rate: np.ndarray, num: int, den: int) -> np.ndarray:
+    """In how many cells the sketches of two sets of ``total`` tokens together may differ if these reach the threshold; all where there is no sketch.
+
+    It follows the sizes of the two, not their class, whose largest sets may
+    differ in half as many tokens again.
+    """
+    differ = total * (den - num) // (den + num)
+    share = differ * (rate / 2.0**32)
+    return np.where(rate == 0, CELLS, np.where(rate < 1 << 32, np.ceil(share + 8 * np.sqrt(share)), differ)).astype(np.int64)
 
 
 def signatures(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, its entry) of all parts of all sets; and for each entry the index of its set, and 6 words: size, limit, sketch.
+    """(signature, its entry) of all parts of all sets; and for each entry the index of its set, and 6 words: size, rate, sketch.
 
     A set has an entry for each class it has signatures under, and one for the
     tokens of its prefix, which no sketch limits.  With sketches a signature's
@@ -141,10 +154,8 @@ def signatures(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np
     facts[:, 0] = sizes
     if classes.sketched:
         sig = sig & ~np.uint64(1) | (place >= FIRST).astype(np.uint64)
-        shift = np.where(differ <= 60, 0, np.ceil(np.log2(np.maximum(differ, 1) / 30.0))).astype(np.int64)
-        share = differ / 2.0**shift
-        facts[:, 1] = np.where(shift > 0, np.ceil(share + 8 * np.sqrt(share)), differ)
-        facts[:, 2:] = sketches(tokens, entry, n, shift)
+        facts[:, 1] = np.where(differ <= ALL, 2.0**32, np.ceil(2.0**32 * TAKEN / np.maximum(differ, 1))).astype(np.uint64)
+        facts[:, 2:] = sketches(tokens, entry, n, facts[:, 1])
     found, owners, more, more_facts = [sig[filled]], [owner[filled]], [], []
     for i in sorted(set(index[np.bincount(owner[~filled], minlength=n) > spare].tolist())):
         size = len(sets[i])  # tokens are sorted, so these are the first in one order for all sets
@@ -152,7 +163,7 @@ def signatures(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np
         found.append(mix(prefix, 13) | np.uint64(classes.sketched))
         owners.append(np.full(len(prefix), n + len(more), dtype=np.int64))
         more.append(i)
-        more_facts.append([size, 256, 0, 0, 0, 0])
+        more_facts.append([size, 0, 0, 0, 0, 0])
     index = np.concatenate([index, np.array(more, dtype=np.int64)])
     return np.concatenate(found), np.concatenate(owners), index, np.concatenate([facts, np.array(more_facts, dtype=np.uint64).reshape(-1, 6)])
 
@@ -225,7 +236,7 @@ def compared(sig: np.ndarray, entry: np.ndarray, node: np.ndarray, facts: np.nda
             some = (node[x] != node[y]) & ((low == 0) | (den * low >= num * high))
             x, y = x[some], y[some]
             apart = np.bitwise_count(facts[x, 2:] ^ facts[y, 2:]).sum(axis=1)
-            some = apart <= np.maximum(facts[x, 1], facts[y, 1])
+            some = apart <= limits(size[x] + size[y], np.minimum(facts[x, 1], facts[y, 1]), num, den)
             pair = np.unique(np.stack([node[x[some]], node[y[some]]]), axis=1)
             left.append(pair[0])
             right.append(pair[1])
@@ -296,7 +307,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, shard
                 each, local = np.unique(entry[first], return_inverse=True)
                 sig, entry = np.concatenate([sig[~wide], sig[first]]), np.concatenate([entry[~wide], len(node) + local])
                 node = np.concatenate([node, node[each]])
-                facts = np.concatenate([facts, np.tile(np.array([0, 256, 0, 0, 0, 0], dtype=np.uint64), (len(each), 1))])
+                facts = np.concatenate([facts, np.zeros((len(each), 6), dtype=np.uint64)])
         else:
             sig, least, a, b = stars(sig, node[entry])
         order, cut = dealt(sig)
@@ -436,6 +447,7 @@ def _sketched(signed: DataFrame, kind: str, n_docs: int, num: int, den: int) ->
     """
     met, told = (to_arrow_schema(_parse_datatype_string(x.format(kind=kind))) for x in (MET, TOLD))
     found = written(signed.groupBy("shard").applyInArrow(lean_group(lambda t: _met(t, met)), MET.format(kind=kind)), "met")
+    swept(signed.sparkSession)
     each = found.where("n_shingles is not null")
     # Of a set that several stretches have, the first one tells.
     nodes = each.where("node is not null").select("node", "stretch")
@@ -445,7 +457,10 @@ def _sketched(signed: DataFrame, kind: str, n_docs: int, num: int, den: int) ->
 
     def linked(rows: DataFrame) -> DataFrame:
         sent = rows.drop("late").groupBy("stretch").applyInArrow(lean_group(lambda t: _told(t, told)), TOLD)
-        return written(sent.groupBy("shard").applyInArrow(lean_group(lambda t: _sketch_links(t, num, den)), "a long, b long"), "links")
+        out = written(sent.groupBy("shard").applyInArrow(lean_group(lambda t: _sketch_links(t, num, den)), "a long, b long"), "links")
+        del sent
+        swept(signed.sparkSession)
+        return out
 
     near = connected_components(linked(parts.where("late is null or not late")).unionByName(found.where("a is not null").select("a", "b")))
     labels = near.join(owners, "node").select("node", F.col("owner").alias("stretch"), F.col("component").alias("label"))
@@ -564,7 +579,8 @@ def _rooted(docs: DataFrame, key: str, text: str, k: int, num: int, den: int) ->
             yield pa.RecordBatch.from_arrays(columns, names=["at", "key", "tokens"]).filter(kept)
 
     picked = docs.select(F.xxhash64("id").alias("h"), "id", "text").mapInArrow(lean(tokens), f"at {kind}, key binary, tokens binary")
-    full = picked.join(members, (F.col("key") == F.col("set_key")) & F.col("at").eqNullSafe(F.col("id"))).select("set_key", "node", "component", "tokens").join(sizes, "component")
+    sized = members.join(sizes, "component")  # before tokens come along, which else were shuffled once more
+    full = picked.join(sized, (F.col("key") == F.col("set_key")) & F.col("at").eqNullSafe(F.col("id"))).select("set_key", "node", "component", "blocks", "tokens")
     block = F.pmod(F.xxhash64("set_key"), F.col("blocks"))
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array(block.cast("int")))))
     full = full.withColumn("block", block.cast("int")).withColumn("other", other).withColumn("whole", F.col("blocks") == 1)

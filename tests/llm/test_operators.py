@@ -201,6 +201,23 @@ def test_signatures_lose_no_pair(seed, threshold):
     assert len(a) == 1 or not setjoin.Classes(num, den).sketched
 
 
+@pytest.mark.parametrize("n", [150, 180, 220, 300, 450, 700, 1200, 3000])
+def test_unlike_sets_that_meet_by_chance_stay_apart(n):
+    """Sets that share a signature and little else are not linked, else their components grow with the square of the corpus; those that just reach the threshold are."""
+    rng = np.random.default_rng(n)
+    some = lambda size: rng.integers(0, 2**63, size, dtype=np.int64).view(np.uint64)
+    unlike = [np.unique(some(n)) for _ in range(600)]
+    like = []
+    for _ in range(300):  # n - n // 9 of n tokens are shared, so at least 8 of 10 of the union
+        base = some(n)
+        like += [np.unique(base), np.unique(np.concatenate([base[n // 9 :], some(n // 9)]))]
+    for sets, pairs in ((unlike, 0), (like, 300)):
+        _, entry, index, facts = setjoin.signatures(sets, setjoin.Classes(80, 100))
+        each = np.unique(index, return_index=True)[1]  # the first entry of each set
+        met = np.arange(600, dtype=np.uint64) // 2 if pairs else np.zeros(600, np.uint64)
+        assert len(setjoin.compared(met, each, index, facts, 80, 100)[0]) == pairs
+
+
 def test_stars_of_a_flush_lose_no_link(spark, monkeypatch):
     # Copies of one base: many with ten changed words, and two with one, which are like each other and unlike the many.
     monkeypatch.setattr(setjoin, "WIDE", 8)
