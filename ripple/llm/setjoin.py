@@ -127,8 +127,9 @@ def limits(total: np.ndarray, rate: np.ndarray, num: int, den: int) -> np.ndarra
 def signatures(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(signature, its entry) of all parts of all sets; and for each entry the index of its set, and 6 words: size, rate, sketch.
 
-    A set has an entry for each class it has signatures under, and one for the
-    tokens of its prefix, which no sketch limits.  With sketches a signature's
+    A set has an entry for each class it has signatures under; where too many
+    parts are empty these are also the tokens of its prefix, by class as the
+    parts are, so that sketches tell these sets apart too.  With sketches a signature's
     last bit tells its round: 0 for the FIRST parts, 1 for the others and prefixes.
     """
     none = np.empty(0, np.int64)
@@ -156,16 +157,13 @@ def signatures(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np
         sig = sig & ~np.uint64(1) | (place >= FIRST).astype(np.uint64)
         facts[:, 1] = np.where(differ <= ALL, 2.0**32, np.ceil(2.0**32 * TAKEN / np.maximum(differ, 1))).astype(np.uint64)
         facts[:, 2:] = sketches(tokens, entry, n, facts[:, 1])
-    found, owners, more, more_facts = [sig[filled]], [owner[filled]], [], []
-    for i in sorted(set(index[np.bincount(owner[~filled], minlength=n) > spare].tolist())):
-        size = len(sets[i])  # tokens are sorted, so these are the first in one order for all sets
-        prefix = sets[i][: size + (-size * classes.num // classes.den) + 1]
-        found.append(mix(prefix, 13) | np.uint64(classes.sketched))
-        owners.append(np.full(len(prefix), n + len(more), dtype=np.int64))
-        more.append(i)
-        more_facts.append([size, 0, 0, 0, 0, 0])
-    index = np.concatenate([index, np.array(more, dtype=np.int64)])
-    return np.concatenate(found), np.concatenate(owners), index, np.concatenate([facts, np.array(more_facts, dtype=np.uint64).reshape(-1, 6)])
+    found, owners = [sig[filled]], [owner[filled]]
+    for e in np.flatnonzero(np.bincount(owner[~filled], minlength=n) > spare).tolist():
+        tokens, size = sets[index[e]], int(sizes[e])  # tokens are sorted, so the prefix has the first in one order for all sets
+        prefix = tokens[: size + (-size * classes.num // classes.den) + 1]
+        found.append(mix(mix(prefix, 13) + np.uint64(kind[e]), 4) | np.uint64(classes.sketched))
+        owners.append(np.full(len(prefix), e, dtype=np.int64))
+    return np.concatenate(found), np.concatenate(owners), index, facts
 
 
 class Union:

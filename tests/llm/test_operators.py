@@ -218,6 +218,16 @@ def test_unlike_sets_that_meet_by_chance_stay_apart(n):
         assert len(setjoin.compared(met, each, index, facts, 80, 100)[0]) == pairs
 
 
+@pytest.mark.parametrize("n", [550, 5400])
+def test_prefixes_do_not_link_unlike_sets(n):
+    """Sets just below a class have many empty parts in it; that they share a token of their prefix does not link them."""
+    rng = np.random.default_rng(n)
+    sets = [np.unique(np.append(rng.integers(0, 2**63, n, dtype=np.int64).view(np.uint64), np.uint64(7))) for _ in range(40)]
+    sig, entry, index, facts = setjoin.signatures(sets, setjoin.Classes(80, 100))
+    assert np.unique(sig, return_counts=True)[1].max() > 3
+    assert not len(setjoin.compared(sig, entry, index, facts, 80, 100)[0])
+
+
 def test_stars_of_a_flush_lose_no_link(spark, monkeypatch):
     # Copies of one base: many with ten changed words, and two with one, which are like each other and unlike the many.
     monkeypatch.setattr(setjoin, "WIDE", 8)
